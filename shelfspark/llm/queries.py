@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dup, token_output
+from . import line_dedup, near_dup, substring_dedup, token_output
 from .common import table
 
 
@@ -21,5 +21,9 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op9_hyperminhash": op9_hyperminhash}
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op9_hyperminhash": near_dup.SQL}
+def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op9_hyperminhash": near_dup.SQL, "op10_super_kmers": substring_dedup.SQL}
