@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dup, substring_dedup, token_output
+from . import hilbert_shards, line_dedup, mixing, near_dup, substring_dedup, token_output
 from .common import table
 
 
@@ -25,5 +25,13 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op5_hilbert_shards": op5_hilbert_shards, "op8_flow_mix": op8_flow_mix, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op9_hyperminhash": near_dup.SQL, "op10_super_kmers": substring_dedup.SQL}
