@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, line_dedup, mixing, near_dup, quality, substring_dedup, token_output
+from . import hilbert_shards, html_text, line_dedup, mixing, near_dup, quality, substring_dedup, token_output
 from .common import table
 
 
@@ -33,9 +33,13 @@ def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.text_digest(table(spark, sf_dir, "pages"))
+
+
 def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op5_hilbert_shards": op5_hilbert_shards, "op6_attention_mil": op6_attention_mil, "op8_flow_mix": op8_flow_mix, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op5_hilbert_shards": op5_hilbert_shards, "op6_attention_mil": op6_attention_mil, "op7_host_suffixes": op7_host_suffixes, "op8_flow_mix": op8_flow_mix, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op9_hyperminhash": near_dup.SQL, "op10_super_kmers": substring_dedup.SQL}
