@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, html_text, line_dedup, metric_join, mixing, near_dup, quality, substring_dedup, token_output
+from . import decontaminate, hilbert_shards, html_text, line_dedup, metric_join, mixing, near_dup, quality, substring_dedup, token_output
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -45,5 +49,5 @@ def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op4_metric_join": op4_metric_join, "op5_hilbert_shards": op5_hilbert_shards, "op6_attention_mil": op6_attention_mil, "op7_host_suffixes": op7_host_suffixes, "op8_flow_mix": op8_flow_mix, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_token_planes": op2_token_planes, "op3_template_leaks": op3_template_leaks, "op4_metric_join": op4_metric_join, "op5_hilbert_shards": op5_hilbert_shards, "op6_attention_mil": op6_attention_mil, "op7_host_suffixes": op7_host_suffixes, "op8_flow_mix": op8_flow_mix, "op9_hyperminhash": op9_hyperminhash, "op10_super_kmers": op10_super_kmers}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op4_metric_join": metric_join.SQL, "op9_hyperminhash": near_dup.SQL, "op10_super_kmers": substring_dedup.SQL}
