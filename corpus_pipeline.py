@@ -1,9 +1,57 @@
-"""A training-data pipeline over documents; filled in below."""
+"""A training-data pipeline over documents: quality, near duplicates, benchmark leaks, source mix, shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and gets what its predecessor wrote. All but the last return the columns of documents: rejected,
+duplicate and leaking documents go, and a document that the mix repeats is a repeated row. The last returns a place for every row:
+doc_id, size, text_crc32, curve, shard, slot.
+
+Defined cases: rows with a null doc_id pass the near-duplicate and leak stages (they cannot be named there); rows with equal doc_id and
+text count as one document from the near-duplicate stage on; extra columns, whatever their names, pass through; empty input gives empty
+output.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfspark.llm import decontaminate, hilbert_shards, mixing, near_dup, quality
+from shelfspark.llm.common import durable, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, docs.columns, prefix="quality ").where("`quality predicted` = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    chosen, _ = mixing.mix(docs)
+    copies = durable(chosen.groupBy(F.col("doc_id").alias("mix id"), F.col("row").alias("mix row")).agg(F.max("copies").alias("mix copies")).where("`mix copies` > 0"), "copies")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mix id")) & (F.xxhash64(docs["text"]) == F.col("mix row")))
+    return taken.withColumn("mix copy", F.explode(F.sequence(F.lit(1), F.col("mix copies").cast("int")))).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return hilbert_shards.shard(docs).drop("row")
+
+
+STAGES = [("quality", good_quality), ("near duplicates", one_of_each_group), ("decontamination", without_leaks), ("mix", mixed), ("shards", sharded)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = durable(docs, "stage")
     return docs

@@ -7,8 +7,8 @@ similarity 0.8 shares none with probability 3e-6). Candidate pairs of a bucket a
 collisions of compressed registers, and then confirmed on the full sets.
 
 No bucket is expanded into all its pairs: every member is compared with the bucket's smallest id; then members outside the bucket's main
-component are compared with several members of it; only what still lies in different components is paired in full, so no link between
-components is lost.
+component are compared with several members of it; what still lies in different components is compared in full, in blocks that give one
+link for each component they join, so no connection is lost and no list of pairs is made.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer words than a shingle make one shingle of all words;
 rows with a null doc_id have a null component and are kept; rows with equal doc_id share a component; an empty table gives no rows; other
@@ -34,6 +34,7 @@ REGISTERS = 1 << BITS
 BANDS = REGISTERS // BAND
 #: Estimates this far under the threshold are refuted without the full sets: over 6 standard deviations at 256 registers.
 MARGIN = 0.17
+LEADS, BLOCK = 6, 256
 _SLOTS = np.arange(REGISTERS)
 _PROBES = [(mix(_SLOTS.astype(np.uint64) * np.uint64(0x9E37) + np.uint64(t << 32)) % np.uint64(REGISTERS)).astype(np.int64) for t in range(64)]
 
@@ -138,6 +139,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); texts link at similarity per_cent / 100 or more."""
+    docs = docs.select("doc_id", "text")
     signed = durable(sign(docs, k), "signed")
     reps = durable(
         signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
@@ -155,22 +157,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFram
     verdicts = durable(confirm(first, sets, per_cent), "verdicts")
     component = connected(verdicts.where("linked"))
 
-    for last in (False, True):
-        placed = durable(members.select("key", "id", "n").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        outside = placed.join(main, "key").where("component <> main").drop("main")
-        if last:
-            other = placed.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("theirs"))
-        else:
-            seeds = [F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(s))) for s in range(6)]
-            inside = placed.join(main, "key").where("component = main").groupBy("key").agg(F.array_distinct(F.array(*seeds)).alias("some"))
-            other = inside.select("key", F.explode("some").alias("o")).select("key", F.col("o.id").alias("other"), F.col("o.n").alias("other_n"), F.col("o.component").alias("theirs"))
-        found = outside.join(other, "key").where((F.col("component") != F.col("theirs")) & alike(F.col("n"), F.col("other_n"))).select(*pair(F.col("id"), F.col("other"))).distinct()
-        new = durable(confirm(found.join(verdicts, ["a", "b"], "left_anti"), sets, per_cent), "verdicts")
-        if new.where("linked").limit(1).count():
-            component = connected(verdicts.where("linked").select("a", "b").union(new.where("linked").select("a", "b")))
-        verdicts = verdicts.union(new)
+    # members outside a bucket's main component meet a few of its members
+    mixed = _mixed(members, component)
+    inside = mixed.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(s))) for s in range(LEADS)])).alias("some"))
+    some = inside.select("key", F.explode("some").alias("o")).select("key", F.col("o.id").alias("other"), F.col("o.n").alias("other_n"))
+    found = mixed.where("component <> main").join(some, "key").where(alike(F.col("n"), F.col("other_n"))).select(*pair(F.col("id"), F.col("other"))).distinct()
+    new = durable(confirm(found.join(verdicts, ["a", "b"], "left_anti"), sets, per_cent), "verdicts")
+    links = durable(verdicts.where("linked").select("a", "b").union(new.where("linked").select("a", "b")), "links")
+    component = connected(links)
+    # what still lies apart meets everything that shares a main component's buckets with it
+    rest = durable(compare_blocks(_mixed(members, component).select("main", "id", "component").distinct(), sets, per_cent), "links")
+    component = connected(links.union(rest))
 
     named = reps.select("set_id", "id").join(component, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
@@ -178,6 +175,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _mixed(members: DataFrame, component: DataFrame) -> DataFrame:
+    """key, id, n, component, main: the members of buckets that hold several components, and the component that has most of each."""
+    placed = durable(members.select("key", "id", "n").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return durable(placed.join(main, "key"), "mixed")
+
+
+def compare_blocks(rows: DataFrame, sets: DataFrame, per_cent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between ids of different components under one main (rows: main, id, component): every id outside the main component is
+    compared with every id of the main's rows, block against block, and one link for each component it reaches in a block is given."""
+    sizes = rows.groupBy("main").agg(F.ceil(F.count("*") / block).cast("int").alias("rights"), F.ceil(F.count_if(F.col("component") != F.col("main")) / block).cast("int").alias("lefts"))
+    dealt = rows.join(sizes, "main").withColumn("h", F.xxhash64("id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("component <> main").select("main", F.pmod("h", "lefts").cast("int").alias("l"), every("rights").alias("r"), F.lit(True).alias("left"), "id", "component")
+    right = dealt.select("main", every("lefts").alias("l"), F.pmod("h", "rights").cast("int").alias("r"), F.lit(False).alias("left"), "id", "component")
+
+    def run(table: pa.Table) -> pa.Table:
+        is_left = table["left"].to_numpy().astype(bool)
+        ids, parts, members = table["id"].to_numpy(), table["component"].to_numpy(), table["members"].to_pylist()
+        right = np.flatnonzero(~is_left)
+        a, b = [], []
+        if len(right):
+            arrays = [np.frombuffer(members[i], np.uint64) for i in right]
+            flat, size = np.concatenate(arrays), np.array([len(x) for x in arrays])
+            starts = np.cumsum(size) - size
+            for i in np.flatnonzero(is_left).tolist():
+                x = np.frombuffer(members[i], np.uint64)
+                both = np.add.reduceat(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat, starts, dtype=np.int64)
+                hit = right[(100 * both >= per_cent * (len(x) + size - both)) & (parts[right] != parts[i])]
+                for j in hit[np.unique(parts[hit], return_index=True)[1]]:
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    with_sets = left.union(right).join(sets.select("id", "members"), "id")
+    return with_sets.groupBy("main", "l", "r").applyInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """id, registers, members (packed hashes) of the texts in docs; their set, not their row, stands for an id."""
 

@@ -137,9 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     return fit([np.frombuffer(x, np.float16).reshape(-1, N_FEATURES).astype(np.float64) for x in found["x"]], found["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Columns `keep` of docs, and score, predicted, n_passages of its text; the input's own columns of these names stay out."""
+def score(docs: DataFrame, model: dict, keep: list[str], threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """Columns `keep` of docs, and score, predicted, n_passages of its text; a prefix keeps these apart from columns of the same names."""
     spark = docs.sparkSession
+    new = [prefix + x for x in ("score", "predicted", "n_passages")]
     shared = spark.sparkContext.broadcast({k: np.asarray(v, np.float32) for k, v in model.items()})
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -149,9 +150,9 @@ def score(docs: DataFrame, model: dict, keep: list[str], threshold: float = THRE
                 x, first = passages(w)
                 s = np.concatenate([forward(shared.value, x[a:b], first[i : j + 1] - a)["score"] for i, j, a, b in _blocks(first)])
                 columns = [batch.column(i).take(pa.array(w.rows)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s.astype(np.float64)), pa.array((s.astype(np.float64) >= threshold).astype(np.int32)), pa.array(np.diff(first))], [*keep, "score", "predicted", "n_passages"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(s.astype(np.float64)), pa.array((s.astype(np.float64) >= threshold).astype(np.int32)), pa.array(np.diff(first))], [*keep, *new])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text ")).mapInArrow(run, f"{types}, score double, predicted int, n_passages long")
+    return docs.select(*keep, F.col("text").cast("string").alias("text ")).mapInArrow(run, f"{types}, `{new[0]}` double, `{new[1]}` int, `{new[2]}` long")
 
 
 def _blocks(first: np.ndarray, size: int = 4096) -> Iterator[tuple[int, int, int, int]]:
