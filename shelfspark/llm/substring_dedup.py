@@ -3,8 +3,12 @@
 A window is K consecutive words of one text. A window's minimiser is the smallest hash among its runs of M words, so equal windows have
 equal minimisers. Consecutive windows with one minimiser travel together, as the one stretch of text that holds them (a super-k-mer), to
 the minimiser's bucket, where sorting brings equal windows together; all but the earliest (smallest doc_id, then start) are repeats, and
-every word that a repeat covers is removed. Before anything travels, each task sorts the windows of a few megabytes of text: only the first
-of equal windows is sent on, so a passage of a third of all documents arrives once for each such stretch, not once for each document.
+every word that a repeat covers is removed.
+
+Two steps before that keep the traffic down and lose nothing. Each task sorts the windows of a few megabytes of text and passes on only the
+first of equal windows, so a passage of a third of all documents arrives once for each such stretch, not once for each document. Then a
+census of minimisers, without texts, leaves only super-k-mers whose minimiser occurs in another one: a window alone in its bucket cannot
+have an equal.
 
 Windows are compared by two 64-bit hashes of their words and by their minimiser.
 
@@ -20,18 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import durable, partitions
 from .words import chunks, window_hashes
 
 K, M = 20, 4
 STRETCH = 6_000_000  # bytes of text that a task sorts at once
 _NO_ID = -(2**63)
-_NAMES = ["bucket", "doc_id", "row", "start", "n", "packed"]
-_SCHEMA = "bucket long, doc_id long, row long, start long, n long, packed string"
+_PLACES = ["bucket", "doc_id", "row", "start", "n", "known"]
+_PACKED = ["bucket", "doc_id", "row", "start", "packed"]
 _FOUND = ["doc_id", "row", "start", "n"]
 
 
@@ -70,17 +73,22 @@ def _table(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def super_kmers(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """Super-k-mers of the windows that are first in their stretch, and (with packed null) the runs of windows that are not."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the smallest long), row (a hash of the text), text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def super_kmers(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """Places of the super-k-mers of windows that are first in their stretch, and (known) of runs of windows that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = (batch.column(i).to_numpy() for i in (0, 1))
+            ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
             for w in chunks(batch.column(2), STRETCH):
                 at, of = w.windows(k)
                 if not len(at):
                     continue
-                doc, row, start = ids[w.rows][of], rows[w.rows][of], at - w.first[of]
+                doc, row, start = ids[w.rows][of], hashes[w.rows][of], at - w.first[of]
                 if (np.diff(ids[w.rows]) < 0).any():
                     by_doc = np.lexsort((start, doc))
                     at, of, doc, row, start = (x[by_doc] for x in (at, of, doc, row, start))
@@ -88,57 +96,89 @@ def super_kmers(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 whole = window_hashes(h, at, k)
                 least = sliding_min(window_hashes(h, np.arange(len(h) - m + 1), m), k - m + 1)[at].view(np.int64)
                 again = _repeats(np.argsort(whole, kind="stable"), [whole, window_hashes(h, at, k, second=True)], doc, start)
-                gone = np.flatnonzero(again)
-                first, n = _runs(at[gone], of[gone])
-                i = gone[first]
-                yield _table(_NAMES, least[i], doc[i], row[i], start[i], n, pa.nulls(len(i), pa.string()))
-                sent = np.flatnonzero(~again)
-                first, n = _runs(at[sent], least[sent] ^ of[sent])
-                i, text = sent[first], w.data.tobytes()
-                cut = [text[a:b] for a, b in zip(w.starts[at[i]].tolist(), w.ends[at[i] + n + k - 2].tolist(), strict=True)]
-                yield _table(_NAMES, least[i], doc[i], row[i], start[i], n, pa.array(cut, pa.binary()).cast(pa.string()))
+                for known, some in ((True, np.flatnonzero(again)), (False, np.flatnonzero(~again))):
+                    first, n = _runs(at[some], of[some] if known else least[some] ^ of[some])
+                    i = some[first]
+                    yield _table(_PLACES, least[i], doc[i], row[i], start[i], n, np.full(len(i), known))
+
+    return rows.mapInArrow(run, "bucket long, doc_id long, row long, start long, n long, known boolean")
+
+
+def meeting(places: DataFrame) -> DataFrame:
+    """The known places, and those whose bucket holds more than one super-k-mer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, met = None, False  # the last row so far, and whether the row before it has its bucket
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if pending is None else [pending, batch])
+            if not t.num_rows:
+                continue
+            b = t["bucket"].to_numpy()
+            same = b[1:] == b[:-1]
+            before, after = np.concatenate([[met], same]), np.concatenate([same, [False]])
+            keep = before | after | t["known"].to_numpy().astype(bool)
+            yield from t.take(pa.array(np.flatnonzero(keep[:-1]))).combine_chunks().to_batches()
+            pending, met = t.slice(t.num_rows - 1).combine_chunks().to_batches()[0], bool(before[-1])
+        if pending is not None and (met or pending.column("known")[0].as_py()):
+            yield pending
+
+    return places.repartition(partitions(places.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, places.schema)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+
+def packed(rows: DataFrame, places: DataFrame, k: int = K) -> DataFrame:
+    """The super-k-mers at places, each with the stretch of text that holds its windows."""
+    wanted = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("bucket", "start", "n")).alias("at"))
+    joined = rows.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "at.bucket", "at.start", "at.n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, starts, ns = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for w in chunks(batch.column(2)):
+                text = w.data.tobytes()
+                out: list[list] = [[], [], [], []]
+                for i, r in enumerate(w.rows.tolist()):
+                    lo = w.starts[w.first[i] + np.asarray(starts[r])]
+                    hi = w.ends[w.first[i] + np.asarray(starts[r]) + np.asarray(ns[r]) + k - 2]
+                    out[0] += buckets[r]
+                    out[1] += [r] * len(lo)
+                    out[2] += starts[r]
+                    out[3] += [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                of = pa.array(out[1], pa.int64())
+                yield _table(_PACKED, pa.array(out[0], pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string()))
+
+    return joined.mapInArrow(run, "bucket long, doc_id long, row long, start long, packed string")
 
 
 def repeated_runs(sent: DataFrame, k: int = K) -> DataFrame:
     """doc_id, row, start, n: runs of n repeated windows of a text, from its word start on."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        bucket, doc, row, start = (table.column(c).to_numpy() for c in _NAMES[:4])
-        found = []
-        for w in chunks(table.column("packed").combine_chunks(), 1 << 40):
-            at, of = w.windows(k)
-            h = w.hashes(lower=False)
-            whole = window_hashes(h, at, k)
-            d, s = doc[of], start[of] + at - w.first[of]
-            again = np.flatnonzero(_repeats(np.argsort(whole, kind="stable"), [whole, window_hashes(h, at, k, second=True), bucket[of]], d, s))
-            first, n = _runs(at[again], of[again])
-            i = again[first]
-            found.append(_table(_FOUND, d[i], row[of[i]], s[i], n))
-        return found[0]
+        bucket, doc, row, start = (table.column(c).to_numpy() for c in _PACKED[:4])
+        (w,) = chunks(table.column("packed").combine_chunks(), 1 << 40)
+        at, of = w.windows(k)
+        h = w.hashes(lower=False)
+        whole = window_hashes(h, at, k)
+        d, s = doc[of], start[of] + at - w.first[of]
+        again = np.flatnonzero(_repeats(np.argsort(whole, kind="stable"), [whole, window_hashes(h, at, k, second=True), bucket[of]], d, s))
+        first, n = _runs(at[again], of[again])
+        i = again[first]
+        return _table(_FOUND, d[i], row[of[i]], s[i], n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            known = t.filter(pc.is_null(t["packed"]))
-            if known.num_rows:
-                yield from known.select(_FOUND).combine_chunks().to_batches()
-            t = t.filter(pc.is_valid(t["packed"]))
-            if not t.num_rows:
-                continue
-            held, size = [*held, t], size + t.nbytes
+            held, size = [*held, pa.Table.from_batches([batch])], size + batch.nbytes
             if size > STRETCH:  # all but the last bucket, which may go on
                 t = pa.concat_tables(held)
                 b = t["bucket"].to_numpy()
-                whole = int(np.searchsorted(b, b[-1]))
+                whole = int(np.searchsorted(b, b[-1])) if len(b) else 0
                 if whole:
                     yield settle(t.slice(0, whole))
                 held = [t.slice(whole)]
                 size = held[0].nbytes
-        if held:
-            yield settle(pa.concat_tables(held))
+        t = pa.concat_tables(held) if held else None
+        if t is not None and t.num_rows:
+            yield settle(t)
 
     spread = sent.repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id", "start")
     return spread.mapInArrow(run, "doc_id long, row long, start long, n long")
@@ -146,9 +186,12 @@ def repeated_runs(sent: DataFrame, k: int = K) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words kept, joined by one space) for each row of docs (doc_id, text)."""
-    runs = repeated_runs(super_kmers(docs, k, m), k).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(runs.withColumnRenamed("doc_id", "id"), ["id", "row"], "left").select("doc_id", "text", "runs.start", "runs.n")
+    rows = keyed(docs)
+    places = durable(meeting(super_kmers(rows, k, m)), "places")
+    # rows meets both joins in one plan by the same key, so its shuffle is made once and reused
+    runs = repeated_runs(packed(rows, places.where("NOT known"), k), k).union(places.where("known").select(*_FOUND))
+    runs = runs.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    joined = rows.join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "runs.start", "runs.n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +210,8 @@ def dedup_substrings(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                     kept.append(b" ".join(words).decode())
                 yield _table(["doc_id", "n_words", "n_removed", "kept"], part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()))
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
