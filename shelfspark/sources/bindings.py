@@ -97,3 +97,25 @@ v AS (SELECT CAST((y - 1990) * 10 + k % 5 AS BIGINT) AS session_id, org_name, k,
 twin AS (SELECT org_name, left(item, length(item) - 1) AS head, count(*) AS n FROM item GROUP BY ALL),
 m AS (SELECT s.* FROM s LEFT JOIN twin t ON t.org_name = s.org_name AND t.head = left(s.item, length(s.item) - 1) WHERE NOT s.cut OR t.n = 1)
 """
+
+# Recommendations, one for each order; the expressions mean the same in Spark and DuckDB.
+RECS = {
+    "session_id": "cast(o_custkey % 40 as bigint)", "org_name": "concat('ORG_', cast(o_custkey % 5 as varchar(9)))", "pos": "o_orderkey", "item": "concat('item ', cast(o_orderkey % 3000 as varchar(9)))",
+    "category": "concat('cat ', cast(o_orderkey % 12 as varchar(9)))", "stock": "cast(o_orderkey % 400 as double)",
+    "status": "case when o_orderpriority like '1%' then 'CRITICAL' when o_orderpriority like '2%' then 'LOW' when o_orderpriority like '3%' then 'HEALTHY' else 'DEAD' end",
+    "spoilage": "case o_orderkey % 5 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'NONE' end",
+    "supplier": "case when o_orderkey % 7 = 0 then cast(null as varchar(30)) when o_orderkey % 7 = 1 then 'Unknown' else concat('Supplier ', cast(o_custkey % 30 as varchar(9))) end",
+    "edited_supplier": "case when o_orderkey % 23 = 0 then 'Edited Co' when o_orderkey % 23 = 1 then '' end", "avg_monthly": "case when o_orderkey % 6 = 0 then 0.0 else cast(o_orderkey % 90 as double) + 0.5 end",
+    "suggested": "cast(o_orderkey % 700 as bigint)", "edited_quantity": "case when o_orderkey % 17 = 0 then cast(o_orderkey % 50 as varchar(9)) when o_orderkey % 17 = 1 then 'null' end",
+    "days_of_supply": "case when o_orderkey % 9 = 0 then cast(null as double) else cast(o_orderkey % 200 as double) end",
+    "lead_days": "case when o_orderkey % 8 = 0 then cast(null as int) when o_custkey % 3 = 0 then 112 when o_custkey % 3 = 1 then 21 else 56 end",
+    "delay": "cast(o_custkey % 50 as double) / 100", "risk": "case when o_custkey % 4 = 0 then 'HIGH' else 'LOW' end",
+    "pattern": "case o_orderkey % 6 when 0 then 'spiky' when 1 then 'volatile' when 2 then 'lumpy' else 'stable' end",
+    "confidence": "case o_orderkey % 4 when 0 then 'HIGH' when 1 then 'MEDIUM' when 2 then 'LOW' else 'INSUFFICIENT_DATA' end",
+    "approved": "o_orderstatus = 'F'", "dismissed": "o_orderstatus = 'P'", "error": "o_orderkey % 97 = 0", "created": "cast(o_orderdate as date)",
+}
+RECS_SQL = "rec AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in RECS.items()) + " FROM orders)"
+
+
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e.replace('varchar(9)', 'string').replace('varchar(30)', 'string')} AS {n}" for n, e in RECS.items()])
