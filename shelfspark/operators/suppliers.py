@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def fuzzy_pairs(names: DataFrame, threshold: float = FUZZY) -> DataFrame:
     The length band and shared character counts are upper bounds of the ratio. Lengths are bucketed, so the band is an equi-join, and the
     bounds leave few pairs for the Arrow-batched similarity function.
     """
-    import pandas as pd
+
 
     keys = names.select("org_name", match_key(F.col("supplier")).alias("k")).where("k <> ''").distinct().withColumn("n", F.length("k"))
     reach = F.floor(F.col("n") * (2 - threshold) / threshold).cast("int")

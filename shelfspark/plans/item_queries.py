@@ -1,3 +1,190 @@
+"""Cleaning, joins, supplier resolution and the data-quality gate over the derived inventory tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from shelfspark.functions import scalars as sc
+from shelfspark.operators import clean, names, quality_gate, suppliers, velocity
+from shelfspark.operators.components import components
+from shelfspark.sources import bindings as b
+
+from .analysis import METRICS_SQL, keyed_sales, lead_by_item, matches, sales_lines, stock_rows
 from .register import Register
 
 REGISTER = query = Register()
+C = f"WITH {b.CLEAN}"
+
+
+@query("category_fill", f"""{C} SELECT session_id, k AS row_no, last_value(CASE WHEN k // 5 % 4 = 0 THEN p_type END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY k) AS category FROM v""")
+def category_fill(spark, sf_dir):
+    return clean.fill_down(b.inventory(spark, sf_dir), "category_raw", "category").select("session_id", "row_no", "category")
+
+
+@query("unreadable_stock", f"{C} SELECT session_id, k AS row_no, stock, stock IS NULL AS unreadable FROM v")
+def unreadable_stock(spark, sf_dir):
+    return clean.readable_stock(b.inventory(spark, sf_dir)).select("session_id", "row_no", "stock", "unreadable")
+
+
+@query("drop_totals", f"{C} SELECT session_id, count(*) AS n FROM v WHERE k % 10 <> 0 GROUP BY ALL")
+def drop_totals(spark, sf_dir):
+    rows = b.inventory(spark, sf_dir).withColumn("item", F.when(F.col("row_no") % 10 == 0, "Grand Total").otherwise(F.col("item")))
+    return clean.drop_totals(rows).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("split_row_merge", f"""{C}, r AS (SELECT session_id, k, k // 20 * 100 + (k % 5) AS g, stock, uom FROM v), f AS (SELECT session_id, g, arg_min(uom, k) FILTER (uom <> '') AS fu FROM r GROUP BY ALL)
+SELECT r.session_id, g, coalesce(fu, '') AS uom, min(k) AS row_no, sum(stock) AS stock, count(*) AS n_rows FROM r JOIN f USING (session_id, g) WHERE uom = '' OR uom = fu GROUP BY ALL
+UNION ALL SELECT r.session_id, g, uom, k, stock, 1 FROM r JOIN f USING (session_id, g) WHERE uom <> '' AND uom <> fu""")
+def split_row_merge(spark, sf_dir):
+    g = F.floor(F.col("row_no") / 20) * 100 + F.col("row_no") % 5
+    rows = clean.readable_stock(b.inventory(spark, sf_dir)).withColumns({"item": F.concat(F.lit("group "), g.cast("string")), "category": F.lit("")})
+    return clean.merge_split_rows(rows).select("session_id", F.substring("item", 7, 20).cast("bigint").alias("g"), "uom", "row_no", "stock", "n_rows")
+
+
+@query("stock_sort", f"{C} SELECT session_id, k AS row_no, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(stock, 0), k) AS place FROM v")
+def stock_sort(spark, sf_dir):
+    w = Window.partitionBy("session_id").orderBy(F.coalesce("stock", F.lit(0.0)), "row_no")
+    return clean.readable_stock(b.inventory(spark, sf_dir)).select("session_id", "row_no", F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query("canonical_names", f"{C} SELECT session_id, k AS row_no, CASE WHEN k % 3 = 0 THEN 'Canon ' || k % 10 ELSE item END AS canonical FROM v")
+def canonical_names(spark, sf_dir):
+    inv = b.inventory(spark, sf_dir)
+    alias = inv.where("row_no % 3 = 0").select("session_id", F.upper("item").alias("variant"), F.concat(F.lit("Canon "), (F.col("row_no") % 10).cast("string")).alias("canonical"))
+    return names.canonical(inv, alias).select("session_id", "row_no", "canonical")
+
+
+@query("drift_lookup", f"{C} SELECT session_id, k AS row_no, CASE WHEN k % 2 = 0 THEN CAST(k AS BIGINT) ELSE CAST(-k AS BIGINT) END AS found FROM v")
+def drift_lookup(spark, sf_dir):
+    inv = b.inventory(spark, sf_dir).select("session_id", "row_no", "item")
+    even = F.col("row_no") % 2 == 0
+    right = inv.select("session_id", "row_no", F.when(even, F.col("item")).otherwise(F.upper(F.concat("item", F.lit(".")))).alias("name"), F.when(even, F.col("row_no")).otherwise(-F.col("row_no")).alias("found"))
+    return names.two_stage_lookup(inv, right, "item", ["found"]).select("session_id", "row_no", "found")
+
+
+@query("latest_po_supplier", f"WITH {METRICS_SQL} SELECT item.item, pro.supplier FROM po JOIN item USING (k) JOIN pro USING (sk)")
+def latest_po_supplier(spark, sf_dir):
+    return suppliers.latest_supplier(b.purchase_orders(spark, sf_dir), ["item"]).select("item", "supplier")
+
+
+@query("lead_time_resolve", f"WITH {METRICS_SQL} SELECT supplier, supplier_type, CAST(lead_days AS INTEGER) AS lead_days, CAST(delay AS DOUBLE) AS delay, delay > 0.3 OR quality < 0.5 AS high_risk FROM pro")
+def lead_time_resolve(spark, sf_dir):
+    return suppliers.lead_times(b.supplier_profiles(spark, sf_dir)).select("supplier", "supplier_type", "lead_days", "delay", "high_risk")
+
+
+@query("supplier_type_join", f"WITH {METRICS_SQL} SELECT item.item, pro.supplier_type, CAST(pro.lead_days AS INTEGER) AS lead_days FROM po JOIN item USING (k) JOIN pro USING (sk)")
+def supplier_type_join(spark, sf_dir):
+    return lead_by_item(spark, sf_dir).select("item", "supplier_type", "lead_days")
+
+
+@query("item_uom", f"{C} SELECT session_id, item, arg_min(uom, row_no) AS uom FROM m GROUP BY ALL")
+def item_uom(spark, sf_dir):
+    lines = keyed_sales(spark, sf_dir).where(F.trim("uom_raw") != "").groupBy("session_id", "key").agg(F.min_by("uom_raw", "row_no").alias("uom"))
+    inv = b.inventory(spark, sf_dir).select("session_id", sc.match_key(F.col("item")).alias("key"), "item")
+    return lines.join(inv, ["session_id", "key"]).select("session_id", "item", "uom")
+
+
+@query("scope_top_n", f"{C}, t AS (SELECT session_id, item, sum(rev) AS r FROM m GROUP BY ALL) SELECT session_id, item, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY r DESC, item) AS k FROM t) WHERE k <= 50")
+def scope_top_n(spark, sf_dir):
+    totals = keyed_sales(spark, sf_dir).groupBy("session_id", "key").agg(F.sum("revenue").alias("r"))
+    inv = b.inventory(spark, sf_dir).select("session_id", sc.match_key(F.col("item")).alias("key"), "item")
+    w = Window.partitionBy("session_id").orderBy(F.desc("r"), "item")
+    return totals.join(inv, ["session_id", "key"]).withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("session_id", "item", "rank")
+
+
+@query("scope_filter", f"{C}, t AS (SELECT session_id, item, sum(rev) AS r FROM m GROUP BY ALL) SELECT v.session_id, v.item FROM v JOIN (SELECT session_id, item FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r DESC, item) <= 50) USING (session_id, item)")
+def scope_filter(spark, sf_dir):
+    return b.inventory(spark, sf_dir).select("session_id", "item").join(scope_top_n(spark, sf_dir), ["session_id", "item"], "left_semi")
+
+
+@query("sales_bridge", f"{C}, x AS (SELECT DISTINCT session_id, k FROM m) SELECT v.session_id, count(*) AS items, count(x.k) AS matched FROM v LEFT JOIN x USING (session_id, k) GROUP BY ALL")
+def sales_bridge(spark, sf_dir):
+    got = matches(spark, sf_dir).where("key IS NOT NULL").select("session_id", "key").distinct().withColumn("hit", F.lit(True))
+    inv = b.inventory(spark, sf_dir).select("session_id", sc.match_key(F.col("item")).alias("key"))
+    return inv.join(got, ["session_id", "key"], "left").groupBy("session_id").agg(F.count("*").alias("items"), F.count("hit").alias("matched"))
+
+
+@query("item_name_universe", f"{C}, u AS (SELECT session_id, item FROM v UNION SELECT session_id, CASE WHEN cut THEN left(item, length(item) - 1) WHEN noted THEN item || ' <- out of stock' ELSE item END FROM s) SELECT session_id, count(*) AS n_names FROM u GROUP BY ALL")
+def item_name_universe(spark, sf_dir):
+    both = b.inventory(spark, sf_dir).select("session_id", "item").unionByName(b.sales(spark, sf_dir).select("session_id", F.col("item_raw").alias("item"))).distinct()
+    return both.groupBy("session_id").agg(F.count("*").alias("n_names"))
+
+
+@query("coverage_intersect", f"{C}, x AS (SELECT DISTINCT session_id, k FROM s WHERE NOT cut AND NOT noted) SELECT v.session_id, count(*) AS items, count(x.k) AS covered, count(x.k) / count(*) AS coverage FROM v LEFT JOIN x USING (session_id, k) GROUP BY ALL")
+def coverage_intersect(spark, sf_dir):
+    key = lambda c: F.lower(F.trim(c)).alias("name")
+    sold = b.sales(spark, sf_dir).select("session_id", key("item_raw")).distinct().withColumn("hit", F.lit(True))
+    inv = b.inventory(spark, sf_dir).select("session_id", key("item")).distinct()
+    n = inv.join(sold, ["session_id", "name"], "left").groupBy("session_id").agg(F.count("*").alias("items"), F.count("hit").alias("covered"))
+    return n.withColumn("coverage", F.col("covered") / F.col("items"))
+
+
+@query("dominant_unit", f"{C}, c AS (SELECT session_id, uom, count(*) AS n FROM s GROUP BY ALL) SELECT session_id, first(uom ORDER BY n DESC, uom) AS unit FROM c GROUP BY ALL")
+def dominant_unit(spark, sf_dir):
+    return quality_gate.dominant_unit(b.sales(spark, sf_dir))
+
+
+@query("dq_findings", f"""{C}, r AS (SELECT session_id, k FROM v WHERE session_id % 5 <> 4), z AS (SELECT DISTINCT session_id FROM v)
+SELECT session_id, 'BLOCK' AS level, 'empty_file' AS code FROM z WHERE session_id % 5 = 4 UNION ALL SELECT session_id, 'BLOCK', 'stock_not_numeric' FROM z WHERE session_id % 5 = 3
+UNION ALL SELECT session_id, 'WARN', 'number_format' FROM z WHERE session_id % 5 = 2 UNION ALL SELECT session_id, 'WARN', 'unit_mismatch' FROM z WHERE session_id % 5 = 1
+UNION ALL SELECT session_id, 'WARN', 'large_file' FROM r WHERE session_id % 5 < 3 GROUP BY session_id HAVING count(*) > 4000""")
+def dq_findings(spark, sf_dir):
+    inv, sold = b.inventory(spark, sf_dir), b.sales(spark, sf_dir)
+    sessions, kind = inv.select("session_id").distinct(), F.col("session_id") % 5
+    inv = inv.where(kind != 4).withColumns({"stock_raw": F.when(kind == 3, "plenty").when(kind == 2, "1.200,50").otherwise("7"), "uom_raw": F.when(kind == 1, "PCS").otherwise("CTN")})
+    sold = sold.withColumns({"qty_raw": F.when(kind == 2, "12,5").otherwise("3"), "uom_raw": F.lit("CTN")})
+    overlap = matches(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("names"), F.count("key").alias("matched"))
+    return quality_gate.findings(sessions, inv, sold, overlap)
+
+
+@query("suffix_groups", "SELECT 'ORG_' || (s_nationkey % 5) AS org_name, lower(replace(replace(s_name, '#', ''), ' ', '')) AS stem, CAST(3 AS BIGINT) AS n_names, list_sort([s_name, s_name || ' Pte Ltd', s_name || ' Trading']) AS names, ['ltd', 'pte', 'trading'] AS removed FROM supplier")
+def suffix_groups(spark, sf_dir):
+    return suppliers.suffix_groups(spelled(spark, sf_dir))
+
+
+def spelled(spark, sf_dir):
+    """Each supplier under three spellings."""
+    s = b.table(spark, sf_dir, "supplier")
+    spellings = F.explode(F.array(F.col("s_name"), F.concat("s_name", F.lit(" Pte Ltd")), F.concat("s_name", F.lit(" Trading"))))
+    return s.select(F.concat(F.lit("ORG_"), (F.col("s_nationkey") % 5).cast("string")).alias("org_name"), spellings.alias("supplier"))
+
+
+@query("duplicate_groups", "SELECT org, count(*) AS n_names, count(DISTINCT gk) AS n_groups FROM (SELECT 'ORG_' || (s_nationkey % 5) AS org, s_suppkey AS gk FROM supplier, range(3)) GROUP BY ALL")
+def duplicate_groups(spark, sf_dir):
+    """Connected names of one stem; group key is the match key of the first name."""
+    groups = suppliers.suffix_groups(spelled(spark, sf_dir)).select("org_name", "names")
+    pairs = groups.select(F.explode("names").alias("n"), "org_name", F.col("names")[0].alias("first"))
+    edges = pairs.select(F.concat_ws("|", "org_name", "first").alias("a"), F.concat_ws("|", "org_name", "n").alias("b"))
+    found = components(edges).select(F.split("id", r"\|")[0].alias("org"), "component")
+    return found.groupBy("org").agg(F.count("*").alias("n_names"), F.count_distinct("component").alias("n_groups"))
+
+
+@query("fuzzy_pairs")
+def fuzzy_pairs(spark, sf_dir):
+    s = b.table(spark, sf_dir, "supplier").select(F.lit("all").alias("org_name"), F.concat(F.lit("Supplier "), F.translate(F.hex(F.xxhash64("s_suppkey")), "0123456789", "ghijklmnop")).alias("supplier"))
+    typo = s.select("org_name", F.regexp_replace("supplier", "(.)(.)$", "$2$1").alias("supplier"))
+    return suppliers.fuzzy_pairs(s.union(typo))
+
+
+@query("blocky_column", f"{C} SELECT DISTINCT session_id, session_id % 2 = 0 AS blocky FROM s")
+def blocky_column(spark, sf_dir):
+    rows = b.sales(spark, sf_dir)
+    first = Window.partitionBy("session_id").orderBy("row_no", "item_raw", "date_raw", "qty_raw", "rev_raw")
+    rows = rows.withColumn("row_no", F.row_number().over(first))
+    blocks = F.when(F.col("row_no") % 10 == 1, F.concat(F.lit("S"), F.floor(F.col("row_no") / 20).cast("string"))).otherwise("")
+    mixed = F.when(F.col("row_no") % 10 == 1, F.concat(F.lit("S"), (F.floor(F.col("row_no") / 10) % 2).cast("string"))).otherwise("")
+    return suppliers.blocky(rows.withColumn("supplier_raw", F.when(F.col("session_id") % 2 == 0, blocks).otherwise(mixed)))
+
+
+@query("sheet_supplier", f"{C}, x AS (SELECT session_id, k, count(DISTINCT supplier) AS n, min(supplier) AS supplier FROM m GROUP BY ALL) SELECT x.session_id, item.item, x.supplier FROM x JOIN item USING (k) WHERE n = 1")
+def sheet_supplier(spark, sf_dir):
+    inv = b.inventory(spark, sf_dir).select("session_id", sc.match_key(F.col("item")).alias("key"), "item")
+    return suppliers.sheet_supplier(keyed_sales(spark, sf_dir)).join(inv, ["session_id", "key"]).select("session_id", "item", "supplier")
+
+
+@query("avg_monthly", f"WITH {METRICS_SQL} SELECT session_id, item, avg_monthly FROM met")
+def avg_monthly(spark, sf_dir):
+    speed = velocity.sales_velocity(keyed_sales(spark, sf_dir), ["session_id", "key"])
+    rows = stock_rows(spark, sf_dir).join(speed, ["session_id", "key"], "left").join(F.broadcast(velocity.months_covered(sales_lines(spark, sf_dir))), "session_id", "left")
+    return rows.select("session_id", "item", F.when(F.col("total_qty") > 0, F.col("total_qty") / F.coalesce("months", F.lit(12))).otherwise(0.0).alias("avg_monthly"))
