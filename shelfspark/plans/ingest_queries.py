@@ -1,3 +1,130 @@
+"""Spreadsheet ingestion over month grids derived from line items: a file for every 40th item, its 1998 quantities by month."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfspark.operators import ingest
+from shelfspark.sources import bindings as b
+
 from .register import Register
 
 REGISTER = query = Register()
+YEAR, TAIL = 1998, 10
+
+GRID = f"""WITH g AS (SELECT CAST(l_partkey % 40 AS BIGINT) AS file, l_partkey AS k, month(l_shipdate) AS month, CAST(sum(floor(l_quantity)) AS DOUBLE) AS q FROM lineitem WHERE year(l_shipdate) = {YEAR} GROUP BY ALL)"""
+
+
+def sold(spark, sf_dir):
+    line = b.table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == YEAR)
+    return line.groupBy((F.col("l_partkey") % 40).alias("file"), F.col("l_partkey").alias("k"), F.month("l_shipdate").alias("month")).agg(F.sum(F.floor("l_quantity")).cast("bigint").alias("q"))
+
+
+def cells(spark, sf_dir):
+    """A title, a header in row 3 with month names from column 2, item rows from row 4, a total row."""
+    q = sold(spark, sf_dir)
+    row = (F.col("k") + 10).alias("row_no")
+    items = q.select("file", "k").distinct()
+    title = items.select("file").distinct()
+    body = q.select("file", row, (F.col("month") + 1).cast("int").alias("col_no"), F.when(F.col("k") % 9 == 0, F.format_number("q", 0)).otherwise(F.col("q").cast("string")).alias("value"))
+    names = items.select("file", row, F.lit(1).alias("col_no"), F.concat(F.lit("Item "), F.col("k").cast("string")).alias("value"))
+    head = title.select("file", F.lit(3).cast("bigint").alias("row_no"), F.explode(F.sequence(F.lit(1), F.lit(13))).alias("col_no"))
+    head = head.withColumn("value", F.when(F.col("col_no") == 1, "Item Description").otherwise(F.date_format(F.make_date(F.lit(YEAR), F.greatest(F.col("col_no") - 1, F.lit(1)), F.lit(1)), "MMM-yy")))
+    tops = title.select("file", F.lit(1).cast("bigint").alias("row_no"), F.lit(1).alias("col_no"), F.lit("Sales report").alias("value"))
+    total = title.select("file", F.lit(9_000_000).cast("bigint").alias("row_no"), F.explode(F.sequence(F.lit(1), F.lit(13))).alias("col_no")).withColumn("value", F.when(F.col("col_no") == 1, "TOTAL").otherwise("999"))
+    return body.union(names).union(head).union(tops).union(total)
+
+
+def headers(spark, sf_dir):
+    return ingest.header_rows(cells(spark, sf_dir), "sales", 3)
+
+
+def grid(spark, sf_dir):
+    return ingest.grid_rows(cells(spark, sf_dir), headers(spark, sf_dir))
+
+
+@query("header_score", f"{GRID}, r AS (SELECT file, k, count(*) + 1 AS filled FROM g GROUP BY ALL), f AS (SELECT DISTINCT file FROM g) SELECT file, CAST(k + 10 AS BIGINT) AS row_no, filled, CAST(1 AS BIGINT) AS score FROM r UNION ALL SELECT file, 3, 13, 1 FROM f UNION ALL SELECT file, 1, 1, 0 FROM f UNION ALL SELECT file, 9000000, 13, 0 FROM f")
+def header_score(spark, sf_dir):
+    return ingest.header_scores(cells(spark, sf_dir), "sales")
+
+
+@query("header_pick", f"{GRID} SELECT DISTINCT file, CAST(3 AS BIGINT) AS header_row FROM g")
+def header_pick(spark, sf_dir):
+    return headers(spark, sf_dir)
+
+
+@query("sanitize_columns", f"{GRID}, f AS (SELECT DISTINCT file FROM g) SELECT file, CAST(c AS INTEGER) AS col_no, CASE WHEN c = 1 THEN 'item_description' ELSE lower(strftime(make_date({YEAR}, greatest(c - 1, 1), 1), '%b')) || '_98' END AS name FROM f, range(1, 14) r(c)")
+def sanitize_columns(spark, sf_dir):
+    return ingest.column_names(cells(spark, sf_dir), headers(spark, sf_dir))
+
+
+@query("rows_from_cells", f"{GRID}, r AS (SELECT file, k, count(*) + 1 AS n FROM g GROUP BY ALL) SELECT file, CAST(k + 10 AS BIGINT) AS row_no, 'Item ' || k AS item, CAST(n AS INTEGER) AS n FROM r UNION ALL SELECT DISTINCT file, 9000000, 'TOTAL', 13 FROM g")
+def rows_from_cells(spark, sf_dir):
+    rows = ingest.rows_from_cells(cells(spark, sf_dir), headers(spark, sf_dir))
+    return rows.select("file", "row_no", F.col("cells")["item_description"].alias("item"), F.size("cells").alias("n"))
+
+
+@query("wide_matrix_detect", f"{GRID} SELECT DISTINCT file, true AS wide FROM g")
+def wide_matrix_detect(spark, sf_dir):
+    return ingest.wide_matrix(cells(spark, sf_dir))
+
+
+@query("unpivot_months", f"{GRID} SELECT file, 'Item ' || k AS item, make_date({YEAR}, month, 15) AS date, q AS qty FROM g")
+def unpivot_months(spark, sf_dir):
+    return ingest.unpivot_months(grid(spark, sf_dir), F.lit(YEAR)).drop("row_no")
+
+
+@query("month_type_scan", f"{GRID} SELECT file, CAST(month AS INTEGER) AS month, count(*) AS n_numbers, CAST(0 AS BIGINT) AS n_texts, 'good' AS kind FROM g GROUP BY ALL")
+def month_type_scan(spark, sf_dir):
+    return ingest.month_types(grid(spark, sf_dir))
+
+
+@query("convert_verify", f"{GRID} SELECT file, CAST(month AS INTEGER) AS month, sum(q) AS source, sum(q) AS output, true AS agrees FROM g GROUP BY ALL")
+def convert_verify(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return ingest.convert_verify(g, ingest.unpivot_months(g, F.lit(YEAR)))
+
+
+@query("convert_readback", f"{GRID} SELECT file, count(DISTINCT k) AS items, count(DISTINCT month) AS months, sum(q) AS units FROM g GROUP BY ALL")
+def convert_readback(spark, sf_dir):
+    rows = ingest.unpivot_months(grid(spark, sf_dir), F.lit(YEAR))
+    return rows.groupBy("file").agg(F.count_distinct("item").alias("items"), F.count_distinct("date").alias("months"), F.sum(F.col("qty").cast("decimal(18,2)")).cast("double").alias("units"))
+
+
+@query("projection_tail", f"{GRID} SELECT DISTINCT file, CASE WHEN file % 2 = 0 THEN {TAIL - 1} ELSE 12 END AS last_kept FROM g")
+def projection_tail(spark, sf_dir):
+    """Even files repeat one value from month TAIL on; odd files count up."""
+    items = sold(spark, sf_dir).select("file", "k").distinct()
+    m = items.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    value = F.when((F.col("file") % 2 == 0) & (F.col("month") >= TAIL), 50).otherwise(F.col("month") * 7 + F.col("k") % 5)
+    return ingest.projection_tail(m.select("file", F.col("k").alias("row_no"), F.concat(F.lit("Item "), F.col("k").cast("string")).alias("item"), "month", value.cast("string").alias("value")))
+
+
+def _columns(spark, sf_dir):
+    """Three header styles by file."""
+    files = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"))
+    style = lambda *x: F.array(*map(F.lit, x))
+    names = F.when(F.col("file") % 3 == 0, style("item_code", "qty_sold", "item_description", "qty_on_hand", "uom")).when(F.col("file") % 3 == 1, style("supplier_desc", "product_name", "current_stock_value", "stock_left", "unit_of_sale")).otherwise(style("desc", "sales_qty", "qty_left", "storage"))
+    return files.select("file", F.posexplode(names).alias("col_no", "name"))
+
+
+STOCK = (["qty_on_hand", "qty", "quantity", "stock_on_hand", "on_hand", "stock_qty", "balance", "stock_balance", "closing_stock", "current_system_balance", "system_balance", "current_balance", "current_stock"], ["balance", "on_hand", "stock"], ["sold", "sale", "avg", "allocated", "value", "amount", "price"])
+
+
+@query("role_stock", "SELECT CAST(p_partkey AS BIGINT) AS file, CASE p_partkey % 3 WHEN 0 THEN 'qty_on_hand' WHEN 1 THEN 'stock_left' ELSE 'qty_left' END AS name FROM part")
+def role_stock(spark, sf_dir):
+    columns = _columns(spark, sf_dir)
+    strong = ingest.pick(columns, *STOCK)
+    weak = ingest.pick(columns, [], ["qty", "quantity"], STOCK[2]).withColumnRenamed("name", "weak")
+    return strong.join(weak, "file", "full_outer").select("file", F.coalesce("name", "weak").alias("name"))
+
+
+@query("role_inventory", "SELECT CAST(p_partkey AS BIGINT) AS file, CASE p_partkey % 3 WHEN 0 THEN 'item_description' WHEN 1 THEN 'product_name' ELSE 'desc' END AS name FROM part")
+def role_inventory(spark, sf_dir):
+    exact = ["description", "item_description", "inventory_desc", "product_description", "item_name", "product_name", "stock_description", "item_desc"]
+    return ingest.pick(_columns(spark, sf_dir), exact, ["desc", "item_name", "product_name"], ["supplier"])
+
+
+@query("role_sales", "SELECT CAST(p_partkey AS BIGINT) AS file, CASE p_partkey % 3 WHEN 0 THEN 'qty_sold' ELSE 'sales_qty' END AS name FROM part WHERE p_partkey % 3 <> 1")
+def role_sales(spark, sf_dir):
+    return ingest.pick(_columns(spark, sf_dir), ["qty_sold", "quantity_sold"], ["qty", "quantity"], ["allocated"])

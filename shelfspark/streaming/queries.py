@@ -1,3 +1,41 @@
+"""Streams over the action log, run to the end of what is there, with batch twins as their truth."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from shelfspark.plans.register import Register
 
 REGISTER = query = Register()
+
+
+def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A file stream over a table's Parquet files."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
+
+
+def drained(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives once all available input is processed."""
+    name = f"stream_{uuid.uuid4().hex}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query("rec_state_stream", "SELECT user_id % 20 AS session_id, event_id % 500 AS item_no, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS last_action FROM events GROUP BY ALL")
+def rec_state_stream(spark, sf_dir):
+    """The latest action of each recommendation, kept as stream state."""
+    e = stream(spark, sf_dir, "events")
+    return drained(e.groupBy((F.col("user_id") % 20).alias("session_id"), (F.col("event_id") % 500).alias("item_no")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_action")), "complete")
+
+
+@query("throttle_stream", """SELECT user_id AS key, t AS window_start, count(*) AS hits FROM (SELECT user_id, unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes', time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '10 minutes']) AS t FROM events) GROUP BY ALL""")
+def throttle_stream(spark, sf_dir):
+    """Hits of each key in sliding windows of 15 minutes, every 5 minutes; events may come 1 hour late."""
+    e = stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    counts = e.groupBy(F.window("at", "15 minutes", "5 minutes"), F.col("user_id").alias("key")).agg(F.count("*").alias("hits"))
+    return drained(counts.select("key", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "hits"), "complete")
