@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 EVERY, MIN_LINES = 4, 2
 _NO_ID = -(2**63)
 
@@ -23,41 +25,45 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
+def _held(c: Column) -> Column:
+    """c computed once a row: a one-row generator, into which later projections are not folded."""
+    return F.explode(F.array(c))
+
+
 def chunked(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """doc_id, chunks: array<struct<text, n, hash>>: each text's chunks in order, their lines joined by newlines."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("lines"))
-    hashed = lines.withColumn("h", F.transform("lines", _line_hash))
+    """doc_id, id (null: the smallest long), row (a hash of all chunks), chunks: array<struct<text, n, hash>>: each text's chunks in order,
+    their lines joined by newlines."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held(F.split("text", "\n", -1)).alias("lines"))
+    hashed = lines.select("doc_id", "lines", _held(F.transform("lines", _line_hash)).alias("h"))
     closes = lambda x, i: ((i >= 1) & ((F.get("h", i - 1) * 3 + x) % every == 0)) | (i == F.size("h") - 1)
     ends = F.filter(F.transform("h", lambda x, i: F.when(closes(x, i), i)), lambda i: i.isNotNull())
+    cut = hashed.select("doc_id", "lines", _held(ends).alias("ends"))
     start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get("ends", j - 1) + 1)
     piece = lambda e, j: F.struct(F.array_join(F.slice("lines", start(j) + 1, e - start(j) + 1), "\n").alias("text"), (e - start(j) + 1).cast("long").alias("n"))
-    cut = hashed.select("doc_id", "lines", ends.alias("ends")).select("doc_id", F.transform("ends", piece).alias("chunks"))
-    return cut.select("doc_id", F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("hash"))).alias("chunks"))
-
-
-def repeated_chunks(each: DataFrame) -> DataFrame:
-    """hash, text, first_doc of each chunk that occurs more than once, from rows (doc_id, hash, text); texts are grouped byte by byte."""
-    hashes = each.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    return each.join(hashes, "hash", "left_semi").groupBy("hash", "text").agg(F.count("*").alias("k"), F.min("doc_id").alias("first_doc")).where("k > 1").drop("k")
+    cut = cut.select("doc_id", _held(F.transform("ends", piece)).alias("chunks"))
+    cut = cut.select("doc_id", _held(F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("hash")))).alias("chunks"))
+    return cut.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("chunks.hash").alias("row"), "chunks")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, every: int = EVERY) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what is kept) for each row of docs (doc_id, text)."""
-    cut = chunked(docs, every).withColumns({"id": F.coalesce("doc_id", F.lit(_NO_ID)), "row": F.xxhash64("chunks.hash")})
-    each = (
-        cut.select("id", "row", F.col("chunks.hash").alias("all"), F.posexplode("chunks").alias("pos", "c"))
-        .where(F.col("c.n") >= min_lines)
-        .select("id", "row", "pos", "c.hash", "c.text", (F.array_position("all", F.col("c.hash")) == F.col("pos") + 1).alias("first_here"))
-    )
-    repeated = repeated_chunks(each.select(F.col("id").alias("doc_id"), "hash", "text"))
+    """doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what is kept) for each row of docs (doc_id, text).
+
+    Chunks are counted by hash alone; then the texts of chunks with a repeated hash, and no others, are grouped byte by byte."""
+    cut = chunked(docs, every)
+    places = cut.select("id", "row", F.col("chunks.hash").alias("all"), F.posexplode("chunks").alias("pos", "c")).where(F.col("c.n") >= min_lines)
+    places = places.select("id", "row", "pos", F.col("c.hash").alias("hash"), (F.array_position("all", F.col("c.hash")) == F.col("pos") + 1).alias("first_here"))
+    hashes = places.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
+    wanted = durable(places.join(hashes, "hash", "left_semi").groupBy("id", "row").agg(F.collect_set(F.struct("pos", "hash", "first_here")).alias("at")), "wanted")
+    # cut meets both joins in one plan by the same key, so its shuffle is made once and reused
+    each = cut.join(wanted, ["id", "row"]).select("id", "row", "chunks", F.explode("at").alias("a")).select("id", "row", "a.pos", "a.hash", "a.first_here", F.get("chunks", F.col("a.pos"))["text"].alias("text"))
+    repeated = each.groupBy("hash", "text").agg(F.count("*").alias("k"), F.min("id").alias("first_doc")).where("k > 1").drop("k")
     gone = each.join(repeated, ["hash", "text"]).where(~((F.col("id") == F.col("first_doc")) & F.col("first_here"))).groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
-    out = cut.join(gone, ["id", "row"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
+    out = cut.join(gone, ["id", "row"], "left").select("doc_id", "chunks", _held(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
+    out = out.select("doc_id", "chunks", "gone", _held(F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))).alias("kept"))
     count = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n"]), F.lit(0).cast("long"))
     return out.select(
-        "doc_id", count(F.col("chunks")).alias("n_lines"), (count(F.col("chunks")) - count(kept)).alias("n_removed"),
-        F.size("gone").cast("long").alias("n_chunks_removed"), F.array_join(F.transform(kept, lambda c: c["text"]), "\n").alias("text"),
-    )
+        "doc_id", count("chunks").alias("n_lines"), (count("chunks") - count("kept")).alias("n_removed"), F.size("gone").cast("long").alias("n_chunks_removed"), F.array_join(F.transform("kept", lambda c: c["text"]), "\n").alias("text")
+    )
 
 
 SQL = f"""
