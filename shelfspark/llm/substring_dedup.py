@@ -31,7 +31,7 @@ from .common import durable, partitions
 from .words import chunks, window_hashes
 
 K, M = 20, 4
-STRETCH = 2_500_000  # bytes of text that a task sorts at once
+STRETCH = 1_000_000  # bytes of text that a task sorts at once
 _NO_ID = -(2**63)
 _PLACES = ["bucket", "doc_id", "row", "start", "n", "known"]
 _PACKED = ["bucket", "doc_id", "row", "start", "packed"]

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -41,7 +41,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
+            m = n + n // 4
             steps = np.full(m, self.base)
             steps[0] = 1
             self.up = np.multiply.accumulate(steps)
