@@ -29,15 +29,18 @@ def lookup(c: Column, values: dict, other: Column | None = None) -> Column:
     return out.otherwise(other) if other is not None else out
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_num(c: Column) -> Column:
     """A number at the start of a cell: thousands commas, currency in front, (x) for negatives, a unit behind. Digits behind it: null."""
-    s = F.trim(c)
-    negative = s.startswith("(") & s.endswith(")") & (F.length(s) > 1)
-    s = F.when(negative, F.trim(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    s = F.trim(F.translate(F.regexp_replace(s, CURRENCY, ""), ",", ""))
-    head = F.regexp_extract(s, r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?", 0)
-    n = F.when((head != "") & ~F.substring(s, F.length(head) + 1, F.length(s)).rlike(r"\d"), head.try_cast("double"))
-    return F.when(negative, -n).otherwise(n)
+    inner = let(F.trim(c), lambda s: F.when(s.startswith("(") & s.endswith(")") & (F.length(s) > 1), F.struct(F.lit(-1.0).alias("sign"), F.trim(F.substring(s, F.lit(2), F.length(s) - 2)).alias("s"))).otherwise(F.struct(F.lit(1.0).alias("sign"), s.alias("s"))))
+    bare = lambda x: F.struct(x["sign"].alias("sign"), F.trim(F.translate(F.when(x["s"].rlike(r"^[0-9.+-]"), x["s"]).otherwise(F.regexp_replace(x["s"], CURRENCY, "")), ",", "")).alias("s"))
+    split = lambda x: F.struct(x["sign"].alias("sign"), x["s"].alias("s"), F.regexp_extract(x["s"], r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?", 0).alias("head"))
+    number = lambda x: F.when((x["head"] != "") & ~F.substring(x["s"], F.length(x["head"]) + 1, F.length(x["s"])).rlike(r"\d"), x["sign"] * x["head"].try_cast("double"))
+    return let(let(let(inner, bare), split), number)
 
 
 def num_sql(c: Column) -> Column:
@@ -129,17 +132,22 @@ def date_parts(c: Column) -> Column:
 
 def month_key(c: Column, day_first: Column) -> Column:
     """The first day of the month of raw date text; null if unreadable. Times after the date are ignored; two-digit years are 20xx."""
-    s = F.trim(c)
-    p = date_parts(s)
     iso = r"^(\d{4})[/.-](\d{1,2})(?:[/.-]\d{1,2})?(?:[ T].*)?$"
     named = r"^(\d{1,2})[ /-]([A-Za-z]{3,9})[ /-](\d{4}|\d{2})(?:[ T].*)?$"
-    part = lambda pattern, i: F.regexp_extract(s, pattern, i)
-    serial = F.when(s.rlike(r"^\d{5}(\.\d+)?$"), s.try_cast("double").cast("int"))
-    serial_date = F.when(serial.between(20000, 80000), F.date_add(F.lit("1899-12-30").cast("date"), serial))
-    year = F.coalesce(part(iso, 1).try_cast("int"), p["y"], part(named, 3).try_cast("int"), F.year(serial_date))
-    month = F.coalesce(part(iso, 2).try_cast("int"), F.when(day_first, p["b"]).otherwise(p["a"]), month_number(part(named, 2)), F.month(serial_date))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    return F.when(year.between(1900, 2200) & month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    ym = lambda y, m: F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"))
+
+    def read(s: Column) -> Column:
+        part = lambda pattern, i: F.regexp_extract(s, pattern, i)
+        serial = F.date_add(F.lit("1899-12-30").cast("date"), s.try_cast("double").cast("int"))
+        return (
+            F.when(s.rlike(r"^\d{4}[/.-]"), ym(part(iso, 1).try_cast("int"), part(iso, 2).try_cast("int")))
+            .when(s.rlike(r"^\d{1,2}[ /-][A-Za-z]"), ym(part(named, 3).try_cast("int"), month_number(part(named, 2))))
+            .when(s.rlike(r"^\d{1,2}[/.-]\d"), let(date_parts(s), lambda p: ym(p["y"], F.when(day_first, p["b"]).otherwise(p["a"]))))
+            .when(s.rlike(r"^[2-7]\d{4}(\.\d+)?$|^80000(\.0+)?$"), let(serial, lambda d: ym(F.year(d), F.month(d))))
+        )
+
+    full = lambda p: let(F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"]), lambda y: F.when(y.between(1900, 2200) & p["m"].between(1, 12), F.make_date(y, p["m"], F.lit(1))))
+    return let(let(F.trim(c), read), full)
 
 
 def cell_month(c: Column) -> Column:

@@ -17,10 +17,12 @@ def day_first(sales: DataFrame) -> DataFrame:
 
 
 def parsed(sales: DataFrame) -> DataFrame:
-    """sales with month (date), qty, revenue (decimal) from the raw cells."""
-    out = sales.join(F.broadcast(day_first(sales)), "session_id") if "day_first" not in sales.columns else sales
+    """sales with month (date), qty, revenue (decimal) from the raw cells. A session has few distinct dates, so each is read once and
+    joined back; the same table decides the order of day and month."""
+    dates = sales.select("session_id", "date_raw").distinct()
+    months = dates.join(day_first(dates), "session_id").select("session_id", "date_raw", month_key(F.col("date_raw"), F.col("day_first")).alias("month"))
     money = to_num(F.col("rev_raw")).cast("decimal(18,2)")
-    return out.withColumns({"month": month_key(F.col("date_raw"), F.col("day_first")), "qty": to_num(F.col("qty_raw")), "revenue": money}).drop("day_first")
+    return sales.join(months, ["session_id", "date_raw"], "left").withColumns({"qty": to_num(F.col("qty_raw")), "revenue": money})
 
 
 def sales_velocity(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,11 @@ from shelfspark.sources import bindings as b
 from .register import Register
 
 REGISTER = query = Register()
-AS_OF = F.lit("2001-12-31").cast("date")
+
+
+def as_of():
+    return F.lit("2001-12-31").cast("date")
+
 
 BASE = f"WITH {b.RECS_SQL}, ok AS (SELECT * FROM rec WHERE NOT error)"
 EFF = f"""{BASE}, e AS (SELECT *, CASE WHEN edited_supplier <> '' THEN edited_supplier ELSE coalesce(supplier, 'Unknown supplier') END AS eff_supplier,
@@ -28,13 +32,13 @@ def recs(spark, sf_dir):
 
 
 def numbered(spark, sf_dir):
-    return reports.display_order(reports.with_order_by(recs(spark, sf_dir), AS_OF))
+    return reports.display_order(reports.with_order_by(recs(spark, sf_dir), as_of()))
 
 
 @query("order_by", f"""{EFF} SELECT session_id, pos, buffer_days, order_status, CASE WHEN buffer_days IS NOT NULL THEN DATE '2001-12-31' + buffer_days END AS order_by,
 CASE WHEN order_status IN ('overdue', 'urgent') THEN 'ASAP' WHEN order_status = 'ok' THEN strftime(DATE '2001-12-31' + buffer_days, '%d %b %Y') ELSE '—' END AS order_text FROM d""")
 def order_by(spark, sf_dir):
-    return reports.with_order_by(reports.valid(recs(spark, sf_dir)), AS_OF).select("session_id", "pos", "buffer_days", "order_status", "order_by", "order_text")
+    return reports.with_order_by(reports.valid(recs(spark, sf_dir)), as_of()).select("session_id", "pos", "buffer_days", "order_status", "order_by", "order_text")
 
 
 @query("supplier_groups", f"{EFF} SELECT session_id, eff_supplier AS supplier, count(*) AS n, count(*) FILTER (status = 'CRITICAL') AS critical, count(*) FILTER (status = 'LOW') AS low, arg_min(risk, pos) AS first_risk, list_sort(list(DISTINCT item)) AS items FROM e GROUP BY ALL")
@@ -55,7 +59,7 @@ def group_sort(spark, sf_dir):
 @query("urgency_sort", f"""{EFF} SELECT session_id, pos, row_number() OVER (PARTITION BY session_id ORDER BY CASE order_status WHEN 'overdue' THEN 0 WHEN 'urgent' THEN 1 WHEN 'ok' THEN 2 ELSE 3 END, buffer_days ASC NULLS LAST,
 CASE status WHEN 'CRITICAL' THEN 0 WHEN 'LOW' THEN 1 ELSE 2 END, pos) AS place FROM d""")
 def urgency_sort(spark, sf_dir):
-    rows = reports.with_order_by(reports.valid(recs(spark, sf_dir)), AS_OF)
+    rows = reports.with_order_by(reports.valid(recs(spark, sf_dir)), as_of())
     order = Window.partitionBy("session_id").orderBy(decisions.urgency_rank(F.col("order_status")), F.col("buffer_days").asc_nulls_last(), F.when(F.col("status") == "CRITICAL", 0).when(F.col("status") == "LOW", 1).otherwise(2), "pos")
     return rows.select("session_id", "pos", F.row_number().over(order).cast("bigint").alias("place"))
 
@@ -96,7 +100,7 @@ def rec_findings(spark, sf_dir):
 
 @query("results_summary", f"{EFF} SELECT session_id, count(*) AS to_order, count(*) FILTER (order_status = 'overdue') AS overdue, count(*) FILTER (order_status = 'urgent') AS urgent FROM d GROUP BY ALL")
 def results_summary(spark, sf_dir):
-    rows = reports.with_order_by(reports.valid(recs(spark, sf_dir)), AS_OF)
+    rows = reports.with_order_by(reports.valid(recs(spark, sf_dir)), as_of())
     return rows.groupBy("session_id").agg(F.count("*").alias("to_order"), F.count_if(F.col("order_status") == "overdue").alias("overdue"), F.count_if(F.col("order_status") == "urgent").alias("urgent"))
 
 
