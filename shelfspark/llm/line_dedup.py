@@ -31,7 +31,7 @@ def _held(c: Column) -> Column:
 
 
 def chunked(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """doc_id, id (null: the smallest long), row (a hash of all chunks), chunks: array<struct<text, n, hash>>: each text's chunks in order,
+    """id (doc_id; null: the smallest long), row (a hash of all chunks), chunks: array<struct<text, n, hash>>: each text's chunks in order,
     their lines joined by newlines."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held(F.split("text", "\n", -1)).alias("lines"))
     hashed = lines.select("doc_id", "lines", _held(F.transform("lines", _line_hash)).alias("h"))
@@ -42,7 +42,7 @@ def chunked(docs: DataFrame, every: int = EVERY) -> DataFrame:
     piece = lambda e, j: F.struct(F.array_join(F.slice("lines", start(j) + 1, e - start(j) + 1), "\n").alias("text"), (e - start(j) + 1).cast("long").alias("n"))
     cut = cut.select("doc_id", _held(F.transform("ends", piece)).alias("chunks"))
     cut = cut.select("doc_id", _held(F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("hash")))).alias("chunks"))
-    return cut.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("chunks.hash").alias("row"), "chunks")
+    return cut.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("chunks.hash").alias("row"), "chunks")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, every: int = EVERY) -> DataFrame:
@@ -54,12 +54,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, every: int = EVERY)
     places = places.select("id", "row", "pos", F.col("c.hash").alias("hash"), (F.array_position("all", F.col("c.hash")) == F.col("pos") + 1).alias("first_here"))
     hashes = places.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
     wanted = durable(places.join(hashes, "hash", "left_semi").groupBy("id", "row").agg(F.collect_set(F.struct("pos", "hash", "first_here")).alias("at")), "wanted")
-    # cut meets both joins in one plan by the same key, so its shuffle is made once and reused
+    # cut meets both joins in one plan with the same key and columns, so its shuffle is made once and reused
     each = cut.join(wanted, ["id", "row"]).select("id", "row", "chunks", F.explode("at").alias("a")).select("id", "row", "a.pos", "a.hash", "a.first_here", F.get("chunks", F.col("a.pos"))["text"].alias("text"))
     repeated = each.groupBy("hash", "text").agg(F.count("*").alias("k"), F.min("id").alias("first_doc")).where("k > 1").drop("k")
     gone = each.join(repeated, ["hash", "text"]).where(~((F.col("id") == F.col("first_doc")) & F.col("first_here"))).groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
-    out = cut.join(gone, ["id", "row"], "left").select("doc_id", "chunks", _held(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
-    out = out.select("doc_id", "chunks", "gone", _held(F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))).alias("kept"))
+    out = cut.join(gone, ["id", "row"], "left").select("id", "chunks", _held(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
+    out = out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "chunks", "gone", _held(F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))).alias("kept"))
     count = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n"]), F.lit(0).cast("long"))
     return out.select(
         "doc_id", count("chunks").alias("n_lines"), (count("chunks") - count("kept")).alias("n_removed"), F.size("gone").cast("long").alias("n_chunks_removed"), F.array_join(F.transform("kept", lambda c: c["text"]), "\n").alias("text")
