@@ -1,20 +1,24 @@
-"""Main text of web pages, with boilerplate found by host suffix arrays.
+"""Main text of web pages, with boilerplate found by what a host's pages repeat.
 
-Pages are grouped by host (hot hosts in groups of about GROUP_BYTES of html). In a group the words of all pages are laid end to end and
-their suffixes are sorted; neighbours in that order which share RUN words or more and stand in different pages show repeated substrings,
-and the words that such substrings cover are marked.
+A page is parsed once into blocks of visible text. A stretch of RUN words is repeated if two or more different texts of its host have it; a
+page counts by its article (or, without one, by all its words), so copies and reprints of a page count once and repeat nothing. This is
+counted over whole hosts: first the smallest SUB-word hash of each stretch, and then, where that occurs in two texts, whole stretches by
+64-bit hashes. At most FILTER_LIMIT hashes are sent to every task; with more, all stretches are counted. Both ways give the same rows.
 
-Marks alone cannot give the main text here: menus and adverts differ from page to page, while articles are reprinted. So structure decides
+Repeats alone cannot give the main text here: menus and adverts differ from page to page, while articles are reprinted. So structure decides
 where it can: text inside an article or main element is kept, text of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments goes. Marks decide the rest: of a page without article or main element, the unmarked runs of open blocks are kept.
+styles and comments goes. Repeats decide the rest: of a page without article or main element, the words outside of repeated stretches are
+kept, or all of them if nothing else were left. Different texts that quote one passage are not told from pages with one menu.
 
-Defined cases: null html is an empty page; a page without kept text gives an empty text; a null url belongs to the empty host; repeated
-rows are separate pages; a page longer than a group's size is a group's only page; an empty table gives no rows; other columns are ignored.
+Defined cases: null html is an empty page; a page without visible text gives an empty text; a null url belongs to the empty host; repeated
+rows are separate pages with equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,8 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
+from .words import chunks, mix, window_hashes
 
-RUN, GROUP_BYTES = 24, 256_000
+RUN, SUB = 24, 8
+FILTER_LIMIT = 2_000_000
 # Element and class names of page furniture.
 DROP = frozenset("nav header footer aside form script style noscript template iframe svg math canvas object button select textarea dialog menu head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -104,7 +110,7 @@ def repeated_words(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     """For each page (its words), marks of the words inside a stretch of `run` words that another page has too.
 
     Suffixes are sorted by their first `run` words: ranks of stretches of 1, 2, 4, ... words double by pairing, and a last pairing with
-    overlap reaches `run`. Suffixes of one rank are the repeats; a rank held by two pages marks all its places.
+    overlap reaches `run`. Suffixes of one rank are the repeats; a rank held by two pages marks all its places. For tests, and hosts in memory.
     """
     sizes = [len(p) for p in pages]
     n = sum(sizes)
@@ -133,46 +139,128 @@ def repeated_words(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [covered[a:b] for a, b in zip(first, first[1:], strict=False)]
 
 
-def extract_group(htmls: list[str | None], run: int = RUN) -> list[tuple[str, int, int]]:
-    """(text, words that other pages of the group repeat, words) of each page of one host group."""
-    parsed = [blocks(h or "") for h in htmls]
-    marks = repeated_words([[w for t, _ in p for w in t.split(" ")] for p in parsed], run)
-    out = []
-    for page, covered in zip(parsed, marks, strict=True):
-        has_main, kept, at = any(v for _, v in page), [], 0
-        for text, verdict in page:
-            words = text.split(" ")
-            if has_main:
-                if verdict:
-                    kept.append(text)
-            else:
-                fresh = [w for w, c in zip(words, covered[at : at + len(words)].tolist(), strict=True) if not c]
-                if fresh:
-                    kept.append(" ".join(fresh))
-            at += len(words)
-        out.append(("\n".join(kept), int(covered.sum()), at))
-    return out
-
-
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def extract_pages(pages: DataFrame, run: int = RUN, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """page_id, url, text, n_repeated, n_visible (words of the page) for each row of pages (page_id, url, html)."""
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    weights = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > group_bytes)
-    # a written table, so that the join may broadcast it by its size or else split a hot host
-    parts = durable(weights.select("host", F.ceil(F.col("bytes") / group_bytes).alias("parts")), "parts")
-    dealt = rows.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host (a hash), text (the blocks, one a line), verdicts (a byte a block), said (a hash of the host and what the page
+    counts by), row (a hash of host and text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, verdicts, said = [], [], []
+            for name, html in zip(batch["name"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                found = blocks(html or "")
+                main = any(v for _, v in found)
+                own = " ".join(t for t, v in found if v or not main)
+                texts.append("\n".join(t for t, _ in found))
+                verdicts.append(bytes(v for _, v in found))
+                said.append(int.from_bytes(blake2b(f"{name}\0{own}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch["page_id"], batch["url"], batch["host"], pa.array(texts, pa.string()), pa.array(verdicts, pa.binary()), pa.array(said, pa.int64())], ["page_id", "url", "host", "text", "verdicts", "said"]
+            )
+
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("name")).withColumn("host", F.xxhash64("name"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"page_id {kind}, url string, host long, text string, verdicts binary, said long").withColumn("row", F.xxhash64("host", "text"))
+
+
+def _stretches(column: pa.Array, hosts: np.ndarray, run: int, smallest: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each stretch of `run` words of the texts of a column: its text's place in the column, its hash and its smallest SUB-word hash, both
+    of them with the host's."""
+    for w in chunks(column):
+        at, of = w.windows(run)
+        if len(at):
+            words, sub = w.hashes(lower=False), min(SUB, run)
+            place = w.rows[of]
+            salt = mix(hosts[place].view(np.uint64))
+            low = np.zeros(0, np.uint64)
+            if smallest:
+                low = window_hashes(words, np.arange(len(words) - sub + 1), sub)
+                low = np.lib.stride_tricks.sliding_window_view(low, run - sub + 1)[at].min(1) ^ salt
+            yield place, window_hashes(words, at, run) ^ salt, low
+
+
+def _in_two(places: DataFrame) -> DataFrame:
+    return places.groupBy("key").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b").select("key")
+
+
+def repeats(texts: DataFrame, run: int = RUN) -> DataFrame:
+    """row, keys: the hashes of the stretches of a text (of parsed pages) that another text of its host has too."""
+    spark = texts.sparkSession
+
+    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = batch["said"].to_numpy()
+            for place, _, low in _stretches(batch["text"], batch["host"].to_numpy(), run):
+                new = np.ones(len(low), bool)
+                new[1:] = (low[1:] != low[:-1]) | (place[1:] != place[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(said[place[new]])], ["key", "said"])
+
+    shared = durable(_in_two(texts.select("host", "said", "text").mapInArrow(census, "key long, said long")), "census")
+    keys = [r[0] for r in shared.limit(FILTER_LIMIT + 1).toLocalIterator()]
+    only = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(np.uint64)) if len(keys) <= FILTER_LIMIT else None)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = only.value
+        for batch in batches:
+            said, row = batch["said"].to_numpy(), batch["row"].to_numpy()
+            for place, key, low in _stretches(batch["text"], batch["host"].to_numpy(), run, known is not None):
+                if known is not None:
+                    near = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low if len(known) else np.zeros(len(low), bool)
+                    place, key = place[near], key[near]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(said[place]), pa.array(row[place])], ["key", "said", "row"])
+
+    places = durable(texts.select("host", "said", "row", "text").mapInArrow(full, "key long, said long, row long"), "stretches")
+    return places.select("key", "row").join(_in_two(places), "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
+
+
+def _covered(text: str, host: int, keys: np.ndarray, run: int) -> np.ndarray:
+    """Marks of the words of a text inside stretches whose hashes are in keys."""
+    marks = np.zeros(text.count(" ") + text.count("\n") + 2, np.int64)
+    for _, key, _ in _stretches(pa.array([text], pa.string()), np.array([host], np.int64), run, False):
+        hit = np.flatnonzero(np.isin(key.view(np.int64), keys))  # one text: stretch i begins at word i
+        np.add.at(marks, hit, 1)
+        np.add.at(marks, hit + run, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def main_text(found: list[str], verdicts: bytes, covered: list[bool] | None) -> str:
+    if any(verdicts):
+        return "\n".join(t for t, v in zip(found, verdicts, strict=True) if v)
+    if covered is None or all(covered):
+        return "\n".join(found)
+    kept, at = [], 0
+    for text in found:
+        words = text.split(" ")
+        fresh = [w for w, c in zip(words, covered[at : at + len(words)], strict=True) if not c]
+        if fresh:
+            kept.append(" ".join(fresh))
+        at += len(words)
+    return "\n".join(kept)
+
+
+def extract_pages(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """page_id, url, text, n_repeated (words in stretches that other texts of the host have), n_visible (words of the page) for each row of
+    pages (page_id, url, html)."""
+    texts = durable(parsed(pages), "parsed")
+    # a written table, so that the join may broadcast it by its size or else split a text of many copies
+    marked = texts.join(durable(repeats(texts, run), "repeats"), "row", "left")
 
-    def run_group(table: pa.Table) -> pa.Table:
-        found = extract_group(table["html"].to_pylist(), run)
-        texts, repeated, visible = zip(*found, strict=True)
-        return pa.table([table["page_id"], table["url"], pa.array(texts, pa.string()), pa.array(repeated, pa.int64()), pa.array(visible, pa.int64())], ["page_id", "url", "text", "n_repeated", "n_visible"])
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, repeated, visible = [], [], []
+            for host, text, verdicts, keys in zip(*(batch[c].to_pylist() for c in ("host", "text", "verdicts", "keys")), strict=True):
+                found = text.split("\n") if verdicts else []
+                covered = _covered(text, host, np.array(keys, np.int64), run) if keys else None
+                out.append(main_text(found, verdicts, covered.tolist() if keys else None))
+                repeated.append(int(covered.sum()) if keys else 0)
+                visible.append(text.count(" ") + text.count("\n") + 1 if verdicts else 0)
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array(repeated, pa.int64()), pa.array(visible, pa.int64())], ["page_id", "url", "text", "n_repeated", "n_visible"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run_group, f"page_id {kind}, url string, text string, n_repeated long, n_visible long")
+    return marked.select("page_id", "url", "host", "text", "verdicts", "keys").mapInArrow(decide, f"page_id {kind}, url string, text string, n_repeated long, n_visible long")
 
 
 def text_digest(pages: DataFrame) -> DataFrame:

@@ -53,3 +53,30 @@ def test_articles_of_the_table(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         parts = (re.sub(r"\s+", " ", entities.unescape(re.sub(r"</?b>|<br>", " ", x))).strip() for x in re.split(r"</?(?:p|h1)>", article))
         assert got[r.page_id] == "\n".join(x for x in parts if x)
+
+
+def test_copies_of_a_page_repeat_nothing(spark):
+    words = " ".join(f"own{i}" for i in range(40))
+    rows = [(i, "http://c.example/", f"<body><p>{words}</p></body>") for i in (1, 1, 2)]
+    got = h.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r.text, r.n_repeated) for r in got] == [(words, 0)] * 3
+
+
+def test_whole_host_decides_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    menu = " ".join(f"menu{i}" for i in range(30))
+    own = [" ".join(map(str, rng.integers(0, 10**6, 30_000))) for _ in range(3)] + ["a few words only", "some other words"]
+    rows = [(i, "http://big.example/", f"<body><div>{menu}</div><p>{x}</p></body>") for i, x in enumerate(own)]
+    pages = spark.createDataFrame([*rows, rows[-1], (9, "http://x.example/", rows[0][2])], "page_id long, url string, html string")
+    for limit in (h.FILTER_LIMIT, 0):
+        monkeypatch.setattr(h, "FILTER_LIMIT", limit)
+        got = sorted((r.page_id, r.text, r.n_repeated) for r in h.extract_pages(pages).collect())
+        assert got == sorted([(i, x, 30) for i, x in enumerate(own)] + [(4, own[4], 30), (9, f"{menu}\n{own[0]}", 0)])
+
+
+def test_marks_equal_suffix_arrays(spark):
+    rng = np.random.default_rng(6)
+    pages = [" ".join(str(x) for x in rng.integers(0, 3, n)) for n in (40, 2, 60, 30)]
+    got = h.extract_pages(spark.createDataFrame([(i, "", f"<p>{x}</p>") for i, x in enumerate(pages)], "page_id long, url string, html string"), run=5).collect()
+    want = [int(x.sum()) for x in h.repeated_words([x.split(" ") for x in pages], 5)]
+    assert [r.n_repeated for r in sorted(got, key=lambda r: r.page_id)] == want and sum(want)
