@@ -26,6 +26,8 @@ from .common import durable
 from .components import connected
 
 PIVOTS, BLOCK, EDGE = 64, 2048, 1e-9
+#: More than the rounding error of a squared distance of unit vectors.
+ROUNDING = 1e-12
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -58,6 +60,15 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
 
 
+def _apart(units: list[bytes]) -> np.ndarray:
+    """The vectors without those that rounding hardly tells from an earlier one (scaled copies)."""
+    kept: list[np.ndarray] = []
+    for x in (np.frombuffer(u, np.float64) for u in dict.fromkeys(units)):
+        if not kept or ((np.stack(kept) - x) ** 2).sum(1).min() > ROUNDING:
+            kept.append(x)
+    return np.stack(kept)
+
+
 def dealt(reps: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> DataFrame:
     """size, cell, home, id, unit: each representative in its own cell (home) and in each cell whose members it may reach."""
 
@@ -72,9 +83,9 @@ def dealt(reps: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> Data
                 d, between = _distances(x, p), _distances(p, p)
                 own = d.argmin(1)
                 near = d[np.arange(len(x)), own]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    border = (d**2 - near[:, None] ** 2) / (2 * between[own])
-                meets = np.where(between[own] > 0, border <= radius + EDGE, False)
+                # multiplied out, with all rounding errors in favour of meeting: pivots may be (nearly) equal
+                apart = np.sqrt(between**2 + ROUNDING)
+                meets = d**2 - near[:, None] ** 2 <= 2 * apart[own] * (radius + EDGE) + ROUNDING
                 meets[np.arange(len(x)), own] = True
                 row, cell = np.nonzero(meets)
                 yield pa.RecordBatch.from_arrays(
@@ -120,7 +131,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, n_pivots: int = PIVOTS
     picked: dict[int, list] = {}
     for r in first_of_size.collect() + sample.select("size", "unit").collect():
         picked.setdefault(r["size"], []).append(bytes(r["unit"]))
-    pivots = {size: np.stack([np.frombuffer(u, np.float64) for u in dict.fromkeys(us)]) for size, us in picked.items()}
+    pivots = {size: _apart(us) for size, us in picked.items()}
 
     met = durable(dealt(reps, pivots, radius).join(reps.select("id", "size", "copies"), ["id", "size"]), "cells")
     cells = met.groupBy("size", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"), F.max(F.when(F.col("home"), F.col("near"))).alias("reach"))

@@ -21,3 +21,21 @@ def test_empty_null_and_repeated_ids(spark):
     assert m.near_vectors(spark.createDataFrame([], kind)).count() == 0
     got = m.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], kind)).collect()
     assert sorted((r.vec_id or -1, r.component_id, r.kept) for r in got) == [(-1, None, True), (1, 1, True), (1, 1, True), (2, 2, True)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_scaled_copies_as_pivots(spark, kind):
+    rng = np.random.default_rng(4)
+    one, far = rng.normal(size=(2, 64))
+    rows = [(i, [float(x) for x in one * rng.uniform(0.1, 10)]) for i in range(600)] + [(1000 + i, [float(x) for x in far * rng.uniform(0.1, 10)]) for i in range(5)]
+    got = m.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), n_pivots=21).collect()
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 1000} == {(599, 0)}
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id >= 1000} == {(4, 1000)}
+
+
+def test_copies_meet_in_each_others_cells_without_merging(spark):
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=64)
+    x = np.stack([m._matrix(m.pa.array([(v / np.sqrt(v @ v)).tobytes()]))[0] for v in (one * rng.uniform(0.1, 10, (40, 1)))])
+    reps = spark.createDataFrame([(i, 64, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, size int, unit binary")
+    assert m.dealt(reps, {64: x[:9]}, 0.4).count() == 40 * 9
