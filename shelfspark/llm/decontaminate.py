@@ -6,8 +6,11 @@ items. Hits of one item on one alignment (document position minus item position)
 RUN words (or the whole of a shorter item) and the slots agree: each value of the item stands for one value of the document, so copies
 with other numbers or names are caught, and chance templates are not.
 
-Windows in which more than half of the words are placeholders are not evidence. Items of fewer than SHORTEST words are not searched for;
-items shorter than a window are one window of their own length.
+Whether a capital makes a name depends on the sentence around it, so verbatim copies are also found without types: windows of RUN literal
+words (or the whole of a shorter item), lower-cased and without punctuation, are joined in the same way. A leak is what either way finds.
+
+Template windows in which more than half of the words are placeholders are not evidence. Items of fewer than SHORTEST words are not searched for;
+items shorter than a window are one window of their own length. Literal matches have no slots.
 
 Before the join, documents drop windows whose hash is not in the benchmark if its hashes number at most FILTER_LIMIT (they are then sent to
 every task); a larger benchmark joins with all windows. Both ways give the same rows.
@@ -31,6 +34,7 @@ from .words import Words, _words, chunks, span_hashes, window_hashes, _BYTES
 
 WINDOW, RUN, SHORTEST = 8, 13, 5
 FILTER_LIMIT = 2_000_000
+_LITERAL = np.uint64(1 << 63)
 # Units that may follow a number.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz gram grams kilogram kilograms ton tons tonne tonnes ml l litre litres liter liters gal gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years k c f degree degrees percent pct usd eur gbp dollar dollars cent cents euro euros pound pounds hz khz mhz ghz kb mb gb tb w kw mw v j kj cal kcal mph kmh kph".split()
 _PUNCT = np.array([b < 128 and not (chr(b).isalnum() or b == 0x20 or 9 <= b <= 13) for b in range(256)])
@@ -47,10 +51,11 @@ _UNIT_HASHES = np.sort(_hash_words(UNITS))
 _NUMBER, _NAME, _UNIT = _hash_words(["<number>", "<name>", "<unit>"])
 
 
-def templates(w: Words) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words of w without punctuation; their template hashes; their slot values (0 where a word is literal)."""
+def templates(w: Words) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of w without punctuation; their template hashes; their slot values (0 where a word is literal); their literal hashes."""
+    none = np.zeros(0, np.uint64)
     if not len(w.starts):
-        return w, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return w, none, none, none
     data = w.data
     offsets = np.concatenate([w.starts, [len(data)]])[np.minimum(w.first, len(w.starts))]  # white space around a text is dropped with it
     kept = np.flatnonzero(~_PUNCT[data])
@@ -61,7 +66,7 @@ def templates(w: Words) -> tuple[Words, np.ndarray, np.ndarray]:
     small[capital] += 0x20
     t = _words(small, np.searchsorted(kept, offsets), w.rows)
     if not len(t.starts):
-        return t, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return t, none, none, none
     value = span_hashes(small + np.uint64(1), t.starts, t.ends, _BYTES)
     at = kept[t.starts]
     upper = ((data[at] >= 65) & (data[at] <= 90)) | np.isin(t.starts + 1, capital)
@@ -76,38 +81,41 @@ def templates(w: Words) -> tuple[Words, np.ndarray, np.ndarray]:
     unit[t.first[:-1][t.counts > 0]] = False
     name = upper & ~opens & ~number & ~unit & (t.ends - t.starts > 1)
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return t, template, np.where(number | unit | name, value, np.uint64(0))
+    return t, template, np.where(number | unit | name, value, np.uint64(0)), value
 
 
-def template_windows(rows: DataFrame, lengths: list[int] | None = None, only: np.ndarray | None = None) -> DataFrame:
-    """hash, id, row, at, n (words), words (of the text), slots: template windows of rows (id, row, text).
+def template_windows(rows: DataFrame, lengths: list[tuple[bool, int]] | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """hash, id, row, literal, at, n (words), words (of the text), slots: template and literal windows of rows (id, row, text).
 
-    Windows have WINDOW words and each of lengths; without lengths, a text shorter than WINDOW is one window. only: sorted hashes to keep.
+    Windows have WINDOW words (literal ones RUN) and each of lengths (literal, words); without lengths, a shorter text is one window of its
+    kind. only: sorted hashes to keep.
     """
+    full = {False: WINDOW, True: RUN}
+    sizes = [*full.items(), *(lengths if lengths is not None else ((kind, k) for kind in full for k in range(SHORTEST, full[kind])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in chunks(batch.column(2)):
-                t, template, slots = templates(w)
-                literal = np.concatenate([[0], np.cumsum(slots == 0)])
-                for k in [WINDOW, *(lengths if lengths is not None else range(SHORTEST, WINDOW))]:
+                t, template, slots, value = templates(w)
+                plain = np.concatenate([[0], np.cumsum(slots == 0)])
+                for literal, k in sizes:
                     at, of = t.windows(k)
-                    keep = 2 * (literal[at + k] - literal[at]) >= k
-                    if lengths is None and k < WINDOW:
+                    keep = np.ones(len(at), bool) if literal else 2 * (plain[at + k] - plain[at]) >= k
+                    if lengths is None and k < full[literal]:
                         keep &= t.counts[of] == k
-                    h = window_hashes(template, at, k) ^ np.uint64(k)
+                    h = window_hashes(value, at, k) ^ np.uint64(k) ^ _LITERAL if literal else window_hashes(template, at, k) ^ np.uint64(k)
                     if only is not None:
                         keep &= only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h if len(only) else False
                     i = np.flatnonzero(keep)
                     if len(i):
                         row = pa.array(t.rows[of[i]])
-                        packed = [slots[a : a + k].tobytes() for a in at[i].tolist()]
+                        packed = [b"" if literal else slots[a : a + k].tobytes() for a in at[i].tolist()]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(h[i].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(at[i] - t.first[of[i]]), pa.array(np.full(len(i), k, np.int64)), pa.array(t.counts[of[i]]), pa.array(packed, pa.binary())],
-                            ["hash", "id", "row", "at", "n", "words", "slots"],
+                            [pa.array(h[i].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(len(i), literal)), pa.array(at[i] - t.first[of[i]]), pa.array(np.full(len(i), k, np.int64)), pa.array(t.counts[of[i]]), pa.array(packed, pa.binary())],
+                            ["hash", "id", "row", "literal", "at", "n", "words", "slots"],
                         )
 
-    return rows.mapInArrow(run, "hash long, id long, row long, at long, n long, words long, slots binary")
+    return rows.mapInArrow(run, "hash long, id long, row long, literal boolean, at long, n long, words long, slots binary")
 
 
 def _judge(hits: pd.Series) -> pd.DataFrame:
@@ -143,13 +151,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = durable(template_windows(items), "windows")
     hashes = [r[0] for r in known.select("hash").distinct().limit(FILTER_LIMIT + 1).toLocalIterator()]
     only = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= FILTER_LIMIT else None
-    lengths = [r[0] for r in known.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # at most WINDOW - SHORTEST values
+    short = F.col("n") < F.when(F.col("literal"), RUN).otherwise(WINDOW)
+    lengths = [(r[0], r[1]) for r in known.where(short).select("literal", "n").distinct().collect()]  # at most WINDOW + RUN - 2 * SHORTEST values
     shared = spark.sparkContext.broadcast(only)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     found = template_windows(rows, lengths, shared.value)
-    theirs = known.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", F.col("words").alias("item_words"), F.col("slots").alias("theirs"))
-    hits = found.select("hash", F.col("id").alias("doc_id"), "row", "at", F.col("slots").alias("ours")).join(theirs, "hash")
-    matches = hits.groupBy("doc_id", "row", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    theirs = known.select("hash", "literal", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", F.col("words").alias("item_words"), F.col("slots").alias("theirs"))
+    hits = found.select("hash", "literal", F.col("id").alias("doc_id"), "row", "at", F.col("slots").alias("ours")).join(theirs, ["hash", "literal"])
+    matches = hits.groupBy("doc_id", "row", "item_id", "item_words", "literal", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_list(F.struct(F.col("item_at").alias("at"), "n", "theirs", "ours")).alias("hits")
     )
     judged = matches.select("doc_id", "item_id", "item_words", F.pandas_udf(_judge, "covered long, slots long, changed long, consistent boolean")("hits").alias("j")).where(F.col("j.covered") >= F.least(F.lit(RUN), F.col("item_words")))

@@ -52,3 +52,10 @@ def test_all_planted_thirteen_grams_are_found(spark):
         want |= {(r.doc_id, i) for k in range(len(w) - 19) for i in grams.get(tuple(w[k : k + 20]), ())}
     got = {(r.doc_id, r.item_id) for r in d.leaks(docs, bench).collect()}
     assert want and want <= got
+
+
+def test_verbatim_words_in_another_setting(spark):
+    bench = [(1, "What does Ada Lovelace write in London today"), (2, "The Nile is long. Paris is old. Rome is warm. Oslo is cold. Lima is grey. Bonn is calm now"), (3, "Tom Ann Bob Eve Sue")]
+    one, two, three = (t for _, t in bench)
+    rows = [(1, f"Question: {one}"), (2, f'so "{one}" he said'), (3, two.replace(".", "")), (4, two.upper()), (5, two.title()), (6, two.replace(" Oslo", "\nOslo").replace(" is", "\nis")), (7, f"x - {three}, y"), (8, "What does Ada Lovelace write in Paris"), (9, two[:40])]
+    assert set(leaks(spark, rows, bench)) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 3)}
