@@ -20,32 +20,38 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir
+from .words import slices
 
 BLOCK = 65_536
-CACHE = 1_400_000  # words whose ids a Python worker remembers
+CACHE = 800_000  # pieces whose ids a Python worker remembers: about 200 bytes each
+CHUNK = 6_000_000  # bytes of text that a task encodes at once
 SCHEMA = "part int, block int, n long, planes array<binary>, docs array<struct<ord:long,doc_id:long,at:long,n:long>>"
 #: White space other than space and newline, and control characters that libraries class differently.
-_ODD_SPACE = frozenset(c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or ord(c) < 32 or 127 <= ord(c) < 161))
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+_ODD_SPACE = "".join(c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or ord(c) < 32 or 127 <= ord(c) < 161))
+_ODD = "  | \n|\n |\n\n|[ \n]$|[" + "".join(rf"\x{{{ord(c):x}}}" for c in _ODD_SPACE) + "]"
 _loaded: dict = {}
 
 
 class _Encoder:
     """Ids of whole texts. The byte-level pre-tokenizer never joins a non-space to the white space after it, so a text cut before each
     single space or newline encodes piece by piece to the same ids; pieces repeat, so each is encoded once. Texts with runs of white
-    space or with unusual white space are encoded whole."""
+    space or with unusual white space are encoded whole.
+
+    Ids of pieces are kept in two generations: when the young one holds half of CACHE it replaces the old one, and a piece found in the old
+    one moves to the young one, so frequent pieces stay and memory is bounded."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: its string has a character for each byte
         self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -53,33 +59,48 @@ class _Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: list[str], at_once: int = 1000) -> list[bytes]:
+    def encode_pieces(self, pieces: list[str], at_once: int = 50) -> list[bytes]:
         """The ids of pieces that each begin with white space: laid end to end they encode to their own ids, told apart by their bytes."""
-        out = []
         groups = [pieces[i : i + at_once] for i in range(0, len(pieces), at_once)]
-        for group, raw in zip(groups, self.encode(["".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode()) for p in group])
-            cut = 4 * (np.searchsorted(np.cumsum(self.width[np.frombuffer(raw, np.uint32)]), ends) + 1)
-            out += [raw[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
-        return out
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Inside, a piece stands without its leading space; a text's first piece is encoded on its own."""
-        cut, out = [], [b""] * len(texts)
-        for i, t in enumerate(texts):
-            if any(r in t for r in _RUNS) or t[-1:] in (" ", "\n") or not _ODD_SPACE.isdisjoint(t):
-                out[i] = self.encode([t])[0]
-            else:
-                head, *rest = t.replace("\n", " \n").split(" ")
-                cut.append((i, head, rest))
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-        new = list(set().union(*(rest for *_, rest in cut)).difference(self.ids))
-        self.ids.update(zip(new, self.encode_pieces([p if p[0] == "\n" else " " + p for p in new]), strict=True))
-        get = self.ids.__getitem__
-        for (i, _, rest), head in zip(cut, self.encode([head for _, head, _ in cut]), strict=True):
-            out[i] = head + b"".join(map(get, rest))
-        return [np.frombuffer(x, np.uint32) for x in out]
+        raw = b"".join(self.encode(["".join(g) for g in groups]))
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        cut = [0, *(4 * (np.searchsorted(np.cumsum(self.width[np.frombuffer(raw, np.uint32)]), ends) + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, which stand without their leading space."""
+        found = list(map(self.young.get, pieces))
+        lost = [i for i, x in enumerate(found) if x is None]
+        for i in lost:
+            found[i] = self.old.get(pieces[i])
+        new = [pieces[i] for i in lost if found[i] is None]
+        fresh = iter(self.encode_pieces([p if p[:1] == "\n" else " " + p for p in new]))
+        for i in lost:
+            if found[i] is None:
+                found[i] = next(fresh)
+        self.young.update((pieces[i], found[i]) for i in lost)
+        if len(self.young) > CACHE // 2:
+            self.young, self.old = {}, self.young
+        return found
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a string column, end to end, and how many each text (null: empty) has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts)
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        # a text's first piece has no space before it: it (or all of an odd text) is encoded on its own
+        heads = self.encode([t if o else h for t, o, h in zip(texts.to_pylist(), odd.tolist(), pc.list_element(lists, 0).to_pylist(), strict=True)] if odd.any() else pc.list_element(lists, 0).to_pylist())
+        ids = self.known(coded.dictionary.to_pylist()) + heads
+        piece = coded.indices.to_numpy().astype(np.int64)
+        piece[first[:-1]] = len(coded.dictionary) + np.arange(len(heads))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, size = (np.cumsum(size) - size)[piece], size[piece]
+        ends = np.cumsum(size)
+        out = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.diff(np.concatenate([[0], ends])[first])
 
 
 def planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -113,10 +134,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
             return pa.RecordBatch.from_pylist([{"part": part, "block": number, "n": size, "planes": planes(np.concatenate(held), bits), "docs": docs_in}], schema)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
-                for doc_id, x in zip(ids[lo : lo + 256], encoder.batch([t or "" for t in texts[lo : lo + 256].to_pylist()]), strict=True):
-                    x, at = np.append(x, np.uint32(end_id)), 0
+            for rows in slices(batch, 1, CHUNK):
+                flat, counts = encoder.batch(rows.column(1))
+                ends = np.cumsum(counts)
+                for doc_id, a, b in zip(rows.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    x, at = np.append(flat[a:b], np.uint32(end_id)), 0
                     while at < len(x):
                         n = min(block - size, len(x) - at)
                         held.append(x[at : at + n])
@@ -130,8 +152,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
             yield row()
 
     n = partitions(docs.sparkSession)
+    # the start of the text splits a doc_id that many rows have (or null) over several ranges
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.parquet(path))
+        .repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.parquet(path))
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:

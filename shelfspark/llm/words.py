@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,6 +115,16 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Words]:
         a = b
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch at rows into pieces in which a string column has about `size` bytes."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(lengths), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _words(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> Words:
     if not len(data):
         none = np.zeros(0, np.int64)

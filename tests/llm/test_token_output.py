@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zlib
 
@@ -26,7 +29,23 @@ def test_planes_and_crc():
 
 
 def test_pieces_encode_like_whole_texts(spark):
-    texts = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rng = random.Random(3)
+    odd = ["a", "bc ", " ", "\n", "\n\n", "  ", "é", "\t", "12", "'s", "!", ".", "日", "\u3000", "x "]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + [None, ""]
+    encoder = t._Encoder(PATH)
+    for _ in range(2):  # the second time from what is remembered
+        ids, counts = encoder.batch(pa.array(texts))
+        for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert part.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert [len(x) for x in encoder.batch(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_pieces_are_remembered_in_bounded_generations(monkeypatch):
+    monkeypatch.setattr(t, "CACHE", 20)
     encoder = t._Encoder(PATH)
-    for (_, text), ids in zip(texts, encoder.batch([x for _, x in texts]), strict=True):
-        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for i in range(30):
+        words = [f"w{i}", f"v{i}", "the"]
+        ids, counts = encoder.batch(pa.array([" ".join(words)]))
+        assert ids.tolist() == encoder.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        assert len(encoder.young) + len(encoder.old) <= 24
