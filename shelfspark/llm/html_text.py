@@ -1,17 +1,22 @@
-"""Main text of web pages, with boilerplate found by what a host's pages repeat.
+"""Main text of web pages by a host suffix array.
 
-A page is parsed once into blocks of visible text. A stretch of RUN words is repeated if two or more different texts of its host have it; a
-page counts by its article (or, without one, by all its words), so copies and reprints of a page count once and repeat nothing. This is
-counted over whole hosts: first the smallest SUB-word hash of each stretch, and then, where that occurs in two texts, whole stretches by
-64-bit hashes. At most FILTER_LIMIT hashes are sent to every task; with more, all stretches are counted. Both ways give the same rows.
+A page is parsed into blocks of visible text. Each block belongs to a region: the chain of container elements, with their classes, that it
+stands in (`body/nav.menu`, `body/article`). The token streams of a host's pages are laid end to end, region by region, and their suffixes
+are sorted; neighbours that share RUN words (or all of a shorter region) and come from distinct pages are repeats. Pages with the same main
+region count as one page, so copies and reprints repeat nothing.
 
-Repeats alone cannot give the main text here: menus and adverts differ from page to page, while articles are reprinted. So structure decides
-where it can: text inside an article or main element is kept, text of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments goes. Repeats decide the rest: of a page without article or main element, the words outside of repeated stretches are
-kept, or all of them if nothing else were left. Different texts that quote one passage are not told from pages with one menu.
+What repeats cover decides regions, on every page: on each host, and for regions that are rare there over all hosts, the share of a region's
+suffixes that repeat is held against that of the main region (the one with most suffixes that do not). Markedly above it, the region is
+boilerplate and goes; a region with much text that hardly repeats is unique and stays; the main region stays. Only ties (too little text to
+tell, or in between) are broken by structure: names of page furniture go, article and main stay, others stay on pages without these. A region
+goes or stays whole, so a passage that two articles quote is not lost. Forms, scripts, styles and reader comments are no text of a page by
+its markup: no repeats are needed to drop them.
 
-Defined cases: null html is an empty page; a page without visible text gives an empty text; a null url belongs to the empty host; repeated
-rows are separate pages with equal results; an empty table gives no rows; other columns are ignored.
+A host of up to HOST_BYTES of html is one suffix array in one task. A larger host has its suffixes, cut to RUN words and combined in each
+task, partitioned by hash instead, so that equal ones still meet; both ways count the same repeats. Counts are one row a host and region.
+
+Defined cases: null html is an empty page; a page without visible text, or with boilerplate alone, gives an empty text; a null url belongs
+to the empty host; repeated rows are separate pages with equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,36 +34,44 @@ from pyspark.sql import functions as F
 from .common import durable
 from .words import chunks, mix, window_hashes
 
-RUN, SUB = 24, 8
-FILTER_LIMIT = 2_000_000
-# Element and class names of page furniture.
-DROP = frozenset("nav header footer aside form script style noscript template iframe svg math canvas object button select textarea dialog menu head title".split())
+RUN, HOST_BYTES = 8, 16_000_000
+#: Suffixes that a host needs to judge a region by itself; repeats that make boilerplate; their least share, and times the main region's.
+ENOUGH, FEWEST, LEAST, TIMES = 200, 5, 0.05, 3.0
+#: Suffixes that make a region unique if hardly any (this share) repeat.
+MANY, HARDLY = 1000, 0.01
+LONG = 300  # characters of a region's name, beyond which a hash stands for it
+# Elements and class names.
+HIDDEN = frozenset("form script style noscript template iframe svg math canvas object button select textarea dialog head title".split())
+COMMENTS = frozenset("comment comments comment-list commentlist replies disqus".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+CONTAINERS = frozenset("body main article section nav aside header footer div menu table details".split())
 MAIN = frozenset(("article", "main"))
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "header masthead footer comment comments comment-list commentlist replies disqus cookie cookies cookie-banner consent gdpr notice notices notification alert popup "
+    "nav header footer aside menu ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar navbar navigation breadcrumb breadcrumbs "
+    "masthead cookie cookies cookie-banner consent gdpr notice notices notification alert popup "
     "modal overlay newsletter subscribe subscription share sharing social related recommended widget toolbar pagination pager skip-link".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar".split())
 _SPACE = re.compile(r"\s+")
 
 
 class _Blocks(HTMLParser):
-    """Collects (text, verdict) blocks: verdict 1 in the article, 0 open, and nothing for furniture."""
+    """Collects (region, text) blocks and, of each region, the kind that its names tell: 1 main text, -1 furniture, 0 open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # element, dropped, inside main
+        self.open: list[tuple[str, str, int, bool]] = []  # element, region, kind, hidden
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, int]] = []
-        self.verdict = 0
+        self.blocks: list[tuple[str, str]] = []
+        self.kinds: dict[str, int] = {}
+        self.at = ("", 0)
 
     def close_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.verdict))
+            self.blocks.append((self.at[0], text))
+            self.kinds[self.at[0]] = self.at[1]
         self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -69,13 +81,21 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, dropped, main = self.open[-1] if self.open else ("", False, False)
-        if not dropped:
+        _, region, kind, hidden = self.open[-1] if self.open else ("", "", 0, False)
+        if not hidden:
             a = dict(attrs)
-            words = f"{a.get('class') or ''} {a.get('id') or ''}".lower().split()
-            dropped = tag in DROP or (a.get("role") or "").lower() in ROLES or "hidden" in a or any(w in FURNITURE for w in words)
-            dropped = dropped and tag not in ("html", "body")
-        self.open.append((tag, dropped, main or tag in MAIN or (dict(attrs).get("role") or "").lower() == "main"))
+            role, names = (a.get("role") or "").lower(), f"{a.get('class') or ''} {a.get('id') or ''}".lower().split()
+            hidden = tag in HIDDEN or "hidden" in a or role in ("form", "dialog") or any(n in COMMENTS for n in names)
+            was, furniture = kind, tag in FURNITURE or role in ROLES or any(n in FURNITURE for n in names)
+            if tag not in ("html", "body") and kind >= 0:
+                kind = -1 if furniture else 1 if tag in MAIN or role == "main" else kind
+            if tag in INLINE:
+                hidden, kind = hidden or kind < was, was
+            elif tag in CONTAINERS or kind != was:
+                region = f"{region}/{'.'.join((tag, *(a.get('class') or '').lower().split()))}"
+                if len(region) > LONG:
+                    region = blake2b(region.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        self.open.append((tag, region, kind, hidden))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -90,178 +110,202 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        _, dropped, main = self.open[-1] if self.open else ("", False, False)
-        if not dropped:
-            if self.verdict != int(main):
+        _, region, kind, hidden = self.open[-1] if self.open else ("", "", 0, False)
+        if not hidden:
+            if self.at[0] != region:
                 self.close_block()
-                self.verdict = int(main)
+            self.at = (region, kind)
             self.parts.append(data)
 
 
-def blocks(html: str) -> list[tuple[str, int]]:
+def blocks(html: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.close_block()
-    return parser.blocks
+    return parser.blocks, parser.kinds
+
 
+def regions(html: str) -> tuple[dict[str, list[str]], int]:
+    """The texts of each region of a page, and a hash of its longest region, by which pages are told apart."""
+    out: dict[str, list[str]] = {}
+    for region, text in blocks(html)[0]:
+        out.setdefault(region, []).append(text)
+    most = max(("\n".join(x) for x in out.values()), key=len, default="")
+    return out, int.from_bytes(blake2b(most.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def repeated_words(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each page (its words), marks of the words inside a stretch of `run` words that another page has too.
 
-    Suffixes are sorted by their first `run` words: ranks of stretches of 1, 2, 4, ... words double by pairing, and a last pairing with
-    overlap reaches `run`. Suffixes of one rank are the repeats; a rank held by two pages marks all its places. For tests, and hosts in memory.
+def suffix_order(token: np.ndarray, ends: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order of their first `run` tokens, LCP of each with the one before it, at most `run`) of streams laid end to end.
+
+    ends: the end of each token's stream; a suffix ends with its stream. Ranks of 1, 2, 4, ... tokens double by pairing, as in prefix
+    doubling; the end of a stream ranks before all tokens.
+    """
+    n = len(token)
+    rank, have = np.unique(token, return_inverse=True)[1].astype(np.int64) + 1, 1
+    ranks = [(1, rank)]
+    at = np.arange(n)
+    while have < run:
+        step = min(have, run - have)
+        behind = np.where(at + step < ends, rank[np.minimum(at + step, n - 1)], 0)
+        rank = np.unique(rank * (n + 2) + behind, return_inverse=True)[1].astype(np.int64) + 1
+        have += step
+        ranks.append((have, rank))
+    order = np.argsort(rank, kind="stable")
+    lcp = np.zeros(n, np.int64)
+    if n:
+        left = np.minimum(ends - at, run)
+        for length, r in ranks:  # the deepest ranks that agree; a whole shorter suffix agrees over its length
+            same = np.concatenate([[False], r[order][1:] == r[order][:-1]])
+            lcp = np.where(same, np.minimum(length, left[order]), lcp)
+    return order, lcp
+
+
+def repeated(token: np.ndarray, stream: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Marks of the suffixes whose first `run` tokens (all of a shorter stream) another page (by `page`, one number a token) has too.
+
+    Only suffixes with `run` tokens left count, and the whole of shorter streams; others are never marked.
     """
-    sizes = [len(p) for p in pages]
-    n = sum(sizes)
-    page = np.repeat(np.arange(len(pages)), sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    marks = np.zeros(n + 1, np.int64)
-    if n >= run:
-        rank = pd.factorize(np.array([w for p in pages for w in p], object))[0].astype(np.int64)
-        have = 1
-        while have < run:
-            step = min(have, run - have)
-            key = rank[: len(rank) - step] * (n + 1) + rank[step:]
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            have += step
-        at = np.arange(len(rank))
-        at = at[page[at] == page[at + run - 1]]  # stretches inside one page
-        order = at[np.lexsort((page[at], rank[at]))]
-        r, p = rank[order], page[order]
-        if len(order):
-            head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            shared = np.minimum.reduceat(p, head) != np.maximum.reduceat(p, head)
-            hit = order[np.repeat(shared, np.diff(np.append(head, len(order))))]
-            np.add.at(marks, hit, 1)
-            np.add.at(marks, hit + run, -1)
-    covered = np.cumsum(marks[:-1]) > 0
-    return [covered[a:b] for a, b in zip(first, first[1:], strict=False)]
+    n = len(token)
+    if not n:
+        return np.zeros(0, bool)
+    last = np.concatenate([stream[1:] != stream[:-1], [True]])
+    ends = np.flatnonzero(last)[np.cumsum(last) - last] + 1
+    order, lcp = suffix_order(token, ends, run)
+    need = np.minimum(ends - np.arange(n), run)[order]
+    group = np.cumsum(~((lcp >= need) & np.concatenate([[False], need[1:] == need[:-1]])))
+    some = counted(stream, run)[order]  # tails of streams are in order too, but only others count
+    order, group = order[some], group[some]
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    p = page[order]
+    two = np.minimum.reduceat(p, head) != np.maximum.reduceat(p, head)
+    out = np.zeros(n, bool)
+    out[order] = np.repeat(two, np.diff(np.append(head, len(order))))
+    return out
+
+
+def counted(stream: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Marks of the suffixes that count: `run` tokens are left of their stream, or it is shorter and they are all of it."""
+    n = len(stream)
+    if not n:
+        return np.zeros(0, bool)
+    first = np.concatenate([[True], stream[1:] != stream[:-1]])
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, n))
+    place = np.arange(n) - np.repeat(begin, size)
+    return place <= np.repeat(np.maximum(size - run, 0), size)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host (a hash), text (the blocks, one a line), verdicts (a byte a block), said (a hash of the host and what the page
-    counts by), row (a hash of host and text)."""
+def _region_rows(pages: DataFrame) -> DataFrame:
+    """host, region (a hash), page (a hash), text: the regions of each page (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, verdicts, said = [], [], []
-            for name, html in zip(batch["name"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                found = blocks(html or "")
-                main = any(v for _, v in found)
-                own = " ".join(t for t, v in found if v or not main)
-                texts.append("\n".join(t for t, _ in found))
-                verdicts.append(bytes(v for _, v in found))
-                said.append(int.from_bytes(blake2b(f"{name}\0{own}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch["page_id"], batch["url"], batch["host"], pa.array(texts, pa.string()), pa.array(verdicts, pa.binary()), pa.array(said, pa.int64())], ["page_id", "url", "host", "text", "verdicts", "said"]
-            )
-
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("name")).withColumn("host", F.xxhash64("name"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, host long, text string, verdicts binary, said long").withColumn("row", F.xxhash64("host", "text"))
-
-
-def _stretches(column: pa.Array, hosts: np.ndarray, run: int, smallest: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each stretch of `run` words of the texts of a column: its text's place in the column, its hash and its smallest SUB-word hash, both
-    of them with the host's."""
-    for w in chunks(column):
-        at, of = w.windows(run)
-        if len(at):
-            words, sub = w.hashes(lower=False), min(SUB, run)
-            place = w.rows[of]
-            salt = mix(hosts[place].view(np.uint64))
-            low = np.zeros(0, np.uint64)
-            if smallest:
-                low = window_hashes(words, np.arange(len(words) - sub + 1), sub)
-                low = np.lib.stride_tricks.sliding_window_view(low, run - sub + 1)[at].min(1) ^ salt
-            yield place, window_hashes(words, at, run) ^ salt, low
-
-
-def _in_two(places: DataFrame) -> DataFrame:
-    return places.groupBy("key").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b").select("key")
-
-
-def repeats(texts: DataFrame, run: int = RUN) -> DataFrame:
-    """row, keys: the hashes of the stretches of a text (of parsed pages) that another text of its host has too."""
-    spark = texts.sparkSession
-
-    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = batch["said"].to_numpy()
-            for place, _, low in _stretches(batch["text"], batch["host"].to_numpy(), run):
-                new = np.ones(len(low), bool)
-                new[1:] = (low[1:] != low[:-1]) | (place[1:] != place[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(said[place[new]])], ["key", "said"])
-
-    shared = durable(_in_two(texts.select("host", "said", "text").mapInArrow(census, "key long, said long")), "census")
-    keys = [r[0] for r in shared.limit(FILTER_LIMIT + 1).toLocalIterator()]
-    only = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(np.uint64)) if len(keys) <= FILTER_LIMIT else None)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = only.value
+            row, names, said, texts = [], [], [], []
+            for i, html in enumerate(batch["html"].to_pylist()):
+                found, page = regions(html or "")
+                for name, x in found.items():
+                    row.append(i)
+                    names.append(name)
+                    said.append(page)
+                    texts.append("\n".join(x))
+            yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(row, pa.int64())), pa.array(names, pa.string()), pa.array(said, pa.int64()), pa.array(texts, pa.string())], ["host", "region", "page", "text"])
+
+    rows = pages.select("host", "html").mapInArrow(run, "host string, region string, page long, text string")
+    return rows.select(F.xxhash64("host").alias("host"), "region", "page", "text")
+
+
+def _streams(table: pa.Table) -> Iterator[tuple]:
+    """(words, stream, page, region) of a table of regions, chunk by chunk; one number a word, salted by region."""
+    coded = table["region"].combine_chunks().dictionary_encode()
+    salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    page = table["page"].to_numpy()
+    for w in chunks(table["text"].combine_chunks(), 1 << 40):
+        stream = np.repeat(w.rows, w.counts)
+        yield w, mix(w.hashes(lower=False) ^ salt[stream]), stream, page[stream]
+
+
+def _counts(table: pa.Table, run: int) -> pa.Table:
+    """host, region, suffixes, repeats of one host's regions, by one suffix array."""
+    host, names = table["host"][0], np.array(table["region"].to_pylist(), object)
+    kinds, of = np.unique(names, return_inverse=True)
+    all_, hit = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    for _, token, stream, page in _streams(table):
+        marks = counted(stream, run)
+        all_ += np.bincount(of[stream[marks]], minlength=len(kinds))
+        hit += np.bincount(of[stream[repeated(token, stream, page, run)]], minlength=len(kinds))
+    return pa.table({"host": pa.array([host.as_py()] * len(kinds), pa.int64()), "region": pa.array(kinds, pa.string()), "suffixes": all_, "repeats": hit})
+
+
+def repeats(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES) -> DataFrame:
+    """host, region, suffixes, repeats: of each region on each host of pages (host, html), its suffixes and those that distinct pages share."""
+    sizes = durable(pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size")), "hosts")
+    large = sizes.where(F.col("size") > host_bytes).select("host")
+    whole = _region_rows(pages.join(large, "host", "left_anti")).groupBy("host").applyInArrow(lambda t: _counts(t, run), "host long, region string, suffixes long, repeats long")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Suffixes cut to `run` words, as hashes."""
         for batch in batches:
-            said, row = batch["said"].to_numpy(), batch["row"].to_numpy()
-            for place, key, low in _stretches(batch["text"], batch["host"].to_numpy(), run, known is not None):
-                if known is not None:
-                    near = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low if len(known) else np.zeros(len(low), bool)
-                    place, key = place[near], key[near]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(said[place]), pa.array(row[place])], ["key", "said", "row"])
-
-    places = durable(texts.select("host", "said", "row", "text").mapInArrow(full, "key long, said long, row long"), "stretches")
-    return places.select("key", "row").join(_in_two(places), "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
-
-
-def _covered(text: str, host: int, keys: np.ndarray, run: int) -> np.ndarray:
-    """Marks of the words of a text inside stretches whose hashes are in keys."""
-    marks = np.zeros(text.count(" ") + text.count("\n") + 2, np.int64)
-    for _, key, _ in _stretches(pa.array([text], pa.string()), np.array([host], np.int64), run, False):
-        hit = np.flatnonzero(np.isin(key.view(np.int64), keys))  # one text: stretch i begins at word i
-        np.add.at(marks, hit, 1)
-        np.add.at(marks, hit + run, -1)
-    return np.cumsum(marks[:-1]) > 0
-
-
-def main_text(found: list[str], verdicts: bytes, covered: list[bool] | None) -> str:
-    if any(verdicts):
-        return "\n".join(t for t, v in zip(found, verdicts, strict=True) if v)
-    if covered is None or all(covered):
-        return "\n".join(found)
-    kept, at = [], 0
-    for text in found:
-        words = text.split(" ")
-        fresh = [w for w, c in zip(words, covered[at : at + len(words)], strict=True) if not c]
-        if fresh:
-            kept.append(" ".join(fresh))
-        at += len(words)
-    return "\n".join(kept)
-
-
-def extract_pages(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """page_id, url, text, n_repeated (words in stretches that other texts of the host have), n_visible (words of the page) for each row of
-    pages (page_id, url, html)."""
-    texts = durable(parsed(pages), "parsed")
-    # a written table, so that the join may broadcast it by its size or else split a text of many copies
-    marked = texts.join(durable(repeats(texts, run), "repeats"), "row", "left")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches([batch])
+            for w, token, stream, page in _streams(table):
+                at = np.flatnonzero(counted(stream, run))
+                ends = np.cumsum(w.counts)[stream[at]]
+                key = window_hashes(token, at, np.minimum(ends - at, run))
+                row = pa.array(stream[at])
+                yield pa.RecordBatch.from_arrays([batch["host"].take(row), batch["region"].take(row), pa.array(key.view(np.int64)), pa.array(page[at])], ["host", "region", "key", "page"])
+
+    keys = _region_rows(pages.join(large, "host", "left_semi")).mapInArrow(cut, "host long, region string, key long, page long")
+    met = keys.groupBy("host", "region", "key").agg(F.count("*").alias("n"), F.min("page").alias("a"), F.max("page").alias("b"))
+    hot = met.groupBy("host", "region").agg(F.sum("n").alias("suffixes"), F.sum(F.when(F.col("a") != F.col("b"), F.col("n")).otherwise(0)).alias("repeats"))
+    return whole.union(hot)
+
+
+def decide(found: DataFrame) -> DataFrame:
+    """host, kept, dropped: the regions of each host that repeats decide, from (host, region, suffixes, repeats); others are ties."""
+    found = durable(found, "repeats")
+    share, unique = F.col("repeats") / F.greatest("suffixes", F.lit(1)), F.col("suffixes") - F.col("repeats")
+    main = lambda df, *by: df.groupBy(*by).agg(F.max_by("region", F.struct(unique, "region")).alias("main"), F.max_by(share, F.struct(unique, "region")).alias("base"))
+
+    def verdict(enough: int) -> Column:
+        tells = F.col("suffixes") >= enough
+        boilerplate = (F.col("repeats") >= FEWEST) & (share >= F.greatest(F.lit(LEAST), F.lit(TIMES) * F.col("base")))
+        return F.when(tells & (F.col("region") == F.col("main")), 1).when(tells & boilerplate, -1).when(tells & (F.col("suffixes") >= MANY) & (share < HARDLY), 1)
+
+    own = found.join(main(found, "host"), "host").select("host", "region", verdict(ENOUGH).alias("own"))
+    pooled = found.groupBy("region").agg(F.sum("suffixes").alias("suffixes"), F.sum("repeats").alias("repeats"))
+    top = main(pooled).select("main", "base").first()  # one row
+    pooled = pooled.select("*", F.lit(top["main"]).alias("main"), F.lit(top["base"]).alias("base")).select("region", verdict(ENOUGH).alias("pooled"))
+    both = own.join(pooled, "region").select("host", "region", F.coalesce("own", "pooled").alias("verdict")).where("verdict IS NOT NULL")
+    return both.groupBy("host").agg(F.collect_set(F.when(F.col("verdict") == 1, F.col("region"))).alias("kept"), F.collect_set(F.when(F.col("verdict") == -1, F.col("region"))).alias("dropped"))
+
+
+def main_text(html: str, kept: set[str], dropped: set[str]) -> tuple[str, int, int]:
+    """(text, blocks that repeats decided, blocks) of a page."""
+    found, kinds = blocks(html)
+    has_main = any(r not in dropped and (r in kept or kinds[r] == 1) for r, _ in found)
+    by_name = lambda r: kinds[r] == 1 or (kinds[r] == 0 and not has_main)
+    return "\n".join(t for r, t in found if r in kept or (r not in dropped and by_name(r))), sum(r in kept or r in dropped for r, _ in found), len(found)
+
+
+def extract_pages(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES) -> DataFrame:
+    """page_id, url, text, n_decided (blocks that repeats decided), n_blocks for each row of pages (page_id, url, html)."""
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
+    decided = durable(decide(repeats(rows.select("host", "html"), run, host_bytes)), "regions")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, repeated, visible = [], [], []
-            for host, text, verdicts, keys in zip(*(batch[c].to_pylist() for c in ("host", "text", "verdicts", "keys")), strict=True):
-                found = text.split("\n") if verdicts else []
-                covered = _covered(text, host, np.array(keys, np.int64), run) if keys else None
-                out.append(main_text(found, verdicts, covered.tolist() if keys else None))
-                repeated.append(int(covered.sum()) if keys else 0)
-                visible.append(text.count(" ") + text.count("\n") + 1 if verdicts else 0)
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array(repeated, pa.int64()), pa.array(visible, pa.int64())], ["page_id", "url", "text", "n_repeated", "n_visible"])
+            out = [main_text(h or "", set(k or ()), set(d or ())) for h, k, d in zip(*(batch[c].to_pylist() for c in ("html", "kept", "dropped")), strict=True)]
+            text, n, m = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["page_id", "url", "text", "n_decided", "n_blocks"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return marked.select("page_id", "url", "host", "text", "verdicts", "keys").mapInArrow(decide, f"page_id {kind}, url string, text string, n_repeated long, n_visible long")
+    named = rows.withColumn("host", F.xxhash64("host")).join(decided, "host", "left")
+    return named.select("page_id", "url", "html", "kept", "dropped").mapInArrow(extract, f"page_id {kind}, url string, text string, n_decided long, n_blocks long")
 
 
 def text_digest(pages: DataFrame) -> DataFrame:
-    return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "n_visible")
+    return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_decided", "n_blocks")
