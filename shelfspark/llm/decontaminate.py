@@ -2,9 +2,10 @@
 
 Words are lower-cased and stripped of punctuation; numbers, units after numbers, and names (capitalised inside a sentence) become typed
 placeholders whose values are kept aside as slots. Windows of WINDOW template words of documents are hash-joined with those of benchmark
-items. Hits of one item on one alignment (document position minus item position) form a match; it counts when consecutive windows cover
-RUN words (or the whole of a shorter item) and the slots agree: each value of the item stands for one value of the document, so copies
-with other numbers or names are caught, and chance templates are not.
+items. Hits of one item on one alignment (document position minus item position) form a match. Consecutive windows cover a stretch of words;
+what counts is its longest part in which the slots agree: each value of the item stands for one value of the document, and the other way
+round. A leak has such a part of RUN words (or the whole of a shorter item), so copies with other numbers or names are caught, one value
+that does not fit costs only its surroundings, and chance templates are not taken.
 
 Whether a capital makes a name depends on the sentence around it, so verbatim copies are also found without types: windows of RUN literal
 words (or the whole of a shorter item), lower-cased and without punctuation, are joined in the same way. A leak is what either way finds.
@@ -12,8 +13,8 @@ words (or the whole of a shorter item), lower-cased and without punctuation, are
 Template windows in which more than half of the words are placeholders are not evidence. Items of fewer than SHORTEST words are not searched for;
 items shorter than a window are one window of their own length. Literal matches have no slots.
 
-Before the join, documents drop windows whose hash is not in the benchmark if its hashes number at most FILTER_LIMIT (they are then sent to
-every task); a larger benchmark joins with all windows. Both ways give the same rows.
+Before the join, documents drop windows whose hash is not in a Bloom filter of the benchmark's hashes. The filter has FILTER_BITS bits
+whatever the benchmark's size; a larger benchmark lets more windows through, and the join decides.
 
 Defined cases: null texts and items have no words; a null doc_id or item_id is reported as such; rows with equal doc_id are matched row by
 row and reported once per item; an empty table gives no rows; other columns are ignored.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .common import durable
 from .words import Words, _words, chunks, span_hashes, window_hashes, _BYTES
 
 WINDOW, RUN, SHORTEST = 8, 13, 5
-FILTER_LIMIT = 2_000_000
+FILTER_BITS = 1 << 26
 _LITERAL = np.uint64(1 << 63)
 # Units that may follow a number.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz gram grams kilogram kilograms ton tons tonne tonnes ml l litre litres liter liters gal gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years k c f degree degrees percent pct usd eur gbp dollar dollars cent cents euro euros pound pounds hz khz mhz ghz kb mb gb tb w kw mw v j kj cal kcal mph kmh kph".split()
@@ -84,11 +86,11 @@ def templates(w: Words) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     return t, template, np.where(number | unit | name, value, np.uint64(0)), value
 
 
-def template_windows(rows: DataFrame, lengths: list[tuple[bool, int]] | None = None, only: np.ndarray | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, lengths: list[tuple[bool, int]] | None = None, known: Broadcast | None = None) -> DataFrame:
     """hash, id, row, literal, at, n (words), words (of the text), slots: template and literal windows of rows (id, row, text).
 
     Windows have WINDOW words (literal ones RUN) and each of lengths (literal, words); without lengths, a shorter text is one window of its
-    kind. only: sorted hashes to keep.
+    kind. known: a Bloom filter of the hashes to keep.
     """
     full = {False: WINDOW, True: RUN}
     sizes = [*full.items(), *(lengths if lengths is not None else ((kind, k) for kind in full for k in range(SHORTEST, full[kind])))]
@@ -104,8 +106,8 @@ def template_windows(rows: DataFrame, lengths: list[tuple[bool, int]] | None = N
                     if lengths is None and k < full[literal]:
                         keep &= t.counts[of] == k
                     h = window_hashes(value, at, k) ^ np.uint64(k) ^ _LITERAL if literal else window_hashes(template, at, k) ^ np.uint64(k)
-                    if only is not None:
-                        keep &= only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h if len(only) else False
+                    if known is not None:
+                        keep &= in_filter(known.value, h)
                     i = np.flatnonzero(keep)
                     if len(i):
                         row = pa.array(t.rows[of[i]])
@@ -118,30 +120,61 @@ def template_windows(rows: DataFrame, lengths: list[tuple[bool, int]] | None = N
     return rows.mapInArrow(run, "hash long, id long, row long, literal boolean, at long, n long, words long, slots binary")
 
 
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of column hash: FILTER_BITS bits, of which the words that are not 0 (a bounded number) reach the driver."""
+    bit = F.pmod(F.col("hash"), F.lit(FILTER_BITS))
+    rows = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(hash, {FILTER_BITS}) & 63))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & np.uint64(64 * len(words) - 1)
+    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def longest_consistent(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    """(begin, end) of the longest part of a stretch of words, given as (item's value, document's value; 0: no slot), in which values
+    correspond one to one."""
+    means: dict = {}  # of both sides: [partner, uses]
+    best, a = (0, 0), 0
+    for b, (x, y) in enumerate(pairs):
+        if x:
+            while any(k in means and means[k][0] != v for k, v in (((0, x), y), ((1, y), x))):
+                u, v = pairs[a]
+                a += 1
+                if u:
+                    for k in ((0, u), (1, v)):
+                        means[k][1] -= 1
+                        if not means[k][1]:
+                            del means[k]
+            for k, v in (((0, x), y), ((1, y), x)):
+                means.setdefault(k, [v, 0])[1] += 1
+        if b + 1 - a > best[1] - best[0]:
+            best = (a, b + 1)
+    return best
+
+
 def _judge(hits: pd.Series) -> pd.DataFrame:
-    """Of the windows of one item on one alignment, by item position: the words of the longest run of consecutive windows, its slots, how
-    many have other values in the document, and whether each value of the item stands for one value of the document."""
+    """Of the windows of one item on one alignment: the words of the longest consistent part of a stretch, its slots, and how many of them
+    have other values in the document."""
     out = []
     for windows in hits:
-        windows = sorted(((h["at"], h["n"], h["theirs"], h["ours"]) for h in windows), key=lambda x: (x[0], -x[1]))
-        best: tuple = (0, 0, 0, True)
-        run: list = []
-        for x in [*windows, None]:
-            if run and (x is None or x[0] > run[-1][0] + 1):
-                values: dict = {}
-                for at, _, theirs, ours in run:
-                    for j, (a, b) in enumerate(zip(np.frombuffer(theirs, np.uint64).tolist(), np.frombuffer(ours, np.uint64).tolist(), strict=True)):
-                        if a:
-                            values[at + j] = (a, b)
-                covered = run[-1][0] + run[-1][1] - run[0][0]
-                means = {}
-                good = all(means.setdefault(a, b) == b for a, b in values.values())
-                best = max(best, (covered if good else 0, len(values), sum(a != b for a, b in values.values()), good), key=lambda y: (y[0], y[3]))
-                run = []
-            if x is not None and (not run or x[0] > run[-1][0]):
-                run.append(x)
+        words: dict = {}
+        for h in windows:
+            pairs = zip(np.frombuffer(h["theirs"], np.uint64).tolist(), np.frombuffer(h["ours"], np.uint64).tolist(), strict=True) if h["theirs"] else ((0, 0) for _ in range(h["n"]))
+            for i, pair in enumerate(pairs, h["at"]):
+                words[i] = pair
+        best, places = (0, 0, 0), sorted(words)
+        breaks = [i for i in range(1, len(places)) if places[i] != places[i - 1] + 1]
+        for a, b in zip([0, *breaks], [*breaks, len(places)], strict=True):
+            stretch = [words[i] for i in places[a:b]]
+            x, y = longest_consistent(stretch)
+            filled = [p for p in stretch[x:y] if p[0]]
+            best = max(best, (y - x, len(filled), sum(p[0] != p[1] for p in filled)), key=lambda z: (z[0], -z[2]))
         out.append(best)
-    return pd.DataFrame(out, columns=["covered", "slots", "changed", "consistent"])
+    return pd.DataFrame(out, columns=["covered", "slots", "changed"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -149,18 +182,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     known = durable(template_windows(items), "windows")
-    hashes = [r[0] for r in known.select("hash").distinct().limit(FILTER_LIMIT + 1).toLocalIterator()]
-    only = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= FILTER_LIMIT else None
     short = F.col("n") < F.when(F.col("literal"), RUN).otherwise(WINDOW)
     lengths = [(r[0], r[1]) for r in known.where(short).select("literal", "n").distinct().collect()]  # at most WINDOW + RUN - 2 * SHORTEST values
-    shared = spark.sparkContext.broadcast(only)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    found = template_windows(rows, lengths, shared.value)
+    found = template_windows(rows, lengths, spark.sparkContext.broadcast(filter_of(known)))
     theirs = known.select("hash", "literal", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", F.col("words").alias("item_words"), F.col("slots").alias("theirs"))
     hits = found.select("hash", "literal", F.col("id").alias("doc_id"), "row", "at", F.col("slots").alias("ours")).join(theirs, ["hash", "literal"])
+    # a group has at most one different hit for each window of the item: repeated rows are combined before they are sent
     matches = hits.groupBy("doc_id", "row", "item_id", "item_words", "literal", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_list(F.struct(F.col("item_at").alias("at"), "n", "theirs", "ours")).alias("hits")
+        F.collect_set(F.struct(F.col("item_at").alias("at"), "n", "theirs", "ours")).alias("hits")
     )
-    judged = matches.select("doc_id", "item_id", "item_words", F.pandas_udf(_judge, "covered long, slots long, changed long, consistent boolean")("hits").alias("j")).where(F.col("j.covered") >= F.least(F.lit(RUN), F.col("item_words")))
+    judged = matches.select("doc_id", "item_id", "item_words", F.pandas_udf(_judge, "covered long, slots long, changed long")("hits").alias("j")).where(F.col("j.covered") >= F.least(F.lit(RUN), F.col("item_words")))
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("j.covered", "item_words", "j.slots", -F.col("j.changed"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.covered").alias("n_words"), F.col("b.item_words").alias("item_words"), F.col("b.slots").alias("n_slots"), (-F.col("b.col4")).alias("n_changed"))
