@@ -12,8 +12,9 @@ tell, or in between) are broken by structure: names of page furniture go, articl
 goes or stays whole, so a passage that two articles quote is not lost. Forms, scripts, styles and reader comments are no text of a page by
 its markup: no repeats are needed to drop them.
 
-A host of up to HOST_BYTES of html is one suffix array in one task. A larger host has its suffixes, cut to RUN words and combined in each
-task, partitioned by hash instead, so that equal ones still meet; both ways count the same repeats. Counts are one row a host and region.
+A host of up to HOST_BYTES of html is one suffix array in one task. A larger host has its suffixes, cut to RUN words, partitioned by their
+hash into tasks of bounded size instead, so that equal ones still meet and are sorted there; both ways count the same repeats. Counts are one
+row a host and region.
 
 Defined cases: null html is an empty page; a page without visible text, or with boilerplate alone, gives an empty text; a null url belongs
 to the empty host; repeated rows are separate pages with equal results; an empty table gives no rows; other columns are ignored.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import durable
 from .words import chunks, mix, window_hashes
 
-RUN, HOST_BYTES = 8, 16_000_000
+RUN, HOST_BYTES = 8, 6_000_000
 #: Suffixes that a host needs to judge a region by itself; repeats that make boilerplate; their least share, and times the main region's.
 ENOUGH, FEWEST, LEAST, TIMES = 200, 5, 0.05, 3.0
 #: Suffixes that make a region unique if hardly any (this share) repeat.
@@ -241,27 +242,52 @@ def _counts(table: pa.Table, run: int) -> pa.Table:
     return pa.table({"host": pa.array([host.as_py()] * len(kinds), pa.int64()), "region": pa.array(kinds, pa.string()), "suffixes": all_, "repeats": hit})
 
 
-def repeats(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES) -> DataFrame:
-    """host, region, suffixes, repeats: of each region on each host of pages (host, html), its suffixes and those that distinct pages share."""
-    sizes = durable(pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size")), "hosts")
-    large = sizes.where(F.col("size") > host_bytes).select("host")
-    whole = _region_rows(pages.join(large, "host", "left_anti")).groupBy("host").applyInArrow(lambda t: _counts(t, run), "host long, region string, suffixes long, repeats long")
+def _dealt(rows: DataFrame, run: int) -> DataFrame:
+    """host, region, bucket, keys, pages: the suffixes of rows (host, region, page, text, buckets), cut to `run` words, as packed hashes."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes cut to `run` words, as hashes."""
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for w, token, stream, page in _streams(table):
+            buckets = batch["buckets"].to_numpy().astype(np.uint64)
+            names, of = np.unique(np.array([*map(str, batch["host"].to_pylist())], object) + " " + np.array(batch["region"].to_pylist(), object), return_inverse=True) if batch.num_rows else ([], None)
+            for w, token, stream, page in _streams(pa.Table.from_batches([batch])):
                 at = np.flatnonzero(counted(stream, run))
-                ends = np.cumsum(w.counts)[stream[at]]
-                key = window_hashes(token, at, np.minimum(ends - at, run))
-                row = pa.array(stream[at])
-                yield pa.RecordBatch.from_arrays([batch["host"].take(row), batch["region"].take(row), pa.array(key.view(np.int64)), pa.array(page[at])], ["host", "region", "key", "page"])
-
-    keys = _region_rows(pages.join(large, "host", "left_semi")).mapInArrow(cut, "host long, region string, key long, page long")
-    met = keys.groupBy("host", "region", "key").agg(F.count("*").alias("n"), F.min("page").alias("a"), F.max("page").alias("b"))
-    hot = met.groupBy("host", "region").agg(F.sum("n").alias("suffixes"), F.sum(F.when(F.col("a") != F.col("b"), F.col("n")).otherwise(0)).alias("repeats"))
-    return whole.union(hot)
+                row = stream[at]
+                key = window_hashes(token, at, np.minimum(np.cumsum(w.counts)[row] - at, run))
+                bucket = (key >> np.uint64(32)) % buckets[row]
+                order = np.lexsort((bucket, of[row]))
+                group, b = of[row][order], bucket[order]
+                head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (b[1:] != b[:-1])])) if len(order) else order
+                ends = np.append(head[1:], len(order))
+                pack = lambda x: pa.array([x[a:e].tobytes() for a, e in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())  # noqa: E731, B023
+                first = pa.array(row[order][head])
+                pages = (page.view(np.uint64) >> np.uint64(32)).astype(np.uint32)  # half of the hash tells pages of one suffix apart
+                yield pa.RecordBatch.from_arrays(
+                    [batch["host"].take(first), batch["region"].take(first), pa.array(b[head].astype(np.int64)), pack(key[order]), pack(pages[at][order])], ["host", "region", "bucket", "keys", "pages"]
+                )
+
+    return rows.mapInArrow(run_batches, "host long, region string, bucket long, keys binary, pages binary")
+
+
+def _bucket_counts(table: pa.Table) -> pa.Table:
+    """host, region, suffixes, repeats of one bucket of a region's suffixes."""
+    key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+    page = np.frombuffer(b"".join(table["pages"].to_pylist()), np.uint32)
+    order = np.argsort(key)
+    k, p = key[order], page[order]
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    two = np.minimum.reduceat(p, head) != np.maximum.reduceat(p, head)
+    return pa.table({"host": table["host"][:1], "region": table["region"][:1], "suffixes": [len(key)], "repeats": [int(np.diff(np.append(head, len(key)))[two].sum())]})
+
+
+def repeats(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES) -> DataFrame:
+    """host, region, suffixes, repeats: of each region on each host of pages (host, html), its suffixes and those that distinct pages share."""
+    sizes = pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size"))
+    large = durable(sizes.where(F.col("size") > host_bytes).select("host", F.xxhash64("host").alias("hash"), F.ceil(2 * F.col("size") / host_bytes).cast("long").alias("buckets")), "hosts")
+    kind = "host long, region string, suffixes long, repeats long"
+    whole = _region_rows(pages.join(large, "host", "left_anti")).groupBy("host").applyInArrow(lambda t: _counts(t, run), kind)
+    parts = _region_rows(pages.join(large, "host", "left_semi")).join(large.select(F.col("hash").alias("host"), "buckets"), "host")
+    hot = _dealt(parts, run).groupBy("host", "region", "bucket").applyInArrow(_bucket_counts, kind)
+    return whole.union(hot).groupBy("host", "region").agg(F.sum("suffixes").alias("suffixes"), F.sum("repeats").alias("repeats"))
 
 
 def decide(found: DataFrame) -> DataFrame:
