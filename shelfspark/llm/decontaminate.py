@@ -177,8 +177,10 @@ def _judge(hits: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["covered", "slots", "changed"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words (of the item found in a run), item_words, n_slots, n_changed for each document that holds a benchmark item."""
+def leaks(docs: DataFrame, benchmark: DataFrame, by_row: bool = False) -> DataFrame:
+    """doc_id, item_id, n_words (of the item found in a run), item_words, n_slots, n_changed for each document that holds a benchmark item;
+    by_row: for each doc_id and row (a hash of the text)."""
+    who = ["doc_id", "row"] if by_row else ["doc_id"]
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     known = durable(template_windows(items), "windows")
@@ -192,6 +194,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches = hits.groupBy("doc_id", "row", "item_id", "item_words", "literal", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.struct(F.col("item_at").alias("at"), "n", "theirs", "ours")).alias("hits")
     )
-    judged = matches.select("doc_id", "item_id", "item_words", F.pandas_udf(_judge, "covered long, slots long, changed long")("hits").alias("j")).where(F.col("j.covered") >= F.least(F.lit(RUN), F.col("item_words")))
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("j.covered", "item_words", "j.slots", -F.col("j.changed"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.covered").alias("n_words"), F.col("b.item_words").alias("item_words"), F.col("b.slots").alias("n_slots"), (-F.col("b.col4")).alias("n_changed"))
+    judged = matches.select("doc_id", "row", "item_id", "item_words", F.pandas_udf(_judge, "covered long, slots long, changed long")("hits").alias("j")).where(F.col("j.covered") >= F.least(F.lit(RUN), F.col("item_words")))
+    best = judged.groupBy(*who, "item_id").agg(F.max(F.struct("j.covered", "item_words", "j.slots", -F.col("j.changed"))).alias("b"))
+    return best.select(*who, "item_id", F.col("b.covered").alias("n_words"), F.col("b.item_words").alias("item_words"), F.col("b.slots").alias("n_slots"), (-F.col("b.col4")).alias("n_changed"))

@@ -11,8 +11,8 @@ component are compared with several members of it; what still lies in different
 link for each component they join, so no connection is lost and no list of pairs is made.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer words than a shingle make one shingle of all words;
-rows with a null doc_id have a null component and are kept; rows with equal doc_id share a component; an empty table gives no rows; other
-columns are ignored.
+rows with a null doc_id have a null component and are kept; rows with equal doc_id are texts of their own, each in the component of its text,
+whose name is the smallest doc_id of its texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ REGISTERS = 1 << BITS
 BANDS = REGISTERS // BAND
 #: Estimates this far under the threshold are refuted without the full sets: over 6 standard deviations at 256 registers.
 MARGIN = 0.17
-LEADS, BLOCK = 6, 256
+LEADS, BLOCK, BLOCK_BYTES = 6, 256, 8_000_000
 _SLOTS = np.arange(REGISTERS)
 _PROBES = [(mix(_SLOTS.astype(np.uint64) * np.uint64(0x9E37) + np.uint64(t << 32)) % np.uint64(REGISTERS)).astype(np.int64) for t in range(64)]
 
@@ -83,18 +83,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set), registers for each row of docs (doc_id, text)."""
+    """doc_id, row, n_shingles, set_id (null for an empty set), registers for each row of docs (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, regs = [], [], []
-            for _, s in shingle_sets(batch.column(1), k):
+            for _, s in shingle_sets(batch.column(2), k):
                 sizes.append(len(s))
                 names.append(hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_id", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "row", "n_shingles", "set_id", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, registers binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, set_id binary, registers binary")
 
 
 def band_keys(signed: DataFrame) -> DataFrame:
@@ -138,12 +138,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); texts link at similarity per_cent / 100 or more."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, row (a hash of the text), n_shingles, component_id, kept (doc_id = component_id), first (the row whose text stands for its
+    component, or that is in none; repeated rows alike), copies (rows with this doc_id and text) for each row of docs (doc_id, text); texts
+    link at similarity per_cent / 100 or more."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     signed = durable(sign(docs, k), "signed")
+    # a number of its own for each set: doc_ids may repeat
+    rows = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id", "doc_id", "row").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     reps = durable(
-        signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "reps",
+        rows.groupBy("set_id").agg(F.min(F.struct("doc_id", "row", "copies")).alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("id", F.monotonically_increasing_id()), "reps",
     )
     bands = band_keys(reps)
     leads = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n")).where("size > 1")
@@ -151,7 +154,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFram
     alike = lambda x, y: 100 * F.least(x, y) >= per_cent * F.greatest(x, y)  # noqa: E731  sizes that allow a link
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     ids = members.select("id").distinct()
-    sets = durable(_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), reps, k), "sets")
+    wanted = reps.join(ids, "id", "left_semi").select("id", "first.doc_id", "first.row", "first.copies")
+    sets = durable(_sets(docs, wanted, k), "sets")
 
     first = members.where((F.col("id") != F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(*pair(F.col("id"), F.col("lead"))).distinct()
     verdicts = durable(confirm(first, sets, per_cent), "verdicts")
@@ -166,13 +170,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFram
     links = durable(verdicts.where("linked").select("a", "b").union(new.where("linked").select("a", "b")), "links")
     component = connected(links)
     # what still lies apart meets everything that shares a main component's buckets with it
-    rest = durable(compare_blocks(_mixed(members, component).select("main", "id", "component").distinct(), sets, per_cent), "links")
+    rest = durable(compare_blocks(_mixed(members, component).select("main", "id", "component", "n").distinct(), sets, per_cent), "links")
     component = connected(links.union(rest))
 
-    named = reps.select("set_id", "id").join(component, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    linked = durable(component.join(reps.select("id", "set_id", "first"), "id"), "linked")
+    names = linked.groupBy("component").agg(F.min("first").alias("top"))
+    named = linked.join(names, "component").select("set_id", "top")
+    out = signed.select("doc_id", "row", "n_shingles", "set_id").join(reps.select("set_id", "first"), "set_id", "left").join(named, "set_id", "left")
+    top = F.coalesce("top", "first", F.struct("doc_id", "row", F.lit(1).cast("long").alias("copies")))
+    known, component = F.col("doc_id").isNotNull(), F.when(F.col("doc_id").isNotNull(), top["doc_id"])
+    first = ~known | ((F.col("doc_id") == top["doc_id"]) & (F.col("row") == top["row"]))
+    return out.select(
+        "doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), first.alias("first"),
+        F.when(first & known & F.col("set_id").isNotNull(), top["copies"]).otherwise(1).alias("copies"),
+    )
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs, k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _mixed(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -183,10 +198,13 @@ def _mixed(members: DataFrame, component: DataFrame) -> DataFrame:
     return durable(placed.join(main, "key"), "mixed")
 
 
-def compare_blocks(rows: DataFrame, sets: DataFrame, per_cent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between ids of different components under one main (rows: main, id, component): every id outside the main component is
-    compared with every id of the main's rows, block against block, and one link for each component it reaches in a block is given."""
-    sizes = rows.groupBy("main").agg(F.ceil(F.count("*") / block).cast("int").alias("rights"), F.ceil(F.count_if(F.col("component") != F.col("main")) / block).cast("int").alias("lefts"))
+def compare_blocks(rows: DataFrame, sets: DataFrame, per_cent: int, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between ids of different components under one main (rows: main, id, component, n): every id outside the main component
+    is compared with every id of the main's rows, block against block, and one link for each component it reaches in a block is given. A
+    block has about `block` sets and block_bytes at most, or one longer set."""
+    outside = F.col("component") != F.col("main")
+    number = lambda count, size: F.ceil(F.greatest(count / block, 8 * size / block_bytes)).cast("int")
+    sizes = rows.groupBy("main").agg(number(F.count("*"), F.sum("n")).alias("rights"), number(F.count_if(outside), F.sum(F.when(outside, F.col("n")).otherwise(0))).alias("lefts"))
     dealt = rows.join(sizes, "main").withColumn("h", F.xxhash64("id"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.where("component <> main").select("main", F.pmod("h", "lefts").cast("int").alias("l"), every("rights").alias("r"), F.lit(True).alias("left"), "id", "component")
@@ -214,8 +232,8 @@ def compare_blocks(rows: DataFrame, sets: DataFrame, per_cent: int, block: int =
     return with_sets.groupBy("main", "l", "r").applyInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """id, registers, members (packed hashes) of the texts in docs; their set, not their row, stands for an id."""
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id, registers, members (packed hashes) of wanted (id, doc_id, row, copies), from the texts of docs (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +243,12 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 members.append(s.tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(regs, pa.binary()), pa.array(members, pa.binary())], ["id", "registers", "members"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, registers binary, members binary").where("members IS NOT NULL")
+    build = lambda ids, texts: texts.join(ids.drop("copies"), ["doc_id", "row"]).select("id", "text").mapInArrow(run, "id long, registers binary, members binary")
+    out = build(wanted.where("copies = 1"), docs)
+    if wanted.where("copies > 1").limit(1).count():  # of repeated rows one is enough
+        again = wanted.where("copies > 1")
+        out = out.union(build(again, docs.join(again.select("doc_id", "row"), ["doc_id", "row"], "left_semi").groupBy("doc_id", "row").agg(F.first("text").alias("text"))))
+    return out
 
 
 SQL = r"""

@@ -18,7 +18,7 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return near_dup.digest(table(spark, sf_dir, "documents"))
 
 
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

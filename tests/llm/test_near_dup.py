@@ -52,6 +52,28 @@ def test_edge_cases(spark):
     assert n.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_equal_ids_with_different_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(2, x), (3, x), (3, y), (3, y), (4, z), (4, z + " more"), (5, y), (5, "")]
+    got = [(r.doc_id, r.row, r.component_id, r.kept, r.first, r.copies) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    row = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    small = min((z, z + " more"), key=lambda t: row[t])
+    want = [(2, row[x], 2, True, True, 1), (3, row[x], 2, False, False, 1)] + [(3, row[y], 3, True, True, 2)] * 2 + [(5, row[y], 3, False, False, 1), (5, row[""], 5, True, True, 1)]
+    want += [(4, row[t], 4, True, t == small, 1) for t in (z, z + " more")]
+    assert sorted(got) == sorted(want)
+
+
+def test_blocks_cut_by_bytes(spark):
+    rng = np.random.default_rng(9)
+    rows = list(enumerate(variants(rng, 60, 100, 12)))
+    want = brute(rows)
+    for block, size in ((256, 8_000_000), (3, 8_000_000), (256, 500)):
+        sets = n._sets(spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, row long, text string"), spark.createDataFrame([(i, i, i, 1) for i, _ in rows], "id long, doc_id long, row long, copies long"), 5)
+        links = n.compare_blocks(spark.createDataFrame([(-1, i, i, 96) for i, _ in rows], "main long, id long, component long, n long"), sets, 80, block, size)
+        component = {r.id: r.component for r in connected(links).collect()}
+        assert {i: component.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.8, 0.95):
@@ -71,7 +93,7 @@ def test_same_as_sql(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
-    assert sorted(map(tuple, n.near_duplicates(spark.read.parquet(path), k=2).collect())) == sorted(con.sql(n.SQL).fetchall())
+    assert sorted(map(tuple, n.digest(spark.read.parquet(path)).collect())) == sorted(con.sql(n.SQL).fetchall())
 
 
 def test_connected(spark):
