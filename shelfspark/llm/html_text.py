@@ -28,18 +28,20 @@ from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .words import chunks, mix, window_hashes
+from .words import chunks, mix, slices, window_hashes
 
 RUN, HOST_BYTES = 8, 6_000_000
 #: Suffixes that a host needs to judge a region by itself; repeats that make boilerplate; their least share, and times the main region's.
 ENOUGH, FEWEST, LEAST, TIMES = 200, 5, 0.05, 3.0
 #: Suffixes that make a region unique if hardly any (this share) repeat.
 MANY, HARDLY = 1000, 0.01
+CHUNK = 2_000_000  # bytes that a task parses or cuts at once
 LONG = 300  # characters of a region's name, beyond which a hash stands for it
 # Elements and class names.
 HIDDEN = frozenset("form script style noscript template iframe svg math canvas object button select textarea dialog head title".split())
@@ -205,7 +207,7 @@ def _region_rows(pages: DataFrame) -> DataFrame:
     """host, region (a hash), page (a hash), text: the regions of each page (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, CHUNK)):
             row, names, said, texts = [], [], [], []
             for i, html in enumerate(batch["html"].to_pylist()):
                 found, page = regions(html or "")
@@ -246,9 +248,9 @@ def _dealt(rows: DataFrame, run: int) -> DataFrame:
     """host, region, bucket, keys, pages: the suffixes of rows (host, region, page, text, buckets), cut to `run` words, as packed hashes."""
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 3, CHUNK)):
             buckets = batch["buckets"].to_numpy().astype(np.uint64)
-            names, of = np.unique(np.array([*map(str, batch["host"].to_pylist())], object) + " " + np.array(batch["region"].to_pylist(), object), return_inverse=True) if batch.num_rows else ([], None)
+            of = pd.factorize(pd.MultiIndex.from_arrays([batch["host"].to_numpy(), batch["region"].to_pylist()]))[0]
             for w, token, stream, page in _streams(pa.Table.from_batches([batch])):
                 at = np.flatnonzero(counted(stream, run))
                 row = stream[at]
@@ -323,9 +325,9 @@ def extract_pages(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES
     decided = durable(decide(repeats(rows.select("host", "html"), run, host_bytes)), "regions")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2, CHUNK)):
             out = [main_text(h or "", set(k or ()), set(d or ())) for h, k, d in zip(*(batch[c].to_pylist() for c in ("html", "kept", "dropped")), strict=True)]
-            text, n, m = zip(*out, strict=True) if out else ((), (), ())
+            text, n, m = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["page_id", "url", "text", "n_decided", "n_blocks"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
