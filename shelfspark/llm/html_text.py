@@ -37,6 +37,8 @@ from .common import durable
 from .words import chunks, mix, slices, window_hashes
 
 RUN, HOST_BYTES = 8, 6_000_000
+#: Bytes of the hashes of suffixes, which only meet in their bucket of some 100,000, and of pages, which only tell those of equal suffixes apart.
+KEY, PAGE = 6, 3
 #: Suffixes that a host needs to judge a region by itself; repeats that make boilerplate; their least share, and times the main region's.
 ENOUGH, FEWEST, LEAST, TIMES = 200, 5, 0.05, 3.0
 #: Suffixes that make a region unique if hardly any (this share) repeat.
@@ -255,16 +257,16 @@ def _dealt(rows: DataFrame, run: int) -> DataFrame:
                 at = np.flatnonzero(counted(stream, run))
                 row = stream[at]
                 key = window_hashes(token, at, np.minimum(np.cumsum(w.counts)[row] - at, run))
-                bucket = (key >> np.uint64(32)) % buckets[row]
+                bucket = (key >> np.uint64(40)) % buckets[row]
                 order = np.lexsort((bucket, of[row]))
                 group, b = of[row][order], bucket[order]
                 head = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (b[1:] != b[:-1])])) if len(order) else order
                 ends = np.append(head[1:], len(order))
                 pack = lambda x: pa.array([x[a:e].tobytes() for a, e in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())  # noqa: E731, B023
+                low = lambda x, n: np.ascontiguousarray(x[order].view(np.uint8).reshape(-1, 8)[:, :n])  # noqa: E731, B023
                 first = pa.array(row[order][head])
-                pages = (page.view(np.uint64) >> np.uint64(32)).astype(np.uint32)  # half of the hash tells pages of one suffix apart
                 yield pa.RecordBatch.from_arrays(
-                    [batch["host"].take(first), batch["region"].take(first), pa.array(b[head].astype(np.int64)), pack(key[order]), pack(pages[at][order])], ["host", "region", "bucket", "keys", "pages"]
+                    [batch["host"].take(first), batch["region"].take(first), pa.array(b[head].astype(np.int64)), pack(low(key, KEY)), pack(low(page[at], PAGE))], ["host", "region", "bucket", "keys", "pages"]
                 )
 
     return rows.mapInArrow(run_batches, "host long, region string, bucket long, keys binary, pages binary")
@@ -272,8 +274,11 @@ def _dealt(rows: DataFrame, run: int) -> DataFrame:
 
 def _bucket_counts(table: pa.Table) -> pa.Table:
     """host, region, suffixes, repeats of one bucket of a region's suffixes."""
-    key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-    page = np.frombuffer(b"".join(table["pages"].to_pylist()), np.uint32)
+    def whole(name: str, n: int) -> np.ndarray:
+        packed = np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, n)
+        return np.pad(packed, ((0, 0), (0, 8 - n))).view(np.uint64).ravel()
+
+    key, page = whole("keys", KEY), whole("pages", PAGE)
     order = np.argsort(key)
     k, p = key[order], page[order]
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
