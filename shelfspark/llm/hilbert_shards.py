@@ -4,8 +4,10 @@ Each document's metadata (source, language, size) is quantised to 2^ORDER steps
 that are near in all dimensions are near on the curve. The order (curve index, text hash, doc_id) is cut into shards of near equal bytes:
 a file then covers a small box of the metadata space, and min/max statistics prune it by any dimension.
 
-Equal texts are one group: they take the curve index of the group's smallest (source, lang) and stay in one shard, unless the group holds
-more than 1/GROUP_PART of a shard; such a hot group is cut like other rows.
+Equal texts are one group: they take the curve index of the group's smallest (source, lang) and stay in one shard; only a group that no
+shard could hold (more bytes than a shard's share) is cut like other rows. Large groups (over 1/LARGE of a share; at most LARGE times the
+number of shards) are put into shards first, largest first, each where most room is; the curve is then cut to the room that is left, so
+shards stay near equal. In a shard, rows of the curve come first.
 
 Positions come from a range partitioning: each partition sums its bytes, the sums of partitions are added up, and rows count on from there.
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, partitions
 
-ORDER, SHARDS, GROUP_PART = 6, 8, 8
+ORDER, SHARDS, LARGE = 6, 8, 16
 
 
 def hilbert_index(dims: list[Column], order: int = ORDER) -> Column:
@@ -78,24 +80,46 @@ def shard(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> DataFram
     same = ["row", "text_crc32", "size"]
     groups = rows.groupBy(*same).agg(F.min("point").alias("at"), F.sum("size").alias("group_size"))
     groups = durable(groups.withColumn("curve", hilbert_index([F.col("at.x"), F.col("at.y"), F.col("at.z")], order)).drop("at"), "groups")
+    share = (groups.agg(F.sum("group_size")).first()[0] or 0) / shards
+    homes, room = _homes(groups.where((F.col("group_size") > share / LARGE) & (F.col("group_size") <= share)), share, shards)  # at most shards * LARGE
+    homes = docs.sparkSession.createDataFrame(homes, "row long, text_crc32 long, size long, home int")
+    groups = groups.join(F.broadcast(homes), same, "left")
     placed = rows.join(groups, same).repartitionByRange(n, "curve", "row", "text_crc32", "doc_id", "source", "lang").withColumn("part", F.spark_partition_id())
-    placed = durable(placed.select("part", "doc_id", *same, "curve", "group_size", "source", "lang"), "placed")
-
-    parts = placed.groupBy("part").agg(F.sum("size").alias("part_size"), F.count("*").alias("part_rows"))  # one row a partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    parts = parts.select("part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("base_row"), F.sum("part_size").over(whole).alias("total"))
-    inside = Window.partitionBy("part").orderBy("curve", "row", "text_crc32", "doc_id", "source", "lang")
-    to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = placed.join(F.broadcast(parts), "part").select(
-        placed["*"], "total", (F.col("base") + F.sum("size").over(to_here) - F.col("size")).alias("start"), (F.col("base_row") + F.row_number().over(inside) - 1).alias("number")
-    )
+    placed = durable(placed.select("part", "doc_id", *same, "curve", "group_size", "home", "source", "lang"), "placed")
+
+    # positions along the curve, of what is not put into shards already
+    weight = F.when(F.col("home").isNull(), F.col("size")).otherwise(0)
+    parts = placed.groupBy("part").agg(F.sum(weight).alias("part_size"))  # one row a partition
+    before = lambda *by: Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("part_size").over(before()), F.lit(0)).alias("base"))
+    order_by = ["curve", "row", "text_crc32", "doc_id", "source", "lang"]
+    to_here = Window.partitionBy("part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = placed.join(F.broadcast(parts), "part").select(placed["*"], (F.col("base") + F.sum(weight).over(to_here) - weight).alias("start"))
     at = durable(at, "at")
     first = durable(at.groupBy(*same).agg(F.min("start").alias("group_start")), "first")
-    middle = F.when(F.col("group_size") * shards * GROUP_PART <= F.col("total"), F.col("group_start") + F.col("group_size") / 2).otherwise(F.col("start") + F.col("size") / 2)
-    cut = durable(at.join(first, same).withColumn("shard", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int")), "cut")
-    bases = cut.groupBy("shard").agg(F.min("number").alias("shard_first"))  # one row a shard
-    return cut.join(F.broadcast(bases), "shard").select("doc_id", "row", "size", "text_crc32", "curve", "shard", (F.col("number") - F.col("shard_first")).alias("slot"))
+    whole = F.col("group_size") <= share
+    middle = F.when(whole, F.col("group_start") + F.col("group_size") / 2).otherwise(F.col("start") + F.col("size") / 2)
+    cuts = [sum(room[: i + 1]) for i in range(shards - 1)]
+    along = sum(((F.col("middle") >= c).cast("int") for c in cuts), F.lit(0))
+    cut = durable(at.join(first, same).withColumn("middle", middle).withColumn("shard", F.coalesce("home", along).cast("int")).withColumn("late", F.col("home").isNotNull()).drop("middle"), "cut")
+    # slots: rows of a shard in this order of (late, part, row)
+    counts = cut.groupBy("shard", "late", "part").agg(F.count("*").alias("n"))  # a row for each shard and partition
+    bases = counts.select("shard", "late", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("late", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part", "shard", "late").orderBy(*order_by)
+    return cut.join(F.broadcast(bases), ["shard", "late", "part"]).select("doc_id", "row", "size", "text_crc32", "curve", "shard", (F.col("base") + F.row_number().over(inside) - 1).alias("slot"))
+
+
+def _homes(large: DataFrame, share: float, shards: int) -> tuple[list[tuple], list[float]]:
+    """(row, text_crc32, size, shard) of each large group, and the room that is left in each shard."""
+    room, out = [share] * shards, []
+    for g in sorted(large.collect(), key=lambda g: (-g.group_size, g.row, g.text_crc32)):
+        best = max(range(shards), key=lambda i: (room[i], -i))
+        if room[best] >= g.group_size / 2:  # else it stays on the curve
+            room[best] -= g.group_size
+            out.append((g.row, g.text_crc32, g.size, best))
+    spare = sum(x for x in room if x > 0) or 1.0
+    over = -sum(x for x in room if x < 0)
+    return out, [max(x, 0.0) * (1 - over / spare) for x in room]
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:

@@ -26,11 +26,29 @@ def test_sizes_slots_and_groups(spark):
     assert sorted(per) == list(range(8))
     for shard in per.values():
         assert sorted(r.slot for r in shard) == list(range(len(shard)))
-        assert abs(sum(r.size for r in shard) - total / 8) < total / 8 / 4
+        assert abs(sum(r.size for r in shard) - total / 8) < total / 8 / 20
     home = {}
     assert all(home.setdefault(texts[r.doc_id], r.shard) == r.shard for r in rows)
 
 
+def test_large_groups_stay_whole_and_shards_equal(spark):
+    """Groups of 5 % to a whole share; one that no shard could hold is cut."""
+    rows = [(i, f"{i} " + "w" * 90, "a", "en") for i in range(2000)]
+    for g, copies in enumerate((900, 600, 500, 300, 100, 100, 3000)):
+        rows += [(10_000 * (g + 1) + i, f"{g} copy " + "c" * 90, f"s{i % 5}", "en") for i in range(copies)]
+    got = h.shard_digest(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    share = sum(r.size for r in got) / 8
+    sizes, homes = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    assert all(abs(sizes[s] - share) < share / 8 for s in range(8))
+    cut = [c for c, s in homes.items() if len(s) > 1]
+    assert len(cut) == 1 and cut == [zlib.crc32(("6 copy " + "c" * 90).encode())]
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_edge_cases(spark):
     kind = "doc_id long, text string, source string, lang string, shard string, size string"
     rows = [(None, None, None, None), (1, None, "a", "en"), (2, "", None, "en"), (3, "same", "a", None), (3, "same", "a", None), *[(i, "hot copy", f"s{i % 3}", "en") for i in range(10, 60)], (99, "x" * 500_000, "a", "en")]
