@@ -32,3 +32,25 @@ def test_nulls_clashing_columns_and_empty_tables(spark):
 
 def test_run(spark):
     assert p.run(spark, SF).count() > 50
+
+
+def test_rows_with_one_id_keep_their_own_texts(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 120").first()
+    rows = [(2, x, "a", 1), (3, x, "a", 2), (3, y, "b", 3), (3, y, "c", 4), (4, item.text, "a", 5), (4, x + " z " + y, "a", 6), (None, item.text, "a", 7), (None, x, "a", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    deduped = p.one_of_each_group(spark, docs, SF).collect()
+    assert sorted(r.extra for r in deduped) == [1, 3, 5, 6, 7, 8]
+    left = p.without_leaks(spark, docs, SF).collect()
+    assert sorted(r.extra for r in left) == [1, 2, 3, 4, 6, 8]
+
+
+def test_a_very_long_text_and_ties(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(labels, "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    long = spark.createDataFrame([(10_000 + i, "a b c " * 100_000, "en", "a", 1) for i in range(2)], docs.schema)
+    out = docs.union(long)
+    for i, (_, stage) in enumerate(p.STAGES[1:]):
+        out = p.durable(stage(spark, out, SF))
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert 10_001 not in ids and (i >= 2 or 10_000 in ids)
