@@ -4,9 +4,11 @@ Each stage takes (spark, docs, sf_dir) and gets what its predecessor wrote. All
 duplicate and leaking documents go, and a document that the mix repeats is a repeated row. The last returns a place for every row:
 doc_id, size, text_crc32, curve, shard, slot.
 
-Defined cases: rows with a null doc_id pass the near-duplicate and leak stages (they cannot be named there); rows with equal doc_id and
-text count as one document from the near-duplicate stage on; extra columns, whatever their names, pass through; empty input gives empty
-output.
+Rows are told apart by doc_id and text, not by doc_id alone, so no text is lost to another one with its doc_id.
+
+Defined cases: rows with a null doc_id pass the near-duplicate stage (they cannot be named there) but lose leaks like others; of rows with
+equal doc_id and text the near-duplicate stage keeps one (the first by its columns as JSON); extra columns, whatever their names, pass
+through; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -23,14 +25,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, docs.columns, prefix="quality ").where("`quality predicted` = 1").select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone (doc_id, row: a hash of the text) names."""
+    gone = gone.select(F.col("doc_id").alias("gone id"), F.col("row").alias("gone row")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone id")) & (F.xxhash64(docs["text"]) == F.col("gone row")), "left_anti")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    found = durable(near_dup.near_duplicates(docs).where("NOT first OR copies > 1").select("doc_id", "row", "first"), "marked")
+    kept = _without(docs, found)
+    repeated = found.where("first").select("doc_id", "row").distinct()
+    if not repeated.limit(1).count():
+        return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = (docs["doc_id"] == F.col("again id")) & (F.xxhash64(docs["text"]) == F.col("again row"))
+    again = docs.join(repeated.select(F.col("doc_id").alias("again id"), F.col("row").alias("again row")), key)
+    one = again.groupBy("again id", "again row").agg(F.min_by(whole, F.to_json(whole)).alias("kept one"))
+    return kept.union(one.select(*[F.col("kept one")[c].alias(c) for c in docs.columns]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), by_row=True))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
