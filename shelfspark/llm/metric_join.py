@@ -1,31 +1,37 @@
 """Exact metric range join for embedding near-duplicates.
 
 Vectors are scaled to length 1, so cosine >= c is distance <= r = sqrt(2 - 2c). Equal unit vectors form a class with one representative.
-Pivots, a bounded sample of representatives, cut the space into cells (nearest pivot). A representative's links are found in its own cell,
-so it must meet there every vector within r: a vector y is copied to cell i whenever the triangle inequality cannot rule a member of i
-out, by its distance to the border between i and its own cell, (d(y,i)^2 - d(y,own)^2) / (2 d(i,own)) <= r, and by the cell's radius,
-d(y,i) <= radius(i) + r. Cells join independently; a large cell is cut into blocks of home vectors, and each block meets the cell's
-members in slices, so a task holds one block and one slice and never a list of pairs. A task reports link counts and, for components, the
-smallest id that each of its vectors reaches in the task.
-
-Defined cases: null, zero, non-finite or null-holding vectors and vectors of other lengths than the first pivot's link with nothing of
-another length; a null vec_id has no component and is kept; rows with equal vec_id share a component; an empty table gives no rows; other
-columns are ignored.
+Pivots, a sample of representatives that grows with their number, cut the space into cells (nearest pivot), and each cell's radius is
+counted. A representative's links are found in its own cell, so it must meet there every vector within r: a vector y is copied to cell i
+unless the triangle inequality rules all members of i out, by the cell's radius, d(y,i) > radius(i) + r, or by its distance to the border
+between i and its own cell, (d(y,i)^2 - d(y,own)^2) / (2 d(i,own)) > r. Cells join independently; a large cell is cut into blocks of home
+vectors, and each block meets the cell's members in slices, so a task holds one block and one slice and never a list of pairs. A task reports
+link counts and, for components, the smallest id that each of its vectors reaches in the task.
+
+How much the triangle inequality prunes depends on the data: tight clusters are ruled out by their radius, while vectors that are spread
+evenly over many dimensions lie within reach of most cells, and then the exact join compares nearly all pairs.
+
+Defined cases: null, zero, non-finite or null-holding vectors link with nothing, vectors of different lengths not with each other (a length
+without a pivot is one cell); a null vec_id has no component and is kept; rows with equal vec_id share a component; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 from .components import connected
 
-PIVOTS, BLOCK, EDGE = 64, 2048, 1e-9
+BLOCK, SLICE, EDGE = 2048, 8192, 1e-9
 #: More than the rounding error of a squared distance of unit vectors.
 ROUNDING = 1e-12
 
@@ -35,19 +41,21 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, units = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not v or i is None or any(x is None for x in v):
-                    continue
-                x = np.asarray(v, np.float64)
-                scale = np.abs(x).max()
-                if not np.isfinite(x).all() or scale == 0:
-                    continue
-                x = x / scale
-                ids.append(i)
-                sizes.append(len(x))
-                units.append((x / np.sqrt(x @ x)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "size", "unit"])
+            column = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = column.flatten()
+            values = pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False)  # a null component spoils its vector as nan does
+            first, known = np.cumsum(sizes) - sizes, pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]):
+                row = np.flatnonzero((sizes == size) & known)
+                x = values[first[row][:, None] + np.arange(size)]
+                scale = np.abs(x).max(1, initial=0)
+                good = np.isfinite(scale) & (scale > 0)
+                x = x[good] / scale[good][:, None]
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[good])), pa.array(np.full(len(x), size, np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "size", "unit"]
+                )
 
     return rows.mapInArrow(run, "vec_id long, size int, unit binary")
 
@@ -69,31 +77,50 @@ def _apart(units: list[bytes]) -> np.ndarray:
     return np.stack(kept)
 
 
-def dealt(reps: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> DataFrame:
-    """size, cell, home, id, unit: each representative in its own cell (home) and in each cell whose members it may reach."""
+def at_home(reps: DataFrame, pivots: Broadcast) -> DataFrame:
+    """size, cell, near (distance to the cell's pivot), id, unit, copies: each representative in the cell of its nearest pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = batch.column(1).to_numpy()
-            for size in np.unique(sizes):
-                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                p, x = pivots[int(size)], _matrix(part.column(2))
-                d, between = _distances(x, p), _distances(p, p)
-                own = d.argmin(1)
-                near = d[np.arange(len(x)), own]
+        for part, x, p in _by_size(batches, 0, 2, pivots.value):
+            d = _distances(x, p) if len(p) else np.zeros((len(x), 1))
+            own = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(x)), own]), *(part.column(i) for i in (1, 2, 3))], ["size", "cell", "near", "id", "unit", "copies"])
+
+    return reps.select("size", "id", "unit", "copies").mapInArrow(run, "size int, cell int, near double, id long, unit binary, copies long")
+
+
+def dealt(homes: DataFrame, pivots: Broadcast, radii: Broadcast, radius: float) -> DataFrame:
+    """size, cell, home, id, unit, copies: each representative in its own cell (home) and in each cell that may have members within radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, p in _by_size(batches, 0, 4, pivots.value):
+            own = part.column(1).to_numpy()
+            meets = np.zeros((len(x), max(len(p), 1)), bool)
+            if len(p):
+                d, near = _distances(x, p), part.column(2).to_numpy()
                 # multiplied out, with all rounding errors in favour of meeting: pivots may be (nearly) equal
-                apart = np.sqrt(between**2 + ROUNDING)
+                apart = np.sqrt(_distances(p, p) ** 2 + ROUNDING)
                 meets = d**2 - near[:, None] ** 2 <= 2 * apart[own] * (radius + EDGE) + ROUNDING
-                meets[np.arange(len(x)), own] = True
-                row, cell = np.nonzero(meets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(own[row] == cell), pa.array(near[row]), *(part.column(i).take(pa.array(row)) for i in (0, 2))],
-                    ["size", "cell", "home", "near", "id", "unit"],
-                )
+                meets &= d <= radii.value[int(part.column(0)[0].as_py())] + radius + EDGE
+            meets[np.arange(len(x)), own] = True
+            row, cell = np.nonzero(meets)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(own[row] == cell), *(part.column(i).take(pa.array(row)) for i in (3, 4, 5))],
+                ["size", "cell", "home", "id", "unit", "copies"],
+            )
+
+    return homes.mapInArrow(run, "size int, cell int, home boolean, id long, unit binary, copies long")
+
 
-    return reps.select("id", "size", "unit").mapInArrow(run, "size int, cell int, home boolean, near double, id long, unit binary")
+def _by_size(batches: Iterator[pa.RecordBatch], size_at: int, unit_at: int, pivots: dict) -> Iterator[tuple]:
+    """The rows of one vector length at a time, at most BLOCK, their vectors and that length's pivots."""
+    for batch in batches:
+        sizes = batch.column(size_at).to_numpy()
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            for lo in range(0, len(at), BLOCK):
+                part = batch.take(pa.array(at[lo : lo + BLOCK]))
+                yield part, _matrix(part.column(unit_at)), pivots.get(int(size), np.zeros((0, size)))
 
 
 def _smallest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,49 +137,60 @@ def _smallest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 
 def join_block(home: pa.Table, others: pa.Table, cosine: float) -> pa.Table:
     """Of one block of home vectors against one slice of the cell: id, links (sum of class sizes), reaches."""
-    x, y = _matrix(home["unit"]), _matrix(others["unit"])
-    a, b = home["id"].to_numpy(), others["id"].to_numpy()
-    linked = (x @ y.T >= cosine) & (a[:, None] != b[None, :])
-    links = linked @ others["copies"].to_numpy().astype(np.float64)
-    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    to_a, to_b = _smallest(linked[np.ix_(rows, cols)], a[rows], b[cols])
-    return pa.table({"id": np.concatenate([a[rows], b[cols]]), "links": np.concatenate([links[rows].astype(np.int64), np.zeros(len(cols), np.int64)]), "reaches": np.concatenate([to_a, to_b])})
-
-
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
+    x, a, out = _matrix(home["unit"]), home["id"].to_numpy(), []
+    for lo in range(0, others.num_rows, BLOCK):
+        part = others.slice(lo, BLOCK)
+        y, b = _matrix(part["unit"]), part["id"].to_numpy()
+        linked = (x @ y.T >= cosine) & (a[:, None] != b[None, :])
+        rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        linked = linked[np.ix_(rows, cols)]
+        links = linked @ part["copies"].to_numpy()[cols].astype(np.float64)
+        to_a, to_b = _smallest(linked, a[rows], b[cols])
+        out.append(pa.table({"id": np.concatenate([a[rows], b[cols]]), "links": np.concatenate([links.astype(np.int64), np.zeros(len(cols), np.int64)]), "reaches": np.concatenate([to_a, to_b])}))
+    return pa.concat_tables(out)
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, n_pivots: int | None = None, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
+
+    n_pivots: by default one for each block of representatives, but 4 times the root of their number at most, so what the driver holds
+    grows with the root of the input."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     units = durable(unit_vectors(rows), "units")
     # one number stands for one unit vector from here on
     reps = durable(units.groupBy("size", "unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "reps")
-    radius = float(np.sqrt(2 - 2 * cosine))
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(n_pivots)
-    first_of_size = reps.groupBy("size").agg(F.min_by("unit", F.xxhash64("id")).alias("unit")).orderBy("size").limit(10_000)
+    radius, n = float(np.sqrt(2 - 2 * cosine)), reps.count()
+    n_pivots = n_pivots or math.ceil(min(n / block, 4 * math.sqrt(n))) or 1
     picked: dict[int, list] = {}
-    for r in first_of_size.collect() + sample.select("size", "unit").collect():
+    for r in reps.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("size", "unit").collect():
         picked.setdefault(r["size"], []).append(bytes(r["unit"]))
-    pivots = {size: _apart(us) for size, us in picked.items()}
-
-    met = durable(dealt(reps, pivots, radius).join(reps.select("id", "size", "copies"), ["id", "size"]), "cells")
-    cells = met.groupBy("size", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"), F.max(F.when(F.col("home"), F.col("near"))).alias("reach"))
-    cells = cells.select("size", "cell", F.ceil(F.col("n") / block).cast("int").alias("slices"), F.ceil(F.col("n_home") / block).cast("int").alias("blocks"))
-    spread = met.join(F.broadcast(cells), ["size", "cell"]).withColumn("h", F.xxhash64("id"))
+    found = {size: _apart(us) for size, us in picked.items()}
+    pivots = spark.sparkContext.broadcast(found)
+    homes = durable(at_home(reps, pivots), "homes")
+    radii = {size: np.zeros(len(p)) for size, p in found.items()}
+    for r in homes.where(F.col("size").isin(list(found))).groupBy("size", "cell").agg(F.max("near").alias("radius")).collect():  # a row a pivot at most
+        radii[r["size"]][r["cell"]] = r["radius"]
+    met = durable(dealt(homes, pivots, spark.sparkContext.broadcast(radii), radius), "cells")
+    cells = met.groupBy("size", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"))
+    cells = cells.select("size", "cell", F.ceil(F.col("n") / slice_).cast("int").alias("slices"), F.ceil(F.col("n_home") / block).cast("int").alias("blocks"))
+    spread = met.join(cells, ["size", "cell"]).withColumn("h", F.xxhash64("id"))
     # block b of the homes meets slice s of all members in task (size, cell, b, s)
-    homes = spread.where("home").select(
+    left = spread.where("home").select(
         "size", "cell", F.pmod("h", "blocks").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), F.lit(True).alias("left"), "id", "unit", "copies"
     )
-    others = spread.where("blocks > 0").select(
+    right = spread.where("blocks > 0").select(
         "size", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod("h", "slices").cast("int").alias("s"), F.lit(False).alias("left"), "id", "unit", "copies"
     )
 
     def run(table: pa.Table) -> pa.Table:
-        left = table["left"].to_numpy().astype(bool)
-        home, other = table.take(pa.array(np.flatnonzero(left))), table.take(pa.array(np.flatnonzero(~left)))
+        is_left = table["left"].to_numpy().astype(bool)
+        home, other = table.take(pa.array(np.flatnonzero(is_left))), table.take(pa.array(np.flatnonzero(~is_left)))
         if not home.num_rows or not other.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "reaches": pa.array([], pa.int64())})
         return join_block(home, other, cosine)
 
-    found = durable(homes.union(others).groupBy("size", "cell", "b", "s").applyInArrow(run, "id long, links long, reaches long"), "links")
+    found = durable(left.union(right).groupBy("size", "cell", "b", "s").applyInArrow(run, "id long, links long, reaches long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id <> reaches").select(F.col("id").alias("a"), F.col("reaches").alias("b")).distinct()
     component = connected(edges)

@@ -12,7 +12,7 @@ def test_equals_all_pairs(spark, block):
     rows += [(1000 + i, rows[5][1]) for i in range(4)] + [(2000, [2 * x for x in rows[5][1]])]
     rows += [(3000, None), (3001, [0.0] * 8), (3002, [1.0, None] + [0.0] * 6), (3003, [float("nan")] * 8), (3004, [float("inf")] * 8), (3005, [1.0, 2.0]), (3006, [2.0, 4.0]), (3007, [])]
     df = spark.createDataFrame([(i, v, "l") for i, v in rows], "vec_id long, embedding array<double>, n_links string")
-    got = sorted(tuple(r) for r in m.near_vectors(df, n_pivots=9, block=block).collect())
+    got = sorted(tuple(r) for r in m.near_vectors(df, n_pivots=9, block=block, slice_=2 * block).collect())
     assert got == m.brute_force(rows)
 
 
@@ -37,5 +37,29 @@ def test_copies_meet_in_each_others_cells_without_merging(spark):
     rng = np.random.default_rng(4)
     one = rng.normal(size=64)
     x = np.stack([m._matrix(m.pa.array([(v / np.sqrt(v @ v)).tobytes()]))[0] for v in (one * rng.uniform(0.1, 10, (40, 1)))])
-    reps = spark.createDataFrame([(i, 64, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, size int, unit binary")
-    assert m.dealt(reps, {64: x[:9]}, 0.4).count() == 40 * 9
+    share = spark.sparkContext.broadcast
+    reps = spark.createDataFrame([(i, 64, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id long, size int, unit binary, copies long")
+    pivots = share({64: x[:9]})
+    assert m.dealt(m.at_home(reps, pivots), pivots, share({64: np.zeros(9)}), 0.4).count() == 40 * 9
+
+
+def test_radius_rules_out_tight_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 64))
+    rows = [(i, [float(v) for v in centres[i % 8] + rng.normal(scale=0.05, size=64)]) for i in range(160)]
+    units = m.unit_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    share, x = spark.sparkContext.broadcast, np.stack([np.frombuffer(r.unit, float) for r in sorted(units, key=lambda r: r.vec_id)])
+    pivots = share({64: x[:8]})
+    homes = m.at_home(spark.createDataFrame([(i, 64, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id long, size int, unit binary, copies long"), pivots)
+    radii = np.array([r[1] for r in sorted(homes.groupBy("cell").max("near").collect())])
+    assert m.dealt(homes, pivots, share({64: radii}), 0.4472).count() == 160
+    noise = rng.normal(size=(40, 64))
+    noise = [(1000 + i, 64, bytearray((v / np.sqrt(v @ v)).tobytes()), 1) for i, v in enumerate(noise)]
+    far = m.at_home(spark.createDataFrame(noise, "id long, size int, unit binary, copies long"), pivots)
+    assert m.dealt(far, pivots, share({64: radii}), 0.4472).count() == 40 < m.dealt(far, pivots, share({64: radii + 9}), 0.4472).count()
+
+
+def test_many_lengths(spark):
+    rows = [(i, [float(j + 1) for j in range(1 + i // 2)]) for i in range(400)]
+    got = m.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), n_pivots=3).collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id // 2 * 2) for r in got)
