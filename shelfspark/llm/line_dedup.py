@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 EVERY, MIN_LINES = 4, 2
+HOT, SALTS = 4096, 64
 _NO_ID = -(2**63)
 
 
@@ -45,25 +46,45 @@ def chunked(docs: DataFrame, every: int = EVERY) -> DataFrame:
     return cut.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("chunks.hash").alias("row"), "chunks")
 
 
+def _salted(df: DataFrame, hot: DataFrame, salt: Column) -> DataFrame:
+    """df with salt: of rows whose hash is in the broadcast table hot, the given one, else 0."""
+    return df.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, every: int = EVERY) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what is kept) for each row of docs (doc_id, text).
 
-    Chunks are counted by hash alone; then the texts of chunks with a repeated hash, and no others, are grouped byte by byte."""
+    Chunks are counted by hash alone; then the texts of chunks with a repeated hash, and no others, are grouped byte by byte. A hash that has
+    more than 1/HOT of all repeated chunks (so there are fewer than HOT) is spread over SALTS keys wherever its rows meet."""
     cut = chunked(docs, every)
-    places = cut.select("id", "row", F.col("chunks.hash").alias("all"), F.posexplode("chunks").alias("pos", "c")).where(F.col("c.n") >= min_lines)
-    places = places.select("id", "row", "pos", F.col("c.hash").alias("hash"), (F.array_position("all", F.col("c.hash")) == F.col("pos") + 1).alias("first_here"))
-    hashes = places.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    wanted = durable(places.join(hashes, "hash", "left_semi").groupBy("id", "row").agg(F.collect_set(F.struct("pos", "hash", "first_here")).alias("at")), "wanted")
+    places = cut.select("id", "row", F.posexplode("chunks").alias("pos", "c")).where(F.col("c.n") >= min_lines).select("id", "row", "pos", F.col("c.hash").alias("hash"))
+    hashes = durable(places.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1"), "hashes")
+    total = hashes.agg(F.sum("k")).first()[0] or 0
+    hot = hashes.where(F.col("k") > total / HOT).select("hash", F.lit(True).alias("hot"))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    every_salt = lambda df: df.join(F.broadcast(hot), "hash", "left").withColumn("salt", salts).drop("hot")
+    own = F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)).cast("int")
+    some = _salted(places, hot, own).join(every_salt(hashes.select("hash")), ["hash", "salt"], "left_semi")
+    wanted = durable(some.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "hash", "salt")).alias("at")), "wanted")
     # cut meets both joins in one plan with the same key and columns, so its shuffle is made once and reused
-    each = cut.join(wanted, ["id", "row"]).select("id", "row", "chunks", F.explode("at").alias("a")).select("id", "row", "a.pos", "a.hash", "a.first_here", F.get("chunks", F.col("a.pos"))["text"].alias("text"))
+    texts = cut.join(wanted, ["id", "row"]).select("id", "row", _held(F.transform("at", lambda a: F.struct(a["pos"].alias("pos"), a["hash"].alias("hash"), a["salt"].alias("salt"), F.get("chunks", a["pos"])["text"].alias("text")))).alias("at"))
+    each = texts.select("id", "row", F.inline("at"))
     repeated = each.groupBy("hash", "text").agg(F.count("*").alias("k"), F.min("id").alias("first_doc")).where("k > 1").drop("k")
-    gone = each.join(repeated, ["hash", "text"]).where(~((F.col("id") == F.col("first_doc")) & F.col("first_here"))).groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
+    met = each.join(every_salt(repeated), ["hash", "salt", "text"])
+    # of a chunk that a text of the first document has several times, the first stays
+    by_chunk = met.groupBy("id", "row", "hash", "text", (F.col("id") == F.col("first_doc")).alias("first")).agg(F.collect_set("pos").alias("pos"), F.min("pos").alias("least"))
+    gone = by_chunk.select("id", "row", F.when(F.col("first"), F.filter("pos", lambda p: p != F.col("least"))).otherwise(F.col("pos")).alias("pos"))
+    gone = gone.groupBy("id", "row").agg(F.flatten(F.collect_set("pos")).alias("gone"))
     out = cut.join(gone, ["id", "row"], "left").select("id", "chunks", _held(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
-    out = out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "chunks", "gone", _held(F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))).alias("kept"))
+    # array_except hashes, so this is linear in the chunks of a text
+    all_places = F.when(F.size("chunks") > 0, F.sequence(F.lit(0), F.size("chunks") - 1)).otherwise(F.array().cast("array<int>"))
+    out = out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "chunks", "gone", _held(F.transform(F.array_except(all_places, "gone"), lambda i: F.get("chunks", i))).alias("kept"))
     count = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n"]), F.lit(0).cast("long"))
+    whole = F.col("chunks").isNotNull()
     return out.select(
-        "doc_id", count("chunks").alias("n_lines"), (count("chunks") - count("kept")).alias("n_removed"), F.size("gone").cast("long").alias("n_chunks_removed"), F.array_join(F.transform("kept", lambda c: c["text"]), "\n").alias("text")
-    )
+        "doc_id", count("chunks").alias("n_lines"), (count("chunks") - F.when(whole, count("kept")).otherwise(0)).alias("n_removed"), F.size("gone").cast("long").alias("n_chunks_removed"),
+        F.when(whole, F.array_join(F.transform("kept", lambda c: c["text"]), "\n")).alias("text"),
+    )
 
 
 SQL = f"""
