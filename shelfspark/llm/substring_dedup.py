@@ -1,16 +1,17 @@
 """Substring dedup by super-k-mers.
 
-A window is K consecutive words of one text. A window's minimiser is the smallest hash among its runs of M words, so equal windows have
-equal minimisers. Consecutive windows with one minimiser travel together, as the one stretch of text that holds them (a super-k-mer), to
-the minimiser's bucket, where sorting brings equal windows together; all but the earliest (smallest doc_id, then start) are repeats, and
-every word that a repeat covers is removed.
+A window is K consecutive words of one text. A window's minimisers are the smallest hashes among its runs of M words in two orders of the
+hashes, so equal windows have equal minimisers, and a frequent run of M words does not make one large bucket: the second minimiser splits it.
+Consecutive windows with the same two travel together, as the one stretch of text that holds them (a super-k-mer), to the bucket of the two,
+where sorting brings equal windows together; all but the earliest (smallest doc_id, then start) are repeats, and every word that a repeat
+covers is removed.
 
 Two steps before that keep the traffic down and lose nothing. Each task sorts the windows of a few megabytes of text and passes on only the
 first of equal windows, so a passage of a third of all documents arrives once for each such stretch, not once for each document. Then a
 census of minimisers, without texts, leaves only super-k-mers whose minimiser occurs in another one: a window alone in its bucket cannot
 have an equal.
 
-Windows are compared by two 64-bit hashes of their words and by their minimiser.
+Windows are sorted by a hash of their words; those of one hash are then compared word by word.
 
 Defined cases: null text has no words; texts with fewer than K words keep all of them; a null doc_id counts as the smallest; windows at the
 same (doc_id, start) of repeated rows are one occurrence, so exact repeats of a row are treated alike; an empty table gives no rows; other
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, partitions
-from .words import chunks, window_hashes
+from .words import chunks, mix, window_hashes
 
 K, M = 20, 4
 STRETCH = 1_000_000  # bytes of text that a task sorts at once
@@ -56,13 +57,21 @@ def _runs(words: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(words)))
 
 
-def _repeats(order: np.ndarray, hashes: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marks every window that equals an earlier one; order sorts by hashes[0] and is stable over ascending (doc, start)."""
+def _repeats(whole: np.ndarray, words: np.ndarray, at: np.ndarray, k: int, doc: np.ndarray, start: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+    """Marks every window that equals an earlier one, given ascending (doc, start). whole: a hash of each window; words: one number for each
+    different word of the text; at: the first word of each window."""
+    order = np.argsort(whole, kind="stable")
     as_before = np.ones(len(order), bool)
     as_before[0:1] = False
-    for h in hashes:
-        s = h[order]
-        as_before[1:] &= s[1:] == s[:-1]
+    as_before[1:] = whole[order][1:] == whole[order][:-1]
+    if bucket is not None:
+        as_before[1:] &= bucket[order][1:] == bucket[order][:-1]
+    pair = np.flatnonzero(as_before)
+    a, b = at[order[pair]], at[order[pair - 1]]
+    same = np.ones(len(pair), bool)
+    for j in range(k):
+        same &= words[a + j] == words[b + j]
+    as_before[pair] = same
     head = order[np.maximum.accumulate(np.where(as_before, 0, np.arange(len(order))))]
     out = np.zeros(len(order), bool)
     out[order] = as_before & ((doc[order] != doc[head]) | (start[order] != start[head]))
@@ -94,8 +103,9 @@ def super_kmers(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
                     at, of, doc, row, start = (x[by_doc] for x in (at, of, doc, row, start))
                 h = w.hashes(lower=False)
                 whole = window_hashes(h, at, k)
-                least = sliding_min(window_hashes(h, np.arange(len(h) - m + 1), m), k - m + 1)[at].view(np.int64)
-                again = _repeats(np.argsort(whole, kind="stable"), [whole, window_hashes(h, at, k, second=True)], doc, start)
+                runs = window_hashes(h, np.arange(len(h) - m + 1), m)
+                least = (sliding_min(runs, k - m + 1) + mix(sliding_min(mix(runs), k - m + 1)))[at].view(np.int64)
+                again = _repeats(whole, w.codes(), at, k, doc, start)
                 for known, some in ((True, np.flatnonzero(again)), (False, np.flatnonzero(~again))):
                     first, n = _runs(at[some], of[some] if known else least[some] ^ of[some])
                     i = some[first]
@@ -154,12 +164,12 @@ def repeated_runs(sent: DataFrame, k: int = K) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         bucket, doc, row, start = (table.column(c).to_numpy() for c in _PACKED[:4])
-        (w,) = chunks(table.column("packed").combine_chunks(), 1 << 40)
+        (w,) = chunks(table.column("packed").cast(pa.large_string()).combine_chunks(), 1 << 60)
         at, of = w.windows(k)
         h = w.hashes(lower=False)
         whole = window_hashes(h, at, k)
         d, s = doc[of], start[of] + at - w.first[of]
-        again = np.flatnonzero(_repeats(np.argsort(whole, kind="stable"), [whole, window_hashes(h, at, k, second=True), bucket[of]], d, s))
+        again = np.flatnonzero(_repeats(whole, w.codes(), at, k, d, s, bucket[of]))
         first, n = _runs(at[again], of[again])
         i = again[first]
         return _table(_FOUND, d[i], row[of[i]], s[i], n)

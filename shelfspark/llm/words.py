@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 
 CHUNK = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,7 +50,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS, _WORDS2 = _Powers(_ODD), _Powers(np.uint64(0xD6E8FEB86659FD93)), _Powers(_ODD2)
+_BYTES, _WORDS = _Powers(_ODD), _Powers(np.uint64(0xD6E8FEB86659FD93))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _WORDS) -> np.ndarray:
@@ -79,6 +78,13 @@ class Words:
     def hashes(self, lower: bool) -> np.ndarray:
         return span_hashes((_LOWER[self.data] if lower else self.data) + np.uint64(1), self.starts, self.ends, _BYTES)
 
+    def codes(self) -> np.ndarray:
+        """One number for each different word."""
+        ink = self.data[~_SPACE[self.data]]
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ink)])
+        return words.dictionary_encode().indices.to_numpy()
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each run of k words inside one text, and that text's index."""
         n = np.maximum(self.counts - k + 1, 0)
@@ -90,8 +96,8 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True))
 
 
-def window_hashes(hashes: np.ndarray, at: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    return span_hashes(hashes, at, at + k, _WORDS2 if second else _WORDS)
+def window_hashes(hashes: np.ndarray, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    return span_hashes(hashes, at, at + k)
 
 
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Words]:
