@@ -1,14 +1,15 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded from its bytes and words (byte frequencies, repetition, word
-length) by a learned tanh layer; gated attention weighs the passages of a document; a logistic unit scores the weighted sum. Only document
-labels are known, so the weights of passages are learned through the bag.
+A document is a bag of passages of PASSAGE words. Each passage is encoded from its bytes and words (byte frequencies, hashed words and word
+pairs, repetition, word length) by a learned tanh layer; gated attention weighs the passages of a document; a logistic unit scores the
+weighted sum. Only document labels are known, so the weights of passages are learned through the bag.
 
-The model is fitted on at most SAMPLE labelled documents, taken in the order of a hash of doc_id from those that are not held out; their
-passage features are all that reaches the driver. Scoring reads every whole text in one pass without a shuffle.
+The model is fitted on at most SAMPLE labelled documents of at most PASSAGES passages together, taken in the order of a hash of doc_id from
+those that are not held out; their passage features are all that reaches the driver. Scoring reads every whole text in one pass without a
+shuffle.
 
 Defined cases: null and wordless texts are one passage of zeros and are scored too; a null doc_id is not held out; repeated label rows of a
-document count once (the larger label); with no labels of both kinds every score is the share of label 1 (0.5 if there are none); other
+document count once (the larger label), and of rows with one doc_id one is fitted on; with no labels of both kinds every score is the share of label 1 (0.5 if there are none); other
 columns are ignored.
 """
 
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, chunks
+from .common import durable
+from .words import Words, chunks, mix
 
-PASSAGE, SAMPLE, HIDDEN, GATE, EPOCHS, SEED, THRESHOLD = 64, 4000, 24, 12, 40, 7, 0.3
-N_FEATURES = 256 + 4
+PASSAGE, SAMPLE, PASSAGES, HIDDEN, GATE, EPOCHS, SEED, THRESHOLD = 64, 4000, 60_000, 24, 12, 40, 7, 0.3
+PAIRS = 128  # buckets of hashed words and word pairs
+N_FEATURES = 256 + 4 + PAIRS
 
 
 def held_out(doc_id: Column) -> Column:
@@ -59,6 +62,10 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
         out[full, 257] = np.bincount(owner[again], minlength=len(full)) / count
         out[full, 258] = size / count / 10
         out[full, 259] = np.log1p(count) / 4
+        pair = np.concatenate([mix(h[:-1] * np.uint64(3) + h[1:]), h[:0]])[owner[1:] == owner[:-1]]
+        hashed = np.concatenate([h, pair]) >> np.uint64(57)
+        whose = np.concatenate([owner, owner[1:][owner[1:] == owner[:-1]]])
+        out[full, 260:] = np.sqrt(np.bincount(whose * PAIRS + hashed.astype(np.int64), minlength=PAIRS * len(full)).reshape(-1, PAIRS) / (2 * count[:, None]))
     return out, first
 
 
@@ -119,7 +126,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = PASSAGES, label: str = "quality") -> dict:
     """A model of labels (doc_id, `label`) over docs (doc_id, text)."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -129,12 +136,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
             for w in chunks(batch.column(2)):
                 x, first = passages(w)
                 packed = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(w.rows)) for i in (0, 1)] + [pa.array(packed, pa.binary())], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(w.rows)) for i in (0, 1)] + [pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["doc_id", "label", "n", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label double, x binary").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable")
-    return fit([np.frombuffer(x, np.float16).reshape(-1, N_FEATURES).astype(np.float64) for x in found["x"]], found["label"].to_numpy())
+    one = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id
+    found = durable(one.mapInArrow(features, "doc_id long, label double, n long, x binary"), "passages")
+    # whole documents in the order of the hash, as many as passages allow: first their sizes, then the features of those chosen
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sizes = found.select("n", F.row_number().over(Window.orderBy(*order)).alias("at"))  # at most `sample` rows
+    last = sizes.select("at", F.sum("n").over(Window.orderBy("at")).alias("total")).where(F.col("total") <= limit).agg(F.max("at")).first()[0] or 0
+    chosen = found.withColumn("at", F.row_number().over(Window.orderBy(*order))).where(F.col("at") <= last).orderBy("at").select("label", "x").toPandas()
+    return fit([np.frombuffer(x, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for x in chosen["x"]], chosen["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: dict, keep: list[str], threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
