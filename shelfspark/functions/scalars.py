@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-CURRENCY = r"^(?i)\s*(?:US\$|S\$|HK\$|NT\$|SGD|USD|MYR|RM|IDR|PHP|THB|VND|\$|€|£|¥)\s*"
+CURRENCY = r"(?:US\$|S\$|HK\$|NT\$|SGD|USD|MYR|RM|IDR|PHP|THB|VND|\$|€|£|¥)"
+NUMBER = rf"(?i)^\(?\s*(?:{CURRENCY}\s*)?([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)[^0-9]*$"
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 MONTH_NAMES = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 TOTAL_LABELS = ("TOTAL", "TOTALS", "SUBTOTAL", "SUB-TOTAL", "SUB TOTAL", "GRAND TOTAL")
@@ -36,11 +37,10 @@ def let(value: Column, body) -> Column:
 
 def to_num(c: Column) -> Column:
     """A number at the start of a cell: thousands commas, currency in front, (x) for negatives, a unit behind. Digits behind it: null."""
-    inner = let(F.trim(c), lambda s: F.when(s.startswith("(") & s.endswith(")") & (F.length(s) > 1), F.struct(F.lit(-1.0).alias("sign"), F.trim(F.substring(s, F.lit(2), F.length(s) - 2)).alias("s"))).otherwise(F.struct(F.lit(1.0).alias("sign"), s.alias("s"))))
-    bare = lambda x: F.struct(x["sign"].alias("sign"), F.trim(F.translate(F.when(x["s"].rlike(r"^[0-9.+-]"), x["s"]).otherwise(F.regexp_replace(x["s"], CURRENCY, "")), ",", "")).alias("s"))
-    split = lambda x: F.struct(x["sign"].alias("sign"), x["s"].alias("s"), F.regexp_extract(x["s"], r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?", 0).alias("head"))
-    number = lambda x: F.when((x["head"] != "") & ~F.substring(x["s"], F.length(x["head"]) + 1, F.length(x["s"])).rlike(r"\d"), x["sign"] * x["head"].try_cast("double"))
-    return let(let(let(inner, bare), split), number)
+    s = F.translate(F.trim(c), ",", "")
+    negative = s.startswith("(")
+    number = F.regexp_extract(s, NUMBER, 1).try_cast("double")
+    return F.when(~negative, number).when(s.endswith(")"), -number)
 
 
 def num_sql(c: Column) -> Column:

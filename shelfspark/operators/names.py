@@ -22,18 +22,22 @@ def match_names(sales_names: DataFrame, inventory_names: DataFrame) -> DataFrame
 
     In order: the same key; the longest inventory key (of MIN_PREFIX characters at least) that the name's key starts with; the only
     inventory key that starts with the name's key (two or more: the name is dropped, its key null); the same three for the name without
-    its annotation; else its own unannotated key. Prefixes are exploded from distinct keys, so every step is an equi-join.
+    its annotation; else its own unannotated key. Names without an equal key are few: only their prefixes are exploded, and of inventory keys
+only prefixes of lengths that such names have, so every step is an equi-join.
     """
     inv = inventory_names.select("session_id", match_key(F.col("item")).alias("k")).where("k <> ''").distinct()
     names = sales_names.select("session_id", "name").distinct().select("session_id", "name", match_key(F.col("name")).alias("k0"), match_key(annotation_head(F.col("name"))).alias("k1"))
     tries = names.select("session_id", F.explode(F.array_distinct(F.array("k0", "k1"))).alias("t")).where("t <> ''").distinct()
     exact = tries.join(inv, (tries.session_id == inv.session_id) & (tries.t == inv.k), "left_semi").withColumn("exact", F.lit(True))
     prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(MIN_PREFIX), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
-    long_tries = tries.where(F.length("t") >= MIN_PREFIX)
+    open_tries = tries.join(exact.drop("exact"), ["session_id", "t"], "left_anti")
+    long_tries = open_tries.where(F.length("t") >= MIN_PREFIX)
     long_inv = inv.where(F.length("k") >= MIN_PREFIX)
+    lengths = long_tries.groupBy("session_id").agg(F.collect_set(F.length("t")).alias("lengths"))  # as many as a name has characters at most
+    cut = F.explode(F.transform(F.filter("lengths", lambda n: n < F.length("whole")), lambda n: F.substring(F.col("whole"), F.lit(1), n)))
     longest = long_tries.select("session_id", "t", prefixes(F.col("t")).alias("k")).join(long_inv, ["session_id", "k"]).groupBy("session_id", "t").agg(F.max_by("k", F.length("k")).alias("longest"))
     only = (
-        long_inv.select("session_id", F.col("k").alias("whole"), prefixes(F.col("k")).alias("t")).join(long_tries, ["session_id", "t"])
+        long_inv.withColumnRenamed("k", "whole").join(lengths, "session_id").select("session_id", "whole", cut.alias("t")).join(long_tries, ["session_id", "t"])
         .groupBy("session_id", "t").agg(F.count("*").alias("n_whole"), F.min("whole").alias("whole"))
     )
     known = tries.join(exact, ["session_id", "t"], "left").join(longest, ["session_id", "t"], "left").join(only, ["session_id", "t"], "left")

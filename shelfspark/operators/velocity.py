@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import date_parts, match_key, month_key, to_num
 
+from .durable import durable
+
 MAX_MONTHS, ASSUMED_MONTHS = 24, 12
 
 
@@ -16,43 +18,71 @@ def day_first(sales: DataFrame) -> DataFrame:
     return sales.groupBy("session_id").agg((F.coalesce(F.bool_or(p["a"] > 12), F.lit(False)) | ~F.coalesce(F.bool_or(p["b"] > 12), F.lit(False))).alias("day_first"))
 
 
-def parsed(sales: DataFrame) -> DataFrame:
-    """sales with month (date), qty, revenue (decimal) from the raw cells. A session has few distinct dates, so each is read once and
-    joined back; the same table decides the order of day and month."""
-    dates = sales.select("session_id", "date_raw").distinct()
-    months = dates.join(day_first(dates), "session_id").select("session_id", "date_raw", month_key(F.col("date_raw"), F.col("day_first")).alias("month"))
-    money = to_num(F.col("rev_raw")).cast("decimal(18,2)")
-    return sales.join(months, ["session_id", "date_raw"], "left").withColumns({"qty": to_num(F.col("qty_raw")), "revenue": money})
+def read_dates(dates: DataFrame) -> DataFrame:
+    """session_id, date_raw, month of distinct dates. A session has few of them, so each is read once; all of them decide the order of day
+    and month."""
+    return dates.join(day_first(dates), "session_id").select("session_id", "date_raw", month_key(F.col("date_raw"), F.col("day_first")).alias("month"))
+
+
+def sales_cube(sales: DataFrame) -> DataFrame:
+    """Sales lines read and added up once, by session_id, item_raw, item_no and month: qty and revenue (decimals), n (lines), n_dated (lines
+    with a date text), stated_sum and n_stated of the stated monthly averages. Everything about amounts and months follows from it, and it
+    is written, so the facts are scanned once. Quantities are whole or two-decimal numbers, so decimal sums are exact."""
+    keys = ["session_id", "item_raw", "item_no"]
+    avg = to_num(F.col("avg_raw"))
+    by_date = durable(
+        sales.groupBy(*keys, "date_raw").agg(
+            F.sum(to_num(F.col("qty_raw")).cast("decimal(18,2)")).alias("qty"), F.sum(to_num(F.col("rev_raw")).cast("decimal(18,2)")).alias("revenue"), F.count("*").alias("n"), F.sum(avg).alias("stated_sum"), F.count(avg).alias("n_stated")
+        ), "sales-by-date",
+    )
+    months = read_dates(by_date.select("session_id", "date_raw").distinct())
+    dated = F.when(F.trim("date_raw") != "", F.col("n")).otherwise(0)
+    sums = [F.sum(c).alias(c) for c in ("qty", "revenue", "n", "stated_sum", "n_stated")]
+    return durable(by_date.join(months, ["session_id", "date_raw"], "left").groupBy(*keys, "month").agg(*sums, F.sum(dated).alias("n_dated")), "sales-cube")
 
 
-def sales_velocity(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """total_qty, total_revenue, n_rows by keys. Quantities are whole or two-decimal numbers, so decimal sums are exact."""
-    total = F.sum(F.col("qty").cast("decimal(18,2)")).cast("double")
-    return lines.groupBy(*keys).agg(total.alias("total_qty"), F.sum("revenue").cast("double").alias("total_revenue"), F.count("*").alias("n_rows"))
+def sales_velocity(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """total_qty, total_revenue, n_rows, stated_avg (of the lines that state one; blanks do not count) by keys."""
+    return cube.groupBy(*keys).agg(
+        F.sum("qty").cast("double").alias("total_qty"), F.sum("revenue").cast("double").alias("total_revenue"), F.sum("n").alias("n_rows"), F.try_divide(F.sum("stated_sum"), F.sum("n_stated")).alias("stated_avg")
+    )
 
 
-def months_covered(lines: DataFrame) -> DataFrame:
+def months_covered(cube: DataFrame) -> DataFrame:
     """session_id, months: distinct months, null when under half of the non-blank dates are readable."""
-    filled = F.count_if(F.trim("date_raw") != "")
-    return lines.groupBy("session_id").agg(F.when(2 * F.count("month") >= filled, F.greatest(F.lit(1), F.count_distinct("month"))).alias("months"))
+    read = F.sum(F.when(F.col("month").isNotNull(), F.col("n_dated")).otherwise(0))
+    return cube.groupBy("session_id").agg(F.when((2 * read >= F.sum("n_dated")) & (F.sum("n_dated") > 0), F.greatest(F.lit(1), F.count_distinct("month"))).alias("months"))
+
+
+def months_resolved(covered: DataFrame, inferred: DataFrame) -> DataFrame:
+    """session_id, months, basis: months from dates, else inferred from stated averages, else ASSUMED_MONTHS (worth a note to the user)."""
+    both = covered.join(inferred, "session_id", "left")
+    basis = F.when(F.col("months").isNotNull(), "dates").when(F.col("inferred").isNotNull(), "inferred").otherwise("assumed")
+    return both.select("session_id", F.coalesce("months", "inferred", F.lit(ASSUMED_MONTHS)).cast("bigint").alias("months"), basis.alias("basis"))
+
+
+def avg_monthly(stated: Column, spiky_median: Column, total: Column, months: Column) -> Column:
+    """A stated average counts as it is; on the derived path a spiky item is sized on its median month, never on the inflated mean."""
+    return F.when(stated > 0, stated).when(spiky_median > 0, spiky_median).when(total > 0, total / months).otherwise(0.0)
 
 
 def months_inferred(items: DataFrame) -> DataFrame:
     """session_id, inferred: the upper median over items of total / stated average, for ratios in [0.25, 60]."""
     ratio = F.when(F.col("stated_avg") > 0, F.col("total_qty") / F.col("stated_avg"))
-    some = items.select("session_id", ratio.alias("r")).where("r BETWEEN 0.25 AND 60")
+    some = items.where("total_qty > 0").select("session_id", ratio.alias("r")).where("r BETWEEN 0.25 AND 60")
     at = Window.partitionBy("session_id").orderBy("r")
     ranked = some.select("session_id", "r", F.row_number().over(at).alias("i"), F.count("*").over(Window.partitionBy("session_id")).alias("n"))
     return ranked.where("i = floor(n / 2) + 1").select("session_id", F.greatest(F.lit(1), F.bround("r", 0).cast("bigint")).alias("inferred"))
 
 
-def monthly_vectors(lines: DataFrame, key: str = "key") -> DataFrame:
+def monthly_vectors(cube: DataFrame, key: str = "key") -> DataFrame:
     """session_id, key, month, qty: each key's zero-filled quantities over the session's latest MAX_MONTHS covered months."""
-    sums = lines.where("month IS NOT NULL").groupBy("session_id", key, "month").agg(F.sum(F.col("qty").cast("decimal(18,2)")).cast("double").alias("qty"))
+    sums = cube.where("month IS NOT NULL").groupBy("session_id", key, "month").agg(F.sum("qty").cast("double").alias("qty"))
     latest = Window.partitionBy("session_id").orderBy(F.desc("month"))
-    months = sums.select("session_id", "month").distinct().withColumn("r", F.row_number().over(latest)).where(f"r <= {MAX_MONTHS}").drop("r")
-    grid = sums.select("session_id", key).distinct().join(F.broadcast(months), "session_id")  # at most MAX_MONTHS rows a session
-    return grid.join(sums, ["session_id", key, "month"], "left").withColumn("qty", F.coalesce("qty", F.lit(0.0)))
+    months = sums.select("session_id", "month").distinct().withColumn("r", F.row_number().over(latest)).where(f"r <= {MAX_MONTHS}").groupBy("session_id").agg(F.collect_list("month").alias("months"))
+    sold = sums.groupBy("session_id", key).agg(F.map_from_entries(F.collect_list(F.struct("month", "qty"))).alias("sold"))
+    grid = sold.join(months, "session_id").select("session_id", key, "sold", F.explode("months").alias("month"))  # at most MAX_MONTHS rows a key
+    return grid.select("session_id", key, "month", F.coalesce(F.element_at("sold", F.col("month")), F.lit(0.0)).alias("qty"))
 
 
 def pattern_stats(vectors: DataFrame, key: str = "key") -> DataFrame:
@@ -78,7 +108,7 @@ def demand_shapes(vectors: DataFrame, key: str = "key") -> DataFrame:
 
 
 def with_keys(lines: DataFrame, matched: DataFrame) -> DataFrame:
-    """Sales lines with the inventory key of their name; lines of dropped names go."""
+    """Sales lines (or a cube of them) with the inventory key of their name; lines of dropped names go."""
     return lines.join(matched.withColumnRenamed("name", "item_raw").drop("how"), ["session_id", "item_raw"]).where("key IS NOT NULL")
 
 

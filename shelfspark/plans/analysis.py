@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import clean, decisions, names, suppliers, velocity
+from shelfspark.operators.durable import durable
 from shelfspark.sources import bindings as b
 
 from .register import Register
@@ -20,16 +21,27 @@ def stock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.merge_split_rows(rows)
 
 
-def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return velocity.parsed(b.sales(spark, sf_dir))
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return velocity.sales_cube(b.sales(spark, sf_dir))
+
+
+def matched(spark: SparkSession, sf_dir: str, names_of: DataFrame) -> DataFrame:
+    """The inventory key of each distinct sales name of names_of (session_id, item_raw)."""
+    return names.match_names(names_of.select("session_id", F.col("item_raw").alias("name")), b.inventory(spark, sf_dir).select("session_id", "item"))
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.match_names(b.sales(spark, sf_dir).select("session_id", F.col("item_raw").alias("name")), b.inventory(spark, sf_dir).select("session_id", "item"))
+    return matched(spark, sf_dir, b.sales(spark, sf_dir))
+
+
+def keyed_cube(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    facts = cube(spark, sf_dir) if facts is None else facts
+    return velocity.with_keys(facts, matched(spark, sf_dir, facts))
 
 
 def keyed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return velocity.with_keys(sales_lines(spark, sf_dir), matches(spark, sf_dir))
+    """Single sales lines with their keys, for what depends on the order of lines."""
+    return velocity.with_keys(b.sales(spark, sf_dir), matches(spark, sf_dir))
 
 
 def lead_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +50,21 @@ def lead_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.join(suppliers.lead_times(b.supplier_profiles(spark, sf_dir)), "supplier")
 
 
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock rows with sales figures, the months they cover, and the monthly average that orders are sized on."""
+    facts = cube(spark, sf_dir)
+    speed = durable(velocity.sales_velocity(keyed_cube(spark, sf_dir, facts), ["session_id", "key"]), "speed")
+    months = velocity.months_resolved(velocity.months_covered(facts), velocity.months_inferred(speed))
+    shapes = velocity.demand_shapes(velocity.monthly_vectors(velocity.raw_key(facts)))
+    spiky = shapes.where("pattern = 'spiky'").select("session_id", "key", F.bround("corrected", 1).alias("corrected"))
+    rows = stock_rows(spark, sf_dir).join(speed, ["session_id", "key"], "left").join(months, "session_id", "left").join(spiky, ["session_id", "key"], "left")
+    avg = velocity.avg_monthly(*[F.col(c) for c in ("stated_avg", "corrected", "total_qty")], F.coalesce("months", F.lit(velocity.ASSUMED_MONTHS)))
+    return rows.withColumn("avg_monthly", avg)
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (session, item): stock, sales, supply, lead time, status, suggested order."""
-    lines = keyed_sales(spark, sf_dir)
-    speed = velocity.sales_velocity(lines, ["session_id", "key"])
-    months = velocity.months_covered(sales_lines(spark, sf_dir))
-    rows = stock_rows(spark, sf_dir).join(speed, ["session_id", "key"], "left").join(F.broadcast(months), "session_id", "left")
-    rows = rows.join(lead_by_item(spark, sf_dir), ["org_name", "item"], "left")
-    rows = rows.withColumn("avg_monthly", F.when(F.col("total_qty") > 0, F.col("total_qty") / F.coalesce("months", F.lit(velocity.ASSUMED_MONTHS))).otherwise(0.0))
+    rows = sized(spark, sf_dir).join(lead_by_item(spark, sf_dir), ["org_name", "item"], "left")
     rows = rows.withColumn("months_of_supply", decisions.months_of_supply(F.col("stock"), F.col("avg_monthly"))).withColumn("lead_months", F.bround(F.col("lead_days") / 30, 1))
     rows = rows.withColumn("status", decisions.final_status(*[F.col(c) for c in ("months_of_supply", "lead_months", "stock", "total_qty")]))
     days = F.bround(F.col("months_of_supply") * 30, 0)
@@ -54,15 +73,20 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRICS_SQL = b.CLEAN + """,
-vel AS (SELECT session_id, k, CAST(sum(qty) AS DOUBLE) AS total_qty, CAST(sum(rev) AS DOUBLE) AS total_revenue, count(*) AS n_rows FROM m GROUP BY ALL),
-mon AS (SELECT session_id, count(DISTINCT month) AS months FROM s GROUP BY ALL),
-po AS (SELECT l_partkey AS k, arg_max(l_suppkey, (CAST(l_shipdate AS DATE) - DATE '1970-01-01') * 100000000 + l_orderkey * 10 + l_linenumber) AS sk FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+vel AS (SELECT session_id, k, CAST(sum(qty) AS DOUBLE) AS total_qty, CAST(sum(rev) AS DOUBLE) AS total_revenue, count(*) AS n_rows, avg(stated) AS stated FROM m GROUP BY ALL),
+cov AS (SELECT session_id, CASE WHEN 2 * count(month) >= count(*) THEN count(DISTINCT month) END AS months FROM s GROUP BY ALL),
+inf AS (SELECT session_id, greatest(1, CAST(round_even(l[len(l) // 2 + 1], 0) AS BIGINT)) AS inferred FROM (SELECT session_id, list_sort(list(total_qty / stated)) AS l FROM vel WHERE stated > 0 AND total_qty > 0 AND total_qty / stated BETWEEN 0.25 AND 60 GROUP BY ALL)),
+mon AS (SELECT session_id, coalesce(months, inferred, 12) AS months, CASE WHEN months IS NOT NULL THEN 'dates' WHEN inferred IS NOT NULL THEN 'inferred' ELSE 'assumed' END AS basis FROM cov LEFT JOIN inf USING (session_id)),
+pq AS (SELECT session_id, k, month, CAST(sum(qty) AS DOUBLE) AS q FROM s WHERE NOT cut AND NOT noted AND month IS NOT NULL GROUP BY ALL),
+pg AS (SELECT a.session_id, a.k, coalesce(pq.q, 0.0) AS q FROM (SELECT DISTINCT session_id, k FROM pq) a JOIN (SELECT DISTINCT session_id, month FROM s WHERE month IS NOT NULL) mo USING (session_id) LEFT JOIN pq USING (session_id, k, month)),
+spk AS (SELECT session_id, k, round_even(median(q), 1) AS corrected FROM pg GROUP BY ALL HAVING count(*) >= 4 AND sum(q) > 0 AND count(*) FILTER (q <= 0) * 2 < count(*) AND median(q) > 0 AND sum(q) / count(*) >= 2 * median(q)),
+po AS (SELECT l_partkey AS k, arg_max(l_suppkey, (CAST(l_shipdate AS DATE) - DATE '1970-01-01') * 100000000 + l_orderkey * 10 + l_linenumber) AS sk FROM lineitem GROUP BY ALL),
 pro AS (SELECT s_suppkey AS sk, s_name AS supplier, CASE s_suppkey % 3 WHEN 0 THEN 'import' WHEN 1 THEN 'local' ELSE 'other' END AS supplier_type,
         CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey % 90 + 10 WHEN s_suppkey % 3 = 0 THEN 112 WHEN s_suppkey % 3 = 1 THEN 21 ELSE 56 END AS lead_days,
         (s_suppkey % 50) / 100.0 AS delay, CASE s_suppkey % 5 WHEN 0 THEN 0.9 ELSE 0.3 END AS quality FROM supplier),
 x1 AS (SELECT v.*, vel.total_qty, vel.total_revenue, vel.n_rows, mon.months, pro.supplier, pro.supplier_type, CAST(pro.lead_days AS INTEGER) AS lead_days, CAST(pro.delay AS DOUBLE) AS delay, pro.delay > 0.3 OR pro.quality < 0.5 AS high_risk,
-       CASE WHEN vel.total_qty > 0 THEN vel.total_qty / coalesce(mon.months, 12) ELSE 0.0 END AS avg_monthly
-       FROM v LEFT JOIN vel USING (session_id, k) LEFT JOIN mon USING (session_id) LEFT JOIN po USING (k) LEFT JOIN pro ON pro.sk = po.sk),
+       CASE WHEN stated > 0 THEN stated WHEN corrected > 0 THEN corrected WHEN vel.total_qty > 0 THEN vel.total_qty / coalesce(mon.months, 12) ELSE 0.0 END AS avg_monthly
+       FROM v LEFT JOIN vel USING (session_id, k) LEFT JOIN mon USING (session_id) LEFT JOIN spk USING (session_id, k) LEFT JOIN po USING (k) LEFT JOIN pro ON pro.sk = po.sk),
 x2 AS (SELECT *, CASE WHEN avg_monthly > 0 THEN round_even(stock / avg_monthly, 1) END AS mos, round_even(lead_days / 30.0::DOUBLE, 1) AS lead_months FROM x1),
 met AS (SELECT *, CASE WHEN stock IS NULL THEN CASE WHEN total_qty > 0 THEN 'LOW' ELSE 'HEALTHY' END
         WHEN total_qty IS NULL THEN CASE WHEN stock = 0 THEN 'DEAD' ELSE 'HEALTHY' END WHEN total_qty > 0 AND stock = 0 THEN 'CRITICAL' WHEN mos IS NULL THEN 'DEAD'
@@ -107,24 +131,35 @@ def sales_name_match(spark, sf_dir):
 @query("sales_velocity", f"WITH {b.CLEAN} SELECT session_id, item, CAST(sum(qty) AS DOUBLE) AS total_qty, CAST(sum(rev) AS DOUBLE) AS total_revenue, count(*) AS n_rows FROM m GROUP BY ALL")
 def sales_velocity(spark, sf_dir):
     inv = b.inventory(spark, sf_dir).select("session_id", names.match_key(F.col("item")).alias("key"), "item")
-    return velocity.sales_velocity(keyed_sales(spark, sf_dir), ["session_id", "key"]).join(inv, ["session_id", "key"]).select("session_id", "item", "total_qty", "total_revenue", "n_rows")
+    return velocity.sales_velocity(keyed_cube(spark, sf_dir), ["session_id", "key"]).join(inv, ["session_id", "key"]).select("session_id", "item", "total_qty", "total_revenue", "n_rows")
 
 
-@query("months_covered", f"WITH {b.CLEAN} SELECT session_id, count(DISTINCT month) AS months FROM s GROUP BY ALL")
+@query("months_covered", f"WITH {METRICS_SQL} SELECT session_id, months FROM cov")
 def months_covered(spark, sf_dir):
-    return velocity.months_covered(sales_lines(spark, sf_dir)).select("session_id", "months")
+    return velocity.months_covered(cube(spark, sf_dir)).select("session_id", "months")
 
 
-@query("months_inferred", f"""WITH {b.CLEAN}, t AS (SELECT session_id, k, CAST(sum(qty) AS DOUBLE) AS total, k % 7 + 10.0 AS avg FROM s GROUP BY ALL),
-r AS (SELECT session_id, total / avg AS r FROM t WHERE total / avg BETWEEN 0.25 AND 60), o AS (SELECT session_id, list_sort(list(r)) AS l FROM r GROUP BY ALL)
-SELECT session_id, greatest(1, CAST(round_even(l[len(l) // 2 + 1], 0) AS BIGINT)) AS inferred FROM o""")
+@query("months_inferred", f"WITH {METRICS_SQL} SELECT session_id, inferred FROM inf")
 def months_inferred(spark, sf_dir):
-    totals = velocity.sales_velocity(sales_lines(spark, sf_dir), ["session_id", "item_no"])
-    return velocity.months_inferred(totals.withColumn("stated_avg", F.col("item_no") % 7 + F.lit(10.0)))
+    return velocity.months_inferred(velocity.sales_velocity(keyed_cube(spark, sf_dir), ["session_id", "key"]))
+
+
+@query("months_resolved", f"WITH {METRICS_SQL} SELECT session_id, months, basis FROM mon")
+def months_resolved(spark, sf_dir):
+    facts = cube(spark, sf_dir)
+    return velocity.months_resolved(velocity.months_covered(facts), velocity.months_inferred(velocity.sales_velocity(keyed_cube(spark, sf_dir, facts), ["session_id", "key"])))
+
+
+@query("pattern_lookup", f"WITH {METRICS_SQL} SELECT session_id, item.item, corrected FROM spk JOIN item USING (k)")
+def pattern_lookup(spark, sf_dir):
+    """Spiky items with the median that sizing uses: an inventory name finds its shape by the match key of its own name."""
+    shapes = velocity.demand_shapes(velocity.monthly_vectors(velocity.raw_key(cube(spark, sf_dir)))).where("pattern = 'spiky'").select("session_id", "key", F.bround("corrected", 1).alias("corrected"))
+    inv = b.inventory(spark, sf_dir).select("session_id", "item", names.match_key(F.col("item")).alias("key"))
+    return shapes.join(inv, ["session_id", "key"]).select("session_id", "item", "corrected")
 
 
 PATTERN_SQL = b.CLEAN + """,
-p AS (SELECT s.session_id, part.p_name AS key, s.month, CAST(sum(s.qty) AS DOUBLE) AS q FROM s JOIN part ON part.p_partkey = s.k GROUP BY ALL),
+p AS (SELECT s.session_id, part.p_name AS key, s.month, CAST(sum(s.qty) AS DOUBLE) AS q FROM s JOIN part ON part.p_partkey = s.k WHERE s.month IS NOT NULL GROUP BY ALL),
 mo AS (SELECT session_id, month FROM (SELECT DISTINCT session_id, month FROM p) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY month DESC) <= 24),
 g AS (SELECT k.session_id, k.key, mo.month, coalesce(p.q, 0.0) AS q FROM (SELECT DISTINCT session_id, key FROM p) k JOIN mo USING (session_id) LEFT JOIN p USING (session_id, key, month)),
 st AS (SELECT session_id, key, count(*) AS n, sum(q) AS total, median(q) AS med, min(q) AS low, max(q) AS high, count(*) FILTER (q <= 0) AS zeros, min(q) FILTER (q > 0) AS ls, max(q) FILTER (q > 0) AS hs FROM g GROUP BY ALL),
@@ -133,7 +168,7 @@ cl AS (SELECT *, CASE WHEN n < 4 OR total <= 0 THEN 'stable' WHEN zeros * 2 >= n
 
 
 def name_vectors(spark, sf_dir):
-    lines = sales_lines(spark, sf_dir).join(b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_no"), F.col("p_name").alias("key")), "item_no")
+    lines = cube(spark, sf_dir).join(b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_no"), F.col("p_name").alias("key")), "item_no")
     return velocity.monthly_vectors(lines)
 
 
@@ -147,7 +182,7 @@ def pattern_class(spark, sf_dir):
     return velocity.demand_shapes(name_vectors(spark, sf_dir)).select("session_id", "key", "pattern", "corrected")
 
 
-@query("latest_24_months", f"WITH {b.CLEAN} SELECT session_id // 10 * 0 + session_id % 10 AS session_id, month FROM (SELECT DISTINCT session_id % 10 AS session_id, month FROM s) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY month DESC) <= 24")
+@query("latest_24_months", f"WITH {b.CLEAN} SELECT session_id // 10 * 0 + session_id % 10 AS session_id, month FROM (SELECT DISTINCT session_id % 10 AS session_id, month FROM s WHERE month IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY month DESC) <= 24")
 def latest_24_months(spark, sf_dir):
-    lines = sales_lines(spark, sf_dir).select((F.col("session_id") % 10).alias("session_id"), "month").distinct()
+    lines = cube(spark, sf_dir).where("month IS NOT NULL").select((F.col("session_id") % 10).alias("session_id"), "month").distinct()
     return lines.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("month")))).where("r <= 24").drop("r")

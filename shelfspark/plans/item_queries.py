@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import scalars as sc
-from shelfspark.operators import clean, names, quality_gate, suppliers, velocity
+from shelfspark.operators import clean, names, quality_gate, suppliers
 from shelfspark.operators.components import components
 from shelfspark.sources import bindings as b
 
-from .analysis import METRICS_SQL, keyed_sales, lead_by_item, matches, sales_lines, stock_rows
+from .analysis import METRICS_SQL, keyed_cube, keyed_sales, lead_by_item, matches, sized
 from .register import Register
 
 REGISTER = query = Register()
@@ -87,7 +87,7 @@ def item_uom(spark, sf_dir):
 
 @query("scope_top_n", f"{C}, t AS (SELECT session_id, item, sum(rev) AS r FROM m GROUP BY ALL) SELECT session_id, item, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY r DESC, item) AS k FROM t) WHERE k <= 50")
 def scope_top_n(spark, sf_dir):
-    totals = keyed_sales(spark, sf_dir).groupBy("session_id", "key").agg(F.sum("revenue").alias("r"))
+    totals = keyed_cube(spark, sf_dir).groupBy("session_id", "key").agg(F.sum("revenue").alias("r"))
     inv = b.inventory(spark, sf_dir).select("session_id", sc.match_key(F.col("item")).alias("key"), "item")
     w = Window.partitionBy("session_id").orderBy(F.desc("r"), "item")
     return totals.join(inv, ["session_id", "key"]).withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("session_id", "item", "rank")
@@ -185,6 +185,4 @@ def sheet_supplier(spark, sf_dir):
 
 @query("avg_monthly", f"WITH {METRICS_SQL} SELECT session_id, item, avg_monthly FROM met")
 def avg_monthly(spark, sf_dir):
-    speed = velocity.sales_velocity(keyed_sales(spark, sf_dir), ["session_id", "key"])
-    rows = stock_rows(spark, sf_dir).join(speed, ["session_id", "key"], "left").join(F.broadcast(velocity.months_covered(sales_lines(spark, sf_dir))), "session_id", "left")
-    return rows.select("session_id", "item", F.when(F.col("total_qty") > 0, F.col("total_qty") / F.coalesce("months", F.lit(12))).otherwise(0.0).alias("avg_monthly"))
+    return sized(spark, sf_dir).select("session_id", "item", "avg_monthly")

@@ -1,7 +1,8 @@
 """Inventory, sales, purchase-order and action tables derived from the star schema, with the mess that real exports have.
 
-An item belongs to one organisation (p_partkey % 5); a session is one organisation's year. Names are annotated or cut, dates come in four
-shapes by session, quantities in five. `CLEAN` is the same data in SQL without the mess.
+An item belongs to one organisation (p_partkey % 5); a session is one organisation's year. Half of the parts are sold under the item of
+their block of 50, so these items sell nearly every month, with spikes. Names are annotated or cut, dates come in four shapes by session (and
+unreadable in some), quantities in five; some items state a monthly average. `CLEAN` is the same data in SQL without the mess.
 """
 
 from __future__ import annotations
@@ -20,25 +21,33 @@ def item_name() -> F.Column:
     return F.concat_ws(" ", "p_name", "p_brand", F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
 
 
+def sold_as(k: str) -> F.Column:
+    """The part under whose item a part is sold."""
+    key = F.col(k)
+    return F.when(key % 50 < 25, key - key % 50 + 5 + key % 5).otherwise(key)
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, org_name, row_no, item_raw, date_raw, qty_raw, rev_raw, supplier_raw, uom_raw, item_no (the clean item, for checks)."""
+    """session_id, org_name, row_no, item_raw, date_raw, qty_raw, rev_raw, avg_raw, supplier_raw, uom_raw, item_no (the clean item, for checks)."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     d, q = F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int").cast("string")
     cents = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5).cast("bigint")
     year, kind, form = F.year(d), F.year(d) % 4, F.col("l_linenumber") % 5
-    name = item_name()
+    name, org = item_name(), F.col("p_partkey") % 5
+    unknown, mute = ((org == 4) & (year % 2 == 1)) | ((org == 3) & (year == 1997)), (org == 3) & (year == 1997)
+    stated = F.when(F.col("p_partkey") % 16 == 1, "0").when((F.col("p_partkey") % 4 == 1) & ~mute, F.concat((F.col("p_partkey") % 30 + 5).cast("string"), F.lit(".5"))).otherwise("")
     raw = F.when(F.col("p_partkey") % 11 == 0, F.substring(name, F.lit(1), F.length(name) - 1)).when(F.col("p_partkey") % 7 == 0, F.concat(name, F.lit(" <- out of stock"))).otherwise(name)
     date_raw = (
-        F.when(kind == 0, F.date_format(d, "yyyy-MM-dd")).when(kind == 1, F.date_format(d, "dd/MM/yyyy"))
+        F.when(unknown, "soon").when(kind == 0, F.date_format(d, "yyyy-MM-dd")).when(kind == 1, F.date_format(d, "dd/MM/yyyy"))
         .when(kind == 2, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).otherwise(F.date_format(d, "dd-MMM-yyyy"))
     )
     qty_raw = F.when(form == 1, F.concat(q, F.lit(" CTN"))).when(form == 2, F.concat(F.lit("S$"), q)).when(form == 3, F.concat(F.lit("("), q, F.lit(")"))).when(form == 4, F.concat(F.lit("1,"), F.lpad(q, 3, "0"))).otherwise(q)
-    return line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).select(
+    return line.join(part, sold_as("l_partkey") == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).select(
         ((year - 1990) * 10 + F.col("p_partkey") % 5).cast("long").alias("session_id"), F.concat(F.lit("ORG_"), (F.col("p_partkey") % 5).cast("string")).alias("org_name"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), raw.alias("item_raw"), date_raw.alias("date_raw"), qty_raw.alias("qty_raw"),
-        F.concat(F.lit("$"), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")).alias("rev_raw"), F.col("s_name").alias("supplier_raw"),
+        F.concat(F.lit("$"), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")).alias("rev_raw"), stated.alias("avg_raw"), F.col("s_name").alias("supplier_raw"),
         F.when(F.col("p_partkey") % 3 == 0, "KG").otherwise("CTN").alias("uom_raw"), F.col("p_partkey").alias("item_no"),
     )
 
@@ -58,7 +67,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """org_name, row_no, item, supplier: one row for each ordered line, in order of shipping."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").where("l_linenumber <= 3")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     number = F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * 100_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).select(
@@ -86,11 +95,12 @@ def rec_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same tables without the mess, for DuckDB.
 CLEAN = """
 item AS (SELECT p_partkey AS k, concat_ws(' ', p_name, p_brand, lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS item, 'ORG_' || (p_partkey % 5) AS org_name, p_type, p_size FROM part),
-s AS (SELECT CAST((year(l_shipdate) - 1990) * 10 + l_partkey % 5 AS BIGINT) AS session_id, i.org_name, l_orderkey * 10 + l_linenumber AS row_no, i.k, i.item,
+s AS (SELECT CAST((year(l_shipdate) - 1990) * 10 + pk % 5 AS BIGINT) AS session_id, i.org_name, l_orderkey * 10 + l_linenumber AS row_no, i.k, i.item,
       CASE l_linenumber % 5 WHEN 3 THEN -floor(l_quantity) WHEN 4 THEN 1000 + floor(l_quantity) ELSE floor(l_quantity) END AS qty,
-      CAST(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 AS DECIMAL(18, 2)) AS rev, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(l_shipdate AS DATE) AS d, su.s_name AS supplier,
+      CAST(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 AS DECIMAL(18, 2)) AS rev, CASE WHEN NOT ((pk % 5 = 4 AND year(l_shipdate) % 2 = 1) OR (pk % 5 = 3 AND year(l_shipdate) = 1997)) THEN CAST(date_trunc('month', l_shipdate) AS DATE) END AS month,
+      CASE WHEN i.k % 16 = 1 THEN 0.0 WHEN i.k % 4 = 1 AND NOT (i.k % 5 = 3 AND year(l_shipdate) = 1997) THEN i.k % 30 + 5.5::DOUBLE END AS stated, su.s_name AS supplier,
       i.k % 11 = 0 AS cut, i.k % 11 <> 0 AND i.k % 7 = 0 AS noted, CASE WHEN i.k % 3 = 0 THEN 'KG' ELSE 'CTN' END AS uom
-      FROM lineitem l JOIN item i ON i.k = l.l_partkey JOIN supplier su ON su.s_suppkey = l.l_suppkey),
+      FROM (SELECT *, CASE WHEN l_partkey % 50 < 25 THEN l_partkey - l_partkey % 50 + 5 + l_partkey % 5 ELSE l_partkey END AS pk FROM lineitem) l JOIN item i ON i.k = l.pk JOIN supplier su ON su.s_suppkey = l.l_suppkey),
 v AS (SELECT CAST((y - 1990) * 10 + k % 5 AS BIGINT) AS session_id, org_name, k, item, p_type, y,
       CASE WHEN k % 17 = 0 OR k % 13 = 0 OR k % 11 = 0 THEN NULL ELSE CAST(p_size * ((k + y) % 7) AS DOUBLE) END AS stock,
       CASE WHEN k % 19 = 0 THEN '' WHEN k % 3 = 0 THEN 'KG' ELSE 'CTN' END AS uom FROM item, range(1995, 2002) r(y)),
