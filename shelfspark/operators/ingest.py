@@ -107,10 +107,3 @@ def convert_verify(grid: DataFrame, converted: DataFrame) -> DataFrame:
     o = converted.groupBy("file", F.month("date").alias("month")).agg(total(F.col("qty")).alias("output"))
     both = a.join(o, ["file", "month"], "full_outer")
     return both.withColumn("agrees", F.abs(F.coalesce("source", F.lit(0.0)) - F.coalesce("output", F.lit(0.0))) <= 1e-6)
-
-
-def pick(columns: DataFrame, exact: list[str], contains: list[str], without: list[str] = ()) -> DataFrame:
-    """file, name: the first exact header, else the first (in sheet order) with one of the words and none of the excluded ones."""
-    word = F.col("name").rlike("|".join(contains)) & (~F.col("name").rlike("|".join(without)) if without else F.lit(True))
-    rank = F.when(F.col("name").isin(*exact), 0).when(word, 1)
-    return columns.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("file").agg(F.min_by("name", F.struct("rank", "col_no")).alias("name"))

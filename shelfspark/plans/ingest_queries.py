@@ -98,33 +98,3 @@ def projection_tail(spark, sf_dir):
     m = items.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     value = F.when((F.col("file") % 2 == 0) & (F.col("month") >= TAIL), 50).otherwise(F.col("month") * 7 + F.col("k") % 5)
     return ingest.projection_tail(m.select("file", F.col("k").alias("row_no"), F.concat(F.lit("Item "), F.col("k").cast("string")).alias("item"), "month", value.cast("string").alias("value")))
-
-
-def _columns(spark, sf_dir):
-    """Three header styles by file."""
-    files = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"))
-    style = lambda *x: F.array(*map(F.lit, x))
-    names = F.when(F.col("file") % 3 == 0, style("item_code", "qty_sold", "item_description", "qty_on_hand", "uom")).when(F.col("file") % 3 == 1, style("supplier_desc", "product_name", "current_stock_value", "stock_left", "unit_of_sale")).otherwise(style("desc", "sales_qty", "qty_left", "storage"))
-    return files.select("file", F.posexplode(names).alias("col_no", "name"))
-
-
-STOCK = (["qty_on_hand", "qty", "quantity", "stock_on_hand", "on_hand", "stock_qty", "balance", "stock_balance", "closing_stock", "current_system_balance", "system_balance", "current_balance", "current_stock"], ["balance", "on_hand", "stock"], ["sold", "sale", "avg", "allocated", "value", "amount", "price"])
-
-
-@query("role_stock", "SELECT CAST(p_partkey AS BIGINT) AS file, CASE p_partkey % 3 WHEN 0 THEN 'qty_on_hand' WHEN 1 THEN 'stock_left' ELSE 'qty_left' END AS name FROM part")
-def role_stock(spark, sf_dir):
-    columns = _columns(spark, sf_dir)
-    strong = ingest.pick(columns, *STOCK)
-    weak = ingest.pick(columns, [], ["qty", "quantity"], STOCK[2]).withColumnRenamed("name", "weak")
-    return strong.join(weak, "file", "full_outer").select("file", F.coalesce("name", "weak").alias("name"))
-
-
-@query("role_inventory", "SELECT CAST(p_partkey AS BIGINT) AS file, CASE p_partkey % 3 WHEN 0 THEN 'item_description' WHEN 1 THEN 'product_name' ELSE 'desc' END AS name FROM part")
-def role_inventory(spark, sf_dir):
-    exact = ["description", "item_description", "inventory_desc", "product_description", "item_name", "product_name", "stock_description", "item_desc"]
-    return ingest.pick(_columns(spark, sf_dir), exact, ["desc", "item_name", "product_name"], ["supplier"])
-
-
-@query("role_sales", "SELECT CAST(p_partkey AS BIGINT) AS file, CASE p_partkey % 3 WHEN 0 THEN 'qty_sold' ELSE 'sales_qty' END AS name FROM part WHERE p_partkey % 3 <> 1")
-def role_sales(spark, sf_dir):
-    return ingest.pick(_columns(spark, sf_dir), ["qty_sold", "quantity_sold"], ["qty", "quantity"], ["allocated"])
