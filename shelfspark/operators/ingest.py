@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scalars import cell_month, is_total_label, num_cell
+from shelfspark.functions.scalars import cell_month, is_total_label, lead_time_days, num_cell
 
 # Words of header cells, by kind of table.
 HINTS = {
-    "inventory": "item desc product sku material article code stock balance on_hand qty quantity uom unit categ class supplier batch expiry warehouse".split(),
-    "sales": "item desc product sku code qty quantity amount value price revenue date invoice customer uom unit".split(),
-}
+    "inventory": (
+        "item", "desc", "product", "sku", "material", "article", "code", "stock", "balance", "on_hand", "qty", "quantity", "uom", "unit", "categ", "class", "supplier", "batch", "expiry", "warehouse",
+    ),
+    "sales": ("item", "desc", "product", "sku", "code", "qty", "quantity", "amount", "value", "price", "revenue", "date", "invoice", "customer", "uom", "unit"),
+}
 WINDOW_ROWS = 10
 
 
@@ -107,3 +109,95 @@ def convert_verify(grid: DataFrame, converted: DataFrame) -> DataFrame:
     o = converted.groupBy("file", F.month("date").alias("month")).agg(total(F.col("qty")).alias("output"))
     both = a.join(o, ["file", "month"], "full_outer")
     return both.withColumn("agrees", F.abs(F.coalesce("source", F.lit(0.0)) - F.coalesce("output", F.lit(0.0))) <= 1e-6)
+
+
+def sheet_pick(cells: DataFrame, kind: str, min_cells: int = 3) -> DataFrame:
+    """file, sheet_no: of a workbook's first ten sheets (cells with sheet_no), the first with rows and a header that names at least two
+    columns, else the first with a header; a lone sheet needs no such header."""
+    sheets = cells.where(f"sheet_no <= {WINDOW_ROWS}").withColumn("book", F.col("file")).withColumn("file", F.concat_ws("\0", "book", "sheet_no"))
+    heads = header_rows(sheets, kind, min_cells)
+    scores = header_scores(sheets, kind).join(heads, "file").where("row_no = header_row").select("file", "score")
+    below = sheets.join(heads, "file").groupBy("file", "book", "sheet_no").agg(F.count_distinct(F.when(F.col("row_no") > F.col("header_row"), F.col("row_no"))).alias("n_rows"))
+    n_sheets = cells.groupBy(F.col("file").alias("book")).agg(F.count_distinct("sheet_no").alias("n_sheets"))
+    ranked = below.join(scores, "file").join(n_sheets, "book").withColumn("sure", (F.col("n_sheets") == 1) | ((F.col("n_rows") > 0) & (F.col("score") >= 2)))
+    return ranked.groupBy("book").agg(F.min_by("sheet_no", F.struct(~F.col("sure"), "sheet_no")).alias("sheet_no")).withColumnRenamed("book", "file")
+
+
+MIN_MONTHS = 6
+
+
+def recipe_refusals(recipes: DataFrame) -> DataFrame:
+    """file, reasons (none: the recipe holds) of layout recipes (file, layout, header_row, item_col, month_cols map<int,int>, supplier_col,
+    leadtime_col) over files of n_rows and n_cols."""
+    months = F.coalesce("month_cols", F.create_map().cast("map<int,int>"))
+    columns, numbers = F.map_keys(months), F.transform(F.array_sort(F.map_entries(months)), lambda e: e["value"])
+    inside = lambda c, top: F.col(c).between(1, F.col(top))
+    others = F.array_compact(F.array("item_col", "supplier_col", "leadtime_col"))
+    checks = {
+        "unsupported layout": F.coalesce(F.col("layout") != "wide_matrix", F.lit(True)),
+        "header row out of bounds": ~F.coalesce(inside("header_row", "n_rows"), F.lit(False)),
+        "item column out of bounds": ~F.coalesce(inside("item_col", "n_cols"), F.lit(False)),
+        "supplier column out of bounds": ~F.coalesce(inside("supplier_col", "n_cols"), F.lit(True)),
+        "lead-time column out of bounds": ~F.coalesce(inside("leadtime_col", "n_cols"), F.lit(True)),
+        "too few months": F.size(months) < MIN_MONTHS,
+        "month column out of bounds": F.exists(columns, lambda c: ~c.between(1, F.col("n_cols"))),
+        "month number invalid": F.exists(numbers, lambda m: m.isNull() | ~m.between(1, 12)),
+        "month number repeated": F.size(F.array_distinct(numbers)) < F.size(numbers),
+        "months not in calendar order": numbers != F.array_sort(numbers),
+        "columns collide": F.arrays_overlap(columns, others) | (F.size(F.array_distinct(others)) < F.size(others)),
+    }
+    return recipes.select("file", F.array_compact(F.array(*[F.when(c, reason) for reason, c in checks.items()])).alias("reasons"))
+
+
+def borderline(grid: DataFrame, kept: DataFrame) -> DataFrame:
+    """file, borderline: whether the first dropped month (after last_kept) has own values in at least a tenth of the items that have numbers
+    in it (positive) and in the next month: then it was real."""
+    m = grid.join(kept, "file").where("month BETWEEN last_kept + 1 AND last_kept + 2").select("file", "row_no", F.col("month") - F.col("last_kept"), num_cell(F.col("value")).alias("q")).toDF("file", "row_no", "at", "q")
+    two = m.groupBy("file", "row_no").agg(F.max(F.when(F.col("at") == 1, F.col("q"))).alias("b"), F.max(F.when(F.col("at") == 2, F.col("q"))).alias("n")).where("b > 0 AND n IS NOT NULL")
+    found = two.groupBy("file").agg((F.count_if(F.col("b") == F.col("n")) < 0.9 * F.count("*")).alias("borderline"))
+    return kept.select("file").join(found, "file", "left").select("file", F.coalesce("borderline", F.lit(False)).alias("borderline"))
+
+
+def assumed_year(last_month: Column, as_of: Column) -> Column:
+    """The year of a grid that states none: last year's, if its last real month has not come yet."""
+    return F.year(as_of) - F.when(last_month > F.month(as_of), 1).otherwise(0)
+
+
+def block_fill(rows: DataFrame) -> DataFrame:
+    """rows (file, row_no, item, supplier, lead_text) with the supplier filled down, and lead_days carried within its block: a change of
+    supplier starts a new block, a repeated one does not; lead text that says nothing clears the value. Rows without an item and total
+    rows do not count."""
+    order = Window.partitionBy("file").orderBy("row_no")
+    above = order.rowsBetween(Window.unboundedPreceding, 0)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    kept = rows.where((F.trim("item") != "") & ~is_total_label(F.col("item"))).withColumn("own", blank("supplier")).withColumn("filled", F.last("own", ignorenulls=True).over(above))
+    block = F.sum(F.when(F.col("filled").eqNullSafe(F.lag("filled").over(order)), 0).otherwise(1)).over(above)
+    kept = kept.withColumn("block", block)
+    in_block = Window.partitionBy("file", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    lead = F.last(F.when(blank("lead_text").isNotNull(), F.struct(lead_time_days(F.col("lead_text")).alias("days"))), ignorenulls=True).over(in_block)
+    return kept.select("file", "row_no", "item", F.col("filled").alias("supplier"), lead["days"].alias("lead_days"))
+
+
+def json_rows(blobs: DataFrame, kind: str) -> DataFrame:
+    """blobs (id, text) as rows of their arrays of objects (DDL kind); null, empty and malformed texts give none, {"report": [...]} is
+    unwrapped, elements that are no objects are skipped."""
+    json = F.when(F.try_parse_json("text").isNotNull(), F.col("text"))
+    inner = F.when(F.trim(json).startswith("{"), F.get_json_object(json, "$.report")).otherwise(json)
+    items = F.from_json(inner, "array<string>")
+    return blobs.select("id", F.posexplode(items).alias("pos", "one")).where(F.trim("one").startswith("{")).select("id", "pos", F.from_json("one", kind).alias("o")).select("id", "pos", "o.*")
+
+
+def reply_rows(replies: DataFrame, kind: str) -> DataFrame:
+    """id, items (array of DDL kind; null: nothing readable), repaired of replies (id, text): a code fence is dropped, the outermost [...] is
+    read; a list that was cut short is closed after its last complete object."""
+    s = F.trim("text")
+    fenced = F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n", ""), r"\s*```$", "")
+    bare = F.when(s.startswith("```"), fenced).otherwise(s)
+    start = F.instr(bare, "[")
+    body = F.when(start > 0, F.substring(bare, start, F.length(bare)))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    whole = valid(F.regexp_extract(body, r"(?s)^\[.*\]", 0))
+    cut = lambda end: valid(F.concat(F.regexp_extract(body, rf"(?s)^(\[.*\}}){end}", 1), F.lit("]")))
+    repaired = F.coalesce(cut(","), cut(""))
+    json = F.coalesce(F.nullif(whole, F.lit("")), repaired)
+    return replies.select("id", F.from_json(json, f"array<{kind}>").alias("items"), (F.nullif(whole, F.lit("")).isNull() & repaired.isNotNull()).alias("repaired"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,18 +55,52 @@ def xlsx_rows(data: bytes) -> Iterator[tuple[int, int, int, str]]:
                 e.clear()
 
 
-def read_cells(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Cells of the csv or xlsx files under path; a file that cannot be parsed gives no cells."""
+SLICE = 50_000  # cells a batch
+
+
+def cells_of(files: DataFrame, kind: str) -> DataFrame:
+    """Cells of files (path, content) of kind csv or xlsx; a file that cannot be parsed gives the cells up to there. Cells leave a task slice
+    by slice."""
     parse = {"csv": csv_rows, "xlsx": xlsx_rows}[kind]
+    names = ["file", "sheet_no", "row_no", "col_no", "value"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
+
+    def read(file: str, data: bytes) -> Iterator[tuple]:
+        try:
+            for cell in parse(data):
+                yield (file, *cell)
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError):
+            return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = list(parse(data))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError):
-                    rows = []
-                s, r, c, v = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(s, pa.int32()), pa.array(r, pa.int64()), pa.array(c, pa.int32()), pa.array(v, pa.string())], ["file", "sheet_no", "row_no", "col_no", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CELLS)
+                for part in itertools.batched(read(file, data), SLICE):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, CELLS)
+
+
+def read_cells(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Cells of the csv or xlsx files under path."""
+    return cells_of(spark.read.format("binaryFile").load(path), kind)
+
+
+def write_workbook(sheets: list[list[list]]) -> bytes:
+    """A workbook of sheets of rows, with inline strings."""
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        for n, rows in enumerate(sheets, 1):
+            cells = "".join(
+                f'<row r="{i}">' + "".join(f'<c r="{_letters(j)}{i}" t="inlineStr"><is><t>{escape(str(x))}</t></is></c>' for j, x in enumerate(row, 1) if x is not None) + "</row>" for i, row in enumerate(rows, 1)
+            )
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>')
+    return book.getvalue()
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
