@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (smallest name reachable) for every end of edges (a, b). Labels are checkpointed each round, in the session's
-    checkpoint folder (a temporary one where none is set, as in tests), until none changes."""
-    context = edges.sparkSession.sparkContext
-    if not edges.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        import tempfile
 
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")).checkpoint()
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (smallest name reachable) for every end of edges (a, b). Labels are written out each round until
+    none changes."""
+    both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")).checkpoint()
+        step = durable(labels.join(near, "id").select("id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")), "labels")
         labels = step.select("id", "component")
         if not step.where("moved").limit(1).count():
             return labels

@@ -6,19 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the folder of spark.checkpoint.dir and reads it back. A local session without one (tests) gets a temporary
-    folder; on a cluster there is none that the executors share, so one must be set."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. A local session without one (tests) gets a temporary folder; on a cluster there is
+    none that the executors share, so one must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

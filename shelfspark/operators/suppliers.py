@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import LEAD_DAYS, lookup, match_key, removed_words, stripped_key, supplier_type
 
-FUZZY = 0.85
+FUZZY, LONG = 0.85, 16
 
 
 def latest_supplier(orders: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,18 +55,29 @@ def suffix_groups(names: DataFrame) -> DataFrame:
 def fuzzy_pairs(names: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """org_name, a, b, ratio: match keys of one organisation with a sequence-matcher ratio of threshold or more.
 
-    The length band and shared character counts are upper bounds of the ratio. Lengths are bucketed, so the band is an equi-join, and the
-    bounds leave few pairs for the Arrow-batched similarity function.
+    Of L characters together, at least M = threshold * L / 2 match, in at most 1 + L - 2 M blocks, so a pair shares at least M - (q - 1) blocks
+    of its q-grams (numbered where they repeat): three letters where the longer key has LONG letters, else two. Each key offers only its
+    rarest grams, as many as it has beyond that number and one more; pairs that could link meet in one of them, by an equi-join. The
+    Arrow-batched similarity function decides. Fixed words that all names share are frequent grams and bring nothing together.
     """
-
-
     keys = names.select("org_name", match_key(F.col("supplier")).alias("k")).where("k <> ''").distinct().withColumn("n", F.length("k"))
-    reach = F.floor(F.col("n") * (2 - threshold) / threshold).cast("int")
-    longer = keys.select("org_name", F.col("k").alias("other"), F.col("n").alias("other_n"))
-    near = keys.select("org_name", "k", "n", F.explode(F.sequence(F.col("n"), reach)).alias("other_n")).join(longer, ["org_name", "other_n"]).where("n < other_n OR k < other")
-    letters = [chr(c) for c in [*range(97, 123), *range(48, 58)]]
-    shared = sum((F.least(F.length(F.regexp_replace("k", f"[^{c}]", "")), F.length(F.regexp_replace("other", f"[^{c}]", ""))) for c in letters), F.lit(0))
-    near = near.where(2 * shared >= threshold * (F.col("n") + F.col("other_n"))).select("org_name", F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"))
+    least = F.ceil(F.col("n") * (threshold / (2 - threshold)))  # letters of the shortest partner
+
+    def grams(q: int) -> DataFrame:
+        which = keys.where(f"n >= {q} AND n < {LONG}") if q == 2 else keys.where(F.col("n") >= math.ceil(LONG * threshold / (2 - threshold)))
+        at = F.explode(F.sequence(F.lit(1), F.col("n") - q + 1))
+        g = which.select("org_name", "k", "n", least.alias("least"), at.alias("at")).withColumn("g", F.substring(F.col("k"), F.col("at"), F.lit(q)))
+        g = g.withColumn("nth", F.row_number().over(Window.partitionBy("org_name", "k", "g").orderBy("at")))
+        both = F.col("n") + F.col("least")
+        shared = F.greatest(F.lit(1), F.ceil(threshold * both / 2 - (q - 1) * (1 + both - threshold * both) - 1e-9))
+        often = g.groupBy("org_name", "g", "nth").agg(F.count("*").alias("often"))
+        rank = F.row_number().over(Window.partitionBy("org_name", "k").orderBy("often", "g", "nth"))
+        offered = g.join(often, ["org_name", "g", "nth"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - q + 2 - shared)
+        return offered.select("org_name", "k", "n", F.concat_ws(" ", F.lit(q), "g", "nth").alias("gram"))
+
+    offered = grams(2).union(grams(3))
+    other = offered.select("org_name", "gram", F.col("k").alias("b"), F.col("n").alias("n_b"))
+    near = offered.withColumnRenamed("k", "a").join(other, ["org_name", "gram"]).where("a < b").where(2 * F.least("n", "n_b") >= threshold * (F.col("n") + F.col("n_b"))).select("org_name", "a", "b").distinct()
 
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

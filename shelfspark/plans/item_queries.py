@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import scalars as sc
 from shelfspark.operators import clean, names, quality_gate, suppliers
-from shelfspark.operators.components import components
 from shelfspark.sources import bindings as b
 
 from .analysis import METRICS_SQL, keyed_cube, keyed_sales, lead_by_item, matches, sized
@@ -150,23 +149,6 @@ def spelled(spark, sf_dir):
     return s.select(F.concat(F.lit("ORG_"), (F.col("s_nationkey") % 5).cast("string")).alias("org_name"), spellings.alias("supplier"))
 
 
-@query("duplicate_groups", "SELECT org, count(*) AS n_names, count(DISTINCT gk) AS n_groups FROM (SELECT 'ORG_' || (s_nationkey % 5) AS org, s_suppkey AS gk FROM supplier, range(3)) GROUP BY ALL")
-def duplicate_groups(spark, sf_dir):
-    """Connected names of one stem; group key is the match key of the first name."""
-    groups = suppliers.suffix_groups(spelled(spark, sf_dir)).select("org_name", "names")
-    pairs = groups.select(F.explode("names").alias("n"), "org_name", F.col("names")[0].alias("first"))
-    edges = pairs.select(F.concat_ws("|", "org_name", "first").alias("a"), F.concat_ws("|", "org_name", "n").alias("b"))
-    found = components(edges).select(F.split("id", r"\|")[0].alias("org"), "component")
-    return found.groupBy("org").agg(F.count("*").alias("n_names"), F.count_distinct("component").alias("n_groups"))
-
-
-@query("fuzzy_pairs")
-def fuzzy_pairs(spark, sf_dir):
-    s = b.table(spark, sf_dir, "supplier").select(F.lit("all").alias("org_name"), F.concat(F.lit("Supplier "), F.translate(F.hex(F.xxhash64("s_suppkey")), "0123456789", "ghijklmnop")).alias("supplier"))
-    typo = s.select("org_name", F.regexp_replace("supplier", "(.)(.)$", "$2$1").alias("supplier"))
-    return suppliers.fuzzy_pairs(s.union(typo))
-
-
 @query("blocky_column", f"{C} SELECT DISTINCT session_id, session_id % 2 = 0 AS blocky FROM s")
 def blocky_column(spark, sf_dir):
     rows = b.sales(spark, sf_dir)

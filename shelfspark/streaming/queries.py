@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfspark.operators.durable import new_folder
 from shelfspark.plans.register import Register
 
 REGISTER = query = Register()
@@ -18,24 +18,32 @@ def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
 
 
-def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once all available input is processed."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(df: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream gives once all available input is processed: each micro-batch appends its changed rows to a table beside the stream's
+    checkpoint, and the last of a key counts. Nothing passes through the driver."""
+    root = new_folder(df.sparkSession, "stream")
+
+    def append(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")  # a repeated batch replaces itself
+
+    q = df.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(append).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    fields = [c for c in df.columns if c not in keys]
+    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("last")).select(*keys, *[F.col("last")[c].alias(c) for c in fields])
 
 
 @query("rec_state_stream", "SELECT user_id % 20 AS session_id, event_id % 500 AS item_no, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS last_action FROM events GROUP BY ALL")
 def rec_state_stream(spark, sf_dir):
     """The latest action of each recommendation, kept as stream state."""
     e = stream(spark, sf_dir, "events")
-    return drained(e.groupBy((F.col("user_id") % 20).alias("session_id"), (F.col("event_id") % 500).alias("item_no")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_action")), "complete")
+    return drained(e.groupBy((F.col("user_id") % 20).alias("session_id"), (F.col("event_id") % 500).alias("item_no")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_action")), ["session_id", "item_no"])
 
 
 @query("throttle_stream", """SELECT user_id AS key, t AS window_start, count(*) AS hits FROM (SELECT user_id, unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes', time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '10 minutes']) AS t FROM events) GROUP BY ALL""")
 def throttle_stream(spark, sf_dir):
-    """Hits of each key in sliding windows of 15 minutes, every 5 minutes; events may come 1 hour late."""
+    """Hits of each key in sliding windows of 15 minutes, every 5 minutes; an event may come 1 hour late, after that its windows are
+    closed and their state is dropped."""
     e = stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
     counts = e.groupBy(F.window("at", "15 minutes", "5 minutes"), F.col("user_id").alias("key")).agg(F.count("*").alias("hits"))
-    return drained(counts.select("key", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "hits"), "complete")
+    return drained(counts.select("key", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "hits"), ["key", "window_start"])
