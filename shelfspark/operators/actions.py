@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,7 +13,7 @@ def rec_state(actions: DataFrame, keys: list[str]) -> DataFrame:
 
     An approve or dismiss event sets both flags; an edit of a negative value is void, and one of 0 takes the edit back."""
     latest = lambda kind, value: F.max_by(F.when(kind, value), F.when(kind, F.struct("ts", "event_id")))
-    decided = F.col("action").isin("approve", "dismiss")
+    decided = F.col("action").isin("approve", "dismiss", "unapprove")
     last = latest(decided, F.col("action"))
     out = actions.groupBy(*keys).agg(
         (last == "approve").alias("approved"), (last == "dismiss").alias("dismissed"), latest((F.col("action") == "edit") & (F.col("value") >= 0), F.col("value")).alias("edit"),
@@ -54,3 +56,51 @@ def lockouts(events: DataFrame, limit: int = 5, seconds: int = 900) -> DataFrame
     out = epoch.select("event_id", "key", "ts", F.count("*").over(window).alias("failures"), F.min("ts").over(window).alias("oldest")).withColumn("locked", F.col("failures") >= limit)
     left = F.lit(seconds) - (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("oldest").cast("timestamp")))
     return out.select("event_id", "key", "failures", "locked", F.when(F.col("locked"), left).alias("unlock_in"))
+
+
+NOTE = 500
+# Settings of an organisation that has set none.
+COMPANY_DEFAULTS = {"lead_days": 56, "stockout_cost": 50.0, "holding_cost": 2.0, "service_level": 0.95, "lead_variance": 7, "industry": "general", "description": ""}
+
+
+def bulk(log: DataFrame, now: DataFrame, sessions: Column, undone: Column) -> DataFrame:
+    """State (by session_id, item_no) after a bulk approval, at the end of the chosen sessions, of items that are neither approved nor dismissed,
+    and an undo of some of these: both are expanded to events of single items and folded with the rest."""
+    ends = log.where(sessions).groupBy("session_id").agg(F.max("ts").alias("ts"))
+    items = now.where("NOT dismissed AND NOT approved").select("session_id", "item_no").join(ends, "session_id")
+    event = lambda rows, action, n: rows.select("session_id", "item_no", F.lit(action).alias("action"), F.lit(None).cast("double").alias("value"), "ts", F.lit(2**62 + n).alias("event_id"))
+    return rec_state(log.unionByName(event(items, "approve", 0)).unionByName(event(items.where(undone), "unapprove", 1)), ["session_id", "item_no"])
+
+
+def texts(edits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, note (cut to NOTE characters), edited_supplier (null where it is the suggested one): the latest of each."""
+    last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
+    return edits.groupBy(*keys).agg(F.substring(last("note"), 1, NOTE).alias("note"), F.nullif(last("supplier"), last("suggested")).alias("edited_supplier"))
+
+
+def upsert(writes: DataFrame, keys: list[str], allowed: tuple[str, ...]) -> DataFrame:
+    """keys, field, value: the latest write of each field that may be written."""
+    return writes.where(F.col("field").isin(*allowed)).groupBy(*keys, "field").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def with_defaults(names: DataFrame, settings: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """names with their settings, each field else its default."""
+    kinds = {f.name: f.dataType for f in settings.schema.fields}
+    return names.join(settings, key, "left").select(key, *[F.coalesce(c, F.lit(v).cast(kinds[c])).alias(c) for c, v in defaults.items()])
+
+
+def stale(runs: DataFrame, as_of: Column, seconds: int = 120) -> DataFrame:
+    """runs (state, started, swept) with those failed that have been analysing for longer, or that a restart found."""
+    late = (F.col("state") == "analyzing") & ((F.unix_timestamp(as_of) - F.unix_timestamp("started") > seconds) | F.col("swept"))
+    return runs.withColumn("state", F.when(late, "failed").otherwise(F.col("state")))
+
+
+def supplier_accuracy(outcomes: DataFrame, sessions: DataFrame, as_of: datetime.date, days: int = 90) -> DataFrame:
+    """org, supplier, total, approved, dismissed of outcomes (session_id, supplier, approved, dismissed, created) of the last days."""
+    recent = outcomes.where(F.col("created") >= F.date_sub(F.lit(as_of), days)).join(sessions, "session_id")
+    return recent.groupBy("org", "supplier").agg(F.count("*").alias("total"), F.count_if("approved").alias("approved"), F.count_if("dismissed").alias("dismissed"))
+
+
+def clone(tables: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:
+    """Of each table the rows of the sessions in pairs (session_id, new_id), under the new number."""
+    return {name: t.join(pairs, "session_id").select(F.col("new_id").alias("session_id"), *[c for c in t.columns if c != "session_id"]) for name, t in tables.items()}

@@ -76,3 +76,33 @@ def confidence_reasons(level: Column, supplier: Column, lead_days: Column, days_
         F.when(days_of_supply.isNull(), "Stock runway unknown — limited sales history."), F.when(risk == "HIGH", "Supplier flagged as high-risk (delays or unreliable)."),
     ))
     return F.concat(reasons, F.slice(F.filter(F.coalesce(flags, F.array().cast("array<string>")), lambda x: x != ""), 1, 3))
+
+
+def item_line(item: Column, category: Column, stock: Column, stock_raw: Column, months: Column, sold: Column, revenue: Column, supply: Column, lead_days: Column) -> Column:
+    """One line of text about an item for a scoring model: unreadable stock is named as missing, absent sales as no data, tags only with a value."""
+    blank = F.coalesce(F.nullif(F.trim(stock_raw), F.lit("")), F.lit("blank"))
+    stock_text = F.when(stock.isNull(), F.concat(F.lit('unreadable ("'), blank, F.lit('") — missing data, not zero'))).otherwise(stock_raw)
+    sold_text = F.when(sold.isNull(), "no sales data in upload").otherwise(F.bround(sold, 0).cast("bigint").cast("string"))
+    tag = lambda test, *parts: F.when(test, F.concat(*parts))
+    return F.concat_ws(
+        " | ", F.concat(F.lit("Item: "), item), F.concat(F.lit("Category: "), F.coalesce(category, F.lit(""))), F.concat(F.lit("Stock: "), stock_text),
+        F.concat(F.lit("Total sold ("), months.cast("string"), F.lit("mo): "), sold_text), tag(revenue > 0, F.lit("Revenue: "), F.bround(revenue, 0).cast("bigint").cast("string")),
+        tag(supply.isNotNull(), F.lit("Months of supply: "), supply.cast("string")), tag(lead_days > 0, F.lit("Lead time: "), lead_days.cast("string"), F.lit("d ("), F.bround(lead_days / 30, 1).cast("string"), F.lit("mo)")),
+    )
+
+
+def quantity_basis(avg: Column, unit: Column, quantity: Column, lead_days: Column) -> Column:
+    """How an order was sized, in a sentence; null without monthly sales."""
+    shown = lambda x: F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(F.bround(x, 1).cast("string"))
+    lead = shown(F.bround(lead_days / 30, 1))
+    sells = F.concat(F.lit("You sell about "), shown(avg), F.coalesce(unit, F.lit(" units")), F.lit("/month"))
+    takes = F.coalesce(F.concat(F.lit(", and this supplier takes about "), lead, F.lit(" months")), F.lit(""))
+    covers = F.when(lead.isNotNull(), "the wait plus a safety buffer").otherwise("expected demand plus a safety buffer")
+    order = F.when(F.trim(quantity) != "", F.concat(F.lit(" Suggested order: "), F.trim(quantity), F.lit(" — covers "), covers, F.lit("."))).otherwise("")
+    return F.when(avg > 0, F.concat(sells, takes, F.lit("."), order))
+
+
+def has_stakes(if_not: Column, if_acting: Column) -> Column:
+    """Whether either consequence says something."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return filled(if_not) | filled(if_acting)

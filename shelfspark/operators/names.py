@@ -59,3 +59,14 @@ def two_stage_lookup(left: DataFrame, right: DataFrame, name: str, values: list[
     keyed = left.withColumn("match_key", match_key(F.col(name)))
     out = keyed.join(exact, ["session_id", name], "left").join(drift, ["session_id", "match_key"], "left")
     return out.select(*left.columns, *[F.coalesce(f"{v}_exact", f"{v}_drift").alias(v) for v in values])
+
+
+def in_scope(inventory: DataFrame, top: DataFrame) -> DataFrame:
+    """Rows of inventory (session_id, item, canonical) whose canonical key is among top (session_id, key); in sessions without such a row
+    those whose own key is; in sessions without these either, all."""
+    hit = lambda x: top.select("session_id", F.col("key").alias(f"key_{x}")).distinct().withColumn(f"hit_{x}", F.lit(True))
+    keyed = inventory.withColumns({"key_a": match_key(F.col("canonical")), "key_b": match_key(F.col("item"))})
+    found = keyed.join(hit("a"), ["session_id", "key_a"], "left").join(hit("b"), ["session_id", "key_b"], "left")
+    how = found.groupBy("session_id").agg(F.when(F.count("hit_a") > 0, "canonical").when(F.count("hit_b") > 0, "own").otherwise("all").alias("how"))
+    keep = F.when(F.col("how") == "canonical", F.col("hit_a")).when(F.col("how") == "own", F.col("hit_b")).otherwise(True)
+    return found.join(how, "session_id").where(keep).select(*inventory.columns)

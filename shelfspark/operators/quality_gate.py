@@ -34,3 +34,13 @@ def findings(sessions: DataFrame, inventory: DataFrame, sales: DataFrame, overla
     block = F.array_min(F.transform(F.filter("found", lambda x: x["level"] == "BLOCK"), lambda x: x["rank"]))
     shown = j.select("session_id", found.alias("found")).withColumn("stop", F.coalesce(block, F.lit(99)))
     return shown.select("session_id", F.explode(F.filter("found", lambda x: x["rank"] <= F.col("stop"))).alias("f")).select("session_id", "f.level", "f.code")
+
+
+def notes(months: DataFrame, stock: DataFrame, unlisted: DataFrame) -> DataFrame:
+    """session_id, note, n: what a user must know to read a run. months: session_id, basis; stock: session_id, unreadable, missing (items
+    without a recommendation); unlisted: session_id, unlisted (items whose supplier only the sales sheet names)."""
+    note = lambda df, name, n, test: df.where(test).select("session_id", F.lit(name).alias("note"), n.cast("bigint").alias("n"))
+    return (
+        note(months, "assumed_months", F.lit(0), "basis = 'assumed'").unionByName(note(stock, "unreadable_stock", F.col("unreadable"), "unreadable > 0"))
+        .unionByName(note(unlisted, "suppliers_from_sales", F.col("unlisted"), "unlisted > 0")).unionByName(note(stock, "reply_cut_short", F.col("missing"), "missing > 0"))
+    )

@@ -40,6 +40,21 @@ def action_edit(spark, sf_dir):
     return state(spark, sf_dir).where("edited_quantity IS NOT NULL").select("session_id", "item_no", "edited_quantity")
 
 
+@query("action_undo", f"{LOG}, b1 AS (SELECT session_id, item_no FROM st WHERE session_id % 2 = 0 AND NOT dismissed AND NOT approved) SELECT st.session_id, st.item_no, CASE WHEN b1.item_no IS NOT NULL THEN st.item_no % 3 <> 0 ELSE approved END AS approved FROM st LEFT JOIN b1 USING (session_id, item_no)")
+def action_undo(spark, sf_dir):
+    """Even sessions approve all undecided items, and then take back every third item of these."""
+    log = b.rec_actions(spark, sf_dir)
+    return actions.bulk(log, state(spark, sf_dir), F.col("session_id") % 2 == 0, F.col("item_no") % 3 == 0).select("session_id", "item_no", "approved")
+
+
+@query("action_note", f"{LOG}, n AS (SELECT user_id % 20 AS session_id, event_id % 500 AS item_no, repeat(event_type, 200) AS text, 'S' || (event_id % 4) AS supplier, ts, event_id FROM events WHERE event_type = 'view') SELECT session_id, item_no, left(arg_max(text, struct_pack(ts := ts, event_id := event_id)), 500) AS note, nullif(arg_max(supplier, struct_pack(ts := ts, event_id := event_id)), 'S0') AS edited_supplier FROM n GROUP BY ALL")
+def action_note(spark, sf_dir):
+    """Notes of at most 500 characters, and edited suppliers (S0 is the suggested one, so it takes an edit back)."""
+    e = b.table(spark, sf_dir, "events").where("event_type = 'view'")
+    rows = e.select((F.col("user_id") % 20).alias("session_id"), (F.col("event_id") % 500).alias("item_no"), F.repeat("event_type", F.lit(200)).alias("note"), F.concat(F.lit("S"), (F.col("event_id") % 4).cast("string")).alias("supplier"), F.lit("S0").alias("suggested"), "ts", "event_id")
+    return actions.texts(rows, ["session_id", "item_no"])
+
+
 @query("action_outcome", f"{LOG} SELECT session_id, item_no, order_placed, outcome FROM st WHERE order_placed OR outcome IS NOT NULL")
 def action_outcome(spark, sf_dir):
     return state(spark, sf_dir).where("order_placed OR outcome IS NOT NULL").select("session_id", "item_no", "order_placed", "outcome")
@@ -72,9 +87,14 @@ def supplier_scores(spark, sf_dir):
     return actions.supplier_scores(rows, b.supplier_profiles(spark, sf_dir).select("supplier", F.col("delay_probability").alias("delay")))
 
 
-@query("supplier_accuracy", f"{LOG} SELECT session_id % 5 AS org, item_no % 100 + 1 AS supplier_no, count(*) AS total, count(*) FILTER (approved) AS approved, count(*) FILTER (dismissed) AS dismissed FROM st GROUP BY ALL")
+@query("supplier_accuracy", f"""WITH {b.RECS_SQL} SELECT session_id % 5 AS org, supplier, count(*) AS total, count(*) FILTER (approved) AS approved, count(*) FILTER (dismissed) AS dismissed FROM rec WHERE supplier IS NOT NULL AND created >= (SELECT max(created) FROM rec) - 90 GROUP BY ALL""")
 def supplier_accuracy(spark, sf_dir):
-    return state(spark, sf_dir).groupBy((F.col("session_id") % 5).alias("org"), (F.col("item_no") % 100 + 1).alias("supplier_no")).agg(F.count("*").alias("total"), F.count_if("approved").alias("approved"), F.count_if("dismissed").alias("dismissed"))
+    """Outcomes of the last 90 days, of each organisation's sessions, by supplier."""
+    r = b.recommendations(spark, sf_dir)
+    sessions = r.select("session_id", (F.col("session_id") % 5).alias("org")).distinct()
+    as_of = r.agg(F.max("created").alias("as_of"))
+    outcomes = r.where("supplier IS NOT NULL").select("session_id", "supplier", "approved", "dismissed", "created")
+    return actions.supplier_accuracy(outcomes, sessions, as_of.first()["as_of"])
 
 
 @query("outcome_stub_sink", f"WITH {b.RECS_SQL} SELECT session_id, item, supplier, suggested AS action_recommended, 0.0::DOUBLE AS predicted_loss, 0.0::DOUBLE AS predicted_cost, confidence FROM rec WHERE NOT error")
@@ -83,9 +103,13 @@ def outcome_stub_sink(spark, sf_dir):
     return b.recommendations(spark, sf_dir).where("NOT error").select("session_id", "item", "supplier", F.col("suggested").alias("action_recommended"), F.lit(0.0).alias("predicted_loss"), F.lit(0.0).alias("predicted_cost"), "confidence")
 
 
-@query("clone_session", f"WITH {b.RECS_SQL} SELECT CAST(1003 AS BIGINT) AS session_id, pos, item, status FROM rec WHERE session_id = 3")
+@query("clone_session", f"WITH {b.RECS_SQL} SELECT session_id + 1000 AS session_id, pos, item, status FROM rec WHERE session_id % 10 = 3 UNION ALL SELECT session_id + 1000, event_id, event_type, CAST(user_id AS VARCHAR) FROM (SELECT CAST(user_id % 40 AS BIGINT) AS session_id, * FROM events) WHERE session_id % 10 = 3")
 def clone_session(spark, sf_dir):
-    return b.recommendations(spark, sf_dir).where("session_id = 3").select((F.col("session_id") + 1000).alias("session_id"), "pos", "item", "status")
+    """Sessions copied under new numbers, in every table they have (here recommendations and actions)."""
+    tables = {"recs": b.recommendations(spark, sf_dir).select("session_id", "pos", "item", "status"), "actions": b.table(spark, sf_dir, "events").select((F.col("user_id") % 40).cast("long").alias("session_id"), "event_id", "event_type", F.col("user_id").cast("string").alias("who"))}
+    pairs = tables["recs"].select("session_id").distinct().where("session_id % 10 = 3").select("session_id", (F.col("session_id") + 1000).alias("new_id"))
+    copies = actions.clone(tables, pairs)
+    return copies["recs"].union(copies["actions"])
 
 
 RUNS = f"""WITH {b.RECS_SQL}, run AS (SELECT session_id % 5 AS org, session_id, min(created) AS created, count(*) AS items, count(*) FILTER (error) AS errors,
@@ -136,10 +160,29 @@ def history(spark, sf_dir):
     return runs(spark, sf_dir).where("state = 'complete'").withColumn("k", F.row_number().over(w)).where("k <= 50").select("org", "session_id", "items", "errors")
 
 
-@query("stale_runs", f"{RUNS} SELECT session_id, CASE WHEN state = 'analyzing' AND created < DATE '2001-01-01' THEN 'failed' ELSE state END AS state FROM run")
+@query("stale_runs", "SELECT o_orderkey AS run, CASE WHEN o_orderstatus = 'O' AND (o_orderkey % 300 > 120 OR o_orderkey % 40 = 7) THEN 'failed' WHEN o_orderstatus = 'O' THEN 'analyzing' ELSE 'complete' END AS state FROM orders")
 def stale_runs(spark, sf_dir):
-    stale = (F.col("state") == "analyzing") & (F.col("created") < F.lit("2001-01-01").cast("date"))
-    return runs(spark, sf_dir).select("session_id", F.when(stale, "failed").otherwise(F.col("state")).alias("state"))
+    """Runs that have been analysing for over 120 seconds, or that a restart (a boot sweep, here every fortieth) finds unfinished, failed."""
+    as_of = F.lit(b.AS_OF).cast("timestamp")
+    k = F.col("o_orderkey")
+    o = b.table(spark, sf_dir, "orders").select(k.alias("run"), F.when(F.col("o_orderstatus") == "O", "analyzing").otherwise("complete").alias("state"), F.timestamp_seconds(F.unix_timestamp(as_of) - k % 300).alias("started"), (k % 40 == 7).alias("swept"))
+    return actions.stale(o, as_of).select("run", "state")
+
+
+@query("newest_result_per_session", f"{RUNS}, res AS (SELECT o_custkey % 40 AS session_id, max(o_orderkey) AS result FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 40 <> 5 GROUP BY ALL) SELECT session_id, result FROM run LEFT JOIN res USING (session_id) WHERE created >= DATE '1995-01-15'")
+def newest_result_per_session(spark, sf_dir):
+    """The newest analysis row of each session that is recent enough; a session may have none."""
+    o = b.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 AND o_custkey % 40 <> 5")
+    results = o.groupBy((F.col("o_custkey") % 40).cast("long").alias("session_id")).agg(F.max("o_orderkey").alias("result"))
+    return runs(spark, sf_dir).where("created >= DATE '1995-01-15'").select("session_id").join(results, "session_id", "left")
+
+
+@query("org_last_login", "WITH l AS (SELECT user_id % 9 AS org, max(ts) AS last_login FROM events WHERE user_id % 9 <> 7 GROUP BY ALL), r AS (SELECT o_custkey % 12 AS org, count(*) AS runs FROM orders WHERE o_custkey % 12 <> 2 GROUP BY ALL) SELECT coalesce(l.org, r.org) AS org, last_login, coalesce(runs, 0) AS runs FROM l FULL JOIN r ON l.org = r.org")
+def org_last_login(spark, sf_dir):
+    """Organisations that ran something, with their last login, and those that only logged in."""
+    logins = b.table(spark, sf_dir, "events").where("user_id % 9 <> 7").groupBy((F.col("user_id") % 9).alias("org")).agg(F.max("ts").alias("last_login"))
+    ran = b.table(spark, sf_dir, "orders").where("o_custkey % 12 <> 2").groupBy((F.col("o_custkey") % 12).alias("org")).agg(F.count("*").alias("runs"))
+    return logins.join(ran, "org", "full_outer").select("org", "last_login", F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
 @query("orphan_profiles", f"WITH {b.RECS_SQL} SELECT s_name AS supplier FROM supplier WHERE 'Supplier ' || s_suppkey NOT IN (SELECT supplier FROM rec WHERE supplier IS NOT NULL)")
@@ -149,17 +192,33 @@ def orphan_profiles(spark, sf_dir):
     return s.join(seen, "supplier", "left_anti").select(F.col("s_name").alias("supplier"))
 
 
-@query("company_config", "SELECT n_nationkey AS org, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 10 ELSE 56 END AS lead_days FROM nation")
+@query("company_config", """SELECT n_nationkey AS org, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 10 ELSE 56 END AS lead_days, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 THEN n_nationkey + 0.5::DOUBLE ELSE 50.0::DOUBLE END AS stockout_cost, 2.0::DOUBLE AS holding_cost, 0.95::DOUBLE AS service_level, CAST(7 AS INTEGER) AS lead_variance,
+CASE WHEN n_nationkey % 3 = 0 THEN 'food' ELSE 'general' END AS industry, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE '' END AS description FROM nation""")
 def company_config(spark, sf_dir):
-    orgs = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org"))
-    config = orgs.where("org % 3 = 0").withColumn("lead_days", F.col("org") + 10)
-    return orgs.join(config, "org", "left").select("org", F.coalesce("lead_days", F.lit(56)).alias("lead_days"))
+    """The settings of an organisation, field by field, else defaults."""
+    orgs = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org"), "n_name")
+    k = F.col("org")
+    config = orgs.where("org % 3 = 0").select("org", (k + 10).alias("lead_days"), F.when(k % 2 == 0, k + 0.5).alias("stockout_cost"), F.lit(None).cast("double").alias("holding_cost"), F.lit(None).cast("double").alias("service_level"), F.lit(None).cast("int").alias("lead_variance"), F.lit("food").alias("industry"), F.col("n_name").alias("description"))
+    return actions.with_defaults(orgs.select("org"), config, "org", actions.COMPANY_DEFAULTS)
+
 
+FIELDS = "CASE event_type WHEN 'view' THEN 'lead_days' WHEN 'click' THEN 'delay' WHEN 'error' THEN 'notes' ELSE 'hacked' END"
 
-@query("profile_upsert", "SELECT user_id AS profile, event_type AS field, arg_max(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL")
+
+@query("profile_upsert", f"SELECT user_id AS profile, {FIELDS} AS field, arg_max(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL")
 def profile_upsert(spark, sf_dir):
-    e = b.table(spark, sf_dir, "events").where("event_type IN ('view', 'click')")
-    return e.groupBy(F.col("user_id").alias("profile"), F.col("event_type").alias("field")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    """The latest value of each field that may be written; others are ignored."""
+    kinds = F.when(F.col("event_type") == "view", "lead_days").when(F.col("event_type") == "click", "delay").when(F.col("event_type") == "error", "notes").otherwise("hacked")
+    e = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("profile"), kinds.alias("field"), "value", "ts", "event_id")
+    return actions.upsert(e, ["profile"], ("lead_days", "delay", "notes"))
+
+
+@query("config_upsert", f"WITH x AS (SELECT user_id % 25 AS org, {FIELDS} AS field, value, ts, event_id FROM events) SELECT org, arg_max(value, struct_pack(ts := ts, event_id := event_id)) FILTER (field = 'lead_days') AS lead_days, arg_max(value, struct_pack(ts := ts, event_id := event_id)) FILTER (field = 'delay') AS delay FROM x WHERE field IN ('lead_days', 'delay') GROUP BY ALL")
+def config_upsert(spark, sf_dir):
+    """Settings after all writes, one row an organisation."""
+    kinds = F.when(F.col("event_type") == "view", "lead_days").when(F.col("event_type") == "click", "delay").otherwise("hacked")
+    e = b.table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("org"), kinds.alias("field"), "value", "ts", "event_id")
+    return actions.upsert(e, ["org"], ("lead_days", "delay")).groupBy("org").pivot("field", ["lead_days", "delay"]).agg(F.first("value"))
 
 
 @query("throttle_exceeded", "SELECT event_id, user_id AS key, count(*) OVER w AS hits, count(*) OVER w > 3 AS exceeded FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '863999999999 microseconds' PRECEDING AND CURRENT ROW)")
@@ -181,3 +240,12 @@ def conversation_list(spark, sf_dir):
     c = c.withColumns({"org": F.col("conv_id") % 7, "pinned": F.col("conv_id") % 5 == 0})
     w = Window.partitionBy("org").orderBy(F.desc("pinned"), F.desc("conv_id"))
     return c.withColumn("k", F.row_number().over(w)).where("k <= 50").select("org", "conv_id", "pinned", "turns", "title")
+
+
+@query("conversation_search", "WITH c AS (SELECT conv_id, conv_id % 3 AS owner, conv_id % 5 = 0 AS pinned, arg_min(left(text, 60), turn) AS title FROM conversations GROUP BY conv_id) SELECT owner, conv_id, pinned, title FROM c WHERE contains(lower(title), 'an') QUALIFY row_number() OVER (PARTITION BY owner ORDER BY pinned DESC, conv_id DESC) <= 50")
+def conversation_search(spark, sf_dir):
+    """A user's own conversations whose title holds the searched text."""
+    c = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 60), "turn").alias("title"))
+    c = c.withColumns({"owner": F.col("conv_id") % 3, "pinned": F.col("conv_id") % 5 == 0}).where(F.contains(F.lower("title"), F.lit("an")))
+    w = Window.partitionBy("owner").orderBy(F.desc("pinned"), F.desc("conv_id"))
+    return c.withColumn("k", F.row_number().over(w)).where("k <= 50").select("owner", "conv_id", "pinned", "title")

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import scalars as sc
-from shelfspark.operators import clean, names, quality_gate, suppliers
+from shelfspark.operators import clean, decisions, names, quality_gate, suppliers, velocity
 from shelfspark.sources import bindings as b
 
-from .analysis import METRICS_SQL, keyed_cube, keyed_sales, lead_by_item, matches, sized
+from .analysis import METRICS_SQL, cube, keyed_cube, keyed_sales, lead_by_item, matches, metrics, sized
 from .register import Register
 
 REGISTER = query = Register()
@@ -92,9 +92,54 @@ def scope_top_n(spark, sf_dir):
     return totals.join(inv, ["session_id", "key"]).withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("session_id", "item", "rank")
 
 
-@query("scope_filter", f"{C}, t AS (SELECT session_id, item, sum(rev) AS r FROM m GROUP BY ALL) SELECT v.session_id, v.item FROM v JOIN (SELECT session_id, item FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r DESC, item) <= 50) USING (session_id, item)")
+@query("scope_filter", f"""{C}, t AS (SELECT session_id, k FROM (SELECT session_id, k, item, sum(rev) AS r FROM m GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r DESC, item) <= 50)
+SELECT v.session_id, v.item FROM v LEFT JOIN t USING (session_id, k) WHERE t.k IS NOT NULL OR session_id % 3 = 2""")
 def scope_filter(spark, sf_dir):
-    return b.inventory(spark, sf_dir).select("session_id", "item").join(scope_top_n(spark, sf_dir), ["session_id", "item"], "left_semi")
+    """Inventory in scope: of a third of the sessions the alias leads to other names, so their own names decide; in another third neither is
+    among the top items, so all stay."""
+    top = scope_top_n(spark, sf_dir).select("session_id", F.when(F.col("session_id") % 3 == 2, "nothing like it").otherwise(sc.match_key(F.col("item"))).alias("key"))
+    inv = b.inventory(spark, sf_dir).select("session_id", "item").withColumn("canonical", F.when(F.col("session_id") % 3 == 1, F.concat(F.lit("other "), "item")).otherwise(F.col("item")))
+    return names.in_scope(inv, top).select("session_id", "item")
+
+
+@query("item_line", f"""WITH {METRICS_SQL} SELECT session_id, 'Item: ' || item || ' | Category: ' || coalesce(cat, '') || ' | Stock: ' || CASE WHEN stock IS NULL THEN 'unreadable ("' || CASE WHEN k % 17 = 0 THEN 'blank' WHEN k % 13 = 0 THEN '-5' ELSE 'N/A' END || '") — missing data, not zero' ELSE CAST(CAST(stock AS BIGINT) AS VARCHAR) || CASE WHEN k % 5 = 2 THEN ' KG' ELSE '' END END
+|| ' | Total sold (' || coalesce(months, 12) || 'mo): ' || coalesce(CAST(CAST(round_even(total_qty, 0) AS BIGINT) AS VARCHAR), 'no sales data in upload') || CASE WHEN total_revenue > 0 THEN ' | Revenue: ' || CAST(round_even(total_revenue, 0) AS BIGINT) ELSE '' END
+|| CASE WHEN mos IS NOT NULL THEN ' | Months of supply: ' || mos ELSE '' END || CASE WHEN lead_days > 0 THEN ' | Lead time: ' || lead_days || 'd (' || lead_months || 'mo)' ELSE '' END AS line
+FROM met JOIN (SELECT session_id, k, last_value(CASE WHEN k // 5 % 4 = 0 THEN p_type END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY k) AS cat FROM v) c USING (session_id, k) WHERE mos IS NULL OR mos < 1000""")
+def item_line(spark, sf_dir):
+    """Lines of text about items; those with a supply of 1000 months or more are left out, where SQL writes numbers otherwise."""
+    raw = b.inventory(spark, sf_dir).select("session_id", "item", "stock_raw")
+    rows = metrics(spark, sf_dir).where("months_of_supply IS NULL OR months_of_supply < 1000").join(raw, ["session_id", "item"])
+    c = [F.col(x) for x in ("item", "category", "stock", "stock_raw")]
+    return rows.select("session_id", decisions.item_line(*c, F.coalesce("months", F.lit(12)), F.col("total_qty"), F.col("total_revenue"), F.col("months_of_supply"), F.col("lead_days")).alias("line"))
+
+
+@query("stock_filled_count", f"{C} SELECT session_id, count(*) FILTER (session_id % 5 <> 2 AND k % 17 <> 0) AS filled, session_id % 5 = 2 AS blocked FROM v GROUP BY ALL")
+def stock_filled_count(spark, sf_dir):
+    """Filled stock cells of a session, and whether a run is blocked for want of them; the sessions of one organisation are blank."""
+    inv = b.inventory(spark, sf_dir).withColumn("stock_raw", F.when(F.col("session_id") % 5 == 2, "  ").otherwise(F.col("stock_raw")))
+    n = F.count_if(F.trim("stock_raw") != "")
+    return inv.groupBy("session_id").agg(n.alias("filled"), (n == 0).alias("blocked"))
+
+
+@query("supplier_fill", f"{C} SELECT session_id, row_no, last_value(CASE WHEN row_no // 10 % 3 = 0 THEN supplier END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY row_no) AS filled FROM s")
+def supplier_fill(spark, sf_dir):
+    """The last supplier seen down the column of each sheet; one session is one sorted file."""
+    rows = b.sales(spark, sf_dir).withColumn("supplier_raw", F.when(F.floor(F.col("row_no") / 10) % 3 == 0, F.col("supplier_raw")).otherwise(" "))
+    return clean.fill_down(rows, "supplier_raw", "filled").select("session_id", "row_no", "filled")
+
+
+@query("notes", f"""WITH {METRICS_SQL}, n AS (SELECT session_id, count(*) FILTER (stock IS NULL) AS bad FROM v GROUP BY ALL)
+SELECT session_id, 'assumed_months' AS note, CAST(0 AS BIGINT) AS n FROM mon WHERE basis = 'assumed' UNION ALL SELECT session_id, 'unreadable_stock', bad FROM n WHERE bad > 0 UNION ALL SELECT session_id, 'suppliers_from_sales', count(DISTINCT k) FROM m WHERE session_id % 5 = 1 GROUP BY ALL
+UNION ALL SELECT session_id, 'reply_cut_short', count(*) FROM v WHERE session_id % 7 = 0 GROUP BY ALL""")
+def notes(spark, sf_dir):
+    """Caveats of a run: months assumed, unreadable stock, supplier names from sales alone (one organisation has no listing), replies cut short."""
+    facts = cube(spark, sf_dir)
+    keyed = keyed_cube(spark, sf_dir, facts)
+    months = velocity.months_resolved(velocity.months_covered(facts), velocity.months_inferred(velocity.sales_velocity(keyed, ["session_id", "key"])))
+    stock = clean.readable_stock(b.inventory(spark, sf_dir)).groupBy("session_id").agg(F.count_if("unreadable").alias("unreadable"), F.when(F.col("session_id") % 7 == 0, F.count("*")).otherwise(0).alias("missing"))
+    unlisted = keyed.where("session_id % 5 = 1").groupBy("session_id").agg(F.count_distinct("key").alias("unlisted"))
+    return quality_gate.notes(months, stock, unlisted)
 
 
 @query("sales_bridge", f"{C}, x AS (SELECT DISTINCT session_id, k FROM m) SELECT v.session_id, count(*) AS items, count(x.k) AS matched FROM v LEFT JOIN x USING (session_id, k) GROUP BY ALL")

@@ -104,11 +104,6 @@ def results_summary(spark, sf_dir):
     return rows.groupBy("session_id").agg(F.count("*").alias("to_order"), F.count_if(F.col("order_status") == "overdue").alias("overdue"), F.count_if(F.col("order_status") == "urgent").alias("urgent"))
 
 
-@query("chat_counts", f"{BASE} SELECT session_id, count(*) FILTER (NOT approved AND NOT dismissed) AS pending, count(*) FILTER (approved) AS approved, count(*) FILTER (risk = 'HIGH') AS high_risk FROM ok GROUP BY ALL")
-def chat_counts(spark, sf_dir):
-    return reports.valid(recs(spark, sf_dir)).groupBy("session_id").agg(F.count_if(~F.col("approved") & ~F.col("dismissed")).alias("pending"), F.count_if("approved").alias("approved"), F.count_if(F.col("risk") == "HIGH").alias("high_risk"))
-
-
 @query("chat_top_k", f"""WITH {b.RECS_SQL} SELECT session_id, status AS bucket, pos, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id, status ORDER BY pos) AS k FROM rec)
 WHERE k <= CASE status WHEN 'CRITICAL' THEN 30 WHEN 'LOW' THEN 40 WHEN 'DEAD' THEN 20 END""")
 def chat_top_k(spark, sf_dir):
@@ -116,13 +111,25 @@ def chat_top_k(spark, sf_dir):
     return reports.first_k(recs(spark, sf_dir), F.when(F.col("status").isin(*limits), F.col("status")), limits).select("session_id", "bucket", "pos", "rank")
 
 
-@query("run_digest", f"""WITH {b.RECS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id, status ORDER BY pos) AS k FROM rec)
-SELECT session_id, string_agg(status || ': ' || item || ' (' || CAST(CAST(stock AS BIGINT) AS VARCHAR) || ')', chr(10) ORDER BY status, pos) AS digest FROM k WHERE k <= CASE status WHEN 'CRITICAL' THEN 30 WHEN 'LOW' THEN 40 WHEN 'DEAD' THEN 20 END GROUP BY ALL""")
+@query("run_digest", f"""WITH {b.RECS_SQL}, l AS (SELECT session_id, 1 AS part, pos, 'CRITICAL: ' || item || ' (' || CAST(CAST(stock AS BIGINT) AS VARCHAR) || ')' AS line FROM rec WHERE status = 'CRITICAL' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos) <= 30
+UNION ALL SELECT session_id, 2, pos, 'PENDING: ' || item || ' x ' || suggested || ' from ' || coalesce(supplier, 'Unknown') FROM rec WHERE NOT error AND NOT approved AND NOT dismissed QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos) <= 20
+UNION ALL SELECT session_id, 3, pos, 'LOW: ' || item FROM rec WHERE status = 'LOW' AND session_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos) <= 40),
+h AS (SELECT session_id, 0 AS part, CAST(0 AS BIGINT) AS pos, count(*) || ' items: ' || count(*) FILTER (status = 'CRITICAL') || ' critical, ' || count(*) FILTER (status = 'LOW') || ' low, ' || count(*) FILTER (status = 'DEAD') || ' dead' AS line FROM rec GROUP BY session_id)
+SELECT session_id, string_agg(line, chr(10) ORDER BY part, pos) AS digest FROM (SELECT * FROM h UNION ALL SELECT * FROM l) GROUP BY session_id""")
 def run_digest(spark, sf_dir):
-    limits = {"CRITICAL": 30, "LOW": 40, "DEAD": 20}
-    rows = reports.first_k(recs(spark, sf_dir), F.when(F.col("status").isin(*limits), F.col("status")), limits)
-    line = F.concat("status", F.lit(": "), "item", F.lit(" ("), F.col("stock").cast("bigint").cast("string"), F.lit(")"))
-    return rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("status", "pos", line.alias("line")))).alias("x")).select("session_id", F.array_join("x.line", "\n").alias("digest"))
+    """A run in text: counts, the first critical and pending lines, and (as an option, here for even sessions) low ones."""
+    r = recs(spark, sf_dir)
+    number = lambda s: F.count_if(F.col("status") == s).cast("string")
+    head = r.groupBy("session_id").agg(F.concat(F.count("*").cast("string"), F.lit(" items: "), number("CRITICAL"), F.lit(" critical, "), number("LOW"), F.lit(" low, "), number("DEAD"), F.lit(" dead")).alias("line"))
+
+    def lines(part, rows, limit, *text):
+        first = F.row_number().over(Window.partitionBy("session_id").orderBy("pos"))
+        return rows.withColumn("k", first).where(F.col("k") <= limit).select("session_id", F.lit(part).alias("part"), "pos", F.concat(*text).alias("line"))
+
+    found = lines(1, r.where("status = 'CRITICAL'"), 30, F.lit("CRITICAL: "), "item", F.lit(" ("), F.col("stock").cast("bigint").cast("string"), F.lit(")"))
+    found = found.union(lines(2, r.where("NOT error AND NOT approved AND NOT dismissed"), 20, F.lit("PENDING: "), "item", F.lit(" x "), F.col("suggested").cast("string"), F.lit(" from "), F.coalesce("supplier", F.lit("Unknown"))))
+    found = found.union(lines(3, r.where("status = 'LOW' AND session_id % 2 = 0"), 40, F.lit("LOW: "), "item")).union(head.select("session_id", F.lit(0), F.lit(0).cast("bigint"), "line"))
+    return found.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "line"))).alias("x")).select("session_id", F.array_join("x.line", "\n").alias("digest"))
 
 
 @query("actionable_items", f"WITH {b.RECS_SQL} SELECT session_id, pos, status, spoilage FROM rec WHERE status IN ('LOW', 'CRITICAL') OR (status NOT IN ('HEALTHY', 'DEAD') AND spoilage IN ('HIGH', 'MEDIUM'))")
@@ -229,11 +236,74 @@ def session_stats(spark, sf_dir):
     return recs(spark, sf_dir).groupBy("session_id").agg(F.count_distinct("item").alias("skus"), F.count_if(F.col("status") == "CRITICAL").alias("critical"), F.count_if(F.col("status") == "LOW").alias("low"), F.count_if(~F.col("error")).alias("recs"), F.count_if(F.col("approved") & ~F.col("error")).alias("approved"))
 
 
-@query("starter_questions", f"""{BASE}, c AS (SELECT session_id, count(*) FILTER (status = 'CRITICAL') AS crit, count(*) FILTER (NOT approved AND NOT dismissed) AS pend, count(*) FILTER (status = 'DEAD') AS dead, count(*) FILTER (status = 'LOW') AS low FROM ok GROUP BY ALL)
-SELECT session_id, list_slice(list_filter([CASE WHEN crit > 0 THEN 'Which of the ' || crit || ' critical items should I order first?' END, CASE WHEN pend > 0 THEN 'What are the ' || pend || ' pending recommendations?' END,
-CASE WHEN dead > 0 THEN 'Which ' || dead || ' items are not selling?' END, CASE WHEN low > 0 THEN 'Which ' || low || ' items are running low?' END, 'What should I do today?'], lambda x: x IS NOT NULL), 1, 4) AS questions FROM c""")
+@query("starter_questions", f"""{BASE}, c AS (SELECT session_id, count(*) FILTER (status = 'CRITICAL') AS crit, count(*) FILTER (NOT approved AND NOT dismissed) AS pend, count(*) FILTER (status = 'DEAD') AS dead, count(*) FILTER (status = 'LOW') AS low,
+list_slice(list_sort(list(DISTINCT coalesce(supplier, '?')) FILTER (risk = 'HIGH')), 1, 3) AS names FROM ok WHERE NOT (session_id % 4 = 1 AND status = 'CRITICAL') GROUP BY ALL)
+SELECT session_id, list_slice(list_filter([CASE WHEN crit > 0 THEN 'I have ' || crit || ' critical items. What should I order first?' END, CASE WHEN pend > 0 THEN 'Walk me through the ' || pend || ' pending recommendations.' END,
+CASE WHEN len(names) > 0 THEN 'What is the risk with ' || array_to_string(names, ', ') || '?' END, CASE WHEN dead > 0 THEN 'Should I discontinue any of these ' || dead || ' dead items?' END, CASE WHEN low > 0 THEN 'Which of my ' || low || ' low-stock items need action soonest?' END,
+'Give me a quick summary of my stock.'], lambda x: x IS NOT NULL), 1, 4) AS questions FROM c""")
 def starter_questions(spark, sf_dir):
-    c = reports.valid(recs(spark, sf_dir)).groupBy("session_id").agg(F.count_if(F.col("status") == "CRITICAL").alias("crit"), F.count_if(~F.col("approved") & ~F.col("dismissed")).alias("pend"), F.count_if(F.col("status") == "DEAD").alias("dead"), F.count_if(F.col("status") == "LOW").alias("low"))
+    """Up to four questions that the data suggests; every fourth session has no critical items."""
+    rows = reports.valid(recs(spark, sf_dir)).where("NOT (session_id % 4 = 1 AND status = 'CRITICAL')")
+    risky = F.slice(F.array_sort(F.collect_set(F.when(F.col("risk") == "HIGH", F.coalesce("supplier", F.lit("?"))))), 1, 3)
+    c = rows.groupBy("session_id").agg(F.count_if(F.col("status") == "CRITICAL").alias("crit"), F.count_if(~F.col("approved") & ~F.col("dismissed")).alias("pend"), F.count_if(F.col("status") == "DEAD").alias("dead"), F.count_if(F.col("status") == "LOW").alias("low"), risky.alias("names"))
     ask = lambda n, before, after: F.when(F.col(n) > 0, F.concat(F.lit(before), F.col(n).cast("string"), F.lit(after)))
-    questions = F.array_compact(F.array(ask("crit", "Which of the ", " critical items should I order first?"), ask("pend", "What are the ", " pending recommendations?"), ask("dead", "Which ", " items are not selling?"), ask("low", "Which ", " items are running low?"), F.lit("What should I do today?")))
+    names = F.when(F.size("names") > 0, F.concat(F.lit("What is the risk with "), F.array_join("names", ", "), F.lit("?")))
+    questions = F.array_compact(F.array(
+        ask("crit", "I have ", " critical items. What should I order first?"), ask("pend", "Walk me through the ", " pending recommendations."), names, ask("dead", "Should I discontinue any of these ", " dead items?"),
+        ask("low", "Which of my ", " low-stock items need action soonest?"), F.lit("Give me a quick summary of my stock."),
+    ))
     return c.select("session_id", F.slice(questions, 1, 4).alias("questions"))
+
+
+@query("rec_predicates", f"{BASE} SELECT session_id, pos, NOT approved AND NOT dismissed AS pending, approved, risk = 'HIGH' AS high_risk FROM ok")
+def rec_predicates(spark, sf_dir):
+    """Valid recommendations with the flags that lists filter by."""
+    return reports.valid(recs(spark, sf_dir)).select("session_id", "pos", (~F.col("approved") & ~F.col("dismissed")).alias("pending"), "approved", (F.col("risk") == "HIGH").alias("high_risk"))
+
+
+@query("quantity_basis", f"""{EFF}, q AS (SELECT *, CASE WHEN avg_monthly = floor(avg_monthly) THEN CAST(CAST(avg_monthly AS BIGINT) AS VARCHAR) ELSE CAST(round_even(avg_monthly, 1) AS VARCHAR) END AS a, round_even(CAST(lead_days AS DOUBLE) / 30, 1) AS lm FROM e)
+SELECT session_id, pos, CASE WHEN avg_monthly > 0 THEN 'You sell about ' || a || CASE WHEN pos % 2 = 0 THEN ' CTN' ELSE ' units' END || '/month' || coalesce(', and this supplier takes about ' || CASE WHEN lm = floor(lm) THEN CAST(CAST(lm AS BIGINT) AS VARCHAR) ELSE CAST(lm AS VARCHAR) END || ' months', '')
+|| '. Suggested order: ' || eff_quantity || ' — covers ' || CASE WHEN lm IS NULL THEN 'expected demand plus a safety buffer.' ELSE 'the wait plus a safety buffer.' END END AS basis FROM q""")
+def quantity_basis(spark, sf_dir):
+    rows = reports.with_effective(reports.valid(recs(spark, sf_dir)))
+    return rows.select("session_id", "pos", decisions.quantity_basis(F.col("avg_monthly"), F.when(F.col("pos") % 2 == 0, " CTN"), F.col("eff_quantity"), F.col("lead_days")).alias("basis"))
+
+
+@query("has_stakes", f"WITH {b.RECS_SQL} SELECT session_id, pos, pos % 5 IN (0, 3) AS stakes FROM rec")
+def has_stakes(spark, sf_dir):
+    """Of five kinds of pairs of consequences two say something."""
+    k = F.col("pos") % 5
+    bad, good = F.when(k == 0, "You may run out").when(k == 1, "  ").when(k == 2, ""), F.when(k == 3, "Stock lasts").when(k == 4, " ")
+    return recs(spark, sf_dir).select("session_id", "pos", decisions.has_stakes(bad, good).alias("stakes"))
+
+
+RUNS = f"""WITH {b.RECS_SQL}, run AS (SELECT session_id % 5 AS org, session_id, min(created) AS created FROM rec GROUP BY ALL), lr AS (SELECT org, arg_max(session_id, (created, session_id)) AS session_id FROM run GROUP BY ALL)"""
+
+
+def latest_runs(spark, sf_dir):
+    runs = recs(spark, sf_dir).groupBy((F.col("session_id") % 5).alias("org"), "session_id").agg(F.min("created").alias("created"))
+    return runs.groupBy("org").agg(F.max_by("session_id", F.struct("created", "session_id")).alias("session_id"))
+
+
+@query("latest_run", f"{RUNS} SELECT * FROM lr")
+def latest_run(spark, sf_dir):
+    return latest_runs(spark, sf_dir)
+
+
+@query("chat_counts", f"""{RUNS} SELECT org, session_id, count(*) FILTER (status = 'CRITICAL') AS critical, count(*) FILTER (status = 'LOW') AS low, count(*) FILTER (status = 'HEALTHY') AS healthy, count(*) FILTER (status = 'DEAD') AS dead,
+count(*) FILTER (NOT error AND NOT approved AND NOT dismissed) AS pending, count(*) FILTER (NOT error AND approved) AS approved, count(*) FILTER (NOT error AND risk = 'HIGH') AS high_risk FROM lr JOIN rec USING (session_id) GROUP BY ALL""")
+def chat_counts(spark, sf_dir):
+    """Counts of each organisation's latest run."""
+    rows = recs(spark, sf_dir).join(latest_runs(spark, sf_dir), "session_id")
+    ok, status = ~F.col("error"), lambda s: F.count_if(F.col("status") == s).alias(s.lower())
+    return rows.groupBy("org", "session_id").agg(
+        *[status(s) for s in ("CRITICAL", "LOW", "HEALTHY", "DEAD")], F.count_if(ok & ~F.col("approved") & ~F.col("dismissed")).alias("pending"), F.count_if(ok & F.col("approved")).alias("approved"), F.count_if(ok & (F.col("risk") == "HIGH")).alias("high_risk")
+    )
+
+
+@query("dedup_scope", f"""WITH {b.RECS_SQL}, f AS (SELECT session_id, lower(trim(item)) AS name, count(*) AS n FROM rec GROUP BY ALL) SELECT session_id, name, CAST(row_number() OVER (PARTITION BY session_id ORDER BY name) AS INTEGER) AS place FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, name) <= 20)""")
+def dedup_scope(spark, sf_dir):
+    """The 20 names of a session with most transactions, in the order of names."""
+    by = lambda *c: F.row_number().over(Window.partitionBy("session_id").orderBy(*c))
+    names = recs(spark, sf_dir).groupBy("session_id", F.lower(F.trim("item")).alias("name")).agg(F.count("*").alias("n"))
+    return names.withColumn("top", by(F.desc("n"), "name")).where("top <= 20").select("session_id", "name", by("name").alias("place"))
