@@ -9,7 +9,7 @@ from shelfspark.functions import scalars as sc
 from shelfspark.operators import clean, decisions, names, quality_gate, suppliers, velocity
 from shelfspark.sources import bindings as b
 
-from .analysis import METRICS_SQL, cube, keyed_cube, keyed_sales, lead_by_item, matches, metrics, sized
+from .analysis import METRICS_SQL, cube, keyed_cube, keyed_sales, lead_by_item, matched, matches, metrics, sized
 from .register import Register
 
 REGISTER = query = Register()
@@ -122,10 +122,11 @@ def stock_filled_count(spark, sf_dir):
     return inv.groupBy("session_id").agg(n.alias("filled"), (n == 0).alias("blocked"))
 
 
-@query("supplier_fill", f"{C} SELECT session_id, row_no, last_value(CASE WHEN row_no // 10 % 3 = 0 THEN supplier END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY row_no) AS filled FROM s")
+@query("supplier_fill", f"{C} SELECT session_id, k AS row_no, last_value(CASE WHEN k % 8 = 0 THEN 'S' || (k // 8 % 5) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY k) AS filled FROM v")
 def supplier_fill(spark, sf_dir):
-    """The last supplier seen down the column of each sheet; one session is one sorted file."""
-    rows = b.sales(spark, sf_dir).withColumn("supplier_raw", F.when(F.floor(F.col("row_no") / 10) % 3 == 0, F.col("supplier_raw")).otherwise(" "))
+    """The last supplier seen down the column of each sheet; a session is one file, sorted in one task."""
+    k = F.col("row_no")
+    rows = b.inventory(spark, sf_dir).withColumn("supplier_raw", F.when(k % 8 == 0, F.concat(F.lit("S"), (F.floor(k / 8) % 5).cast("string"))).otherwise(" "))
     return clean.fill_down(rows, "supplier_raw", "filled").select("session_id", "row_no", "filled")
 
 
@@ -169,16 +170,22 @@ def dominant_unit(spark, sf_dir):
     return quality_gate.dominant_unit(b.sales(spark, sf_dir))
 
 
-@query("dq_findings", f"""{C}, r AS (SELECT session_id, k FROM v WHERE session_id % 5 <> 4), z AS (SELECT DISTINCT session_id FROM v)
-SELECT session_id, 'BLOCK' AS level, 'empty_file' AS code FROM z WHERE session_id % 5 = 4 UNION ALL SELECT session_id, 'BLOCK', 'stock_not_numeric' FROM z WHERE session_id % 5 = 3
+@query("dq_findings", f"""{C}, r AS (SELECT session_id, k FROM v WHERE session_id % 5 <> 4), z AS (SELECT DISTINCT session_id FROM v),
+w AS (SELECT session_id, count(DISTINCT CASE WHEN cut THEN left(item, length(item) - 1) WHEN noted THEN item || ' <- out of stock' ELSE item END) AS names FROM s GROUP BY ALL)
+SELECT session_id, 'BLOCK' AS level, 'empty_file' AS code FROM z WHERE session_id % 5 = 4 UNION ALL SELECT session_id, 'BLOCK', CASE WHEN session_id // 10 % 2 = 0 THEN 'stock_blank' ELSE 'stock_not_numeric' END FROM z WHERE session_id % 5 = 3
 UNION ALL SELECT session_id, 'WARN', 'number_format' FROM z WHERE session_id % 5 = 2 UNION ALL SELECT session_id, 'WARN', 'unit_mismatch' FROM z WHERE session_id % 5 = 1
+UNION ALL SELECT session_id, 'WARN', 'low_name_overlap' FROM w WHERE session_id % 5 = 0 AND names >= 5
 UNION ALL SELECT session_id, 'WARN', 'large_file' FROM r WHERE session_id % 5 < 3 GROUP BY session_id HAVING count(*) > 4000""")
 def dq_findings(spark, sf_dir):
+    """One organisation has no rows, one unreadable or blank stock, one comma decimals, one other units, one other names on its sales sheets."""
     inv, sold = b.inventory(spark, sf_dir), b.sales(spark, sf_dir)
     sessions, kind = inv.select("session_id").distinct(), F.col("session_id") % 5
-    inv = inv.where(kind != 4).withColumns({"stock_raw": F.when(kind == 3, "plenty").when(kind == 2, "1.200,50").otherwise("7"), "uom_raw": F.when(kind == 1, "PCS").otherwise("CTN")})
+    words = F.when(F.floor(F.col("session_id") / 10) % 2 == 0, " ").otherwise("plenty")
+    inv = inv.where(kind != 4).withColumns({"stock_raw": F.when(kind == 3, words).when(kind == 2, "1.200,50").otherwise("7"), "uom_raw": F.when(kind == 1, "PCS").otherwise("CTN")})
     sold = sold.withColumns({"qty_raw": F.when(kind == 2, "12,5").otherwise("3"), "uom_raw": F.lit("CTN")})
-    overlap = matches(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("names"), F.count("key").alias("matched"))
+    names_ = sold.select("session_id", F.when(kind == 0, F.concat(F.lit("SKU-"), "item_raw")).otherwise(F.col("item_raw")).alias("item_raw")).distinct()
+    found = matched(spark, sf_dir, names_).join(b.inventory(spark, sf_dir).select("session_id", sc.match_key(F.col("item")).alias("key"), F.lit(True).alias("hit")), ["session_id", "key"], "left")
+    overlap = found.groupBy("session_id").agg(F.count("*").alias("names"), F.count("hit").alias("matched"))
     return quality_gate.findings(sessions, inv, sold, overlap)
 
 
