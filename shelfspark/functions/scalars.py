@@ -14,11 +14,14 @@ MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT",
 MONTH_NAMES = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 TOTAL_LABELS = ("TOTAL", "TOTALS", "SUBTOTAL", "SUB-TOTAL", "SUB TOTAL", "GRAND TOTAL")
 LEGAL_WORDS = ("pte", "ltd", "llp", "co", "sdn", "bhd", "trading", "enterprise", "enterprises", "import", "export", "imports", "exports", "intl", "international", "sons", "and")
-LOCAL_GOODS = ("bread", "bun", "hotdog", "prata", "eggs", "egg", "water", "coca-cola", "fanta", "sprite", "pepsi", "7up", "carbonated", "spring roll skin", "spring roll")
-IMPORT_GOODS = (
-    "milk", "cheese", "butter", "cream", "yoghurt", "yogurt", "ice cream", "muesli", "cereal", "pasta", "noodle", "flour", "biscuit", "cracker", "cookie", "juice", "coffee",
-    "sauce", "ketchup", "canned", "tortilla", "pizza", "pastry", "puff", "mozzarella", "parmesan", "edam", "cheddar", "feta", "gouda", "cottage cheese", "emmenthal",
-)
+GOODS = {
+    "bread": "local", "bun": "local", "hotdog": "local", "prata": "local", "eggs": "local", "egg": "local", "water": "local", "coca-cola": "local", "fanta": "local", "sprite": "local", "pepsi": "local",
+    "7up": "local", "carbonated": "local", "spring roll skin": "local", "spring roll": "local",
+    "milk": "import", "cheese": "import", "butter": "import", "cream": "import", "yoghurt": "import", "yogurt": "import", "ice cream": "import", "muesli": "import", "cereal": "import", "pasta": "import",
+    "noodle": "import", "flour": "import", "biscuit": "import", "cracker": "import", "cookie": "import", "juice": "import", "coffee": "import", "sauce": "import", "ketchup": "import", "canned": "import",
+    "tortilla": "import", "pizza": "import", "pastry": "import", "puff": "import", "mozzarella": "import", "parmesan": "import", "edam": "import", "cheddar": "import", "feta": "import", "gouda": "import",
+    "cottage cheese": "import", "emmenthal": "import",
+}
 LEAD_DAYS = {"import": 112, "local": 21, "other": 56}
 CONFIDENCE = {"MED": "MEDIUM", "MID": "MEDIUM", "M": "MEDIUM", "H": "HIGH", "L": "LOW", "INSUFFICIENT": "INSUFFICIENT_DATA", "UNKNOWN": "INSUFFICIENT_DATA", "N/A": "INSUFFICIENT_DATA"}
 STATUS_LABELS = {"CRITICAL": "Critical", "LOW": "Running low", "HEALTHY": "Well stocked", "DEAD": "Not selling", "NORMAL": "OK"}
@@ -109,9 +112,8 @@ def stripped_key(c: Column) -> Column:
 
 
 def supplier_type_of_item(c: Column) -> Column:
-    """From the first keyword, local ones before imported ones."""
-    has = lambda goods: reduce(lambda a, b: a | b, [F.lower(c).contains(g) for g in goods])
-    return F.when(has(LOCAL_GOODS), "local").when(has(IMPORT_GOODS), "import").otherwise("other")
+    """From the first keyword, in the order of the table."""
+    return F.coalesce(F.get(F.filter(F.array(*[F.when(F.lower(c).contains(word), kind) for word, kind in GOODS.items()]), lambda x: x.isNotNull()), F.lit(0)), F.lit("other"))
 
 
 def supplier_type(c: Column) -> Column:

@@ -115,3 +115,35 @@ def test_files_become_cells_and_headers(spark, tmp_path):
     assert [r.name for r in ingest.column_names(csv, ingest.header_rows(csv, "sales", 1)).orderBy("col_no").collect()] == ["item_description", "qty_sold", "date"]
     cells = [(r.row_no, r.col_no, r.value) for r in files.read_cells(spark, f"{tmp_path}/*.xlsx", "xlsx").orderBy("row_no", "col_no").collect()]
     assert cells == [(1, 1, "Item"), (1, 28, "Qty"), (2, 1, "Full milk"), (2, 28, "46188")]
+
+
+def test_fuzzy_pairs_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    letters = "abcdefgh"
+    base = ["".join(rng.choice(letters) for _ in range(rng.choice([2, 3, 5, 8, 11, 14, 16, 18, 25]))) for _ in range(60)]
+
+    def bent(s):
+        s = list(s)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(s)) if s else 0
+            rng.choice([lambda: s.insert(at, rng.choice(letters)), lambda: s and s.pop(at), lambda: s and s.__setitem__(at, rng.choice(letters))])()
+        return "".join(s)
+
+    names_ = [(o, x) for o in ("A", "B") for x in base + [bent(x) for x in base] + [bent(x) for x in base]]
+    got = {(r.org_name, r.a, r.b): r.ratio for r in suppliers.fuzzy_pairs(spark.createDataFrame(names_, "org_name string, supplier string")).collect()}
+    want = {}
+    for org in "AB":
+        keys = sorted({x for o, x in names_ if o == org and x})
+        for i, a in enumerate(keys):
+            for b in keys[i + 1 :]:
+                if (ratio := SequenceMatcher(None, a, b).ratio()) >= suppliers.FUZZY:
+                    want[org, a, b] = ratio
+    assert got == want and len(want) > 60
+
+
+@pytest.mark.parametrize(("stated", "spiky", "total", "months", "want"), [(7.0, 3.0, 100.0, 10, 7.0), (0.0, 3.0, 100.0, 10, 3.0), (None, None, 100.0, 10, 10.0), (None, None, -5.0, 10, 0.0), (None, None, None, 10, 0.0)])
+def test_average_that_orders_are_sized_on(spark, stated, spiky, total, months, want):
+    df = spark.createDataFrame([(stated, spiky, total, months)], "stated double, spiky double, total double, months int")
+    assert df.select(velocity.avg_monthly(*[F.col(c) for c in df.columns])).first()[0] == want
