@@ -35,7 +35,7 @@ _SUM_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int
 #: The same rows in DuckDB.
 SQL = r"""
 WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding AS v, len(embedding) // 16 AS d FROM embeddings
-              WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              WHERE embedding IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(embedding) AS x) WHERE x IS NULL OR NOT isfinite(x))),
 x AS (SELECT r, vec_id, label, (i - 1) // d AS part, (i - 1) % d AS pos, floor(256 * v[i]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
 b0 AS (SELECT part, r AS entry, pos, x AS y FROM x WHERE r < 64),
 a0 AS (SELECT r, part, min(q) % 64 AS entry FROM (SELECT r, x.part, sum((x - y) * (x - y)) * 64 + entry AS q FROM x JOIN b0 USING (part, pos) GROUP BY r, x.part, entry) GROUP BY r, part),
