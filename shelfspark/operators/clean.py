@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import is_total_row, match_key, to_num
 
+from .ordered import Fill, in_order, plain
+
 
 def drop_totals(rows: DataFrame, name: str = "item", unit: str | None = "uom_raw") -> DataFrame:
     return rows.where(~F.coalesce(is_total_row(F.col(name), F.col(unit) if unit else None), F.lit(False)))
@@ -14,8 +16,8 @@ def drop_totals(rows: DataFrame, name: str = "item", unit: str | None = "uom_raw
 
 def fill_down(rows: DataFrame, column: str, out: str) -> DataFrame:
     """The last non-blank value of column at or above each row of its session, in row order."""
-    above = Window.partitionBy("session_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last(F.nullif(F.trim(column), F.lit("")), ignorenulls=True).over(above))
+    own = rows.withColumn("__own", F.nullif(F.trim(column), F.lit("")))
+    return plain(in_order(own, ["session_id"], ["row_no"], {out: Fill("__own")})).drop("__own")
 
 
 def readable_stock(rows: DataFrame) -> DataFrame:

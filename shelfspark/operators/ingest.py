@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scalars import cell_month, is_total_label, lead_time_days, num_cell
+from shelfspark.functions.scalars import cell_month, is_total_label, num_cell
 
 # Words of header cells, by kind of table.
 HINTS = {
@@ -88,12 +88,12 @@ def unpivot_months(grid: DataFrame, year: Column) -> DataFrame:
 
 def projection_tail(grid: DataFrame) -> DataFrame:
     """file, last_kept: the last month before the longest tail (two months at least, never the first month) in which half of the items
-    with numbers throughout repeat one positive value. Walking back stops at the first month whose tail fails."""
+    with numbers throughout, the first of them positive, repeat one value. Walking back stops at the first month whose tail fails."""
     m = grid.select("file", "item", "row_no", "month", num_cell(F.col("value")).alias("q")).where("q IS NOT NULL")
     last = m.groupBy("file").agg(F.max("month").alias("last"), F.min("month").alias("first"))
     ends = Window.partitionBy("file", "row_no", "item").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, 0)
     t = m.join(last, "file").select("*", F.count("*").over(ends).alias("n"), F.min("q").over(ends).alias("low"), F.max("q").over(ends).alias("high"))
-    full = (F.col("n") == F.col("last") - F.col("month") + 1) & (F.col("low") > 0)
+    full = (F.col("n") == F.col("last") - F.col("month") + 1) & (F.col("q") > 0)
     ratio = t.groupBy("file", "month", "last", "first").agg((F.count_if(full & (F.col("low") == F.col("high"))) / F.nullif(F.count_if(full), F.lit(0))).alias("ratio"))
     tails = ratio.where("month < last").withColumn("pass", F.coalesce((F.col("ratio") >= 0.5) & (F.col("month") > F.col("first")), F.lit(False)))
     still = Window.partitionBy("file").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, 0)
@@ -163,21 +163,6 @@ def assumed_year(last_month: Column, as_of: Column) -> Column:
     return F.year(as_of) - F.when(last_month > F.month(as_of), 1).otherwise(0)
 
 
-def block_fill(rows: DataFrame) -> DataFrame:
-    """rows (file, row_no, item, supplier, lead_text) with the supplier filled down, and lead_days carried within its block: a change of
-    supplier starts a new block, a repeated one does not; lead text that says nothing clears the value. Rows without an item and total
-    rows do not count."""
-    order = Window.partitionBy("file").orderBy("row_no")
-    above = order.rowsBetween(Window.unboundedPreceding, 0)
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    kept = rows.where((F.trim("item") != "") & ~is_total_label(F.col("item"))).withColumn("own", blank("supplier")).withColumn("filled", F.last("own", ignorenulls=True).over(above))
-    block = F.sum(F.when(F.col("filled").eqNullSafe(F.lag("filled").over(order)), 0).otherwise(1)).over(above)
-    kept = kept.withColumn("block", block)
-    in_block = Window.partitionBy("file", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.last(F.when(blank("lead_text").isNotNull(), F.struct(lead_time_days(F.col("lead_text")).alias("days"))), ignorenulls=True).over(in_block)
-    return kept.select("file", "row_no", "item", F.col("filled").alias("supplier"), lead["days"].alias("lead_days"))
-
-
 def json_rows(blobs: DataFrame, kind: str) -> DataFrame:
     """blobs (id, text) as rows of their arrays of objects (DDL kind); null, empty and malformed texts give none, {"report": [...]} is
     unwrapped, elements that are no objects are skipped."""

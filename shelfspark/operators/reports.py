@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.scalars import csv_safe_cell, effective
 
 from . import decisions
+from .ordered import Number, in_order, plain
 
 UNKNOWN = "Unknown supplier"
 
@@ -35,24 +36,33 @@ def supplier_groups(recs: DataFrame) -> DataFrame:
 
 def display_order(recs: DataFrame) -> DataFrame:
     """recs with group figures and display_number: groups by critical items, size and name; in a group by urgency."""
-    group = Window.partitionBy("session_id", "eff_supplier")
-    rows = with_effective(valid(recs)).withColumn("group_critical", F.count_if(F.col("status") == "CRITICAL").over(group)).withColumn("group_n", F.count("*").over(group))
-    order = Window.partitionBy("session_id").orderBy(
-        F.desc("group_critical"), F.desc("group_n"), F.lower("eff_supplier"), "eff_supplier", decisions.urgency_rank(F.col("order_status")), F.col("buffer_days").asc_nulls_last(),
-        F.when(F.col("status") == "CRITICAL", 0).when(F.col("status") == "LOW", 1).otherwise(2), "pos",
-    )
-    return rows.withColumn("display_number", F.row_number().over(order).cast("bigint"))
+    rows = with_effective(valid(recs))
+    groups = rows.groupBy("session_id", "eff_supplier").agg(F.count_if(F.col("status") == "CRITICAL").alias("group_critical"), F.count("*").alias("group_n"))
+    rows = rows.join(groups, ["session_id", "eff_supplier"])
+    return plain(in_order(rows, ["session_id"], [F.desc("group_critical"), F.desc("group_n"), F.lower("eff_supplier"), "eff_supplier", *urgency()], {"display_number": Number()}))
+
 
+def urgency() -> list[Column]:
+    """The order of recommendations inside a group."""
+    return [decisions.urgency_rank(F.col("order_status")), F.col("buffer_days").asc_nulls_last(), F.when(F.col("status") == "CRITICAL", 0).when(F.col("status") == "LOW", 1).otherwise(2), F.col("pos")]
 
-def order_sheet_rows(recs: DataFrame) -> DataFrame:
-    """The columns of the exported order sheet; cells that a spreadsheet would run as formulas are quoted."""
+
+def order_sheet_rows(recs: DataFrame, *more: str) -> DataFrame:
+    """The columns of the exported order sheet of recs with notes; cells that a spreadsheet would run as formulas are quoted."""
     qty = F.when(F.col("eff_quantity") != F.col("suggested").cast("string"), F.concat("eff_quantity", F.lit(" (AI: "), F.col("suggested").cast("string"), F.lit(")"))).otherwise(F.col("eff_quantity"))
     return recs.select(
         "session_id", "display_number", csv_safe_cell(F.col("item")).alias("item"), "stock", csv_safe_cell(qty).alias("quantity"), csv_safe_cell(F.col("eff_supplier")).alias("supplier"), "order_text",
-        F.bround(F.col("days_of_supply") / 30, 1).alias("runway_months"), decisions.order_covers(F.col("eff_quantity").try_cast("double"), F.col("avg_monthly")).alias("lasts_months"),
+        F.bround(F.col("days_of_supply") / 30, 1).alias("runway_months"), decisions.order_covers(F.col("eff_quantity").try_cast("double"), F.col("avg_monthly")).alias("lasts_months"), csv_safe_cell(F.col("note")).alias("notes"), *more,
     )
 
 
+# The column labels of exported sheets.
+LABELS = {
+    "item": "Item", "stock": "On Hand", "quantity": "Qty To Order", "supplier": "Supplier", "order_text": "Order By", "runway_months": "Current Stock Lasts (months)",
+    "lasts_months": "This Order Lasts (months)", "notes": "Notes",
+}
+
+
 def clarity_gaps(recs: DataFrame) -> DataFrame:
     """session_id, gap, n: counted gaps that a user can close; zero counts are left out."""
     rows = with_effective(valid(recs))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import LEAD_DAYS, lookup, match_key, removed_words, stripped_key, supplier_type
 
-FUZZY, LONG = 0.85, 16
+from .ordered import Fill, Number, in_order
+
+FUZZY = 0.85
 
 
 def latest_supplier(orders: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,17 +29,16 @@ def lead_times(profiles: DataFrame) -> DataFrame:
 
 def blocky(rows: DataFrame, column: str = "supplier_raw") -> DataFrame:
     """session_id, blocky: the column's non-blank values come in one run each, the first within two rows of the top."""
-    order = Window.partitionBy("session_id").orderBy("row_no")
-    numbered = rows.select("session_id", "row_no", F.nullif(F.trim(column), F.lit("")).alias("x")).withColumn("at", F.row_number().over(order) - 1)
-    filled = numbered.where("x IS NOT NULL").withColumn("before", F.lag("x").over(order))
-    runs = F.count_if(F.col("before").isNull() | (F.col("before") != F.col("x")))
-    return filled.groupBy("session_id").agg(((runs == F.count_distinct("x")) & (F.min("at") <= 1)).alias("blocky"))
+    named = rows.select("session_id", "row_no", F.nullif(F.trim(column), F.lit("")).alias("x"))
+    filled = in_order(named, ["session_id"], ["row_no"], {"at": Number(), "before": Fill("x", before=True)}).where("x IS NOT NULL")
+    # first by value, then by session: a session of many rows is added up in many tasks
+    values = filled.groupBy("session_id", "x").agg(F.count_if(F.col("before").isNull() | (F.col("before") != F.col("x"))).alias("runs"), F.min("at").alias("at"))
+    return values.groupBy("session_id").agg(((F.sum("runs") == F.count("*")) & (F.min("at") <= 2)).alias("blocky"))
 
 
 def sheet_supplier(rows: DataFrame, key: str = "key") -> DataFrame:
     """session_id, key, supplier: the only supplier named on an item's own rows, or (in blocky columns) above them; none if two are."""
-    above = Window.partitionBy("session_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("own", F.nullif(F.trim("supplier_raw"), F.lit(""))).withColumn("filled", F.last("own", ignorenulls=True).over(above))
+    own = in_order(rows.withColumn("own", F.nullif(F.trim("supplier_raw"), F.lit(""))), ["session_id"], ["row_no"], {"filled": Fill("own")})
     sets = own.groupBy("session_id", key).agg(F.collect_set("own").alias("own"), F.collect_set("filled").alias("filled")).join(F.broadcast(blocky(rows)), "session_id", "left")
     names = F.when(F.size("own") > 0, F.col("own")).when(F.col("blocky"), F.col("filled")).otherwise(F.array().cast("array<string>"))
     return sets.select("session_id", key, F.when(F.size(names) == 1, F.get(names, F.lit(0))).alias("supplier")).where("supplier IS NOT NULL")
@@ -55,33 +55,54 @@ def suffix_groups(names: DataFrame) -> DataFrame:
 def fuzzy_pairs(names: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """org_name, a, b, ratio: match keys of one organisation with a sequence-matcher ratio of threshold or more.
 
-    Of L characters together, at least M = threshold * L / 2 match, in at most 1 + L - 2 M blocks, so a pair shares at least M - (q - 1) blocks
-    of its q-grams (numbered where they repeat): three letters where the longer key has LONG letters, else two. Each key offers only its
-    rarest grams, as many as it has beyond that number and one more; pairs that could link meet in one of them, by an equi-join. The
-    Arrow-batched similarity function decides. Fixed words that all names share are frequent grams and bring nothing together.
+    The ratio is at most 2 M / L, where M letters are common to both (each as often as both have it) of L together. So pairs must share M of
+    their numbered letters (the second e is another token than the first). A key offers its rarest tokens only, as many as it may lack and
+    one more, and a pair meets in one of them by an equi-join; the place of the token in both keys bounds how many can follow. Pairs whose
+    lengths rule them out are dropped, then those whose letter counts do, for a batch at once; only what is left reaches the sequence matcher.
     """
-    keys = names.select("org_name", match_key(F.col("supplier")).alias("k")).where("k <> ''").distinct().withColumn("n", F.length("k"))
-    least = F.ceil(F.col("n") * (threshold / (2 - threshold)))  # letters of the shortest partner
-
-    def grams(q: int) -> DataFrame:
-        which = keys.where(f"n >= {q} AND n < {LONG}") if q == 2 else keys.where(F.col("n") >= math.ceil(LONG * threshold / (2 - threshold)))
-        at = F.explode(F.sequence(F.lit(1), F.col("n") - q + 1))
-        g = which.select("org_name", "k", "n", least.alias("least"), at.alias("at")).withColumn("g", F.substring(F.col("k"), F.col("at"), F.lit(q)))
-        g = g.withColumn("nth", F.row_number().over(Window.partitionBy("org_name", "k", "g").orderBy("at")))
-        both = F.col("n") + F.col("least")
-        shared = F.greatest(F.lit(1), F.ceil(threshold * both / 2 - (q - 1) * (1 + both - threshold * both) - 1e-9))
-        often = g.groupBy("org_name", "g", "nth").agg(F.count("*").alias("often"))
-        rank = F.row_number().over(Window.partitionBy("org_name", "k").orderBy("often", "g", "nth"))
-        offered = g.join(often, ["org_name", "g", "nth"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - q + 2 - shared)
-        return offered.select("org_name", "k", "n", F.concat_ws(" ", F.lit(q), "g", "nth").alias("gram"))
-
-    offered = grams(2).union(grams(3))
-    other = offered.select("org_name", "gram", F.col("k").alias("b"), F.col("n").alias("n_b"))
-    near = offered.withColumnRenamed("k", "a").join(other, ["org_name", "gram"]).where("a < b").where(2 * F.least("n", "n_b") >= threshold * (F.col("n") + F.col("n_b"))).select("org_name", "a", "b").distinct()
-
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return near.withColumn("ratio", F.pandas_udf(ratio, "double")("a", "b")).where(F.col("ratio") >= threshold)
+    keys = names.select("org_name", match_key(F.col("supplier")).alias("k")).where("k <> ''").distinct()
+    letters = F.array_sort(F.split(F.col("k"), ""))
+    numbered = F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 1).cast("string")))
+    tokens = keys.select("org_name", "k", F.length("k").alias("n"), F.explode(numbered).alias("token"))
+    often = tokens.groupBy("org_name", "token").agg(F.count("*").alias("often"))
+    needed = lambda both: F.ceil(threshold * both / 2 - 1e-9)
+    rank = F.row_number().over(Window.partitionBy("org_name", "k").orderBy("often", "token"))
+    ranked = tokens.join(often, ["org_name", "token"]).withColumn("rank", rank)
+    shortest = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)  # letters of the shortest partner
+    offered = ranked.where(F.col("rank") <= F.col("n") - needed(F.col("n") + shortest) + 1)
+    other = offered.select("org_name", "token", F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("rank").alias("rank_b"))
+    met = offered.withColumnRenamed("k", "a").join(other, ["org_name", "token"]).where("a < b")
+    can_share = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b"))
+    near = met.where((F.least("n", "n_b") >= needed(F.col("n") + F.col("n_b"))) & (can_share >= needed(F.col("n") + F.col("n_b")))).select("org_name", "a", "b").distinct()
+    return near.withColumn("ratio", F.pandas_udf(lambda a, b: _ratios(a, b, threshold), "double")("a", "b")).where("ratio IS NOT NULL")
+
+
+def _letter_counts(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A row of letter counts for each distinct key, and each key's row. Match keys hold a-z and 0-9."""
+    code, distinct = pd.factorize(keys)
+    counts = np.zeros((len(distinct), 36), np.int16)
+    for i, key in enumerate(distinct):
+        place = np.frombuffer(key.encode("ascii"), np.uint8)
+        np.add.at(counts[i], np.where(place < 58, place - 48, place - 87), 1)
+    return counts, code
+
+
+def _ratios(a: pd.Series, b: pd.Series, threshold: float) -> pd.Series:
+    """The ratio of each pair, null below the threshold."""
+    from difflib import SequenceMatcher
+
+    out, (left, i), (right, j) = np.full(len(a), np.nan), _letter_counts(a), _letter_counts(b)
+    step, hits = 100_000, []
+    for s in range(0, len(a), step):
+        x, y = left[i[s : s + step]], right[j[s : s + step]]
+        hits.append(s + np.flatnonzero(2.0 * np.minimum(x, y).sum(axis=1) / (x.sum(axis=1) + y.sum(axis=1)) >= threshold))
+    last, matcher = None, SequenceMatcher(None)
+    for at in np.concatenate(hits or [np.zeros(0, np.int64)])[np.argsort(j[np.concatenate(hits)], kind="stable")] if len(a) else []:
+        if b.iat[at] != last:
+            last = b.iat[at]
+            matcher.set_seq2(last)  # the matcher indexes its second text once
+        matcher.set_seq1(a.iat[at])
+        ratio = matcher.ratio()
+        if ratio >= threshold:
+            out[at] = ratio
+    return pd.Series(out).where(~np.isnan(out), None)

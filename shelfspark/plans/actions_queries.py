@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import actions
+from shelfspark.operators.durable import new_folder
 from shelfspark.sources import bindings as b
+from shelfspark.sources import sinks
 
 from .register import Register
 
@@ -99,17 +101,28 @@ def supplier_accuracy(spark, sf_dir):
 
 @query("outcome_stub_sink", f"WITH {b.RECS_SQL} SELECT session_id, item, supplier, suggested AS action_recommended, 0.0::DOUBLE AS predicted_loss, 0.0::DOUBLE AS predicted_cost, confidence FROM rec WHERE NOT error")
 def outcome_stub_sink(spark, sf_dir):
-    """The rows appended to the outcome table for each recommendation; predicted money is 0 throughout."""
-    return b.recommendations(spark, sf_dir).where("NOT error").select("session_id", "item", "supplier", F.col("suggested").alias("action_recommended"), F.lit(0.0).alias("predicted_loss"), F.lit(0.0).alias("predicted_cost"), "confidence")
+    """The outcome table after a row for each recommendation was written to it, by session, and the odd sessions were run again; predicted
+    money is 0 throughout."""
+    rows = b.recommendations(spark, sf_dir).where("NOT error").select("session_id", "item", "supplier", F.col("suggested").alias("action_recommended"), F.lit(0.0).alias("predicted_loss"), F.lit(0.0).alias("predicted_cost"), "confidence")
+    path = new_folder(spark, "outcomes")
+    sinks.write_sessions(rows, path)
+    sinks.write_sessions(rows.where("session_id % 2 = 1"), path)
+    return sinks.read_sessions(spark, path, rows.schema)
 
 
 @query("clone_session", f"WITH {b.RECS_SQL} SELECT session_id + 1000 AS session_id, pos, item, status FROM rec WHERE session_id % 10 = 3 UNION ALL SELECT session_id + 1000, event_id, event_type, CAST(user_id AS VARCHAR) FROM (SELECT CAST(user_id % 40 AS BIGINT) AS session_id, * FROM events) WHERE session_id % 10 = 3")
 def clone_session(spark, sf_dir):
-    """Sessions copied under new numbers, in every table they have (here recommendations and actions)."""
+    """Sessions copied under new numbers, in every table they have (here recommendations and actions): the tables are written, the copies are
+    added to them, and what they then hold of the copies is read back."""
     tables = {"recs": b.recommendations(spark, sf_dir).select("session_id", "pos", "item", "status"), "actions": b.table(spark, sf_dir, "events").select((F.col("user_id") % 40).cast("long").alias("session_id"), "event_id", "event_type", F.col("user_id").cast("string").alias("who"))}
     pairs = tables["recs"].select("session_id").distinct().where("session_id % 10 = 3").select("session_id", (F.col("session_id") + 1000).alias("new_id"))
-    copies = actions.clone(tables, pairs)
-    return copies["recs"].union(copies["actions"])
+    copies, read = actions.clone(tables, pairs), []
+    for name, rows in tables.items():
+        path = new_folder(spark, name)
+        sinks.write_sessions(rows, path)
+        sinks.write_sessions(copies[name], path)
+        read.append(sinks.read_sessions(spark, path, rows.schema).join(pairs.select(F.col("new_id").alias("session_id")), "session_id", "left_semi"))
+    return read[0].union(read[1])
 
 
 RUNS = f"""WITH {b.RECS_SQL}, run AS (SELECT session_id % 5 AS org, session_id, min(created) AS created, count(*) AS items, count(*) FILTER (error) AS errors,

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from shelfspark.operators import ingest
+from shelfspark.functions.scalars import is_total_label
+from shelfspark.operators import convert, ingest
 from shelfspark.operators.durable import durable
 from shelfspark.sources import bindings as b
 from shelfspark.sources import files as files_
@@ -117,21 +118,68 @@ def convert_verify(spark, sf_dir):
     return ingest.convert_verify(g, in_year(g).withColumn("qty", F.col("qty") + F.when(wrong, 1).otherwise(0)))
 
 
-READBACK = f"""{GRID}, n AS (SELECT file, month, count(*) FILTER (NOT (file % 4 = 2 AND month = 3 AND k // 40 % 3 = 0)) AS a, count(*) FILTER (file % 4 = 2 AND month = 3 AND k // 40 % 3 = 0) AS t FROM g GROUP BY ALL),
-d AS (SELECT file, bool_or(t >= 0.2 * (t + a)) AS mixed FROM n GROUP BY ALL)"""
+# What a routed conversion meets, by file % 8: 1 a month of texts only, 2 texts in half of March, 3 a flat tail from October on, 4 such a tail with own
+# values in October, 5 a recipe that does not hold, 6 no cells in the last two months, 7 an empty month in the middle and a zero behind a flat value.
+ROUTED = f"""{GRID}, x AS (SELECT file, k, month, q, (file % 8 = 1 AND month = 2) OR (file % 8 = 2 AND month = 3 AND k // 40 % 2 = 0) AS t FROM g
+    WHERE NOT (file % 8 IN (3, 4) AND month >= 10) AND NOT (file % 8 = 6 AND month > 10) AND NOT (file % 8 = 7 AND month IN (6, 11, 12))
+  UNION ALL SELECT file, k, CAST(mo AS BIGINT), q + 1 + CASE WHEN file % 8 = 4 AND mo = 10 AND k // 40 % 5 = 0 THEN 5 ELSE 0 END, false FROM (SELECT file, k, sum(q) AS q FROM g WHERE month < 10 AND file % 8 IN (3, 4) GROUP BY ALL), range(10, 13) r(mo)
+  UNION ALL SELECT file, k, mo, CASE WHEN mo = 12 AND k // 40 % 2 = 0 THEN 0 ELSE 7 END, false FROM (SELECT DISTINCT file, k FROM g WHERE file % 8 = 7), (VALUES (11), (12)) r(mo)),
+f AS (SELECT DISTINCT file FROM g), n AS (SELECT f.file, CAST(mo AS BIGINT) AS month, count(q) FILTER (NOT t) AS a, count(q) FILTER (t) AS b FROM f CROSS JOIN range(1, 13) r(mo) LEFT JOIN x ON x.file = f.file AND x.month = mo GROUP BY ALL),
+why AS (SELECT file, CASE WHEN file % 8 = 5 THEN 'header row out of bounds' WHEN bool_or(a = 0 AND b > 0) THEN 'the column of ' || monthname(make_date(2000, (min(month) FILTER (a = 0 AND b > 0))::INT, 1)) || ' holds texts, no quantities' WHEN max(a) = 0 THEN 'no month has a number' END AS reason,
+  list(month ORDER BY month) FILTER (a > 0 AND b > 0 AND b >= 0.2 * (a + b)) AS mixed FROM n GROUP BY file),
+live AS (SELECT file, month, row_number() OVER (PARTITION BY file ORDER BY month) AS i, count(*) OVER (PARTITION BY file) AS len FROM n WHERE a > 0),
+st AS (SELECT * FROM live WHERE i > 1 AND i < len),
+it AS (SELECT st.file, st.month, k, count(*) = any_value(len) - any_value(i) + 1 AND arg_min(q, x.month) > 0 AND min(x.month) = st.month AS whole, min(q) = max(q) AS flat FROM st JOIN x ON x.file = st.file AND x.month >= st.month AND NOT t GROUP BY st.file, st.month, k),
+sh AS (SELECT file, month, coalesce(count(*) FILTER (whole AND flat) >= 0.5 * nullif(count(*) FILTER (whole), 0), false) AS pass FROM it GROUP BY ALL),
+cut AS (SELECT file, min(month) AS cut FROM (SELECT *, bool_and(pass) OVER (PARTITION BY file ORDER BY month DESC) AS ok FROM sh) WHERE ok GROUP BY ALL),
+bo AS (SELECT cut.file, any_value(cut) AS cut, count(*) FILTER (u.q = v.q) / count(*) < 0.9 AS own FROM cut JOIN x u ON u.file = cut.file AND u.month = cut AND NOT u.t AND u.q > 0 JOIN x v ON v.file = cut.file AND v.k = u.k AND v.month = cut + 1 AND NOT v.t GROUP BY cut.file),
+kept AS (SELECT live.file, live.month FROM live LEFT JOIN cut USING (file) LEFT JOIN bo USING (file) JOIN why USING (file) WHERE reason IS NULL AND (cut.cut IS NULL OR live.month < cut.cut OR (live.month = cut.cut AND own))),
+years AS (SELECT file, CAST(CASE WHEN max(month) > 6 THEN 2001 ELSE 2002 END AS INTEGER) AS year FROM kept GROUP BY ALL)"""
+
+
+def routed(spark, sf_dir):
+    """The conversion of grids of every kind, as of June 2002."""
+    q = sold(spark, sf_dir)
+    c, k, m = F.col("file") % 8, F.col("k"), F.col("month")
+    items = q.select("file", "k").distinct()
+    base = q.where(~(c.isin(3, 4) & (m >= 10)) & ~((c == 6) & (m > 10)) & ~((c == 7) & m.isin(6, 11, 12)))
+    tail = q.where(c.isin(3, 4) & (m < 10)).groupBy("file", "k").agg(F.sum("q").alias("q")).withColumn("month", F.explode(F.sequence(F.lit(10), F.lit(12))))
+    tail = tail.withColumn("q", F.col("q") + 1 + F.when((c == 4) & (m == 10) & (F.floor(k / 40) % 5 == 0), 5).otherwise(0))
+    zeros = items.where(c == 7).withColumn("month", F.explode(F.array(F.lit(11), F.lit(12)))).withColumn("q", F.when((m == 12) & (F.floor(k / 40) % 2 == 0), 0).otherwise(7))
+    text = ((c == 1) & (m == 2)) | ((c == 2) & (m == 3) & (F.floor(k / 40) % 2 == 0))
+    grid_ = base.unionByName(tail.select(base.columns)).unionByName(zeros.select(base.columns)).withColumn("q", F.when(text, "n/a").otherwise(F.col("q").cast("string")))
+    row = (k + 10).alias("row_no")
+    months = grid_.select("file", row, (m + 1).cast("int").alias("col_no"), F.col("q").alias("value"))
+    one = lambda n, v: items.select("file", row, F.lit(n).alias("col_no"), v.alias("value"))
+    i = F.floor(k / 40)
+    supplier = one(14, F.when(i % 3 == 0, F.concat(F.lit("S"), (F.floor(i / 6) % 3).cast("string"))).otherwise(" "))
+    lead = one(15, F.when(i % 6 == 1, "10 WEEKS").when(i % 12 == 4, "soon"))
+    rest = items.select("file").distinct().select("file", F.explode(F.array(*[F.struct(F.lit(r).cast("bigint").alias("row_no"), F.lit(n).alias("col_no"), F.lit(v).alias("value")) for r, n, v in ((1, 1, "Sales"), (3, 1, "Item"), (3, 2, "Jan"), (9_000_000, 1, "TOTAL"), (9_000_000, 2, "999"), (9_000_001, 2, "5"))])).alias("x")).select("file", "x.*")
+    cells_ = months.unionByName(one(1, F.concat(F.lit("Item "), k.cast("string")))).unionByName(supplier).unionByName(lead).unionByName(rest)
+    recipes = items.select("file").distinct().select(
+        "file", F.lit("wide_matrix").alias("layout"), F.when(c == 5, 0).otherwise(3).alias("header_row"), F.lit(1).alias("item_col"), F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda x: F.struct(x + 1, x))).alias("month_cols"),
+        F.lit(14).alias("supplier_col"), F.lit(15).alias("leadtime_col"), F.lit(9_000_001).alias("n_rows"), F.lit(15).alias("n_cols"),
+    )
+    return convert.convert(durable(cells_, "cells"), durable(recipes, "recipes"), F.lit("2002-06-15").cast("date"))
 
 
-@query("convert_readback", f"""{READBACK}, y AS (SELECT * FROM g WHERE NOT (file % 4 = 2 AND month = 3 AND k // 40 % 3 = 0))
-SELECT file, count(DISTINCT k) AS items, count(DISTINCT month) AS months, CAST(12 - count(DISTINCT month) AS BIGINT) AS dropped, sum(q) AS units, CAST(CASE WHEN max(month) > 6 THEN 2001 ELSE 2002 END AS INTEGER) AS assumed_year, CASE WHEN any_value(mixed) THEN 'degraded' ELSE 'confident' END AS tier FROM y JOIN d USING (file) GROUP BY ALL""")
+@query("convert_readback", f"""{ROUTED}, u AS (SELECT x.file, sum(q) AS units FROM x JOIN kept USING (file, month) WHERE NOT t GROUP BY ALL), i AS (SELECT file, count(DISTINCT k) AS items FROM g GROUP BY ALL),
+mk AS (SELECT n.file, list(n.month ORDER BY n.month) FILTER (kept.month IS NOT NULL) AS months_kept, coalesce(list(n.month ORDER BY n.month) FILTER (kept.month IS NULL), []) AS months_dropped FROM n LEFT JOIN kept USING (file, month) GROUP BY n.file)
+SELECT file, CASE WHEN reason IS NOT NULL THEN 'refused' WHEN own OR mixed IS NOT NULL THEN 'degraded' ELSE 'confident' END AS outcome, reason, CASE WHEN reason IS NULL THEN items END AS items, CASE WHEN reason IS NULL THEN months_kept::INT[] END AS months_kept,
+  CASE WHEN reason IS NULL THEN months_dropped::INT[] END AS months_dropped, year AS assumed_year, CASE WHEN reason IS NULL THEN units::DOUBLE END AS total_units, CASE WHEN reason IS NULL THEN nullif(concat_ws(' ', CASE WHEN own THEN 'Did ' || monthname(make_date(2000, bo.cut::INT, 1)) || ' happen? It was kept, but the months behind it repeat one value like a plan.' END,
+  CASE WHEN mixed IS NOT NULL THEN 'Please check March: some of its cells are no numbers.' END), '') END AS question FROM why JOIN i USING (file) JOIN mk USING (file) LEFT JOIN bo USING (file) LEFT JOIN years USING (file) LEFT JOIN u USING (file)""")
 def convert_readback(spark, sf_dir):
-    """What a conversion tells the user; as of June 2002."""
-    k = F.col("row_no") - 10
-    text = (F.col("file") % 4 == 2) & (F.col("month") == 3) & (F.floor(k / 40) % 3 == 0)
-    g = grid(spark, sf_dir).withColumn("value", F.when(text, "n/a").otherwise(F.col("value")))
-    kinds = ingest.month_types(g).groupBy("file").agg(F.bool_or(F.col("kind") == "mixed").alias("mixed"))
-    rows = in_year(g).groupBy("file").agg(F.count_distinct("item").alias("items"), F.count_distinct("date").alias("months"), F.sum(F.col("qty").cast("decimal(18,2)")).cast("double").alias("units"), F.max(F.month("date")).alias("last"))
-    year = ingest.assumed_year(F.col("last"), F.lit("2002-06-15").cast("date")).cast("int")
-    return rows.join(kinds, "file").select("file", "items", "months", (12 - F.col("months")).alias("dropped"), "units", year.alias("assumed_year"), F.when(F.col("mixed"), "degraded").otherwise("confident").alias("tier"))
+    """What a conversion tells the user of each file, with the outcome that routes it."""
+    return routed(spark, sf_dir).readback
+
+
+@query("convert_rows", f"""{ROUTED}, r AS (SELECT DISTINCT file, k, k // 40 AS i FROM g), o AS (SELECT *, CASE WHEN i % 3 = 0 THEN 'S' || i // 6 % 3 END AS own, CASE WHEN i % 6 = 1 THEN '10 WEEKS' WHEN i % 12 = 4 THEN 'soon' END AS lead FROM r),
+fi AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY file ORDER BY k) AS supplier FROM o), ch AS (SELECT *, CASE WHEN supplier IS NOT DISTINCT FROM lag(supplier) OVER (PARTITION BY file ORDER BY k) THEN 0 ELSE 1 END AS c FROM fi),
+bl AS (SELECT *, sum(c) OVER (PARTITION BY file ORDER BY k) AS block FROM ch), ld AS (SELECT *, CASE last_value(lead IGNORE NULLS) OVER (PARTITION BY file, block ORDER BY k) WHEN '10 WEEKS' THEN 70 END AS days FROM bl)
+SELECT x.file, 'Item ' || k AS item, make_date(year, x.month::INT, 15) AS date, q::DOUBLE AS qty, supplier, days::BIGINT AS lead_days FROM x JOIN kept USING (file, month) JOIN years USING (file) JOIN ld USING (file, k) WHERE NOT t""")
+def convert_rows(spark, sf_dir):
+    """The dated rows, with suppliers and lead times, of the files that were not refused."""
+    return routed(spark, sf_dir).rows.drop("row_no")
 
 
 @query("assumed_year", f"{GRID} SELECT file, CAST(2002 - CASE WHEN max(month) FILTER (month <= 3 OR file % 2 = 0) > 6 THEN 1 ELSE 0 END AS INTEGER) AS year FROM g GROUP BY ALL HAVING max(month) FILTER (month <= 3 OR file % 2 = 0) IS NOT NULL")
@@ -156,7 +204,7 @@ def tailed(spark, sf_dir):
 
 TAILED = f"""{GRID}, h AS (SELECT * FROM g WHERE month < {TAIL} OR file % 2 = 1 UNION ALL SELECT file, k, CAST(mo AS BIGINT), q + 1 + CASE WHEN file % 3 = 0 AND mo = {TAIL} AND k // 40 % 7 = 0 THEN 5 ELSE 0 END FROM (SELECT file, k, sum(q) AS q FROM g WHERE month < {TAIL} AND file % 2 = 0 GROUP BY ALL), range({TAIL}, 13) r(mo)),
 l AS (SELECT file, max(month) AS last, min(month) AS first FROM h GROUP BY ALL), st AS (SELECT l.file, CAST(mo AS BIGINT) AS start, last FROM l, range(1, 13) r(mo) WHERE mo < last AND mo > first),
-it AS (SELECT st.file, st.start, st.last, h.k, count(*) = st.last - st.start + 1 AND min(h.q) > 0 AS full_, min(h.q) = max(h.q) AS flat FROM st JOIN h ON h.file = st.file AND h.month >= st.start GROUP BY st.file, st.start, st.last, h.k),
+it AS (SELECT st.file, st.start, st.last, h.k, count(*) = st.last - st.start + 1 AND arg_min(h.q, h.month) > 0 AS full_, min(h.q) = max(h.q) AS flat FROM st JOIN h ON h.file = st.file AND h.month >= st.start GROUP BY st.file, st.start, st.last, h.k),
 sh AS (SELECT file, start, last, coalesce(count(*) FILTER (full_ AND flat) >= 0.5 * nullif(count(*) FILTER (full_), 0), false) AS pass FROM it GROUP BY ALL),
 cut AS (SELECT file, min(start) AS start FROM (SELECT *, bool_and(pass) OVER (PARTITION BY file ORDER BY start DESC) AS ok FROM sh) WHERE ok GROUP BY ALL),
 kept AS (SELECT l.file, coalesce(cut.start - 1, l.last) AS last_kept FROM l LEFT JOIN cut USING (file))"""
@@ -207,7 +255,8 @@ def block_fill_reset(spark, sf_dir):
     item = F.when(k % 11 == 3, "").when(k % 13 == 3, "Total").otherwise(F.concat(F.lit("Item "), k.cast("string")))
     supplier = F.when(n % 3 == 0, F.concat(F.lit("S"), (F.floor(n / 6) % 3).cast("string"))).otherwise("")
     lead = F.when(n % 6 == 1, "10 WEEKS").when(n % 12 == 4, "soon").otherwise("")
-    return ingest.block_fill(part.select("file", "row_no", item.alias("item"), supplier.alias("supplier"), lead.alias("lead_text")))
+    rows = part.select("file", "row_no", item.alias("item"), F.nullif(supplier, F.lit("")).alias("supplier"), F.nullif(lead, F.lit("")).alias("lead_text"))
+    return convert.block_values(rows.where((F.col("item") != "") & ~is_total_label(F.col("item"))))
 
 
 @query("json_source", """SELECT o_orderkey AS id, CAST(n AS INTEGER) AS pos, 'item ' || o_orderkey AS item, CAST(o_orderkey % 100 + n AS DOUBLE) AS stock FROM orders, range(2) r(n) WHERE o_orderkey % 7 NOT IN (0, 1, 2)""")

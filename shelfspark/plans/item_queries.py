@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import scalars as sc
 from shelfspark.operators import clean, decisions, names, quality_gate, suppliers, velocity
+from shelfspark.operators.ordered import Number, in_order, plain
 from shelfspark.sources import bindings as b
 
 from .analysis import METRICS_SQL, cube, keyed_cube, keyed_sales, lead_by_item, matched, matches, metrics, sized
@@ -43,8 +44,8 @@ def split_row_merge(spark, sf_dir):
 
 @query("stock_sort", f"{C} SELECT session_id, k AS row_no, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(stock, 0), k) AS place FROM v")
 def stock_sort(spark, sf_dir):
-    w = Window.partitionBy("session_id").orderBy(F.coalesce("stock", F.lit(0.0)), "row_no")
-    return clean.readable_stock(b.inventory(spark, sf_dir)).select("session_id", "row_no", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = clean.readable_stock(b.inventory(spark, sf_dir)).select("session_id", "row_no", F.coalesce("stock", F.lit(0.0)).alias("stock"))
+    return in_order(rows, ["session_id"], ["stock", "row_no"], {"place": Number()}).select("session_id", "row_no", "place")
 
 
 @query("canonical_names", f"{C} SELECT session_id, k AS row_no, CASE WHEN k % 3 = 0 THEN 'Canon ' || k % 10 ELSE item END AS canonical FROM v")
@@ -124,7 +125,7 @@ def stock_filled_count(spark, sf_dir):
 
 @query("supplier_fill", f"{C} SELECT session_id, k AS row_no, last_value(CASE WHEN k % 8 = 0 THEN 'S' || (k // 8 % 5) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY k) AS filled FROM v")
 def supplier_fill(spark, sf_dir):
-    """The last supplier seen down the column of each sheet; a session is one file, sorted in one task."""
+    """The last supplier seen down the column of each sheet."""
     k = F.col("row_no")
     rows = b.inventory(spark, sf_dir).withColumn("supplier_raw", F.when(k % 8 == 0, F.concat(F.lit("S"), (F.floor(k / 8) % 5).cast("string"))).otherwise(" "))
     return clean.fill_down(rows, "supplier_raw", "filled").select("session_id", "row_no", "filled")
@@ -204,8 +205,7 @@ def spelled(spark, sf_dir):
 @query("blocky_column", f"{C} SELECT DISTINCT session_id, session_id % 2 = 0 AS blocky FROM s")
 def blocky_column(spark, sf_dir):
     rows = b.sales(spark, sf_dir)
-    first = Window.partitionBy("session_id").orderBy("row_no", "item_raw", "date_raw", "qty_raw", "rev_raw")
-    rows = rows.withColumn("row_no", F.row_number().over(first))
+    rows = plain(in_order(rows.drop("supplier_raw").withColumnRenamed("row_no", "line"), ["session_id"], ["line", "item_raw", "date_raw", "qty_raw", "rev_raw"], {"row_no": Number()}))
     blocks = F.when(F.col("row_no") % 10 == 1, F.concat(F.lit("S"), F.floor(F.col("row_no") / 20).cast("string"))).otherwise("")
     mixed = F.when(F.col("row_no") % 10 == 1, F.concat(F.lit("S"), (F.floor(F.col("row_no") / 10) % 2).cast("string"))).otherwise("")
     return suppliers.blocky(rows.withColumn("supplier_raw", F.when(F.col("session_id") % 2 == 0, blocks).otherwise(mixed)))

@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import decisions, reports
+from shelfspark.operators.durable import durable, new_folder
+from shelfspark.operators.ordered import Number, in_order, plain
 from shelfspark.sources import bindings as b
+from shelfspark.sources import sinks
 
 from .register import Register
 
@@ -31,8 +34,11 @@ def recs(spark, sf_dir):
     return b.recommendations(spark, sf_dir)
 
 
+NOTE = '''CASE WHEN pos % 7 = 0 THEN '=ask ' || item WHEN pos % 7 = 1 THEN 'say "now", later ' END'''
+
+
 def numbered(spark, sf_dir):
-    return reports.display_order(reports.with_order_by(recs(spark, sf_dir), as_of()))
+    return reports.display_order(reports.with_order_by(recs(spark, sf_dir).withColumn("note", F.expr(NOTE)), as_of()))
 
 
 @query("order_by", f"""{EFF} SELECT session_id, pos, buffer_days, order_status, CASE WHEN buffer_days IS NOT NULL THEN DATE '2001-12-31' + buffer_days END AS order_by,
@@ -60,24 +66,33 @@ def group_sort(spark, sf_dir):
 CASE status WHEN 'CRITICAL' THEN 0 WHEN 'LOW' THEN 1 ELSE 2 END, pos) AS place FROM d""")
 def urgency_sort(spark, sf_dir):
     rows = reports.with_order_by(reports.valid(recs(spark, sf_dir)), as_of())
-    order = Window.partitionBy("session_id").orderBy(decisions.urgency_rank(F.col("order_status")), F.col("buffer_days").asc_nulls_last(), F.when(F.col("status") == "CRITICAL", 0).when(F.col("status") == "LOW", 1).otherwise(2), "pos")
-    return rows.select("session_id", "pos", F.row_number().over(order).cast("bigint").alias("place"))
+    return in_order(rows, ["session_id"], reports.urgency(), {"place": Number()}).select("session_id", "pos", "place")
 
 
-SHEET = """session_id, display_number, item, stock, CASE WHEN eff_quantity <> CAST(suggested AS VARCHAR) THEN eff_quantity || ' (AI: ' || suggested || ')' ELSE eff_quantity END AS quantity, eff_supplier AS supplier,
+SHEET = """session_id, item, stock, CASE WHEN eff_quantity <> CAST(suggested AS VARCHAR) THEN eff_quantity || ' (AI: ' || suggested || ')' ELSE eff_quantity END AS quantity, eff_supplier AS supplier,
 CASE WHEN order_status IN ('overdue', 'urgent') THEN 'ASAP' WHEN order_status = 'ok' THEN strftime(DATE '2001-12-31' + buffer_days, '%d %b %Y') ELSE '—' END AS order_text,
-round_even(days_of_supply / 30, 1) AS runway_months, CASE WHEN CAST(eff_quantity AS DOUBLE) > 0 AND avg_monthly > 0 THEN round_even(CAST(eff_quantity AS DOUBLE) / avg_monthly, 1) END AS lasts_months"""
+round_even(days_of_supply / 30, 1) AS runway_months, CASE WHEN CAST(eff_quantity AS DOUBLE) > 0 AND avg_monthly > 0 THEN round_even(CAST(eff_quantity AS DOUBLE) / avg_monthly, 1) END AS lasts_months,
+CASE WHEN pos % 7 = 0 THEN '''=ask ' || item WHEN pos % 7 = 1 THEN 'say "now", later ' END AS notes"""
+SHEET_SCHEMA = "item string, stock double, quantity string, supplier string, order_text string, runway_months double, lasts_months double, notes string"
 
 
 @query("order_sheet_export", f"{EFF} SELECT {SHEET} FROM num WHERE approved")
 def order_sheet_export(spark, sf_dir):
-    return reports.order_sheet_rows(numbered(spark, sf_dir).where("approved"))
+    """Approved orders as CSV files of each session, read back; the export is run twice and stays the same."""
+    path = new_folder(spark, "orders")
+    sheet = durable(reports.order_sheet_rows(numbered(spark, sf_dir).where("approved")), "sheet")
+    for _ in range(2):
+        sinks.write_csv(sheet, path, reports.LABELS, ["display_number"])
+    return sinks.read_csv(spark, path, f"{SHEET_SCHEMA}, session_id long")
 
 
 @query("print_sheet", f"{EFF} SELECT {SHEET}, approved FROM num")
 def print_sheet(spark, sf_dir):
-    rows = numbered(spark, sf_dir)
-    return reports.order_sheet_rows(rows).join(rows.select("session_id", "display_number", "approved"), ["session_id", "display_number"])
+    """All orders with their approval, as CSV files of each session, read back."""
+    path, rows = new_folder(spark, "print"), numbered(spark, sf_dir)
+    sheet = reports.order_sheet_rows(rows, "approved")
+    sinks.write_csv(sheet, path, reports.LABELS | {"approved": "Approved"}, ["display_number"])
+    return sinks.read_csv(spark, path, f"{SHEET_SCHEMA}, approved boolean, session_id long")
 
 
 @query("clarity_gaps", f"""{EFF}, c AS (SELECT session_id, count(*) FILTER (lead_days IS NULL) AS no_lead_time, count(*) FILTER (lower(eff_supplier) IN ('unknown', 'unknown supplier')) AS unknown_supplier,
@@ -139,8 +154,9 @@ def actionable_items(spark, sf_dir):
 
 @query("batching", f"WITH {b.RECS_SQL} SELECT session_id, pos, CAST((row_number() OVER (PARTITION BY session_id ORDER BY stock, pos) - 1) // 300 AS BIGINT) AS health_batch, CAST((row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1) // 150 AS BIGINT) AS rec_batch FROM rec")
 def batching(spark, sf_dir):
-    batch = lambda n, *by: F.floor((F.row_number().over(Window.partitionBy("session_id").orderBy(*by)) - 1) / n)
-    return recs(spark, sf_dir).select("session_id", "pos", batch(300, "stock", "pos").alias("health_batch"), batch(150, "pos").alias("rec_batch"))
+    numbered_by = lambda rows, name, *by: plain(in_order(rows, ["session_id"], list(by), {name: Number()}))
+    rows = numbered_by(numbered_by(recs(spark, sf_dir).select("session_id", "pos", "stock"), "a", "stock", "pos"), "b", "pos")
+    return rows.select("session_id", "pos", F.floor((F.col("a") - 1) / 300).alias("health_batch"), F.floor((F.col("b") - 1) / 150).alias("rec_batch"))
 
 
 @query("order_covers", f"{BASE} SELECT session_id, pos, CASE WHEN suggested > 0 AND avg_monthly > 0 THEN round_even(CAST(suggested AS DOUBLE) / avg_monthly, 1) END AS covers FROM ok")
