@@ -142,13 +142,13 @@ class Transducer:
         before, token, rest = next((e for e in ends[:-1] if self.may_follow(e[0], e[1])), ends[-1])
         paths.append((0, token, (*rest, token)))
         rests = [p[2] for p in paths]
-        shared, least = 0, min(map(len, rests))
-        while shared < least and all(r[shared] == rests[0][shared] for r in rests):
+        low, high, shared = min(rests), max(rests), 0  # what these two share, all share
+        while shared < len(low) and low[shared] == high[shared]:
             shared += 1
         if len(self._known) >= self.most:
             self._forget()
-        to = self._state(tuple((node, before, rest[shared:]) for node, before, rest in paths))
-        step = state[byte] = (to, rests[0][:shared])
+        to = self._state(tuple([(node, before, rest[shared:]) for node, before, rest in paths] if shared else paths))
+        step = state[byte] = (to, low[:shared])
         return step
 
     def encode(self, piece: bytes) -> list[int]:

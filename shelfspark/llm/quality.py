@@ -5,7 +5,8 @@ pairs, repetition, word length) by a learned tanh layer; gated attention weighs
 weighted sum. Only document labels are known, so the weights of passages are learned through the bag.
 
 The model is fitted on at most SAMPLE labelled documents of at most PASSAGES passages together, taken in the order of a hash of doc_id from
-those that are not held out; their passage features are all that reaches the driver. Scoring reads every whole text in one pass without a
+those that are not held out; a text of more than a hundredth of PASSAGES is fitted by that many of its passages, evenly spaced, so no text
+takes the place of the others. Their passage features are all that reaches the driver. Scoring reads every whole text in one pass without a
 shuffle.
 
 Defined cases: null and wordless texts are one passage of zeros and are scored too; a null doc_id is not held out; repeated label rows of a
@@ -129,14 +130,16 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = PASSAGES, label: str = "quality") -> dict:
     """A model of labels (doc_id, `label`) over docs (doc_id, text)."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    most = max(limit // 100, 1)  # passages of one text
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in chunks(batch.column(2)):
                 x, first = passages(w)
-                packed = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(w.rows)) for i in (0, 1)] + [pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["doc_id", "label", "n", "x"])
+                some = [x[a:b] if b - a <= most else x[a + np.arange(most) * (b - a) // most] for a, b in zip(first, first[1:], strict=False)]
+                packed = [x.astype(np.float16).tobytes() for x in some]
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(w.rows)) for i in (0, 1)] + [pa.array(list(map(len, some)), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "label", "n", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     one = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id

@@ -42,3 +42,17 @@ def test_same_model_every_time(spark):
     bags = [rng.normal(size=(2, q.N_FEATURES)) for _ in range(20)]
     labels = np.arange(20) % 2.0
     assert (q.fit(bags, labels)["c"] == q.fit(bags, labels)["c"]).all()
+
+
+def test_one_very_long_text_leaves_the_model_as_good(spark):
+    rng = np.random.default_rng(5)
+    words = [[f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]]
+    rows = [(i, " ".join(rng.choice(words[i % 2], 90)), i % 2) for i in range(400)]
+    # the first one in the order of the sample gets more passages than the whole sample may hold
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    first = docs.where(~q.held_out(docs.doc_id)).selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").first().doc_id
+    rows[first] = (first, " ".join(words[first % 2] * 96_002), first % 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    found = q.quality_digest(docs, docs.select("doc_id", "quality")).join(docs.select("doc_id", "quality"), "doc_id").toPandas()
+    assert q.accuracy(found[found.held_out])["auc"] > 0.95
+    assert found.set_index("doc_id").n_passages[first] > 60_000
