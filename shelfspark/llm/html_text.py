@@ -1,7 +1,7 @@
 """Main text of web pages by a host suffix array.
 
 A page is parsed into blocks of visible text. Each block belongs to a region: the chain of container elements, with their classes, that it
-stands in (`body/nav.menu`, `body/article`). The token streams of a host's pages are laid end to end, region by region, and their suffixes
+stands in (`body/nav.menu`, `body/article`; numbers in class names count as one, so `post-17` and `post-18` are one region). The token streams of a host's pages are laid end to end, region by region, and their suffixes
 are sorted; neighbours that share RUN words (or all of a shorter region) and come from distinct pages are repeats. Pages with the same main
 region count as one page, so copies and reprints repeat nothing.
 
@@ -10,7 +10,11 @@ suffixes that repeat is held against that of the main region (the one with most
 boilerplate and goes; a region with much text that hardly repeats is unique and stays; the main region stays. Only ties (too little text to
 tell, or in between) are broken by structure: names of page furniture go, article and main stay, others stay on pages without these. A region
 goes or stays whole, so a passage that two articles quote is not lost. Forms, scripts, styles and reader comments are no text of a page by
-its markup: no repeats are needed to drop them.
+its markup: no repeats are needed to drop them (a form that never ends hides nothing but its controls). Class names of elements inside a
+line, and of article and main, never drop words.
+
+Regions on fewer than one in COMMON pages of their host (names made for a page, say) are ties: so a host has at most COMMON times as many
+decided regions as a page has regions.
 
 A host of up to HOST_BYTES of html is one suffix array in one task. A larger host has its suffixes, cut to RUN words, partitioned by their
 hash into tasks of bounded size instead, so that equal ones still meet and are sorted there; both ways count the same repeats. Counts are one
@@ -45,11 +49,18 @@ ENOUGH, FEWEST, LEAST, TIMES = 200, 5, 0.05, 3.0
 MANY, HARDLY = 1000, 0.01
 CHUNK = 2_000_000  # bytes that a task parses or cuts at once
 LONG = 300  # characters of a region's name, beyond which a hash stands for it
+COMMON = 100
 # Elements and class names.
-HIDDEN = frozenset("form script style noscript template iframe svg math canvas object button select textarea dialog head title".split())
+HIDDEN = frozenset("script style noscript template iframe svg canvas object button select textarea dialog head title annotation annotation-xml".split())
 COMMENTS = frozenset("comment comments comment-list commentlist replies disqus".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "script style noscript template iframe svg canvas object button select textarea input "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle semantics annotation annotation-xml".split()
+)
+#: Elements that end where a like one begins, and the others that end them too.
+ENDED_BY_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("body main article section nav aside header footer div menu table details".split())
 MAIN = frozenset(("article", "main"))
 FURNITURE = frozenset(
@@ -58,7 +69,7 @@ FURNITURE = frozenset(
     "modal overlay newsletter subscribe subscription share sharing social related recommended widget toolbar pagination pager skip-link".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar".split())
-_SPACE = re.compile(r"\s+")
+_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 
 
 class _Blocks(HTMLParser):
@@ -66,41 +77,61 @@ class _Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, int, bool]] = []  # element, region, kind, hidden
+        self.open: list[tuple[str, str, int, bool, int]] = []  # element, region, kind, hidden, its form
+        self.depth: dict[str, int] = {}  # how many of an element are open
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, str]] = []
-        self.kinds: dict[str, int] = {}
-        self.at = ("", 0)
+        self.found: list[tuple[str, int, str, int]] = []
+        self.forms, self.ended = 0, {0}
+        self.at = ("", 0, 0)
 
     def close_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((self.at[0], text))
-            self.kinds[self.at[0]] = self.at[1]
+            self.found.append((self.at[0], self.at[1], text, self.at[2]))
         self.parts = []
 
+    def result(self) -> tuple[list[tuple[str, str]], dict[str, int]]:
+        self.close_block()
+        shown = [x for x in self.found if x[3] == 0 or x[3] not in self.ended]
+        return [(region, text) for region, _, text, _ in shown], {region: kind for region, kind, _, _ in shown}
+
+    def pop(self, keep_form: bool = False) -> None:
+        tag, *_, form = self.open.pop()
+        self.depth[tag] -= 1
+        if tag == "form" and not keep_form:
+            self.ended.add(form)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.close_block()
+            while self.open and (self.open[-1][0] == "p" or self.open[-1][0] in ENDED_BY_LIKE.get(tag, ())):
+                self.pop()
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, region, kind, hidden = self.open[-1] if self.open else ("", "", 0, False)
+        _, region, kind, hidden, form = self.open[-1] if self.open else ("", "", 0, False, 0)
         if not hidden:
             a = dict(attrs)
             role, names = (a.get("role") or "").lower(), f"{a.get('class') or ''} {a.get('id') or ''}".lower().split()
-            hidden = tag in HIDDEN or "hidden" in a or role in ("form", "dialog") or any(n in COMMENTS for n in names)
-            was, furniture = kind, tag in FURNITURE or role in ROLES or any(n in FURNITURE for n in names)
-            if tag not in ("html", "body") and kind >= 0:
-                kind = -1 if furniture else 1 if tag in MAIN or role == "main" else kind
-            if tag in INLINE:
-                hidden, kind = hidden or kind < was, was
-            elif tag in CONTAINERS or kind != was:
-                region = f"{region}/{'.'.join((tag, *(a.get('class') or '').lower().split()))}"
-                if len(region) > LONG:
-                    region = blake2b(region.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        self.open.append((tag, region, kind, hidden))
+            hidden = tag in HIDDEN or "hidden" in a
+            if tag == "form" or (role == "form" and tag not in INLINE):
+                self.forms += 1
+                form = self.forms
+                if tag != "form":
+                    self.ended.add(form)
+            if tag not in INLINE:
+                hidden = hidden or role == "dialog" or any(n in COMMENTS for n in names)
+                was, main = kind, tag in MAIN or role == "main"
+                furniture = tag in FURNITURE or role in ROLES or (not main and any(n in FURNITURE for n in names))
+                if tag not in ("html", "body") and kind >= 0:
+                    kind = -1 if furniture else 1 if main else kind
+                if tag in CONTAINERS or kind != was:
+                    region = f"{region}/{'.'.join((tag, *_DIGITS.sub('#', (a.get('class') or '').lower()).split()))}"
+                    if len(region) > LONG:
+                        region = blake2b(region.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        self.open.append((tag, region, kind, hidden, form))
+        self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -109,17 +140,18 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.close_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        if self.depth.get(tag, 0):  # each element is opened and closed once, so all end tags take linear time
+            last = False
+            while not last:
+                last = self.open[-1][0] == tag
+                self.pop(keep_form=tag in ("body", "html"))
 
     def handle_data(self, data: str) -> None:
-        _, region, kind, hidden = self.open[-1] if self.open else ("", "", 0, False)
+        _, region, kind, hidden, form = self.open[-1] if self.open else ("", "", 0, False, 0)
         if not hidden:
-            if self.at[0] != region:
+            if self.at[0] != region or self.at[2] != form:
                 self.close_block()
-            self.at = (region, kind)
+            self.at = (region, kind, form)
             self.parts.append(data)
 
 
@@ -127,8 +159,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    parser.close_block()
-    return parser.blocks, parser.kinds
+    return parser.result()
 
 
 def regions(html: str) -> tuple[dict[str, list[str]], int]:
@@ -235,7 +266,7 @@ def _streams(table: pa.Table) -> Iterator[tuple]:
 
 
 def _counts(table: pa.Table, run: int) -> pa.Table:
-    """host, region, suffixes, repeats of one host's regions, by one suffix array."""
+    """host, region, suffixes, repeats, pages of one host's regions, by one suffix array."""
     host, names = table["host"][0], np.array(table["region"].to_pylist(), object)
     kinds, of = np.unique(names, return_inverse=True)
     all_, hit = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
@@ -243,11 +274,12 @@ def _counts(table: pa.Table, run: int) -> pa.Table:
         marks = counted(stream, run)
         all_ += np.bincount(of[stream[marks]], minlength=len(kinds))
         hit += np.bincount(of[stream[repeated(token, stream, page, run)]], minlength=len(kinds))
-    return pa.table({"host": pa.array([host.as_py()] * len(kinds), pa.int64()), "region": pa.array(kinds, pa.string()), "suffixes": all_, "repeats": hit})
+    return pa.table({"host": pa.array([host.as_py()] * len(kinds), pa.int64()), "region": pa.array(kinds, pa.string()), "suffixes": all_, "repeats": hit, "pages": np.bincount(of, minlength=len(kinds))})
 
 
 def _dealt(rows: DataFrame, run: int) -> DataFrame:
-    """host, region, bucket, keys, pages: the suffixes of rows (host, region, page, text, buckets), cut to `run` words, as packed hashes."""
+    """host, region, bucket, keys, pages, rows: the suffixes of rows (host, region, page, text, buckets), cut to `run` words, as packed hashes;
+    the first bucket of a region has the number of its rows."""
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, 3, CHUNK)):
@@ -265,15 +297,17 @@ def _dealt(rows: DataFrame, run: int) -> DataFrame:
                 pack = lambda x: pa.array([x[a:e].tobytes() for a, e in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())  # noqa: E731, B023
                 low = lambda x, n: np.ascontiguousarray(x[order].view(np.uint8).reshape(-1, 8)[:, :n])  # noqa: E731, B023
                 first = pa.array(row[order][head])
+                rows_of, opens = np.bincount(of), np.concatenate([[True], np.diff(group[head]) != 0])[: len(head)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["host"].take(first), batch["region"].take(first), pa.array(b[head].astype(np.int64)), pack(low(key, KEY)), pack(low(page[at], PAGE))], ["host", "region", "bucket", "keys", "pages"]
+                    [batch["host"].take(first), batch["region"].take(first), pa.array(b[head].astype(np.int64)), pack(low(key, KEY)), pack(low(page[at], PAGE)), pa.array(np.where(opens, rows_of[group[head]], 0), pa.int64())], ["host", "region", "bucket", "keys", "pages", "rows"]
                 )
 
-    return rows.mapInArrow(run_batches, "host long, region string, bucket long, keys binary, pages binary")
+    return rows.mapInArrow(run_batches, "host long, region string, bucket long, keys binary, pages binary, rows long")
 
 
 def _bucket_counts(table: pa.Table) -> pa.Table:
-    """host, region, suffixes, repeats of one bucket of a region's suffixes."""
+    """host, region, suffixes, repeats, pages of one bucket of a region's suffixes."""
+
     def whole(name: str, n: int) -> np.ndarray:
         packed = np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, n)
         return np.pad(packed, ((0, 0), (0, 8 - n))).view(np.uint64).ravel()
@@ -283,22 +317,26 @@ def _bucket_counts(table: pa.Table) -> pa.Table:
     k, p = key[order], page[order]
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     two = np.minimum.reduceat(p, head) != np.maximum.reduceat(p, head)
-    return pa.table({"host": table["host"][:1], "region": table["region"][:1], "suffixes": [len(key)], "repeats": [int(np.diff(np.append(head, len(key)))[two].sum())]})
+    return pa.table({"host": table["host"][:1], "region": table["region"][:1], "suffixes": [len(key)], "repeats": [int(np.diff(np.append(head, len(key)))[two].sum())], "pages": [sum(table["rows"].to_pylist())]})
 
 
 def repeats(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES) -> DataFrame:
-    """host, region, suffixes, repeats: of each region on each host of pages (host, html), its suffixes and those that distinct pages share."""
-    sizes = pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size"))
-    large = durable(sizes.where(F.col("size") > host_bytes).select("host", F.xxhash64("host").alias("hash"), F.ceil(2 * F.col("size") / host_bytes).cast("long").alias("buckets")), "hosts")
-    kind = "host long, region string, suffixes long, repeats long"
+    """host, region, suffixes, repeats, pages, host_pages: of each region on each host of pages (host, html), its suffixes and those that
+    distinct pages share, and on how many of the host's pages it is."""
+    sizes = pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("size"), F.count("*").alias("host_pages"))
+    hosts = durable(sizes.select("host", F.xxhash64("host").alias("hash"), "size", "host_pages", F.ceil(2 * F.col("size") / host_bytes).cast("long").alias("buckets")), "hosts")
+    large = hosts.where(F.col("size") > host_bytes).select("host", "hash", "buckets")
+    kind = "host long, region string, suffixes long, repeats long, pages long"
     whole = _region_rows(pages.join(large, "host", "left_anti")).groupBy("host").applyInArrow(lambda t: _counts(t, run), kind)
     parts = _region_rows(pages.join(large, "host", "left_semi")).join(large.select(F.col("hash").alias("host"), "buckets"), "host")
     hot = _dealt(parts, run).groupBy("host", "region", "bucket").applyInArrow(_bucket_counts, kind)
-    return whole.union(hot).groupBy("host", "region").agg(F.sum("suffixes").alias("suffixes"), F.sum("repeats").alias("repeats"))
+    found = whole.union(hot).groupBy("host", "region").agg(*[F.sum(c).alias(c) for c in ("suffixes", "repeats", "pages")])
+    return found.join(hosts.select(F.col("hash").alias("host"), "host_pages"), "host")
 
 
 def decide(found: DataFrame) -> DataFrame:
-    """host, kept, dropped: the regions of each host that repeats decide, from (host, region, suffixes, repeats); others are ties."""
+    """host, kept, dropped: the regions of each host that repeats decide, from (host, region, suffixes, repeats, pages,
+    host_pages); others are ties."""
     found = durable(found, "repeats")
     share, unique = F.col("repeats") / F.greatest("suffixes", F.lit(1)), F.col("suffixes") - F.col("repeats")
     main = lambda df, *by: df.groupBy(*by).agg(F.max_by("region", F.struct(unique, "region")).alias("main"), F.max_by(share, F.struct(unique, "region")).alias("base"))
@@ -308,7 +346,7 @@ def decide(found: DataFrame) -> DataFrame:
         boilerplate = (F.col("repeats") >= FEWEST) & (share >= F.greatest(F.lit(LEAST), F.lit(TIMES) * F.col("base")))
         return F.when(tells & (F.col("region") == F.col("main")), 1).when(tells & boilerplate, -1).when(tells & (F.col("suffixes") >= MANY) & (share < HARDLY), 1)
 
-    own = found.join(main(found, "host"), "host").select("host", "region", verdict(ENOUGH).alias("own"))
+    own = found.join(main(found, "host"), "host").where(F.col("pages") * COMMON >= F.col("host_pages")).select("host", "region", verdict(ENOUGH).alias("own"))
     pooled = found.groupBy("region").agg(F.sum("suffixes").alias("suffixes"), F.sum("repeats").alias("repeats"))
     top = main(pooled).select("main", "base").first()  # one row
     pooled = pooled.select("*", F.lit(top["main"]).alias("main"), F.lit(top["base"]).alias("base")).select("region", verdict(ENOUGH).alias("pooled"))

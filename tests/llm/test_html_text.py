@@ -11,7 +11,7 @@ SCHEMA = "page_id long, url string, html string"
 
 def test_blocks():
     found, kinds = h.blocks('<div>a<b>b</b> c&amp;d&copy;<p>x<span>y</span> <span class="ad">z</span>w</p><div class="comments big">no</div><main><p>q\n r</p><header>h</header></main>tail')
-    assert found == [("/div", "ab c&d©"), ("/div", "xy w"), ("/div/main", "q r"), ("/div/main/header", "h"), ("/div", "tail")]
+    assert found == [("/div", "ab c&d©"), ("/div", "xy zw"), ("/div/main", "q r"), ("/div/main/header", "h"), ("/div", "tail")]
     assert kinds == {"/div": 0, "/div/main": 1, "/div/main/header": -1}
     found, kinds = h.blocks(PAGE.replace("{}", "<article><h1>T</h1><p><b>one<br><p>two&nbsp; 2</p><aside>s</aside><form>f</form></article>"))
     assert [t for r, t in found if kinds[r] == 1] == ["T", "one", "two 2"] and [t for r, t in found if kinds[r] < 0] == ["Menu", "Buy", "s", "© x"]
@@ -79,6 +79,44 @@ def test_a_large_host_counts_the_same(spark):
     assert small == large and sum(r[3] for r in small) > 0
 
 
+def test_no_word_of_a_line_is_lost():
+    text = lambda page: "\n".join(h.main_text(page, set(), set())[0].split("\n"))
+    page = "<body><nav>m</nav><article><p>Take <span class='alert'>two</span> pills <a class='share'>daily</a>.</p><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then<script>no()</script> so<button>no</button>.</p></article></body>"
+    assert text(page) == "Take two pills daily.\nIf x=1 then so."
+    assert text("<body><nav>m</nav><article class='post related'><p>all</p></article><div class='related'>r</div></body>") == "all"
+    # a form that ends hides its text, one that never ends only its controls
+    assert text("<body><article>a</article><form>f</form></body>") == "a"
+    assert text("<body><form action=x><select><option>no</select><article><p>a</p></article></body></html>") == "a"
+    assert text("<body><div><form>f<input></div><article>a</article></body>") == "a"
+    assert text("<article><ul><li>a<li>b<table><tr><td>c<td>d<tr><td>e</table></ul><p>f<p>g</article>") == "a\nb\nc\nd\ne\nf\ng"
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    for page in ("<p>x" * 60_000 + "</div>" * 60_000, "<span>x" * 60_000 + "</b>" * 60_000, "<div>x" * 30_000 + "</b></i>" * 30_000 + "</div>" * 30_000):
+        start = time.process_time()
+        assert sum(len(t) for _, t in h.blocks(page)[0]) >= 30_000
+        assert time.process_time() - start < 20
+
+
+def test_a_class_for_each_page_makes_no_region_for_each(spark):
+    own = lambda i: f"{i} " + " ".join(f"own{i}x{j}" for j in range(40))
+    menu = " ".join(f"menu{i}" for i in range(30))
+    shape = "<body><div>{}</div><section class='post-%d'>{}</section></body>"
+    rows = [(i, "http://h.example/a", (shape % i).format(menu, own(i))) for i in range(60)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    assert all(r.text == own(r.page_id) for r in h.extract_pages(pages).collect())
+    # names that differ in letters too stay out of what is kept of a host
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, "http://h.example/a", f"<body><div>{menu}</div><section class='{letters(i)}'>{own(i)}</section></body>") for i in range(300)]
+    found = h.repeats(spark.createDataFrame(rows, SCHEMA).select("html", h.host(h.F.col("url")).alias("host")), host_bytes=900)
+    assert {r.pages for r in found.collect()} == {1, 300} and {r.host_pages for r in found.collect()} == {300}
+    decided = h.decide(found).first()
+    assert len(decided.kept) + len(decided.dropped) <= 2 and "/body/div" in decided.dropped
+    assert all(r.text == own(r.page_id) for r in h.extract_pages(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_edge_cases(spark):
     rows = [(None, None, None), (1, "http://a.example/", ""), (1, "http://a.example/", ""), (2, "not a url", "<article>" + "<p>word</p>" * 50_000 + "</article>"), (3, "", "<article><p>same</p></article>"), (4, "", "<article><p>same</p></article>")]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], f"{SCHEMA}, host string, text int")
