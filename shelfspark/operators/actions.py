@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rec_state(actions: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, approved, dismissed, edited_quantity, order_placed, outcome: the latest event of each field by (ts, event_id).
+def rec_state(actions: DataFrame, keys: list[str], decided: bool = False) -> DataFrame:
+    """keys, approved, dismissed, edited_quantity, order_placed, outcome (and decided: the place of the latest approve, dismiss or unapprove):
+    the latest event of each field by (ts, event_id).
 
     An approve or dismiss event sets both flags; an edit of a negative value is void, and one of 0 takes the edit back."""
     latest = lambda kind, value: F.max_by(F.when(kind, value), F.when(kind, F.struct("ts", "event_id")))
-    decided = F.col("action").isin("approve", "dismiss", "unapprove")
-    last = latest(decided, F.col("action"))
+    decision = F.col("action").isin("approve", "dismiss", "unapprove")
+    last = latest(decision, F.col("action"))
     out = actions.groupBy(*keys).agg(
         (last == "approve").alias("approved"), (last == "dismiss").alias("dismissed"), latest((F.col("action") == "edit") & (F.col("value") >= 0), F.col("value")).alias("edit"),
         F.coalesce(latest(F.col("action") == "order_placed", F.lit(True)), F.lit(False)).alias("order_placed"), latest(F.col("action") == "outcome", F.when(F.col("value") > 0, "avoided").otherwise("happened")).alias("outcome"),
+        *([F.max(F.when(decision, F.struct("ts", "event_id"))).alias("decided")] if decided else []),
     )
     return out.withColumns({"approved": F.coalesce("approved", F.lit(False)), "dismissed": F.coalesce("dismissed", F.lit(False)), "edit": F.nullif("edit", F.lit(0.0))}).withColumnRenamed("edit", "edited_quantity")
 
@@ -72,6 +74,14 @@ def bulk(log: DataFrame, now: DataFrame, sessions: Column, undone: Column) -> Da
     return rec_state(log.unionByName(event(items, "approve", 0)).unionByName(event(items.where(undone), "unapprove", 1)), ["session_id", "item_no"])
 
 
+def with_bulk(state: DataFrame, bulk: DataFrame) -> DataFrame:
+    """state (by session_id, item_no, with decided) after the latest bulk approval of each session (bulk: the place of the event): it approves
+    what is neither approved nor dismissed, and what was decided later stays so."""
+    both = state.join(bulk, "session_id", "left")
+    taken = ~F.col("approved") & ~F.col("dismissed") & F.col("bulk").isNotNull() & (F.col("decided").isNull() | (F.col("bulk") > F.col("decided")))
+    return both.withColumn("approved", F.col("approved") | taken).drop("decided", "bulk")
+
+
 def texts(edits: DataFrame, keys: list[str]) -> DataFrame:
     """keys, note (cut to NOTE characters), edited_supplier (null where it is the suggested one): the latest of each."""
     last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
