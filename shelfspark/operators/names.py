@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import annotation_head, match_key
 
+from .ordered import Fill, Total, in_order, plain
+
 MIN_PREFIX = 10
 
 
@@ -17,33 +19,48 @@ def canonical(names: DataFrame, alias: DataFrame, name: str = "item") -> DataFra
     return keyed.join(a, ["session_id", "variant_key"], "left").withColumn("canonical", F.coalesce("canonical", name)).drop("variant_key")
 
 
+def prefixes(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """session_id, t, longest (the longest key that t starts with), n_whole (how many keys start with t), whole (the only one) for texts
+    (session_id, t), none of which is a key (session_id, k); all of them hold a-z and 0-9 only.
+
+    In sorted order a key k opens at k and closes behind all texts that start with it, so keys nest. A text's longest prefix is the key that
+    opened last at the text's depth; the keys that start with it open between the text and its own close. Each key and text makes two rows,
+    whatever its length, and a session's rows may lie in many tasks.
+    """
+    end = "~"  # sorts behind the letters of a match key
+    row = lambda rows, at, kind, key, depth, t: rows.select("session_id", at.alias("at"), F.lit(kind).alias("kind"), key.alias("key"), F.lit(depth).alias("step"), t.alias("t"))
+    none, k, t = F.lit(None).cast("string"), F.col("k"), F.col("t")
+    rows = row(keys, k, 0, k, 1, none).union(row(keys, F.concat(k, F.lit(end)), 2, none, -1, none)).union(row(texts, t, 1, none, 0, t)).union(row(texts, F.concat(t, F.lit(end)), 3, none, 0, t))
+    rows = rows.withColumn("one", F.when(F.col("key").isNotNull(), 1))
+    placed = plain(in_order(rows, ["session_id"], ["at", "kind"], {"depth": Total("step"), "n_keys": Total("one"), "last": Fill("key")}))
+    texts_at = placed.where("kind IN (1, 3)").groupBy("session_id", "t").agg(
+        F.max(F.when(F.col("kind") == 1, F.col("n_keys"))).alias("before"), F.max(F.when(F.col("kind") == 3, F.col("n_keys"))).alias("after"), F.max(F.when(F.col("kind") == 3, F.col("last"))).alias("last")
+    )
+    n = F.col("after") - F.col("before")
+    whole = texts_at.select("session_id", "t", n.alias("n_whole"), F.when(n == 1, F.col("last")).alias("whole"))
+    inner = placed.where("kind = 0 OR (kind = 1 AND depth > 0)").select("session_id", "depth", "at", "kind", "key", "t")
+    longest = plain(in_order(inner, ["session_id", "depth"], ["at", "kind"], {"longest": Fill("key")})).where("kind = 1").select("session_id", "t", "longest")
+    return whole.join(longest, ["session_id", "t"], "left")
+
+
 def match_names(sales_names: DataFrame, inventory_names: DataFrame) -> DataFrame:
     """session_id, name, key, how for each distinct (session_id, name): the inventory key that a sales name stands for.
 
     In order: the same key; the longest inventory key (of MIN_PREFIX characters at least) that the name's key starts with; the only
     inventory key that starts with the name's key (two or more: the name is dropped, its key null); the same three for the name without
-    its annotation; else its own unannotated key. Names without an equal key are few: only their prefixes are exploded, and of inventory keys
-only prefixes of lengths that such names have, so every step is an equi-join.
+    its annotation; else its own unannotated key. Names without an equal key are looked up by `prefixes`, in one sorted pass over keys.
     """
     inv = inventory_names.select("session_id", match_key(F.col("item")).alias("k")).where("k <> ''").distinct()
     names = sales_names.select("session_id", "name").distinct().select("session_id", "name", match_key(F.col("name")).alias("k0"), match_key(annotation_head(F.col("name"))).alias("k1"))
     tries = names.select("session_id", F.explode(F.array_distinct(F.array("k0", "k1"))).alias("t")).where("t <> ''").distinct()
     exact = tries.join(inv, (tries.session_id == inv.session_id) & (tries.t == inv.k), "left_semi").withColumn("exact", F.lit(True))
-    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(MIN_PREFIX), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
     open_tries = tries.join(exact.drop("exact"), ["session_id", "t"], "left_anti")
-    long_tries = open_tries.where(F.length("t") >= MIN_PREFIX)
-    long_inv = inv.where(F.length("k") >= MIN_PREFIX)
-    lengths = long_tries.groupBy("session_id").agg(F.collect_set(F.length("t")).alias("lengths"))  # as many as a name has characters at most
-    cut = F.explode(F.transform(F.filter("lengths", lambda n: n < F.length("whole")), lambda n: F.substring(F.col("whole"), F.lit(1), n)))
-    longest = long_tries.select("session_id", "t", prefixes(F.col("t")).alias("k")).join(long_inv, ["session_id", "k"]).groupBy("session_id", "t").agg(F.max_by("k", F.length("k")).alias("longest"))
-    only = (
-        long_inv.withColumnRenamed("k", "whole").join(lengths, "session_id").select("session_id", "whole", cut.alias("t")).join(long_tries, ["session_id", "t"])
-        .groupBy("session_id", "t").agg(F.count("*").alias("n_whole"), F.min("whole").alias("whole"))
-    )
+    found = prefixes(inv.where(F.length("k") >= MIN_PREFIX), open_tries.where(F.length("t") >= MIN_PREFIX))
+    longest, only = found.select("session_id", "t", "longest"), found.select("session_id", "t", "n_whole", "whole")
     known = tries.join(exact, ["session_id", "t"], "left").join(longest, ["session_id", "t"], "left").join(only, ["session_id", "t"], "left")
     found = known.select(
         "session_id", "t", F.when(F.col("exact"), "exact").when(F.col("longest").isNotNull(), "starts").when(F.col("n_whole") == 1, "cut").when(F.col("n_whole") > 1, "ambiguous").alias("how"),
-        F.when(F.col("exact"), F.col("t")).otherwise(F.coalesce("longest", F.when(F.col("n_whole") == 1, F.col("whole")))).alias("key"),
+        F.when(F.col("exact"), F.col("t")).otherwise(F.coalesce("longest", F.col("whole"))).alias("key"),
     )
     side = lambda x: found.select("session_id", F.col("t").alias(x), F.col("how").alias(f"how_{x}"), F.col("key").alias(f"key_{x}"))
     both = names.join(side("k0"), ["session_id", "k0"], "left").join(side("k1"), ["session_id", "k1"], "left")

@@ -26,8 +26,8 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str, names_of: DataFrame) -> DataFrame:
-    """The inventory key of each distinct sales name of names_of (session_id, item_raw)."""
-    return names.match_names(names_of.select("session_id", F.col("item_raw").alias("name")), b.inventory(spark, sf_dir).select("session_id", "item"))
+    """The inventory key of each distinct sales name of names_of (session_id, item_raw); written once, since most figures read it."""
+    return durable(names.match_names(names_of.select("session_id", F.col("item_raw").alias("name")), b.inventory(spark, sf_dir).select("session_id", "item")), "names")
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,30 @@ def test_components(spark):
     assert got["n9"] == "n0" and got["n19"] == "n10" and len(set(got.values())) == 4 - 1
 
 
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    rounds, write = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, name: rounds.append(name) or write(df, name))
+    rng, names_ = random.Random(8), [f"n{i:04d}" for i in range(3000)]
+    rng.shuffle(names_)
+    got = components.components(spark.createDataFrame(list(zip(names_, names_[1:], strict=False)), "a string, b string"))
+    assert [tuple(r) for r in got.groupBy("component").count().collect()] == [("n0000", 3000)]
+    assert rounds.count("step") < 20
+
+
+def test_prefixes_of_nested_keys_equal_the_loops(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab1") for _ in range(n))
+    keys = list({word(rng.randint(1, 7)) for _ in range(150)})
+    texts = list({word(rng.randint(1, 9)) for _ in range(300)} - set(keys))
+    rows = lambda x: spark.createDataFrame([(s, v) for s in (1, 2) for v in x[s - 1 :: 2]], "session_id long, v string")
+    got = names.prefixes(rows(keys).withColumnRenamed("v", "k"), rows(texts).withColumnRenamed("v", "t")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        own = keys[r.session_id - 1 :: 2]
+        starts, whole = [k for k in own if r.t.startswith(k)], [k for k in own if k.startswith(r.t)]
+        assert r.longest == max(starts, key=len, default=None) and r.n_whole == len(whole) and r.whole == (whole[0] if len(whole) == 1 else None), r
+
+
 def test_gate_blocks_hide_warnings(spark):
     inv = spark.createDataFrame([(1, "words", "CTN"), (2, "1.200,50", "CTN"), (3, "", "CTN")], "session_id int, stock_raw string, uom_raw string")
     sales = spark.createDataFrame([(2, "12,5", "KG"), (1, "12,5", "KG")], "session_id int, qty_raw string, uom_raw string")
