@@ -10,8 +10,8 @@ that does not fit costs only its surroundings, and chance templates are not take
 Whether a capital makes a name depends on the sentence around it, so verbatim copies are also found without types: windows of RUN literal
 words (or the whole of a shorter item), lower-cased and without punctuation, are joined in the same way. A leak is what either way finds.
 
-Template windows in which more than half of the words are placeholders are not evidence. Items of fewer than SHORTEST words are not searched for;
-items shorter than a window are one window of their own length. Literal matches have no slots.
+Template windows in which more than half of the words are placeholders are not evidence, nor are templates of fewer than SHORTEST words:
+such items are searched for verbatim only. Items shorter than a window are one window of their own length. Literal matches have no slots.
 
 Before the join, documents drop windows whose hash is not in a Bloom filter of the benchmark's hashes. The filter has FILTER_BITS bits
 whatever the benchmark's size; a larger benchmark lets more windows through, and the join decides.
@@ -93,7 +93,7 @@ def template_windows(rows: DataFrame, lengths: list[tuple[bool, int]] | None = N
     kind. known: a Bloom filter of the hashes to keep.
     """
     full = {False: WINDOW, True: RUN}
-    sizes = [*full.items(), *(lengths if lengths is not None else ((kind, k) for kind in full for k in range(SHORTEST, full[kind])))]
+    sizes = [*full.items(), *(lengths if lengths is not None else ((kind, k) for kind in full for k in range(1 if kind else SHORTEST, full[kind])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, by_row: bool = False) -> DataFr
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     known = durable(template_windows(items), "windows")
     short = F.col("n") < F.when(F.col("literal"), RUN).otherwise(WINDOW)
-    lengths = [(r[0], r[1]) for r in known.where(short).select("literal", "n").distinct().collect()]  # at most WINDOW + RUN - 2 * SHORTEST values
+    lengths = [(r[0], r[1]) for r in known.where(short).select("literal", "n").distinct().collect()]  # at most WINDOW + RUN values
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     found = template_windows(rows, lengths, spark.sparkContext.broadcast(filter_of(known)))
     theirs = known.select("hash", "literal", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", F.col("words").alias("item_words"), F.col("slots").alias("theirs"))

@@ -28,6 +28,12 @@ def test_short_item_inside_a_text(spark):
     assert (7, 2) in leaks(spark, [(7, "they said: five words are in here again")])
 
 
+def test_items_of_few_words_are_found_verbatim(spark):
+    rows = [(1, "A Too short, item!"), (2, "too short an item"), (3, "too short item")]
+    assert set(leaks(spark, rows)) == {(1, 4), (3, 4)}
+    assert set(leaks(spark, [(1, "it is so"), (2, "so it is"), (3, None)], [(9, "it is"), (8, "So")])) == {(1, 9), (1, 8), (2, 9), (2, 8)}
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, BENCH[0][1]), (3, BENCH[0][1]), (3, BENCH[0][1]), (4, "word " * 100_000 + BENCH[0][1])]
     assert set(leaks(spark, rows)) == {(None, 1), (3, 1), (4, 1)}
@@ -75,7 +81,7 @@ def brute_force(docs, items):
             for shift in range(-n, len(doc)):
                 for literal in (False, True):
                     k = min(n, d.RUN if literal else d.WINDOW)
-                    if k < d.SHORTEST:
+                    if k < (1 if literal else d.SHORTEST):  # shorter items verbatim only
                         continue
                     field, covered = (1 if literal else 0), set()
                     for a in range(n - k + 1):
