@@ -107,6 +107,15 @@ def demand_shapes(vectors: DataFrame, key: str = "key") -> DataFrame:
     return s.select("session_id", key, "n", F.bround(F.col("total") / F.col("n"), 1).alias("mean"), F.bround("median", 1).alias("median"), "low", "high", "zeros", "pattern", F.when(F.col("pattern") == "spiky", F.col("median")).alias("corrected"))
 
 
+def with_shape(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """rows (session_id, key of the canonical name, own_key) with pattern and corrected of the canonical name, else of the own name."""
+    found = shapes.select("session_id", "key", F.struct("pattern", "corrected").alias("first"))
+    own = found.toDF("session_id", "own_key", "second")
+    both = rows.join(found, ["session_id", "key"], "left").join(own, ["session_id", "own_key"], "left")
+    shape = F.coalesce("first", "second")
+    return both.withColumns({"pattern": shape["pattern"], "corrected": shape["corrected"]}).drop("first", "second")
+
+
 def with_keys(lines: DataFrame, matched: DataFrame) -> DataFrame:
     """Sales lines (or a cube of them) with the inventory key of their name; lines of dropped names go."""
     return lines.join(matched.withColumnRenamed("name", "item_raw").drop("how"), ["session_id", "item_raw"]).where("key IS NOT NULL")

@@ -150,14 +150,6 @@ def months_resolved(spark, sf_dir):
     return velocity.months_resolved(velocity.months_covered(facts), velocity.months_inferred(velocity.sales_velocity(keyed_cube(spark, sf_dir, facts), ["session_id", "key"])))
 
 
-@query("pattern_lookup", f"WITH {METRICS_SQL} SELECT session_id, item.item, corrected FROM spk JOIN item USING (k)")
-def pattern_lookup(spark, sf_dir):
-    """Spiky items with the median that sizing uses: an inventory name finds its shape by the match key of its own name."""
-    shapes = velocity.demand_shapes(velocity.monthly_vectors(velocity.raw_key(cube(spark, sf_dir)))).where("pattern = 'spiky'").select("session_id", "key", F.bround("corrected", 1).alias("corrected"))
-    inv = b.inventory(spark, sf_dir).select("session_id", "item", names.match_key(F.col("item")).alias("key"))
-    return shapes.join(inv, ["session_id", "key"]).select("session_id", "item", "corrected")
-
-
 PATTERN_SQL = b.CLEAN + """,
 p AS (SELECT s.session_id, part.p_name AS key, s.month, CAST(sum(s.qty) AS DOUBLE) AS q FROM s JOIN part ON part.p_partkey = s.k WHERE s.month IS NOT NULL GROUP BY ALL),
 mo AS (SELECT session_id, month FROM (SELECT DISTINCT session_id, month FROM p) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY month DESC) <= 24),

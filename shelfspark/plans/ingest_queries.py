@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import is_total_label
 from shelfspark.operators import convert, ingest
-from shelfspark.operators.durable import durable
+from shelfspark.operators.durable import durable, new_folder
 from shelfspark.sources import bindings as b
 from shelfspark.sources import files as files_
+from shelfspark.sources.large_csv import large_csv_cells
 
 from .register import Register
 
@@ -292,6 +293,20 @@ def csv_cells(spark, sf_dir):
     return files_.cells_of(files.select(F.col("file").cast("string").alias("path"), F.encode("text", "utf-8").alias("content")), "csv").select(F.col("file").cast("long").alias("file"), "row_no", "col_no", "value")
 
 
+@query("large_csv", """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'say "' || o_orderkey || '", twice' WHEN 1 THEN 'first' || chr(10) || 'second; ' || o_orderkey WHEN 2 THEN 'in "the" middle' WHEN 3 THEN '' ELSE o_orderpriority END AS note, floor(o_totalprice)::BIGINT AS price FROM orders)
+SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, sum(price)::BIGINT AS prices, count(nullif(note, '')) AS notes, count(DISTINCT note) FILTER (note <> '') AS distinct_notes, min(note) FILTER (note <> '') AS first_note, max(note) AS last_note FROM o""")
+def large_csv(spark, sf_dir):
+    """The orders as CSV files with quotes, delimiters and line ends in cells, read back in splits of any size."""
+    k = F.col("o_orderkey")
+    o = b.table(spark, sf_dir, "orders").select(k, "o_orderpriority", F.floor("o_totalprice").alias("price"))
+    quoted = F.when(k % 5 == 0, F.concat(F.lit('"say ""'), k.cast("string"), F.lit('"", twice"'))).when(k % 5 == 1, F.concat(F.lit('"first\nsecond; '), k.cast("string"), F.lit('"'))).when(k % 5 == 2, 'in "the" middle').when(k % 5 == 3, '""').otherwise(F.col("o_orderpriority"))
+    path = new_folder(spark, "csv")
+    o.select(F.concat_ws(";", k.cast("string"), quoted, F.col("price").cast("string"))).write.text(path)
+    cells_ = large_csv_cells(spark, path)
+    rows = cells_.groupBy("file", "row_no").agg(*[F.max(F.when(F.col("col_no") == i, F.col("value"))).alias(n) for i, n in ((1, "key"), (2, "note"), (3, "price"))])
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("key").cast("long")).alias("keys"), F.sum(F.col("price").cast("long")).alias("prices"), F.count("note").alias("notes"), F.count_distinct("note").alias("distinct_notes"), F.min("note").alias("first_note"), F.max("note").alias("last_note"))
+
+
 def workbooks(spark, sf_dir):
     """path, content: supplier lists as workbooks; even ones have a cover sheet before the list."""
     s = b.table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("path"), F.col("s_suppkey").cast("long").alias("k"), "s_name")

@@ -6,6 +6,7 @@ import csv
 import io
 import itertools
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,15 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CELLS = "file string, sheet_no int, row_no bigint, col_no int, value string"
-MAX_CELL = 100_000
 
 
-def csv_rows(data: bytes) -> Iterator[tuple[int, int, int, str]]:
-    text = data.decode("utf-8-sig", errors="replace")
+def delimiter_of(head: str) -> str:
+    """The delimiter of a file that begins with head."""
     try:
-        delimiter = csv.Sniffer().sniff(text[:8192], ",;\t|").delimiter
+        return csv.Sniffer().sniff(head, ",;\t|").delimiter
     except csv.Error:
-        delimiter = ","
+        return ","
+
+
+def csv_rows(data: bytes) -> Iterator[tuple[int, int, int, str]]:
+    csv.field_size_limit(sys.maxsize)
+    text = data.decode("utf-8-sig", errors="replace")
+    delimiter = delimiter_of(text[:8192])
     for r, row in enumerate((row for row in csv.reader(io.StringIO(text), delimiter=delimiter) if any(x.strip() for x in row)), 1):
         for c, x in enumerate(row, 1):
             if x.strip():
@@ -51,7 +57,7 @@ def xlsx_rows(data: bytes) -> Iterator[tuple[int, int, int, str]]:
                     col = 0
                     for ch in m[1]:
                         col = col * 26 + ord(ch) - 64
-                    yield number, int(m[2]), col, value.strip()[:MAX_CELL]
+                    yield number, int(m[2]), col, value.strip()
                 e.clear()
 
 
