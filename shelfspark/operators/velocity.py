@@ -24,21 +24,30 @@ def read_dates(dates: DataFrame) -> DataFrame:
     return dates.join(day_first(dates), "session_id").select("session_id", "date_raw", month_key(F.col("date_raw"), F.col("day_first")).alias("month"))
 
 
-def sales_cube(sales: DataFrame) -> DataFrame:
-    """Sales lines read and added up once, by session_id, item_raw, item_no and month: qty and revenue (decimals), n (lines), n_dated (lines
-    with a date text), stated_sum and n_stated of the stated monthly averages. Everything about amounts and months follows from it, and it
-    is written, so the facts are scanned once. Quantities are whole or two-decimal numbers, so decimal sums are exact."""
-    keys = ["session_id", "item_raw", "item_no"]
+LINE_KEYS, LINE_SUMS = ["session_id", "item_raw", "item_no"], ["qty", "revenue", "n", "stated_sum", "n_stated"]
+
+
+def by_date(sales: DataFrame) -> DataFrame:
+    """Sales lines read and added up by session_id, item_raw, item_no and date_raw: qty and revenue (decimals), n (lines), stated_sum and
+    n_stated of the stated monthly averages. Sums of different files of a session can be put together; what a date means cannot be known
+    before all dates of its session are. Quantities are whole or two-decimal numbers, so decimal sums are exact."""
     avg = to_num(F.col("avg_raw"))
-    by_date = durable(
-        sales.groupBy(*keys, "date_raw").agg(
-            F.sum(to_num(F.col("qty_raw")).cast("decimal(18,2)")).alias("qty"), F.sum(to_num(F.col("rev_raw")).cast("decimal(18,2)")).alias("revenue"), F.count("*").alias("n"), F.sum(avg).alias("stated_sum"), F.count(avg).alias("n_stated")
-        ), "sales-by-date",
-    )
-    months = read_dates(by_date.select("session_id", "date_raw").distinct())
-    dated = F.when(F.trim("date_raw") != "", F.col("n")).otherwise(0)
-    sums = [F.sum(c).alias(c) for c in ("qty", "revenue", "n", "stated_sum", "n_stated")]
-    return durable(by_date.join(months, ["session_id", "date_raw"], "left").groupBy(*keys, "month").agg(*sums, F.sum(dated).alias("n_dated")), "sales-cube")
+    return sales.groupBy(*LINE_KEYS, "date_raw").agg(
+        F.sum(to_num(F.col("qty_raw")).cast("decimal(18,2)")).alias("qty"), F.sum(to_num(F.col("rev_raw")).cast("decimal(18,2)")).alias("revenue"), F.count("*").alias("n"), F.sum(avg).alias("stated_sum"), F.count(avg).alias("n_stated")
+    )
+
+
+def by_month(dated: DataFrame) -> DataFrame:
+    """Sums by date (of one or more files) added up by session_id, item_raw, item_no and month, with n_dated (lines with a date text)."""
+    months = read_dates(dated.select("session_id", "date_raw").distinct())
+    n_dated = F.when(F.trim("date_raw") != "", F.col("n")).otherwise(0)
+    sums = [F.sum(c).alias(c) for c in LINE_SUMS]
+    return dated.join(months, ["session_id", "date_raw"], "left").groupBy(*LINE_KEYS, "month").agg(*sums, F.sum(n_dated).alias("n_dated"))
+
+
+def sales_cube(sales: DataFrame) -> DataFrame:
+    """Sales by month. Everything about amounts and months follows from it, and it is written, so the facts are scanned once."""
+    return durable(by_month(durable(by_date(sales), "sales-by-date")), "sales-cube")
 
 
 def sales_velocity(cube: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,6 +116,12 @@ def demand_shapes(vectors: DataFrame, key: str = "key") -> DataFrame:
     return s.select("session_id", key, "n", F.bround(F.col("total") / F.col("n"), 1).alias("mean"), F.bround("median", 1).alias("median"), "low", "high", "zeros", "pattern", F.when(F.col("pattern") == "spiky", F.col("median")).alias("corrected"))
 
 
+def item_figures(cube: DataFrame, key: str = "key") -> DataFrame:
+    """session_id, key, total_qty, total_revenue, n_rows, stated_avg, pattern, corrected: what the sales alone say about an item."""
+    shapes = demand_shapes(monthly_vectors(cube, key), key).select("session_id", key, "pattern", "corrected")
+    return sales_velocity(cube, ["session_id", key]).join(shapes, ["session_id", key], "left")
+
+
 def with_shape(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     """rows (session_id, key of the canonical name, own_key) with pattern and corrected of the canonical name, else of the own name."""
     found = shapes.select("session_id", "key", F.struct("pattern", "corrected").alias("first"))
