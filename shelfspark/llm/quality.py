@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import durable
 from .words import Words, chunks, mix
@@ -70,22 +71,50 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def in_parts(w: Words, size: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(first passage, features) of the passages of a chunk that is one text, `size` passages at a time: what is held of a very long text are
+    its words, not its features."""
+    for lo in range(0, max(len(w.starts), 1), size * PASSAGE):
+        hi = min(lo + size * PASSAGE, len(w.starts))
+        a, b = (w.starts[lo], w.ends[hi - 1]) if hi else (0, 0)
+        yield lo // PASSAGE, passages(Words(w.rows, w.data[a:b], w.starts[lo:hi] - a, w.ends[lo:hi] - a, np.array([0, hi - lo])))[0]
+
+
 def _sum(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1], axis=0)
 
 
-def forward(model: dict, x: np.ndarray, first: np.ndarray) -> dict:
-    """Scores of bags whose passages are x[first[i]:first[i + 1]], with what training needs of the way there."""
-    bag = np.repeat(np.arange(len(first) - 1), np.diff(first))
+def encode(model: dict, x: np.ndarray) -> dict:
+    """Passages as learned features h, and their attention e before it is shared out in a bag."""
     x = (x - model["mean"]) / model["std"]
     h = np.tanh(x @ model["W"] + model["b"])
     v, u = np.tanh(h @ model["V"]), 1 / (1 + np.exp(-(h @ model["U"])))
-    e = (v * u) @ model["a"]
+    return {"x": x, "h": h, "v": v, "u": u, "e": (v * u) @ model["a"]}
+
+
+def pool(model: dict, h: np.ndarray, e: np.ndarray, first: np.ndarray) -> dict:
+    """Scores of bags whose passages are h[first[i]:first[i + 1]]."""
+    bag = np.repeat(np.arange(len(first) - 1), np.diff(first))
     e = np.exp(e - np.maximum.reduceat(e, first[:-1])[bag])
     weight = e / _sum(e, first)[bag]
     z = _sum(h * weight[:, None], first)
-    score = 1 / (1 + np.exp(-np.clip(z @ model["c"] + model["d"], -30, 30)))
-    return {"x": x, "h": h, "v": v, "u": u, "weight": weight, "z": z, "score": score, "bag": bag}
+    return {"weight": weight, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ model["c"] + model["d"], -30, 30))), "bag": bag}
+
+
+def forward(model: dict, x: np.ndarray, first: np.ndarray) -> dict:
+    """Scores of bags whose passages are x[first[i]:first[i + 1]], with what training needs of the way there."""
+    f = encode(model, x)
+    return f | pool(model, f["h"], f["e"], first)
+
+
+def scores(model: dict, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of passages of each text of a chunk."""
+    if len(w.counts) > 1:
+        x, first = passages(w)
+        return np.concatenate([forward(model, x[a:b], first[i : j + 1] - a)["score"] for i, j, a, b in _blocks(first)]), np.diff(first)
+    parts = [{k: f[k] for k in ("h", "e")} for _, x in in_parts(w) for f in [encode(model, x)]]
+    h, e = (np.concatenate([p[k] for p in parts]) for k in ("h", "e"))
+    return pool(model, h, e, np.array([0, len(e)]))["score"], np.array([len(e)])
 
 
 def gradients(model: dict, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict:
@@ -127,6 +156,16 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return model
 
 
+def _fitted(w: Words, most: int) -> list[np.ndarray]:
+    """The passages of each text of a chunk; of a text of more than `most`, that many of them, evenly spaced."""
+    if len(w.counts) > 1:
+        x, first = passages(w)
+        return [x[a:b] if b - a <= most else x[a + np.arange(most) * (b - a) // most] for a, b in zip(first, first[1:], strict=False)]
+    n = max(-(-len(w.starts) // PASSAGE), 1)
+    wanted = np.arange(n) if n <= most else np.arange(most) * n // most
+    return [np.concatenate([x[wanted[(wanted >= a) & (wanted < a + len(x))] - a] for a, x in in_parts(w)])]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = PASSAGES, label: str = "quality") -> dict:
     """A model of labels (doc_id, `label`) over docs (doc_id, text)."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -136,8 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in chunks(batch.column(2)):
-                x, first = passages(w)
-                some = [x[a:b] if b - a <= most else x[a + np.arange(most) * (b - a) // most] for a, b in zip(first, first[1:], strict=False)]
+                some = _fitted(w, most)
                 packed = [x.astype(np.float16).tobytes() for x in some]
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(w.rows)) for i in (0, 1)] + [pa.array(list(map(len, some)), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "label", "n", "x"])
 
@@ -159,15 +197,18 @@ def score(docs: DataFrame, model: dict, keep: list[str], threshold: float = THRE
     shared = spark.sparkContext.broadcast({k: np.asarray(v, np.float32) for k, v in model.items()})
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
+    # a text that is kept is sent once
+    sent = keep if "text" in keep and docs.schema["text"].dataType == StringType() else [*keep, F.col("text").cast("string").alias("text ")]
+    at = keep.index("text") if sent is keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in chunks(batch.column(len(keep))):
-                x, first = passages(w)
-                s = np.concatenate([forward(shared.value, x[a:b], first[i : j + 1] - a)["score"] for i, j, a, b in _blocks(first)])
+            for w in chunks(batch.column(at)):
+                s, n = scores(shared.value, w)
                 columns = [batch.column(i).take(pa.array(w.rows)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s.astype(np.float64)), pa.array((s.astype(np.float64) >= threshold).astype(np.int32)), pa.array(np.diff(first))], [*keep, *new])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(s.astype(np.float64)), pa.array((s.astype(np.float64) >= threshold).astype(np.int32)), pa.array(n)], [*keep, *new])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text ")).mapInArrow(run, f"{types}, `{new[0]}` double, `{new[1]}` int, `{new[2]}` long")
+    return docs.select(*sent).mapInArrow(run, f"{types}, `{new[0]}` double, `{new[1]}` int, `{new[2]}` long")
 
 
 def _blocks(first: np.ndarray, size: int = 4096) -> Iterator[tuple[int, int, int, int]]:

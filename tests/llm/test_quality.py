@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from shelfspark.llm import quality as q
+from shelfspark.llm.words import chunks
 
 SF = "/root/testdata/sf0.1"
 
@@ -56,3 +58,21 @@ def test_one_very_long_text_leaves_the_model_as_good(spark):
     found = q.quality_digest(docs, docs.select("doc_id", "quality")).join(docs.select("doc_id", "quality"), "doc_id").toPandas()
     assert q.accuracy(found[found.held_out])["auc"] > 0.95
     assert found.set_index("doc_id").n_passages[first] > 60_000
+
+
+def test_a_text_in_parts_is_as_the_whole():
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(50)] + ["Émile", "x" * 40]
+    model = q.fit([rng.random((3, q.N_FEATURES), np.float32) for _ in range(8)], np.arange(8) % 2.0, epochs=2)
+    for n in (0, 1, 63, 64, 65, 128, 1000, 6401):
+        (w,) = chunks(pa.array(["  " + " ".join(rng.choice(vocabulary, n)) + "\n"]))
+        whole, first = q.passages(w)
+        for size in (1, 2, 7, 4096):
+            parts = list(q.in_parts(w, size))
+            assert [at for at, _ in parts] == list(range(0, len(whole), size))
+            assert (np.concatenate([x for _, x in parts]) == whole).all()
+        score, count = q.scores(model, w)
+        assert count == [len(whole)] and abs(score[0] - q.forward(model, whole, first)["score"][0]) < 1e-6
+        for most in (1, 10, 600):
+            (some,) = q._fitted(w, most)
+            assert (some == whole[np.arange(len(whole)) if len(whole) <= most else np.arange(most) * len(whole) // most]).all()
