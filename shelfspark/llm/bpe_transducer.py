@@ -115,10 +115,10 @@ class Transducer:
         right = self._edge(token, False)
         if before < 0 or not right:
             return bool(right)
-        left, i, j = self._edge(before, True), 0, 0
+        left, i, j, rank_of = self._edge(before, True), 0, 0, self.ranks.get
         while True:
             (x, next_x), (y, next_y) = left[i], right[j]
-            across = self.ranks.get(x + y, _NEVER)
+            across = rank_of(x + y, _NEVER)
             # of equal ranks the leftmost pair merges first
             if across != _NEVER and across < next_x and across <= next_y:
                 return False
@@ -130,16 +130,18 @@ class Transducer:
                 j += 1
 
     def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        paths, ends = [], []
+        paths, found, open_, nodes, ends = [], None, True, self._next, self._ends
         for node, before, rest in state[self._PATHS]:
-            to = self._next[node].get(byte)
+            to = nodes[node].get(byte)
             if to is not None:
-                if self._next[to]:
+                if nodes[to]:
                     paths.append((to, before, rest))
-                if self._ends[to] >= 0:
-                    ends.append((before, self._ends[to], rest))
-        # one of them holds, so the last one needs no test
-        before, token, rest = next((e for e in ends[:-1] if self.may_follow(e[0], e[1])), ends[-1])
+                if open_ and ends[to] >= 0:  # one of them holds, so the last one needs no test
+                    if found is not None and self.may_follow(found[0], found[1]):
+                        open_ = False
+                    else:
+                        found = (before, ends[to], rest)
+        before, token, rest = found
         paths.append((0, token, (*rest, token)))
         rests = [p[2] for p in paths]
         low, high, shared = min(rests), max(rests), 0  # what these two share, all share
@@ -151,14 +153,31 @@ class Transducer:
         step = state[byte] = (to, low[:shared])
         return step
 
+    def _last(self, state: dict, byte: int) -> tuple:
+        """What is emitted if the piece ends after this byte: the path that then is at the root. No state is made, as most would never be met
+        again."""
+        found = None
+        for node, before, rest in state[self._PATHS]:
+            to = self._next[node].get(byte)
+            if to is not None and self._ends[to] >= 0:
+                if found is not None and self.may_follow(found[0], found[1]):
+                    break
+                found = (before, self._ends[to], rest)
+        return (*found[2], found[1])
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out = self.start, []
-        for b in piece:
-            step = state.get(b) or self._step(state, b)
+        state, out, last = self.start, [], len(piece) - 1
+        for i, b in enumerate(piece):
+            step = state.get(b)
+            if step is None:
+                if i == last:
+                    out += self._last(state, b)
+                    return out
+                step = self._step(state, b)
             if step[1]:
                 out += step[1]
             state = step[0]

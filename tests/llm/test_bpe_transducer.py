@@ -49,6 +49,14 @@ def test_states_are_bounded_and_made_anew():
         assert len(small._known) <= 301
 
 
+def test_the_last_byte_of_a_piece_makes_no_state():
+    t = b.Transducer(RANKS)
+    for i in range(2, 12):  # each piece is the one before and a byte more
+        piece = b"qzxjkvwqpbzt"[:i]
+        assert t.encode(piece) == TIKTOKEN.encode_ordinary(piece.decode())
+        assert len(t._known) <= i
+
+
 def test_border_test_equals_the_merges():
     t, rng, tokens = b.Transducer(RANKS), random.Random(5), list(RANKS.values())
     for _ in range(4000):
