@@ -4,9 +4,10 @@ Documents are aggregated by membership pattern: the sources in which their text
 patterns to source quotas: a pattern gives the tokens of its different texts once at cost 0, a second time at cost 1, and so on, so the
 cheapest flow takes an overlapping text for the source that needs it most and repeats as little as possible. A class is what a pattern has
 for one source (the rows of that source; or all its rows, if they belong to all sources of a given list); it gives at most `repeats` times
-its tokens. A source that shares no pattern gets its target from its own class. The flow is solved on the driver over the other patterns,
-never over documents: over the MAX_PATTERNS largest of at most WIDEST sources; texts of other patterns count for the source of their row
-alone, which changes no target. Each class is then filled with documents in the order of a seeded hash.
+its tokens. A source that shares no pattern gets its target from its own class. Every shared pattern, however small or wide, takes part.
+Up to 10 MAX_PATTERNS classes of shared patterns are solved on the driver (`route`), never documents; more stay in Spark (`route_in_tables`),
+where the driver has one row a source and augments the flow along sums of many patterns until no path is left. Both give a flow of least cost.
+Each class is then filled with documents in the order of a seeded hash.
 
 Targets: every source gets its weight's share of all tokens, but no more than `repeats` times its own tokens; the excess is shared again by
 weight among sources that are not at that limit.
@@ -24,7 +25,10 @@ from .common import WORD, durable
 
 WEIGHTS, REPEATS, SEED, BINS = (5, 2, 1), 3, "mix", 4096
 EPSILON = 1e-6
-MAX_PATTERNS, WIDEST = 2_000, 50
+MAX_PATTERNS = 2_000  # patterns, of about ten classes each, that the driver solves; more are solved in Spark
+ARCS = 100_000  # sums between sources that one round of that takes to the driver; what is left out is met in a later round
+SMALL = 20_000  # rows of a table that is broadcast
+SPARE = -1  # in place of a source: tokens of a pattern that no source has taken
 
 
 def n_words(text: Column) -> Column:
@@ -125,13 +129,132 @@ def route(texts: dict[tuple, float], classes: dict[tuple, float], quota: dict, r
 
 
 def memberships(rows: DataFrame) -> DataFrame:
-    """row, pattern, text_size of the texts (by hash) that occur in several sources, for the patterns that the flow takes. A pattern is named
-    by the number of its sources and a sum of their hashes, so none is collected."""
+    """row, pattern, text_size of the texts (by hash) that occur in several sources. A pattern is named by the number of its sources and a sum
+    of their hashes, so none is collected."""
     pairs = rows.groupBy("row", "source").agg(F.max("size").alias("size"))
     name = F.concat_ws(" ", F.count("*").cast("string"), F.hex(F.bit_xor(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))))
-    found = durable(pairs.groupBy("row").agg(F.count("*").alias("n"), name.alias("pattern"), F.max("size").alias("text_size")).where(f"n > 1 AND n <= {WIDEST}").drop("n"), "shared")
-    largest = found.groupBy("pattern").agg(F.sum("text_size").alias("n")).orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS)
-    return found.join(F.broadcast(largest.select("pattern")), "pattern", "left_semi")
+    return pairs.groupBy("row").agg(F.count("*").alias("n"), name.alias("pattern"), F.max("size").alias("text_size")).where("n > 1").drop("n")
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SMALL else df
+
+
+def _levels(flow: DataFrame, left: list[float], slack: list[float], least: float) -> dict[int, int] | None:
+    """How many moves each source (and SPARE) is away from one that lacks tokens, up to the first spare ones; None if no spare tokens can
+    get there. A source gives to another one tokens of a pattern that has both."""
+    spark = flow.sparkSession
+    level = {s: 0 for s, n in enumerate(left) if n > least}
+    front, depth = list(level), 0
+    while front:
+        near = flow.join(_small(spark.createDataFrame([(s,) for s in front], "s int"), len(front)), "s").select("pattern").distinct()
+        giving = {r.s for r in flow.where(F.col("x") > EPSILON).join(near, "pattern", "left_semi").select("s").distinct().collect()}
+        depth += 1
+        if SPARE in giving or any(slack[s] > least for s in front):
+            return level | {SPARE: depth}
+        front = [s for s in giving if s not in level]
+        level |= {s: depth for s in front}
+    return None
+
+
+def _deal(open_: DataFrame, dealt: DataFrame) -> DataFrame:
+    """pattern, s, to, moved: of the x tokens of patterns (pattern, s, to, x), the n of dealt (s, to, n), in the order of a hash: whole bins of
+    it, then whole patterns of one bin, and a part of one."""
+    rows = open_.join(dealt, ["s", "to"]).withColumn("bin", F.pmod(F.xxhash64("pattern"), F.lit(BINS)))
+    upto = Window.partitionBy("s", "to").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = rows.groupBy("s", "to", "bin").agg(F.sum("x").alias("inside")).withColumn("end", F.sum("inside").over(upto))
+    rows = rows.join(bins, ["s", "to", "bin"]).where(F.col("end") - F.col("inside") < F.col("n"))
+    here = Window.partitionBy("s", "to", "bin").orderBy("pattern").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = rows.where("end > n").withColumn("at", F.col("end") - F.col("inside") + F.sum("x").over(here))
+    part = part.withColumn("moved", F.least(F.col("x"), F.col("n") - (F.col("at") - F.col("x")))).where("moved > 0")
+    out = ["pattern", "s", "to", "moved"]
+    return rows.where("end <= n").withColumn("moved", F.col("x")).select(*out).union(part.select(*out))
+
+
+def route_in_tables(members: DataFrame, texts: DataFrame, own: list[float], quota: list[float], repeats: int = REPEATS) -> tuple[DataFrame, list[float], list[float]]:
+    """Min-cost flow as in `route`, for any number of patterns: members are pattern, s (place of a source in own and quota) of the shared
+    patterns, texts are pattern, n (tokens of its different texts), own are the tokens that only one source has. Gives pattern, s, x (the
+    tokens taken), those taken of own, and what each quota lacks when every pattern is taken `repeats` times.
+
+    Tiers open as in `route`. In a tier, each pattern chooses one source that lacks tokens, or is nearest to one; the sums of what its spare
+    tokens and its other sources can give make a network of sources, small enough for the driver; its largest flow is dealt out over whole
+    patterns, at most one of each sum in part. Every source keeps a way to the lack, so each round gains, and rounds end when no way is left, that is when
+    the flow of the tier is the largest one. The classes bound no tier but the last: a class has no fewer tokens than the pattern's texts."""
+    spark, sources = members.sparkSession, len(quota)
+    least = max(EPSILON, 1e-10 * sum(quota))
+    left, used, turn = list(quota), [0.0] * sources, 0
+    spare = texts.select("pattern", F.lit(SPARE).alias("s"), F.col("n").cast("double").alias("x"))
+    flow = members.select("pattern", "s", F.lit(0.0).alias("x"))
+    for tier in range(1, repeats + 1):
+        for s in range(sources):
+            more = min(left[s], tier * own[s] - used[s])
+            left[s], used[s] = left[s] - more, used[s] + more
+        flow = durable(flow.union(spare).groupBy("pattern", "s").agg(F.sum("x").alias("x")), "flow")
+        while level := _levels(flow, left, slack := [tier * n - u for n, u in zip(own, used, strict=True)], least):
+            turn += 1
+            marks = _small(spark.createDataFrame([(s, n, left[s] if n == 0 else 1.0) for s, n in level.items()], "s int, level int, weight double"), len(level))
+            # sources of one level are chosen at random, those that lack more more often
+            drawn = -F.log((F.pmod(F.xxhash64("pattern", "s", F.lit(turn)), F.lit(1 << 40)) + 0.5) / (1 << 40)) / F.col("weight")
+            chosen = flow.where(F.col("s") != SPARE).join(marks, "s").groupBy("pattern").agg(F.min(F.struct("level", drawn.alias("drawn"), "s")).alias("to"))
+            open_ = flow.where(F.col("x") > EPSILON).join(marks, "s").join(chosen, "pattern").where(F.col("level") > F.col("to.level")).select("pattern", "s", F.col("to.s").alias("to"), "x")
+            open_ = durable(open_, "open")
+            largest = Window.partitionBy("s").orderBy(F.desc("n"), "to")
+            sums = open_.groupBy("s", "to").agg(F.sum("x").alias("n")).withColumn("at", F.row_number().over(largest)).where(F.col("at") <= max(1, ARCS // (sources + 1)))
+            net = _Network()
+            arcs = {(r.s, r.to): net.arc(r.s, r.to, r.n) for r in sums.orderBy("s", "to").collect()}
+            direct = {s: net.arc(SPARE, s, slack[s]) for s in range(sources) if slack[s] > 0}
+            met = {s: net.arc(s, "met", left[s]) for s, n in level.items() if n == 0}
+            net.push(SPARE, "met")
+            gained = {s: net.room[e ^ 1] for s, e in met.items()}
+            if sum(gained.values()) <= least:
+                break
+            for s, n in gained.items():
+                left[s] -= n
+            for s, e in direct.items():
+                used[s] += net.room[e ^ 1]
+            dealt = [(*k, net.room[e ^ 1] if net.room[e] > 0 else float("inf")) for k, e in arcs.items() if net.room[e ^ 1] > 0]
+            if dealt:
+                moved = _deal(open_, _small(spark.createDataFrame(dealt, "s int, to int, n double"), len(dealt)))
+                flow = flow.union(moved.select("pattern", "s", -F.col("moved"))).union(moved.select("pattern", "to", "moved"))
+                flow = durable(flow.groupBy("pattern", "s").agg(F.greatest(F.sum("x"), F.lit(0.0)).alias("x")), "flow")
+    return flow.where(F.col("s") != SPARE), used, left
+
+
+def _plan_in_tables(classes: DataFrame, texts: DataFrame, sizes: dict, quota: dict, repeats: int, by_source: bool) -> DataFrame:
+    """class, class_size, tokens of classes (class, pattern, homes, size), from `route_in_tables`."""
+    spark, names = classes.sparkSession, sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    ids = _small(spark.createDataFrame(list(enumerate(names)), "s int, source string"), len(names))
+    placed = classes.select("class", "pattern", "size", F.explode("homes").alias("home"))
+    placed = durable(placed.join(ids, F.col("home").eqNullSafe(F.col("source"))).select("class", "pattern", "size", "s"), "members")
+    shared, alone = placed.where("pattern IS NOT NULL"), placed.where("pattern IS NULL")
+    own = [0.0] * len(names)
+    for r in alone.select("s", "size").collect():  # one row a source
+        own[r.s] = float(r.size)
+    flow, used, left = route_in_tables(shared.select("pattern", "s"), texts, own, [quota[s] for s in names], repeats)
+    taken = shared.join(flow, ["pattern", "s"])
+    if by_source and max(left) > 0:  # the last tier: what the repeated rows of classes have beyond their texts
+        taken = durable(taken, "taken")
+        room = taken.select("pattern", "s", F.col("s").alias("to"), (repeats * F.col("size") - F.col("x")).alias("x")).where("x > 0")
+        more = _deal(room, _small(spark.createDataFrame([(s, s, n) for s, n in enumerate(left) if n > 0], "s int, to int, n double"), len(left))).select("pattern", "s", "moved")
+        taken = taken.join(more, ["pattern", "s"], "left").withColumn("x", F.col("x") + F.coalesce("moved", F.lit(0.0)))
+    # rounded, so that sums in another order choose the same documents
+    taken = taken.groupBy("class").agg(F.first("size").alias("class_size"), F.round(F.sum("x"), 3).alias("tokens"))
+    filled = _small(spark.createDataFrame([(s, round(n, 3)) for s, n in enumerate(used)], "s int, tokens double"), len(used))
+    return durable(taken.union(alone.join(filled, "s").select("class", F.col("size").alias("class_size"), "tokens")), "plan")
+
+
+def _plan_on_driver(classes: DataFrame, texts: DataFrame, quota: dict, repeats: int) -> tuple[DataFrame, int]:
+    """class, class_size, tokens of classes (class, pattern, homes, size), from `route`; and their number."""
+    of_texts = {r.pattern: float(r.n) for r in texts.collect()}
+    found = {r["class"]: (r["pattern"], tuple(r["homes"]), r["size"]) for r in sorted(classes.collect(), key=lambda r: r["class"])}  # a row a source, and a bounded number of shared ones
+    mixed = {s for p, serves, _ in found.values() if p is not None for s in serves}
+    flow = {c: x for c, x in found.items() if mixed.intersection(x[1])}
+    tokens = {c: 0.0 if c in flow else quota[serves[0]] for c, (_, serves, _) in found.items()}
+    flows = {(p if p is not None else serves, serves): n for p, serves, n in flow.values()}
+    routed = route({p: of_texts.get(p, float(n)) for (p, _), n in flows.items()}, flows, {s: quota[s] for s in mixed}, repeats)
+    tokens |= {c: routed[p if p is not None else serves, serves] for c, (p, serves, _) in flow.items()}
+    plan = classes.sparkSession.createDataFrame([(c, n, float(tokens[c])) for c, (_, _, n) in found.items()], "class string, class_size long, tokens double")
+    return plan, len(found)
 
 
 def mix(docs: DataFrame, patterns: Column | None = None, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
@@ -149,30 +272,23 @@ def mix(docs: DataFrame, patterns: Column | None = None, weights: tuple = WEIGHT
         .withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int")),
         "sizes",
     )
-    texts: dict = {}
     if patterns is None:
         shared = durable(memberships(rows), "memberships")
         rows = rows.join(shared.drop("text_size"), "row", "left")
-        texts = {r.pattern: float(r.n) for r in shared.groupBy("pattern").agg(F.sum("text_size").alias("n")).collect()}
+        rows = durable(rows.withColumn("class", F.to_json(F.struct("pattern", "homes"))), "rows")
     else:
         rows = rows.withColumn("pattern", F.when(F.size("homes") > 1, F.to_json("homes")))
-    rows = durable(rows.withColumn("class", F.to_json(F.struct("pattern", "homes"))).drop("homes"), "rows") if patterns is None else durable(rows.withColumn("class", F.to_json(F.struct("homes"))), "rows")
-    homes = F.first("source") if patterns is None else F.first("homes")
-    found = rows.groupBy("class").agg(F.first("pattern").alias("pattern"), homes.alias("homes"), F.sum("size").alias("size")).collect()  # a row a source, and the patterns of several
-    classes = {r["class"]: (r["pattern"], (r["homes"],) if patterns is None else tuple(r["homes"]), r["size"]) for r in found}
-    sizes: dict = {}
-    for _, serves, n in classes.values():
-        for s in serves:
-            sizes[s] = sizes.get(s, 0) + n
+        rows = durable(rows.withColumn("class", F.to_json(F.struct("homes"))), "rows")
+    classes = durable(rows.groupBy("class").agg(F.first("pattern").alias("pattern"), F.first("homes").alias("homes"), F.sum("size").alias("size")), "classes")
+    rows = rows.drop("homes")
+    sizes = {r.home: r.n for r in classes.select(F.explode("homes").alias("home"), "size").groupBy("home").agg(F.sum("size").alias("n")).collect()}  # a row a source
     quota = targets(list(sizes.items()), weights, repeats)
-    mixed = {s for p, serves, _ in classes.values() if p is not None for s in serves}
-    flow = {c: x for c, x in classes.items() if mixed.intersection(x[1])}
-    tokens = {c: 0.0 if c in flow else quota[serves[0]] for c, (_, serves, _) in classes.items()}
-    flows = {(p if p is not None else serves, serves): n for p, serves, n in flow.values()}
-    routed = route({p: texts.get(p, float(n)) for (p, _), n in flows.items()}, flows, {s: quota[s] for s in mixed}, repeats)
-    tokens |= {c: routed[p if p is not None else serves, serves] for c, (p, serves, _) in flow.items()}
-    plan = spark.createDataFrame([(c, n, float(tokens[c])) for c, (_, _, n) in classes.items()], "class string, class_size long, tokens double")
-    small = F.broadcast if len(classes) <= 10 * MAX_PATTERNS else lambda df: df
+    texts = shared.groupBy("pattern").agg(F.sum("text_size").alias("n")) if patterns is None else classes.where("pattern IS NOT NULL").select("pattern", F.col("size").alias("n"))
+    if classes.where("pattern IS NOT NULL").count() > 10 * MAX_PATTERNS:
+        plan, n_classes = _plan_in_tables(classes, texts, sizes, quota, repeats, patterns is None), None
+    else:
+        plan, n_classes = _plan_on_driver(classes, texts, quota, repeats)
+    small = F.broadcast if n_classes is not None and n_classes <= SMALL else lambda df: df
 
     # whole rounds first; of the last round, whole bins of the hash order, then single documents of one bin
     bins = rows.groupBy("class", "bin").agg(F.sum("size").alias("bin_size"))
@@ -190,7 +306,7 @@ def mix(docs: DataFrame, patterns: Column | None = None, weights: tuple = WEIGHT
     chosen = at_edge.select(*keep, copies.cast("long").alias("copies")).union(
         placed.where("NOT edge").withColumn("more", F.col("inside").cast("int")).select(*keep, copies.cast("long").alias("copies")))
     quotas = spark.createDataFrame([(s, sizes[s], quota[s]) for s in quota], "source string, source_size long, target double")
-    return chosen, small(quotas)
+    return chosen, _small(quotas, len(quota))
 
 
 def mix_by_source(docs: DataFrame) -> DataFrame:

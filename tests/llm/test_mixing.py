@@ -82,6 +82,72 @@ def test_patterns_beyond_the_flow(spark, monkeypatch):
     assert len(out) == len(rows) and ((by["taken"] - by["target"]).abs() <= 9).all()
 
 
+def cost(flow, texts, repeats=3):
+    used = {p: sum(x for (q, _), x in flow.items() if q == p) for p in texts}
+    return sum(sum(max(0, used[p] - t * texts[p]) for t in range(1, repeats + 1)) for p in texts)
+
+
+@pytest.mark.parametrize("arcs", [m.ARCS, 0])
+def test_flow_in_tables_costs_no_more_than_on_the_driver(spark, monkeypatch, arcs):
+    monkeypatch.setattr(m, "ARCS", arcs)
+    rng, sources, texts, classes = random.Random(3), range(9 if arcs else 5), {}, {}
+    for _ in range(300 if arcs else 30):
+        p = tuple(sorted(rng.sample(sources, rng.choice([2, 2, 3, 5]))))
+        texts[p] = texts.get(p, 0) + rng.randint(1, 90)
+    own = [float(rng.choice([0, 50, 2000])) for _ in sources]
+    for p, n in texts.items():
+        classes |= {(p, (s,)): n for s in p}
+    size = [own[s] + sum(n for c, n in classes.items() if c[1] == (s,)) for s in sources]
+    for weights in ((5, 2, 1), (1, 40, 3))[: 2 if arcs else 1]:
+        quota = m.targets([(str(s), size[s]) for s in sources], weights)
+        quota = [quota[str(s)] * rng.choice([0.5, 1]) for s in sources]
+        alone = {((s,), (s,)): n for s, n in enumerate(own)}
+        want = m.route(texts | {(s,): own[s] for s in sources}, classes | alone, dict(enumerate(quota)))
+        names = {p: " ".join(map(str, p)) for p in texts}
+        members = spark.createDataFrame([(names[p], s) for p in texts for s in p], "pattern string, s int")
+        table, used, left = m.route_in_tables(members, spark.createDataFrame([(names[p], n) for p, n in texts.items()], "pattern string, n long"), own, quota)
+        got = {(r.pattern, r.s): r.x for r in table.collect()}
+        for s in sources:
+            assert sum(x for (_, t), x in got.items() if t == s) + used[s] + left[s] == pytest.approx(quota[s], abs=1e-3)
+        assert set(got) == {(names[p], s) for p in texts for s in p} and min(got.values()) >= 0
+        mine = {(p, s): got[names[p], s] for p in texts for s in p} | {((s,), s): n for s, n in enumerate(used)}
+        every = texts | {(s,): own[s] for s in sources}
+        # what is left costs as much as the last tier on the driver
+        assert cost(mine, every) + 3 * sum(left) == pytest.approx(cost(want, every), abs=0.01)
+
+
+def test_more_shared_classes_than_the_driver_takes(spark, monkeypatch):
+    """Texts in a and b are all that a can repeat less with: with or without tables, the mix takes as few repeats."""
+    monkeypatch.setattr(m, "MAX_PATTERNS", 1)
+    rng = random.Random(1)
+    texts = [(f"t{i} x y z", rng.sample("abcdefg", rng.choice([2, 3, 4]))) for i in range(200)]
+    rows = [(t, s) for t, sources in texts for s in sources for _ in range(rng.choice([1, 1, 2]))] + [(f"own {i} of b", "b") for i in range(100)] + [(f"own {i} of none", None) for i in range(9)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+
+    def repeats_and_gap():
+        chosen, quotas = m.mix(docs)
+        rows = chosen.toPandas()
+        assert len(rows) == docs.count() and rows["pattern"].notna().sum() == len(rows) - 109
+        words = rows["size"] * rows["copies"]
+        by = words.groupby(rows["source"].fillna("none")).sum()
+        gap = max(abs(by[q.source or "none"] - q.target) for q in quotas.collect())
+        used = words.groupby(rows["pattern"].fillna(rows["source"]).fillna("none")).sum()
+        have = rows.drop_duplicates("row").groupby(rows["pattern"].fillna(rows["source"]).fillna("none"))["size"].sum()
+        return (used - have).clip(lower=0).sum(), gap, rows.set_index("doc_id")["copies"].sort_index().tolist()
+
+    tables, again = repeats_and_gap(), repeats_and_gap()
+    monkeypatch.setattr(m, "MAX_PATTERNS", 1_000)
+    driver = repeats_and_gap()
+    assert tables[2] == again[2] and max(tables[1], driver[1]) <= 12  # three texts
+    assert tables[0] == pytest.approx(driver[0], abs=2 * driver[0] ** 0.5 + 40)
+
+
+def test_a_text_in_more_than_fifty_sources_takes_part(spark):
+    rows = [(i, "the same four words", f"s{i:02d}") for i in range(60)] + [(100 + i, f"{i} other words here", "s00") for i in range(9)]
+    chosen, _ = m.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert chosen.where("pattern IS NOT NULL").count() == 60
+
+
 def test_mix_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = m.mix_by_source(docs).toPandas()
