@@ -54,3 +54,11 @@ def test_a_very_long_text_and_ties(spark):
         out = p.durable(stage(spark, out, SF))
         ids = {r.doc_id for r in out.select("doc_id").collect()}
         assert 10_001 not in ids and (i >= 2 or 10_000 in ids)
+
+
+def test_a_text_of_very_many_sources_is_not_repeated_for_each(spark):
+    """Each source has texts enough of its own, taken twice at most."""
+    rows = [(k, "the text of all", f"s{k:02d}") for k in range(60)] + [(100 + 10 * k + i, f"only {i} of {k}", f"s{k:02d}") for k in range(60) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = p.mixed(spark, docs, SF)
+    assert mixed.count() > 600 and mixed.where("text = 'the text of all'").count() <= 10
