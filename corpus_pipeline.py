@@ -50,8 +50,11 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen, _ = mixing.mix(docs)
-    copies = durable(chosen.groupBy(F.col("doc_id").alias("mix id"), F.col("row").alias("mix row")).agg(F.max("copies").alias("mix copies")).where("`mix copies` > 0"), "copies")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mix id")) & (F.xxhash64(docs["text"]) == F.col("mix row")))
+    # by source too: a text that rows without doc_id have in several sources is taken for one of them, not for each as often as for any
+    key = [F.col("doc_id").alias("mix id"), F.col("row").alias("mix row"), F.col("source").alias("mix source")]
+    copies = durable(chosen.groupBy(*key).agg(F.max("copies").alias("mix copies")).where("`mix copies` > 0"), "copies")
+    same = docs["doc_id"].eqNullSafe(F.col("mix id")) & (F.xxhash64(docs["text"]) == F.col("mix row")) & docs["source"].cast("string").eqNullSafe(F.col("mix source"))
+    taken = docs.join(copies, same)
     return taken.withColumn("mix copy", F.explode(F.sequence(F.lit(1), F.col("mix copies").cast("int")))).select(*docs.columns)
 
 

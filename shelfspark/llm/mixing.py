@@ -26,7 +26,7 @@ from .common import WORD, durable
 WEIGHTS, REPEATS, SEED, BINS = (5, 2, 1), 3, "mix", 4096
 EPSILON = 1e-6
 MAX_PATTERNS = 2_000  # patterns, of about ten classes each, that the driver solves; more are solved in Spark
-ARCS = 100_000  # sums between sources that one round of that takes to the driver; what is left out is met in a later round
+ARCS = 100_000  # sums between sources, beside one a source, that one round of that takes to the driver; what is left out is met in a later round
 SMALL = 20_000  # rows of a table that is broadcast
 SPARE = -1  # in place of a source: tokens of a pattern that no source has taken
 
@@ -198,8 +198,9 @@ def route_in_tables(members: DataFrame, texts: DataFrame, own: list[float], quot
             chosen = flow.where(F.col("s") != SPARE).join(marks, "s").groupBy("pattern").agg(F.min(F.struct("level", drawn.alias("drawn"), "s")).alias("to"))
             open_ = flow.where(F.col("x") > EPSILON).join(marks, "s").join(chosen, "pattern").where(F.col("level") > F.col("to.level")).select("pattern", "s", F.col("to.s").alias("to"), "x")
             open_ = durable(open_, "open")
+            # of spare tokens every sum (one a source at most), so one round reaches all that lack; of a source its largest ones
             largest = Window.partitionBy("s").orderBy(F.desc("n"), "to")
-            sums = open_.groupBy("s", "to").agg(F.sum("x").alias("n")).withColumn("at", F.row_number().over(largest)).where(F.col("at") <= max(1, ARCS // (sources + 1)))
+            sums = open_.groupBy("s", "to").agg(F.sum("x").alias("n")).withColumn("at", F.row_number().over(largest)).where((F.col("s") == SPARE) | (F.col("at") <= max(1, ARCS // sources)))
             net = _Network()
             arcs = {(r.s, r.to): net.arc(r.s, r.to, r.n) for r in sums.orderBy("s", "to").collect()}
             direct = {s: net.arc(SPARE, s, slack[s]) for s in range(sources) if slack[s] > 0}

@@ -1,4 +1,5 @@
 import corpus_pipeline as p
+from shelfspark.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,33 @@ def test_a_text_of_very_many_sources_is_not_repeated_for_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixed = p.mixed(spark, docs, SF)
     assert mixed.count() > 600 and mixed.where("text = 'the text of all'").count() <= 10
+
+
+def test_a_text_without_ids_is_taken_for_the_source_that_needs_it(spark):
+    """Texts in a and b, without ids: a has more than its target, b needs all of them."""
+    shared = [(None, f"shared {i} x y", s) for i in range(20) for s in "ab"]
+    docs = spark.createDataFrame(shared + [(i, f"only {i} of b", "b") for i in range(100)], "doc_id long, text string, source string")
+    chosen, _ = mixing.mix(docs)
+    want = {(r.source, r.row): r.copies for r in chosen.where("doc_id IS NULL").collect()}
+    assert any(want["a", row] != want["b", row] for _, row in want)
+    rows = p.mixed(spark, docs.withColumn("row", p.F.xxhash64("text")), "").where("doc_id IS NULL").groupBy("source", "row").count().collect()
+    assert {(r.source, r.row): r["count"] for r in rows} == {k: n for k, n in want.items() if n}
+
+
+def test_every_source_that_lacks_words_is_reached_in_one_round(spark, monkeypatch):
+    """Thirty sources that lack words, one sum of each source's words a round: rounds do not follow the sources."""
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    monkeypatch.setattr(mixing, "ARCS", 0)
+    calls, levels = [], mixing._levels
+
+    def counted(*args):
+        calls.append(args)
+        assert len(calls) <= 20
+        return levels(*args)
+
+    monkeypatch.setattr(mixing, "_levels", counted)
+    rows = [(None, f"text {i} of {k}", f"s{s % 30:02d}") for k in range(30) for i in range(4) for s in (k, k + 1 + i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {r.source: 4 * r["count"] for r in p.mixed(spark, docs, "").groupBy("source").count().collect()}
+    want = mixing.targets([(f"s{k:02d}", 4 * sum(s == f"s{k:02d}" for _, _, s in rows)) for k in range(30)])
+    assert calls and all(abs(words.get(s, 0) - n) <= 12 for s, n in want.items())
