@@ -2,11 +2,12 @@
 
 Vectors are scaled to length 1, so cosine >= c is distance <= r = sqrt(2 - 2c). Equal unit vectors form a class with one representative.
 Pivots, a sample of representatives that grows with their number, cut the space into cells (nearest pivot), and each cell's radius is
-counted. A representative's links are found in its own cell, so it must meet there every vector within r: a vector y is copied to cell i
-unless the triangle inequality rules all members of i out, by the cell's radius, d(y,i) > radius(i) + r, or by its distance to the border
-between i and its own cell, (d(y,i)^2 - d(y,own)^2) / (2 d(i,own)) > r. Cells join independently; a large cell is cut into blocks of home
-vectors, and each block meets the cell's members in slices, so a task holds one block and one slice and never a list of pairs. A task reports
-link counts and, for components, the smallest id that each of its vectors reaches in the task.
+counted. A vector y meets cell i unless the triangle inequality rules all members of i out, by the cell's radius, d(y,i) > radius(i) + r, or
+by its distance to the border between i and its own cell, (d(y,i)^2 - d(y,own)^2) / (2 d(i,own)) > r. The members of a cell are packed into
+blocks, one row a block, written once. Two blocks are compared, once for both directions, if each has a vector that meets the other's cell,
+and then only such vectors are. Each task of this join reads some blocks of both sides where they are written: no vector is copied or
+shuffled for it, so disk stays in proportion to the vectors however many cells they meet. A task reports link counts and, for components,
+the smallest id that each of its vectors reaches in a pair of blocks.
 
 How much the triangle inequality prunes depends on the data: tight clusters are ruled out by their radius, while vectors that are spread
 evenly over many dimensions lie within reach of most cells, and then the exact join compares nearly all pairs.
@@ -28,10 +29,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, partitions
 from .components import connected
 
-BLOCK, SLICE, EDGE = 2048, 8192, 1e-9
+BLOCK, EDGE = 2048, 1e-9
 #: More than the rounding error of a squared distance of unit vectors.
 ROUNDING = 1e-12
 
@@ -89,21 +90,26 @@ def at_home(reps: DataFrame, pivots: Broadcast) -> DataFrame:
     return reps.select("size", "id", "unit", "copies").mapInArrow(run, "size int, cell int, near double, id long, unit binary, copies long")
 
 
+def _meets(x: np.ndarray, own: np.ndarray, near: np.ndarray, pivots: np.ndarray, radii: np.ndarray, radius: float, cells: np.ndarray) -> np.ndarray:
+    """Which of cells (columns) may have members within radius of the vectors x (rows), which lie in the cells own, near their pivots."""
+    if not len(pivots):
+        return np.ones((len(x), len(cells)), bool)
+    d = _distances(x, pivots[cells])
+    # multiplied out, with all rounding errors in favour of meeting: pivots may be (nearly) equal
+    named, at = np.unique(own, return_inverse=True)
+    apart = np.sqrt(_distances(pivots[named], pivots[cells]) ** 2 + ROUNDING)
+    meets = d**2 - near[:, None] ** 2 <= 2 * apart[at] * (radius + EDGE) + ROUNDING
+    return meets & (d <= radii[cells] + radius + EDGE) | (own[:, None] == cells)
+
+
 def dealt(homes: DataFrame, pivots: Broadcast, radii: Broadcast, radius: float) -> DataFrame:
-    """size, cell, home, id, unit, copies: each representative in its own cell (home) and in each cell that may have members within radius."""
+    """size, cell, home, id, unit, copies: each representative in its own cell (home) and in each cell that may have members within radius.
+    The join itself does not make these rows: their number tells how much the triangle inequality prunes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x, p in _by_size(batches, 0, 4, pivots.value):
-            own = part.column(1).to_numpy()
-            meets = np.zeros((len(x), max(len(p), 1)), bool)
-            if len(p):
-                d, near = _distances(x, p), part.column(2).to_numpy()
-                # multiplied out, with all rounding errors in favour of meeting: pivots may be (nearly) equal
-                apart = np.sqrt(_distances(p, p) ** 2 + ROUNDING)
-                meets = d**2 - near[:, None] ** 2 <= 2 * apart[own] * (radius + EDGE) + ROUNDING
-                meets &= d <= radii.value[int(part.column(0)[0].as_py())] + radius + EDGE
-            meets[np.arange(len(x)), own] = True
-            row, cell = np.nonzero(meets)
+            own, size = part.column(1).to_numpy(), int(part.column(0)[0].as_py())
+            row, cell = np.nonzero(_meets(x, own, part.column(2).to_numpy(), p, radii.value.get(size), radius, np.arange(max(len(p), 1))))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(own[row] == cell), *(part.column(i).take(pa.array(row)) for i in (3, 4, 5))],
                 ["size", "cell", "home", "id", "unit", "copies"],
@@ -112,6 +118,29 @@ def dealt(homes: DataFrame, pivots: Broadcast, radii: Broadcast, radius: float)
     return homes.mapInArrow(run, "size int, cell int, home boolean, id long, unit binary, copies long")
 
 
+PACKED = "size int, cell int, b int, meets array<int>, ids binary, near binary, units binary, copies binary"
+
+
+def packed(homes: DataFrame, pivots: Broadcast, radii: Broadcast, radius: float, block: int) -> DataFrame:
+    """A row for each block of about `block` vectors of a cell, with the cells that one of its vectors meets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size, cell, b = (table[c][0].as_py() for c in ("size", "cell", "b"))
+        p, near, n = pivots.value.get(size, np.zeros((0, size))), table["near"].to_numpy(), table.num_rows
+        meets = np.zeros(max(len(p), 1), bool)
+        for lo in range(0, n, BLOCK):
+            x = _matrix(table["unit"].slice(lo, BLOCK))
+            meets |= _meets(x, np.full(len(x), cell), near[lo : lo + BLOCK], p, radii.value.get(size), radius, np.arange(len(meets))).any(0)
+        raw = [table["id"].to_numpy().tobytes(), near.tobytes(), b"".join(table["unit"].to_pylist()), table["copies"].to_numpy().tobytes()]
+        columns = [pa.array([size], pa.int32()), pa.array([cell], pa.int32()), pa.array([b], pa.int32()), pa.array([np.flatnonzero(meets)], pa.list_(pa.int32())), *(pa.array([r], pa.binary()) for r in raw)]
+        return pa.Table.from_arrays(columns, ["size", "cell", "b", "meets", "ids", "near", "units", "copies"])
+
+    spark = homes.sparkSession
+    cells = homes.groupBy("size", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = homes.join(cells, ["size", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+    return rows.repartition(partitions(spark), "size", "cell", "b").groupBy("size", "cell", "b").applyInArrow(run, PACKED)
+
+
 def _by_size(batches: Iterator[pa.RecordBatch], size_at: int, unit_at: int, pivots: dict) -> Iterator[tuple]:
     """The rows of one vector length at a time, at most BLOCK, their vectors and that length's pivots."""
     for batch in batches:
@@ -135,24 +164,59 @@ def _smallest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
         to_a, to_b = by_a, by_b
 
 
-def join_block(home: pa.Table, others: pa.Table, cosine: float) -> pa.Table:
-    """Of one block of home vectors against one slice of the cell: id, links (sum of class sizes), reaches."""
-    x, a, out = _matrix(home["unit"]), home["id"].to_numpy(), []
-    for lo in range(0, others.num_rows, BLOCK):
-        part = others.slice(lo, BLOCK)
-        y, b = _matrix(part["unit"]), part["id"].to_numpy()
-        linked = (x @ y.T >= cosine) & (a[:, None] != b[None, :])
-        rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-        linked = linked[np.ix_(rows, cols)]
-        links = linked @ part["copies"].to_numpy()[cols].astype(np.float64)
-        to_a, to_b = _smallest(linked, a[rows], b[cols])
-        out.append(pa.table({"id": np.concatenate([a[rows], b[cols]]), "links": np.concatenate([links.astype(np.int64), np.zeros(len(cols), np.int64)]), "reaches": np.concatenate([to_a, to_b])}))
-    return pa.concat_tables(out)
-
+def join_block(x: np.ndarray, a: np.ndarray, copies_a: np.ndarray, y: np.ndarray, b: np.ndarray, copies_b: np.ndarray, cosine: float, step: int) -> Iterator[pa.RecordBatch]:
+    """Of two sets of vectors without common members, or of one with itself (y is x): id, links (sum of class sizes), reaches."""
+    for lo in range(0, len(x), step):
+        for to in range(lo if y is x else 0, len(y), step):
+            left, right, same = slice(lo, lo + step), slice(to, to + step), y is x and lo == to
+            linked = (x[left] @ y[right].T >= cosine) & (a[left][:, None] != b[right][None, :])
+            if same:
+                linked |= linked.T
+            rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            if not len(rows):
+                continue
+            linked, ids_a, ids_b = linked[np.ix_(rows, cols)], a[left][rows], b[right][cols]
+            links_a = linked @ copies_b[right][cols].astype(np.float64)
+            links_b = np.zeros(len(cols)) if same else copies_a[left][rows].astype(np.float64) @ linked
+            to_a, to_b = _smallest(linked, ids_a, ids_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in ((ids_a, ids_b), (links_a.astype(np.int64), links_b.astype(np.int64)), (to_a, to_b))], ["id", "links", "reaches"])
+
+
+def joined(blocks: DataFrame, pivots: Broadcast, radii: Broadcast, radius: float, cosine: float, step: int) -> DataFrame:
+    """id, links, reaches, over all pairs of blocks whose cells meet."""
+
+    def unpack(batch: pa.RecordBatch, i: int, side: str) -> dict:
+        raw = lambda c, kind: np.frombuffer(batch.column(f"{c}_{side}")[i].as_buffer(), kind)
+        size, cell, b = (batch.column(f"{c}_{side}")[i].as_py() for c in ("size", "cell", "b"))
+        return {"size": size, "cell": cell, "b": b, "ids": raw("ids", np.int64), "near": raw("near", np.float64), "x": raw("units", np.float64).reshape(-1, size), "copies": raw("copies", np.int64)}
+
+    def meeting(one: dict, cell: int) -> tuple:
+        p = pivots.value.get(one["size"], np.zeros((0, one["size"])))
+        at = np.flatnonzero(_meets(one["x"], np.full(len(one["x"]), one["cell"]), one["near"], p, radii.value.get(one["size"]), radius, np.array([cell]))[:, 0])
+        return one["x"][at], one["ids"][at], one["copies"][at]
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, n_pivots: int | None = None, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = unpack(batch, i, "l"), unpack(batch, i, "r")
+                if (left["cell"], left["b"]) == (right["cell"], right["b"]):
+                    own = left["x"], left["ids"], left["copies"]
+                    yield from join_block(*own, *own, cosine, step)
+                else:
+                    yield from join_block(*meeting(left, right["cell"]), *meeting(right, left["cell"]), cosine, step)
+
+    side = lambda x: blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in blocks.columns])
+    order = lambda x: F.struct(F.col(f"cell_{x}").alias("cell"), F.col(f"b_{x}").alias("b"))
+    meet = (F.col("size_l") - F.col("size_r") == 0) & (order("l") <= order("r")) & F.array_contains("meets_l", F.col("cell_r")) & F.array_contains("meets_r", F.col("cell_l"))
+    # every task reads its part of both sides from the written blocks: an equi-join would shuffle a copy of a block for each partner
+    pairs = side("l").hint("shuffle_replicate_nl").crossJoin(side("r")).where(meet)
+    return pairs.drop("meets_l", "meets_r").mapInArrow(run, "id long, links long, reaches long")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, n_pivots: int | None = None, block: int = BLOCK, slice_: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
+    block: vectors in a packed row; slice_: vectors of each side in one product of matrices.
     n_pivots: by default one for each block of representatives, but 4 times the root of their number at most, so what the driver holds
     grows with the root of the input."""
     spark = vectors.sparkSession
@@ -167,30 +231,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, n_pivots: int | None =
         picked.setdefault(r["size"], []).append(bytes(r["unit"]))
     found = {size: _apart(us) for size, us in picked.items()}
     pivots = spark.sparkContext.broadcast(found)
-    homes = durable(at_home(reps, pivots), "homes")
+    homes = at_home(reps, pivots)
     radii = {size: np.zeros(len(p)) for size, p in found.items()}
     for r in homes.where(F.col("size").isin(list(found))).groupBy("size", "cell").agg(F.max("near").alias("radius")).collect():  # a row a pivot at most
         radii[r["size"]][r["cell"]] = r["radius"]
-    met = durable(dealt(homes, pivots, spark.sparkContext.broadcast(radii), radius), "cells")
-    cells = met.groupBy("size", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"))
-    cells = cells.select("size", "cell", F.ceil(F.col("n") / slice_).cast("int").alias("slices"), F.ceil(F.col("n_home") / block).cast("int").alias("blocks"))
-    spread = met.join(cells, ["size", "cell"]).withColumn("h", F.xxhash64("id"))
-    # block b of the homes meets slice s of all members in task (size, cell, b, s)
-    left = spread.where("home").select(
-        "size", "cell", F.pmod("h", "blocks").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), F.lit(True).alias("left"), "id", "unit", "copies"
-    )
-    right = spread.where("blocks > 0").select(
-        "size", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod("h", "slices").cast("int").alias("s"), F.lit(False).alias("left"), "id", "unit", "copies"
-    )
-
-    def run(table: pa.Table) -> pa.Table:
-        is_left = table["left"].to_numpy().astype(bool)
-        home, other = table.take(pa.array(np.flatnonzero(is_left))), table.take(pa.array(np.flatnonzero(~is_left)))
-        if not home.num_rows or not other.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "reaches": pa.array([], pa.int64())})
-        return join_block(home, other, cosine)
-
-    found = durable(left.union(right).groupBy("size", "cell", "b", "s").applyInArrow(run, "id long, links long, reaches long"), "links")
+    shared = spark.sparkContext.broadcast(radii)
+    blocks = durable(packed(homes, pivots, shared, radius, block), "blocks")
+    found = durable(joined(blocks, pivots, shared, radius, cosine, slice_), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id <> reaches").select(F.col("id").alias("a"), F.col("reaches").alias("b")).distinct()
     component = connected(edges)

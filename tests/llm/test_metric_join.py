@@ -63,3 +63,19 @@ def test_many_lengths(spark):
     rows = [(i, [float(j + 1) for j in range(1 + i // 2)]) for i in range(400)]
     got = m.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), n_pivots=3).collect()
     assert all((r.n_links, r.component_id) == (1, r.vec_id // 2 * 2) for r in got)
+
+
+def test_no_vector_is_copied_for_the_cells_it_meets(spark, monkeypatch):
+    """Evenly spread vectors meet every cell; what is written and shuffled stays in proportion to them."""
+    written, write = {}, m.durable
+    monkeypatch.setattr(m, "durable", lambda df, name: written.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=64)]) for i in range(800)]
+    got = m.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), n_pivots=20, block=50)
+    assert sorted(tuple(r) for r in got.collect()) == m.brute_force(rows)
+    assert "cells" not in written
+    blocks = written["blocks"].collect()
+    assert sum(len(r.ids) // 8 for r in blocks) == 800 and max(len(r.meets) for r in blocks) == 20
+    pivots = spark.sparkContext.broadcast({64: np.eye(64)[:1]})
+    plan = m.joined(written["blocks"], pivots, spark.sparkContext.broadcast({64: np.ones(1)}), 0.4472, 0.9, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
