@@ -27,7 +27,7 @@ def columns(spark, sf_dir):
     """file, col_no, name."""
     files = b.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file"))
     names = F.get(F.array(*[F.array(*map(F.lit, s)) for s in STYLES]), (F.col("file") % 8).cast("int"))
-    return files.select("file", F.posexplode(names).alias("col_no", "name"))
+    return b.large(files.select("file", F.posexplode(names).alias("col_no", "name")))
 
 
 def _sql_rule(rule):
