@@ -171,3 +171,10 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
 def test_average_that_orders_are_sized_on(spark, stated, spiky, total, months, want):
     df = spark.createDataFrame([(stated, spiky, total, months)], "stated double, spiky double, total double, months int")
     assert df.select(velocity.avg_monthly(*[F.col(c) for c in df.columns])).first()[0] == want
+
+
+def test_a_cut_name_is_not_the_name_of_equal_letters(spark):
+    inventory = ["blue gizmo Brand#20 330055", "blue gizmo Brand#2 033005", "red gizmo Brand#20 330055", "red gizmo Brand#20 330050", "red gizmo Brand#2 033005", "old gizmo Brand#2 033005"]
+    sold = {"blue gizmo Brand#20 33005": "bluegizmobrand20330055", "red gizmo Brand#20 33005": None, "blue gizmo Brand#2 033005": "bluegizmobrand2033005", "old gizmo Brand#20 33005": "oldgizmobrand2033005", "BLUE GIZMO brand 2/033005 <- out": "bluegizmobrand2033005"}
+    rows = lambda x, c: spark.createDataFrame([(1, v) for v in x], f"session_id long, {c} string")
+    assert {r.name: r.key for r in names.match_names(rows(sold, "name"), rows(inventory, "item")).collect()} == sold
