@@ -178,3 +178,27 @@ def test_a_cut_name_is_not_the_name_of_equal_letters(spark):
     sold = {"blue gizmo Brand#20 33005": "bluegizmobrand20330055", "red gizmo Brand#20 33005": None, "blue gizmo Brand#2 033005": "bluegizmobrand2033005", "old gizmo Brand#20 33005": "oldgizmobrand2033005", "BLUE GIZMO brand 2/033005 <- out": "bluegizmobrand2033005"}
     rows = lambda x, c: spark.createDataFrame([(1, v) for v in x], f"session_id long, {c} string")
     assert {r.name: r.key for r in names.match_names(rows(sold, "name"), rows(inventory, "item")).collect()} == sold
+
+
+def test_fuzzy_pairs_of_many_blocks_and_organisations(spark):
+    """Blocks of few keys hold several organisations and lengths; keys over 64 letters, repeated letters, digits."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice("ab1z") for _ in range(rng.choice([1, 2, 4, 7, 12, 20, 64, 70, 90]))) for _ in range(50)]
+    names_ = sorted({(o, x) for o in ("A", "B", "C") for b in base if rng.random() < 0.8 for x in (b, b[:-1] + "1", b + "a", b[1:] + b[:1]) if x})
+    got = {(r.org_name, r.a, r.b): r.ratio for r in suppliers.fuzzy_pairs(spark.createDataFrame(names_, "org_name string, supplier string"), block=7).collect()}
+    want = {(o, a, b): ratio for o, a in names_ for p, b in names_ if o == p and a < b and (ratio := SequenceMatcher(None, a, b).ratio()) >= suppliers.FUZZY}
+    assert got == want and len(want) > 100
+
+
+def test_fuzzy_pairs_ask_little_of_all_pairs(spark):
+    """No row is made for a pair before it has enough letters in common in one order."""
+    rng = random.Random(3)
+    keys = ["acme" + "".join(rng.choice("abcdefghijklmnop") for _ in range(14)) + "trading" for _ in range(600)]
+    i, j = suppliers._common_letters(keys, ["o"] * 600, keys, ["o"] * 600, suppliers.FUZZY)
+    x, _ = suppliers._common_in_order(keys, keys, i, j, suppliers.FUZZY)
+    assert len(i) > 1500 and 600 <= len(x) < 700
+    df = spark.createDataFrame([("o", k) for k in keys], "org_name string, supplier string")
+    plan = suppliers.fuzzy_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
