@@ -29,12 +29,15 @@ def header_scores(cells: DataFrame, kind: str) -> DataFrame:
 
 def header_rows(cells: DataFrame, kind: str, min_cells: int) -> DataFrame:
     """file, header_row: of the first rows, the first with min_cells cells, unless a later one scores at least two more than the best so
-    far; without any, the first later row with three cells."""
-    scores = header_scores(cells, kind).withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("row_no")))
-    rows = scores.groupBy("file").agg(
-        F.array_sort(F.collect_list(F.when((F.col("at") <= WINDOW_ROWS) & (F.col("filled") >= min_cells), F.struct("row_no", "score")))).alias("near"),
-        F.min(F.when((F.col("at") > WINDOW_ROWS) & (F.col("filled") >= 3), F.col("row_no"))).alias("later"),
-    )
+    far; without any, the first later row with three cells. Each task keeps its first rows of a file, so cells are not shuffled for it; those
+    of files without a header among them are read once more."""
+    first = Window.partitionBy("file").orderBy("row_no")
+    top = cells.withColumn("at", F.dense_rank().over(first)).where(F.col("at") <= WINDOW_ROWS)
+    scores = header_scores(top, kind)
+    rows = scores.groupBy("file").agg(F.array_sort(F.collect_list(F.when(F.col("filled") >= min_cells, F.struct("row_no", "score")))).alias("near"), F.max("row_no").alias("last_near"))
+    none_near = rows.where(F.size("near") == 0).select("file", "last_near")
+    later = cells.join(none_near, "file").where("row_no > last_near").groupBy("file", "row_no").agg(F.count("*").alias("filled")).where("filled >= 3").groupBy("file").agg(F.min("row_no").alias("later"))
+    rows = rows.join(later, "file", "left")
     better = lambda best, x: F.when(best["row_no"].isNull() | (x["score"] >= best["score"] + 2), x).otherwise(best)
     none = F.struct(F.lit(None).cast("bigint").alias("row_no"), F.lit(None).cast("bigint").alias("score"))
     return rows.select("file", F.coalesce(F.aggregate("near", none, better, lambda s: s["row_no"]), F.col("later")).alias("header_row"))
@@ -56,7 +59,9 @@ def rows_from_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def month_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """file, col_no, month of the header cells that name a month."""
-    return cells.join(headers, "file").where("row_no = header_row").select("file", "col_no", cell_month(F.col("value")).alias("month")).where("month > 0")
+    # exploded, so that the test of the month is not pushed below the join, where it would read every cell of the files
+    month = F.explode(F.array(cell_month(F.col("value"))))
+    return cells.join(headers, "file").where("row_no = header_row").select("file", "col_no", month.alias("month")).where("month > 0")
 
 
 def wide_matrix(cells: DataFrame) -> DataFrame:
@@ -68,9 +73,12 @@ def wide_matrix(cells: DataFrame) -> DataFrame:
 def grid_rows(cells: DataFrame, headers: DataFrame, item_col: int = 1) -> DataFrame:
     """file, row_no, item, month, value: month cells of the item rows; blank names and exact total labels are skipped."""
     months = month_columns(cells, headers)
-    items = cells.where(F.col("col_no") == item_col).select("file", "row_no", F.trim("value").alias("item")).where((F.col("item") != "") & ~is_total_label(F.col("item")))
-    body = cells.join(headers, "file").where("row_no > header_row").drop("header_row")
-    return body.join(months, ["file", "col_no"]).join(items, ["file", "row_no"]).select("file", "row_no", "item", "month", "value")
+    named = months.select("file", "col_no", "month").union(headers.select("file", F.lit(item_col).alias("col_no"), F.lit(0).alias("month")))
+    body = cells.join(headers, "file").where("row_no > header_row").join(named, ["file", "col_no"])
+    # one shuffle brings a row's cells together
+    rows = body.groupBy("file", "row_no").agg(F.max(F.when(F.col("month") == 0, F.trim("value"))).alias("item"), F.collect_list(F.when(F.col("month") > 0, F.struct("month", "value"))).alias("cells"))
+    rows = rows.where((F.col("item") != "") & ~is_total_label(F.col("item")))
+    return rows.select("file", "row_no", "item", F.explode("cells").alias("c")).select("file", "row_no", "item", "c.month", "c.value")
 
 
 def month_types(grid: DataFrame) -> DataFrame:

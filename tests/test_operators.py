@@ -202,3 +202,21 @@ def test_fuzzy_pairs_ask_little_of_all_pairs(spark):
     df = spark.createDataFrame([("o", k) for k in keys], "org_name string, supplier string")
     plan = suppliers.fuzzy_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_months_are_read_from_header_cells_only(spark):
+    cells = spark.createDataFrame([(1, 1, 1, "Item"), (1, 1, 2, "Jan"), (1, 1, 3, "Feb-20"), (1, 2, 1, "Milk"), (1, 2, 2, "Mar")], "file long, row_no long, col_no int, value string")
+    found = ingest.month_columns(cells, ingest.header_rows(cells, "sales", 3))
+    assert sorted((r.col_no, r.month) for r in found.collect()) == [(2, 1), (3, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "regexp_extract" in line]
+
+
+def test_header_behind_the_first_rows(spark):
+    """A file without a header in its first ten rows, one whose eleventh row would score more, an item row of a total."""
+    note = [(1, r, 1, "note") for r in range(1, 13)] + [(1, 20, c, v) for c, v in ((1, "Item"), (2, "Jan"), (3, "Feb"))] + [(1, 21, 1, "Milk"), (1, 21, 3, "7"), (1, 22, 1, "TOTAL"), (1, 22, 2, "7")]
+    other = [(2, 1, c, v) for c, v in ((1, "Item"), (2, "x"), (3, "y"))] + [(2, r, 1, "Peas") for r in range(2, 12)] + [(2, 12, c, v) for c, v in ((1, "Item"), (2, "Qty"), (3, "Price"))]
+    cells = spark.createDataFrame(note + other, "file long, row_no long, col_no int, value string")
+    heads = ingest.header_rows(cells, "sales", 3)
+    assert {r.file: r.header_row for r in heads.collect()} == {1: 20, 2: 1}
+    assert [tuple(r) for r in ingest.grid_rows(cells, heads).collect()] == [(1, 21, "Milk", 2, "7")]
