@@ -31,3 +31,8 @@ def test_same_as_sql_with_long_numbers(spark, grown, name):
     path, con = grown
     got, want = catalog.QUERIES[name](spark, path), con.sql(catalog.ORACLES[name])
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["drift_lookup", "role_override"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
